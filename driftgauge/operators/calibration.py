@@ -78,16 +78,16 @@ def fit_temperature(
     slim = df.select(*keys, logits, label)
     bracket = slim.groupBy(*keys).agg(F.lit(T_LOW).alias("lo"), F.lit(T_HIGH).alias("hi"))
     width = T_HIGH - T_LOW
-    best = None
     while width > T_TOLERANCE:
         step = (F.col("hi") - F.col("lo")) / (points - 1)
         joined = slim.join(bracket, keys)
         t_at = [F.col("lo") + step * i for i in range(points)]
         cells = joined.groupBy(*keys).agg(
-            F.max("lo").alias("lo"),
-            F.max("hi").alias("hi"),
+            F.max("lo").alias("low"),
+            F.max("hi").alias("high"),
             *[F.avg(nll(F.col(logits), F.col(label), t)).alias(f"n{i}") for i, t in enumerate(t_at)],
         )
+        cells = cells.withColumnsRenamed({"low": "lo", "high": "hi"})
         grid = F.array(*[F.struct(F.col(f"n{i}").alias("nll"), t.alias("t")) for i, t in enumerate(t_at)])
         best = cells.select(*keys, "lo", "hi", F.array_min(grid).alias("b"))
         bracket = cut_lineage(

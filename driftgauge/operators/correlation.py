@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftgauge.operators.ordered import average_ranks
 
@@ -53,7 +54,7 @@ def p_value(r: float | None, n: int) -> float | None:
     return _betainc(df / 2.0, 0.5, max(0.0, 1.0 - r * r))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([p_value(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, n)], dtype="float64")
 

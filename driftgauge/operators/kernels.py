@@ -56,6 +56,17 @@ def list_array(x: np.ndarray) -> pa.Array:
     )
 
 
+def key_values(batch: pa.RecordBatch, names: list[str], row: int) -> list[pa.Scalar]:
+    """The key columns of one row as typed scalars (they go back out with the same types)."""
+    return [batch.column(batch.schema.get_field_index(n))[int(row)] for n in names]
+
+
+def typed(scalars: list[pa.Scalar], repeat: int = 1) -> pa.Array:
+    """One column from typed scalars, each repeated."""
+    out = pa.array([s.as_py() for s in scalars], type=scalars[0].type)
+    return out if repeat == 1 else out.take(pa.array(np.repeat(np.arange(len(scalars)), repeat)))
+
+
 def key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 

@@ -19,10 +19,12 @@ from driftgauge.operators.kernels import (
     cell_key,
     cell_name,
     key_fields,
+    key_values,
     list_array,
     matrix,
     normalized,
     row_groups,
+    typed,
 )
 from driftgauge.session import broadcast_bytes
 
@@ -47,15 +49,14 @@ def vector_means(df: DataFrame, keys: list[str], vec: str, normalize: bool = Fal
                 x = matrix(b.column(b.schema.get_field_index("__v")).take(pa.array(rows)))
                 x = normalized(x) if normalize else x
                 if cell not in acc:
-                    acc[cell] = [tuple(b.column(i)[int(rows[0])].as_py() for i in range(len(names))), 0, 0.0]
+                    acc[cell] = [key_values(b, names, rows[0]), 0, 0.0]
                 acc[cell][1] += len(rows)
                 acc[cell][2] = acc[cell][2] + x.sum(axis=0)
         if acc:
             vals = list(acc.values())
-            cols = {k: [v[0][i] for v in vals] for i, k in enumerate(names)}
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame({**cols, "n": [v[1] for v in vals], "s": [v[2] for v in vals]}), preserve_index=False
-            )
+            cols = [typed([v[0][i] for v in vals]) for i in range(len(names))]
+            cols += [pa.array([v[1] for v in vals], pa.int64()), pa.array([v[2] for v in vals], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n", "s"])
 
     out = T.StructType([*key_fields(df, keys), T.StructField("n", T.LongType()), T.StructField("mean", _DOUBLES)])
 
@@ -94,7 +95,7 @@ def gram_rows(df: DataFrame, keys: list[str], vec: str, centers: dict[str, tuple
 
     def emit(acc):
         for key, n, q4, g in acc.values():
-            cols = [pa.array([v] * len(g)) for v in key]
+            cols = [typed([v], len(g)) for v in key]
             cols += [
                 pa.array(np.arange(len(g), dtype=np.int32)),
                 pa.array([n] * len(g), pa.int64()),
@@ -111,7 +112,7 @@ def gram_rows(df: DataFrame, keys: list[str], vec: str, centers: dict[str, tuple
                 x = matrix(b.column(b.schema.get_field_index("__v")).take(pa.array(rows)))
                 x = (normalized(x) if normalize else x) - shared.value[cell][0]
                 if cell not in acc:
-                    acc[cell] = [tuple(b.column(i)[int(rows[0])].as_py() for i in range(len(names))), 0, 0.0, 0.0]
+                    acc[cell] = [key_values(b, names, rows[0]), 0, 0.0, 0.0]
                     held += x.shape[1] ** 2 * 8
                 acc[cell][1] += len(rows)
                 acc[cell][2] += float(np.sum(np.sum(x * x, axis=1) ** 2))

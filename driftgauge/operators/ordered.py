@@ -82,7 +82,7 @@ def prefix_sums(
     Rows must be unique per (keys, value, tie); ``tie`` is always ascending.
     """
     spark = df.sparkSession
-    src = df.select("*", *[c.alias(n) for n, c in sums.items()])
+    src = df.withColumns(sums)
     src, ranged = with_ranges(src, value, tie)
     by_value = F.col(value).desc() if descending else F.col(value).asc()
     order = [by_value] + ([F.col(tie).asc()] if tie else [])

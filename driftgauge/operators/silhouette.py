@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.functions.draws import keyed_hash_np
-from driftgauge.operators.kernels import bounded_tasks, cell_key, key_fields, list_array, matrix, row_groups, unit
+from driftgauge.operators.kernels import bounded_tasks, cell_key, key_fields, key_values, list_array, matrix, row_groups, typed, unit
 from driftgauge.operators.ordered import prefix_sums
 
 SHUFFLE_ROUNDS = 16
@@ -74,10 +74,10 @@ def _class_sums(df: DataFrame, keys: list[str], n_reps: int, seed: int) -> DataF
                 if n_reps:
                     labels[:, 2:] = shuffled_labels(idx, n, n_id, reps, seed)
                 if cell not in acc:
-                    acc[cell] = [tuple(b.column(i)[int(rows[0])].as_py() for i in range(len(names))), 0.0]
+                    acc[cell] = [key_values(b, names, rows[0]), 0.0]
                 acc[cell][1] = acc[cell][1] + labels.T @ x
         for key, s in acc.values():
-            cols = [pa.array([v] * len(s)) for v in key]
+            cols = [typed([v], len(s)) for v in key]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(np.arange(-1, n_reps + 1, dtype=np.int32)), list_array(s)], names=[*names, "rep", "s"]
             )
@@ -129,12 +129,12 @@ def silhouette_null(
                     labels[:, 1:] = shuffled_labels(idx, n, n_id, reps, seed)
                 s = _score(x, labels, n_id, n - n_id, s_id, whole[None, :] - s_id).sum(axis=0)
                 if cell not in acc:
-                    acc[cell] = [tuple(b.column(i)[int(rows[0])].as_py() for i in range(len(names))), 0, 0.0]
+                    acc[cell] = [key_values(b, names, rows[0]), 0, 0.0]
                 acc[cell][1] += len(rows)
                 acc[cell][2] = acc[cell][2] + s
         for key, n, s in acc.values():
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array([v]) for v in key], pa.array([n]), list_array(s[None, :])], names=[*names, "n", "s"]
+                [*[typed([v]) for v in key], pa.array([n], pa.int64()), list_array(s[None, :])], names=[*names, "n", "s"]
             )
 
     out = T.StructType(
