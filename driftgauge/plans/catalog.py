@@ -1,6 +1,11 @@
 """Importing the query modules fills the registry."""
 
-from driftgauge.plans import score_queries  # noqa: F401
+from driftgauge.plans import (  # noqa: F401
+    coverage_queries,
+    rank_queries,
+    sampling_queries,
+    score_queries,
+)
 from driftgauge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -267,3 +267,51 @@ def w_sql(src: str, group: str, item: str = "method", name: str = "kw") -> str:
 {name} AS (SELECT {g}CAST(k AS BIGINT) AS n_raters, CAST(n AS BIGINT) AS n_items,
              CASE WHEN k >= 2 AND n >= 2 AND k * k * (n * n * n - n) - k * t > 0
                   THEN 12.0::DOUBLE * s / (k * k * (n * n * n - n) - k * t) END AS kendall_w, k AS k_, n AS n_ FROM {name}_g)"""
+
+
+# --- a zoo of 8 models x 5 methods over all line items ----------------------------------
+
+ZOO_METHODS = ("msp", "energy", "logit_norm", "mahalanobis", "knn")
+MODELS = [f"m{i}" for i in range(8)]
+BASELINE = ["m0", "m1"]
+FAMILY = ["m2", "m3"]
+ORIGINALS = ["m0", "m1", "m2"]
+
+
+def zoo_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """(domain, backbone, seed, is_id, method, score): model-dependent separation, two domains."""
+    li = table(
+        spark, sf, "lineitem", "l_linestatus", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_extendedprice",
+        "l_quantity", "l_tax", "l_discount",
+    )
+    m = F.col("l_suppkey") % 8
+    is_id = F.col("l_returnflag") == "N"
+    lift = F.when(is_id, F.when(F.col("l_linestatus") == "F", F.lit(1.0)).otherwise(F.lit(0.5))).otherwise(F.lit(0.0))
+    wide = li.select(
+        F.col("l_linestatus").alias("domain"),
+        F.concat(F.lit("m"), m.cast("string")).alias("backbone"),
+        (F.col("l_linenumber") % 5).alias("seed"),
+        is_id.alias("is_id"),
+        (F.col("l_extendedprice") * (F.lit(1.0) + F.lit(0.12) * m * lift)).alias("msp"),
+        (F.col("l_quantity") * (F.lit(1.0) + F.lit(0.08) * ((m * 3) % 8) * lift)).alias("energy"),
+        (F.col("l_tax") + F.lit(0.01) * ((m * 5) % 8) * lift).alias("logit_norm"),
+        (F.col("l_discount") + F.lit(0.02) * (F.lit(7) - m) * lift).alias("mahalanobis"),
+        ((F.col("l_partkey") % 97) + F.lit(4.0) * ((m * 2) % 8) * lift).alias("knn"),
+    )
+    return wide.unpivot(["domain", "backbone", "seed", "is_id"], list(ZOO_METHODS), "method", "score")
+
+
+ZOO_SQL = """
+zoo_l AS (SELECT *, l_suppkey % 8 AS m, l_returnflag = 'N' AS is_id,
+            CASE WHEN l_returnflag = 'N' THEN CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.0::DOUBLE END AS lift FROM lineitem),
+zoo_w AS (SELECT l_linestatus AS domain, 'm' || CAST(m AS VARCHAR) AS backbone, l_linenumber % 5 AS seed, is_id,
+            l_extendedprice * (1.0::DOUBLE + 0.12::DOUBLE * m * lift) AS msp,
+            l_quantity * (1.0::DOUBLE + 0.08::DOUBLE * ((m * 3) % 8) * lift) AS energy,
+            l_tax + 0.01::DOUBLE * ((m * 5) % 8) * lift AS logit_norm,
+            l_discount + 0.02::DOUBLE * (7 - m) * lift AS mahalanobis,
+            CAST(l_partkey % 97 AS DOUBLE) + 4.0::DOUBLE * ((m * 2) % 8) * lift AS knn FROM zoo_l),
+zoo AS (SELECT * FROM zoo_w UNPIVOT (score FOR method IN (msp, energy, logit_norm, mahalanobis, knn)))"""
+
+
+def in_list(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
