@@ -23,9 +23,14 @@ POISSON_STEPS = [
 ]
 
 
+def _let(value: Column, body) -> Column:
+    """Bind an expression to a lambda variable, so that using it twice computes it once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _mix(h: Column, x: Column) -> Column:
     t = (h * F.lit(MULTIPLIER) + F.pmod(x.cast("bigint"), F.lit(MODULUS)) + F.lit(11)) % F.lit(MODULUS)
-    return (t * (t + F.lit(OFFSET))) % F.lit(MODULUS)
+    return _let(t, lambda v: (v * (v + F.lit(OFFSET))) % F.lit(MODULUS))
 
 
 def keyed_hash(seed: int, *keys: Column) -> Column:
@@ -62,10 +67,8 @@ def keyed_hash_sql(seed: int, *keys: str) -> str:
 
 def poisson_weight(h: Column) -> Column:
     """Poisson(1) count for a hash value: number of CDF steps at or below it."""
-    w = F.lit(0).cast("bigint")
-    for step in POISSON_STEPS:
-        w = w + (h >= F.lit(step)).cast("bigint")
-    return w
+    steps = F.array(*[F.lit(s) for s in POISSON_STEPS])
+    return _let(h, lambda v: F.size(F.filter(steps, lambda s: v >= s))).cast("bigint")
 
 
 def poisson_weight_sql(h: str) -> str:

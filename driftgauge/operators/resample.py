@@ -27,7 +27,13 @@ Z95 = 1.959963984540054
 
 
 def with_replicates(df: DataFrame, n_reps: int) -> DataFrame:
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_reps))))
+    """Every row once per replicate.
+
+    The rows are spread first: a few input partitions would otherwise make all copies.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_reps))))
 
 
 def poisson_replicates(df: DataFrame, sample_id: str, n_reps: int, seed: int) -> DataFrame:

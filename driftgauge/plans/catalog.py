@@ -3,6 +3,7 @@
 from driftgauge.plans import (  # noqa: F401
     coverage_queries,
     rank_queries,
+    resample_queries,
     sampling_queries,
     score_queries,
 )

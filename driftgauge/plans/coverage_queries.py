@@ -40,7 +40,7 @@ def risk_at_grid(spark, sf):
 @query(
     "risk_at_truncated_grid",
     f"""WITH {v.ORDERS_SQL}, {v.curve_sql("scored", "model, protocol")},
-g AS (SELECT model, protocol, p, greatest(1, CAST(floor((0.01::DOUBLE + p * 0.01::DOUBLE) * max(n)) AS BIGINT)) AS accepted FROM curve CROSS JOIN range(0, 100) t(p) GROUP BY ALL)
+g AS (SELECT model, protocol, p, greatest(1, CAST(floor((0.01::DOUBLE + p * 0.01::DOUBLE) * max(n)) AS BIGINT)) AS accepted FROM curve CROSS JOIN range(0, 100) t(p) GROUP BY model, protocol, p)
 SELECT g.model, g.protocol, CAST(p AS INTEGER) AS point, g.accepted, {R("risk")} AS risk FROM g JOIN curve c ON g.model = c.model AND g.protocol = c.protocol AND g.accepted = c.accepted""",
 )
 def risk_at_truncated_grid(spark, sf):
