@@ -77,22 +77,22 @@ def react_threshold(train: DataFrame, keys: list[str], feats: str = "feats", p:
             F.percentile_approx("v", grid, 20_000).alias("b"),
             F.min("v").alias("lo"),
             F.max("v").alias("hi"),
-            F.count(F.lit(1)).alias("N"),
+            F.count(F.lit(1)).alias("entries"),
         )
         open_low, open_high = grid[0] <= 0.0, grid[1] >= 1.0
         bracket = bracket.select(
             *keys,
             F.col("lo") if open_low else F.col("b")[0].alias("lo"),
             F.col("hi") if open_high else F.col("b")[1].alias("hi"),
-            "N",
+            "entries",
         )
         bracket = cut_lineage(bracket)
         tagged = entries.join(bracket, keys) if keys else entries.crossJoin(F.broadcast(bracket))
-        below = tagged.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.max("N").alias("N"))
+        below = tagged.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.max("entries").alias("entries"))
         inside = distribution(tagged.where("v >= lo and v <= hi"), keys, "v", {"n": F.lit(1)})
         placed = inside.join(below, keys) if keys else inside.crossJoin(F.broadcast(below))
         start = F.col("below") + F.col("n_before")
-        h = F.lit(float(p)) * (F.col("N") - 1)
+        h = F.lit(float(p)) * (F.col("entries") - 1)
         at = lambda pos: F.max(F.when((start <= pos) & (pos < start + F.col("n")), F.col("v")))
         out = placed.groupBy(*keys).agg(
             at(F.floor(h)).alias("v_lo"), at(F.ceil(h)).alias("v_hi"), F.max(h - F.floor(h)).alias("frac")

@@ -2,6 +2,7 @@
 
 from driftgauge.plans import (  # noqa: F401
     coverage_queries,
+    model_queries,
     rank_queries,
     resample_queries,
     sampling_queries,
