@@ -181,3 +181,8 @@ def require_rows(df: DataFrame, what: str, min_distinct: tuple[str, int] | None
         if found < least:
             raise ValueError(f"{what}: {found} distinct {column}, need {least}")
     return df
+
+
+def guard(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    """Rows pass while the condition holds; the first row that breaks it stops the job."""
+    return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

@@ -2,11 +2,13 @@
 
 from driftgauge.plans import (  # noqa: F401
     coverage_queries,
+    io_queries,
     model_queries,
     rank_queries,
     resample_queries,
     sampling_queries,
     score_queries,
+    table_queries,
 )
 from driftgauge.plans.registry import ORACLES, QUERIES
 

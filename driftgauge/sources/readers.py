@@ -51,9 +51,9 @@ def read_image_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) from one nested JSON document per file."""
-    doc = spark.read.schema(schemas.ANNOTATIONS).option("multiLine", True).json(path)
+def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) from nested JSON: one document per file, or per line."""
+    doc = spark.read.schema(schemas.ANNOTATIONS).option("multiLine", multi_line).json(path)
     img = doc.select(F.explode("images").alias("i")).select(
         F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height"
     )
@@ -67,13 +67,14 @@ def read_group_metadata(spark: SparkSession, path: str, center: int) -> DataFram
     return read_csv(spark, path, schemas.GROUP_METADATA).where(F.col("center") == center)
 
 
-def missing_files(expected: DataFrame, spark: SparkSession, glob: str) -> DataFrame:
-    """Expected relative paths with no file present (names compared, no content read)."""
-    present = spark.read.format("binaryFile").load(glob).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("__name")
-    )
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return expected.withColumn("__name", name).join(present, "__name", "left_anti").drop("__name")
+def missing_files(expected: DataFrame, spark: SparkSession, root: str, name: str = r"([^/]+)$") -> DataFrame:
+    """Expected paths with no file below the root; the pattern's group names a file on both sides.
+
+    Only the listing is used, no content is read.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    present = listed.select(F.regexp_extract("path", name, 1).alias("__name")).distinct()
+    return expected.withColumn("__name", F.regexp_extract("path", name, 1)).join(present, "__name", "left_anti").drop("__name")
 
 
 def severity_slice(stack: DataFrame, idx: str, severity: int, per_slice: int = 10_000) -> DataFrame:
