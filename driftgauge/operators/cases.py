@@ -61,7 +61,7 @@ def behavior_groups(df: DataFrame) -> DataFrame:
         "UNASSIGNED",
     )
     a, b, c = DANGER_WEIGHTS
-    scaled = min_max(out.withColumn("behavior_group", group), "dstskin_maha", "__m")
+    scaled = min_max(out.withColumn("behavior_group", group), "maha_score", "__m")
     return scaled.withColumn(
         "danger_score", F.lit(a) * F.col("ai_prob_pred") + F.lit(b) * F.col("__m") - F.lit(c) * F.col("ai_correct")
     ).drop("__m")
@@ -123,7 +123,7 @@ def number_cases(df: DataFrame, order: list[str]) -> DataFrame:
 def showcase(df: DataFrame, sample_no: str, n: int = 2) -> DataFrame:
     """Top-n per group with the group's own sort columns and directions."""
     g = F.col("behavior_group")
-    conf, maha, danger = F.col("ai_prob_pred"), F.col("dstskin_maha"), F.col("danger_score")
+    conf, maha, danger = F.col("ai_prob_pred"), F.col("maha_score"), F.col("danger_score")
     first = F.when(g == "SAFE_TRUSTED", -conf).when(g == "OOD_SHOULD_DEFER", maha).otherwise(-danger)
     second = F.when(g == "SAFE_TRUSTED", -maha).when(g == "OOD_TRAP_RESCUE", maha).otherwise(-conf)
     wanted = df.where(g.isin("SAFE_TRUSTED", "DANGEROUS_TRAP", "OOD_SHOULD_DEFER", "OOD_TRAP_RESCUE"))
@@ -133,10 +133,10 @@ def showcase(df: DataFrame, sample_no: str, n: int = 2) -> DataFrame:
 def reader_reliability(df: DataFrame) -> DataFrame:
     """Flag per reader group: two groups are Low, one splits at its median, the rest High."""
     split = F.col("reader_group") == SPLIT_READER_GROUP
-    median = exact_percentiles(df.where(split).select("reader_group", "dstskin_maha"), ["reader_group"], "dstskin_maha", {"__med": 0.5})
+    median = exact_percentiles(df.where(split).select("reader_group", "maha_score"), ["reader_group"], "maha_score", {"__med": 0.5})
     flag = (
         F.when(F.col("reader_group").isin(*LOW_READER_GROUPS), "Low")
-        .when(split & (F.col("dstskin_maha") < F.col("__med")), "Low")
+        .when(split & (F.col("maha_score") < F.col("__med")), "Low")
         .otherwise("High")
     )
     return df.join(F.broadcast(median), "reader_group", "left").withColumn("reader_reliability_flag", flag).drop("__med")

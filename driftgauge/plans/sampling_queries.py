@@ -132,12 +132,12 @@ _CASES_SQL = """
 pool AS (SELECT o_orderkey AS case_no, 'img/' || CAST(o_orderkey AS VARCHAR) || '.png' AS image_path,
    CASE WHEN lower(trim(o_orderstatus)) IN ('p') THEN 'malignant' ELSE 'benign' END AS gt_label,
    CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'OOD' ELSE 'ID' END AS id_ood_flag,
-   (o_orderkey * 7919 % 1009) / 1008.0::DOUBLE AS ai_prob_malignant, -o_totalprice / 10000.0::DOUBLE AS dstskin_maha FROM orders),
+   (o_orderkey * 7919 % 1009) / 1008.0::DOUBLE AS ai_prob_malignant, -o_totalprice / 10000.0::DOUBLE AS maha_score FROM orders),
 pred AS (SELECT *, CASE WHEN ai_prob_malignant > 0.5 THEN 'malignant' ELSE 'benign' END AS ai_pred FROM pool),
-thr AS (SELECT quantile_cont(dstskin_maha, 0.15) AS t, min(dstskin_maha) AS lo, max(dstskin_maha) AS hi FROM pred),
-beh AS (SELECT p.*, CASE WHEN dstskin_maha >= t THEN 'High' ELSE 'Low' END AS reliability_flag,
+thr AS (SELECT quantile_cont(maha_score, 0.15) AS t, min(maha_score) AS lo, max(maha_score) AS hi FROM pred),
+beh AS (SELECT p.*, CASE WHEN maha_score >= t THEN 'High' ELSE 'Low' END AS reliability_flag,
    CASE WHEN ai_pred = 'malignant' THEN ai_prob_malignant ELSE 1.0::DOUBLE - ai_prob_malignant END AS ai_prob_pred,
-   CASE WHEN ai_pred = gt_label THEN 1 ELSE 0 END AS ai_correct, (dstskin_maha - lo) / (hi - lo + 1e-8::DOUBLE) AS mm FROM pred p CROSS JOIN thr),
+   CASE WHEN ai_pred = gt_label THEN 1 ELSE 0 END AS ai_correct, (maha_score - lo) / (hi - lo + 1e-8::DOUBLE) AS mm FROM pred p CROSS JOIN thr),
 grp AS (SELECT *, CASE WHEN id_ood_flag = 'OOD' AND ai_correct = 0 AND ai_prob_pred >= 0.60 AND reliability_flag = 'Low' THEN 'OOD_TRAP_RESCUE'
    WHEN id_ood_flag = 'OOD' AND reliability_flag = 'Low' THEN 'OOD_SHOULD_DEFER' WHEN id_ood_flag <> 'OOD' AND reliability_flag = 'Low' THEN 'ID_UNCERTAIN'
    WHEN id_ood_flag <> 'OOD' AND ai_correct = 1 AND ai_prob_pred >= 0.80 AND reliability_flag = 'High' THEN 'SAFE_TRUSTED'
@@ -153,10 +153,10 @@ def _pool(spark, sf):
         L.truth_label(F.when(F.lower(F.trim("o_orderstatus")) == "p", "malignant").otherwise("0")).alias("gt_label"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "OOD").otherwise("ID").alias("id_ood_flag"),
         ((F.col("o_orderkey") * 7919 % 1009) / F.lit(1008.0)).alias("ai_prob_malignant"),
-        (-F.col("o_totalprice") / F.lit(10000.0)).alias("dstskin_maha"),
+        (-F.col("o_totalprice") / F.lit(10000.0)).alias("maha_score"),
     )
     pool = pool.withColumn("ai_pred", F.when(F.col("ai_prob_malignant") > 0.5, "malignant").otherwise("benign"))
-    flagged = dispersion.split_flag(pool.withColumn("__all", F.lit(1)), ["__all"], "dstskin_maha", 0.15, "reliability_flag")
+    flagged = dispersion.split_flag(pool.withColumn("__all", F.lit(1)), ["__all"], "maha_score", 0.15, "reliability_flag")
     return cases.behavior_groups(flagged.drop("__all"))
 
 
@@ -211,8 +211,8 @@ def case_trim(spark, sf):
 @query(
     "case_showcase",
     f"""WITH {_CASES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY behavior_group ORDER BY
-   CASE behavior_group WHEN 'SAFE_TRUSTED' THEN -ai_prob_pred WHEN 'OOD_SHOULD_DEFER' THEN dstskin_maha ELSE -danger_score END,
-   CASE behavior_group WHEN 'SAFE_TRUSTED' THEN -dstskin_maha WHEN 'OOD_TRAP_RESCUE' THEN dstskin_maha ELSE -ai_prob_pred END, case_no) AS rn FROM grp
+   CASE behavior_group WHEN 'SAFE_TRUSTED' THEN -ai_prob_pred WHEN 'OOD_SHOULD_DEFER' THEN maha_score ELSE -danger_score END,
+   CASE behavior_group WHEN 'SAFE_TRUSTED' THEN -maha_score WHEN 'OOD_TRAP_RESCUE' THEN maha_score ELSE -ai_prob_pred END, case_no) AS rn FROM grp
    WHERE behavior_group IN ('SAFE_TRUSTED', 'DANGEROUS_TRAP', 'OOD_SHOULD_DEFER', 'OOD_TRAP_RESCUE'))
 SELECT behavior_group, case_no FROM o WHERE rn <= 2""",
 )
@@ -232,7 +232,7 @@ def reader_reliability(spark, sf):
     names = F.create_map(*[F.lit(x) for x in ("view", "OOD_low_maha", "click", "ID_low_reliability_error", "error", "OOD_high_confident_wrong")])
     rows = e.select(
         F.col("sample_id").alias("case_no"),
-        F.col("score").alias("dstskin_maha"),
+        F.col("score").alias("maha_score"),
         F.coalesce(names[F.col("stratum")], F.lit("ID_correct")).alias("reader_group"),
     )
     return cases.reader_reliability(rows).select("case_no", "reader_group", "reader_reliability_flag")

@@ -26,7 +26,7 @@ GROUP_SPLIT = "patient string, slides string, n_patches int, tumor_frac double,
 ACTIVATIONS = "split string, layer string, channel int, sum double, n double"
 READER_CASES = (
     "image_path string, gt_label string, id_ood_flag string, ai_pred string, ai_prob_malignant double, "
-    "ai_prob_pred double, ai_correct int, dstskin_maha double, reliability_flag string, "
+    "ai_prob_pred double, ai_correct int, maha_score double, reliability_flag string, "
     "behavior_group string, danger_score double"
 )
 RISK_BY_MODEL = (
