@@ -12,7 +12,7 @@ import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftgauge.session import cut_lineage, rows_per_task
@@ -40,18 +40,25 @@ def _bucketize(df: DataFrame, col: str, out: str, cuts: list[float], isolate: bo
     return bucketed.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
-def with_ranges(df: DataFrame, value: str, tie: str | None = None) -> tuple[DataFrame, bool]:
+def with_ranges(
+    df: DataFrame, value: str, tie: str | None = None, source: DataFrame | None = None
+) -> tuple[DataFrame, bool]:
     """Add range columns ordered like (value, tie). Returns (frame, ranged?).
 
+    The row count of ``source`` (default: the frame itself) is the size check; a frame that
+    was aggregated from it can only be smaller, and counting the source prunes all columns.
+
     Cut points come from the whole input, so a range never holds more than about
     ``rows_per_task`` rows of all groups together, whatever the largest group is. A
     value heavy enough to be a cut point gets its own range, which is cut by ``tie``.
     """
     limit = rows_per_task(df.sparkSession)
-    n = df.count()
+    n = (df if source is None else source).count()
     if n <= limit:
-        return df.withColumn(_RANGE, F.lit(0)).withColumn(_TIE, F.lit(0)), False
+        return df.withColumns({_RANGE: F.lit(0), _TIE: F.lit(0)}), False
     df = cut_lineage(df)
+    if source is not None:
+        n = df.count()
     n_ranges = min(MAX_RANGES, max(2, math.ceil(n / limit) * 2))
     cuts = _cut_points(df, value, n_ranges)
     df = _bucketize(df, value, _RANGE, cuts, isolate=True)
@@ -62,28 +69,23 @@ def with_ranges(df: DataFrame, value: str, tie: str | None = None) -> tuple[Data
     return df.withColumn(_TIE, F.when(heavy, F.col(_TIE)).otherwise(F.lit(0))), True
 
 
-def _before(keys: list[str], order: list[Column], rows: bool = True):
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return w.rowsBetween(Window.unboundedPreceding, -1)
-
-
-def prefix_sums(
+def prefix_sums_checked(
     df: DataFrame,
     keys: list[str],
     value: str,
     sums: dict[str, Column],
     tie: str | None = None,
     descending: bool = False,
-) -> DataFrame:
-    """Row-level prefix sums in (value, tie) order.
+    source: DataFrame | None = None,
+) -> tuple[DataFrame, bool]:
+    """Row-level prefix sums in (value, tie) order, and whether ranges were needed.
 
     For every entry ``name -> column`` adds ``name`` (the row's own amount),
     ``name_before`` (total of strictly earlier rows) and ``name_total`` (group total).
     Rows must be unique per (keys, value, tie); ``tie`` is always ascending.
     """
-    spark = df.sparkSession
     src = df.withColumns(sums)
-    src, ranged = with_ranges(src, value, tie)
+    src, ranged = with_ranges(src, value, tie, source)
     by_value = F.col(value).desc() if descending else F.col(value).asc()
     order = [by_value] + ([F.col(tie).asc()] if tie else [])
     if not ranged:
@@ -92,11 +94,12 @@ def prefix_sums(
         w = Window.partitionBy(*part).orderBy(*order)
         run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return src.select(
+        plain = src.select(
             "*",
             *[(F.sum(n).over(run) - F.col(n)).alias(f"{n}_before") for n in sums],
             *[F.sum(n).over(whole).alias(f"{n}_total") for n in sums],
         )
+        return plain, False
     range_order = F.col(_RANGE).desc() if descending else F.col(_RANGE).asc()
     totals = src.groupBy(*keys, _RANGE, _TIE).agg(*[F.sum(n).alias(f"{n}__sum") for n in sums])
     part = keys or [F.lit(0)]
@@ -114,38 +117,53 @@ def prefix_sums(
     joined = src.join(offsets, [*keys, _RANGE, _TIE])
     w = Window.partitionBy(*keys, _RANGE, _TIE).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.select(
+    shifted = joined.select(
         *src.drop(_RANGE, _TIE).columns,
         *[(F.sum(n).over(run) - F.col(n) + F.col(f"{n}__off")).alias(f"{n}_before") for n in sums],
         *[f"{n}_total" for n in sums],
     )
+    return shifted, True
 
 
-def distribution(
+def prefix_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column], **kw) -> DataFrame:
+    return prefix_sums_checked(df, keys, value, sums, **kw)[0]
+
+
+def distribution_checked(
     df: DataFrame, keys: list[str], value: str, counts: dict[str, Column], descending: bool = False
-) -> DataFrame:
-    """One row per (keys, distinct value) with counts, earlier counts and totals.
+) -> tuple[DataFrame, bool]:
+    """One row per (keys, distinct value) with counts, earlier counts and totals; ranged?
 
     Ties collapse in the map-side partial aggregate, so a heavily tied score shrinks
     to a few rows before anything is sorted.
     """
     cells = df.groupBy(*keys, value).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in counts.items()])
-    return prefix_sums(cells, keys, value, {n: F.col(n) for n in counts}, descending=descending).select(
-        *keys,
-        value,
-        *[c for n in counts for c in (n, f"{n}_before", f"{n}_total")],
+    cum, ranged = prefix_sums_checked(
+        cells, keys, value, {n: F.col(n) for n in counts}, descending=descending, source=df
     )
+    return cum.select(*keys, value, *[c for n in counts for c in (n, f"{n}_before", f"{n}_total")]), ranged
+
+
+def distribution(df: DataFrame, keys: list[str], value: str, counts: dict[str, Column], descending: bool = False) -> DataFrame:
+    return distribution_checked(df, keys, value, counts, descending)[0]
+
+
+def percentile_from(value: str, count: str, p: float, over: WindowSpec | None = None) -> Column:
+    """Linearly interpolated percentile p in [0, 1] of a ``distribution``.
+
+    An aggregate by default; with ``over`` the same as a window column.
+    """
 
+    def largest(c: Column) -> Column:
+        return F.max(c) if over is None else F.max(c).over(over)
 
-def percentile_from(value: str, count: str, p: float) -> Column:
-    """Aggregate over a ``distribution``: linearly interpolated percentile p in [0, 1]."""
     n, before, total = F.col(count), F.col(f"{count}_before"), F.col(f"{count}_total")
     h = F.lit(float(p)) * (total - 1).cast("double")
     lo, hi = F.floor(h), F.ceil(h)
     v = F.col(value).cast("double")
-    v_lo = F.max(F.when((n > 0) & (before <= lo) & (lo < before + n), v))
-    v_hi = F.max(F.when((n > 0) & (before <= hi) & (hi < before + n), v))
-    frac = F.max(h - lo)
+    v_lo = largest(F.when((n > 0) & (before <= lo) & (lo < before + n), v))
+    v_hi = largest(F.when((n > 0) & (before <= hi) & (hi < before + n), v))
+    frac = largest(h - lo)
     return v_lo + frac * (v_hi - v_lo)
 
 

@@ -16,7 +16,7 @@ from driftgauge.operators.correlation import spearman
 from driftgauge.operators.dispersion import CVID_EPS, TRIM_SHARE, _trimmed
 from driftgauge.operators.ordered import distribution, exact_percentiles, prefix_sums
 from driftgauge.operators.ranks import concordance, item_ranks, kendall_w
-from driftgauge.operators.separability import auroc, separability
+from driftgauge.operators.separability import separability
 
 N_BOOTSTRAP = 1000
 N_PERMUTATIONS = 10_000
@@ -83,10 +83,8 @@ def separability_ci(weighted: DataFrame, keys: list[str], score: str = "score")
     return percentile_ci(reps, keys, ["auroc", "fpr95"])
 
 
-def delta_auroc_ci(weighted: DataFrame, keys: list[str], a: str, b: str, method: str = "method") -> DataFrame:
-    """Limits of AUROC(a) - AUROC(b) on shared draws."""
-    two = weighted.where(F.col(method).isin(a, b))
-    reps = auroc(two, [*keys, method, "rep"], weight=F.col("weight"))
+def delta_auroc_ci(reps: DataFrame, keys: list[str], a: str, b: str, method: str = "method") -> DataFrame:
+    """Limits of AUROC(a) - AUROC(b) from replicate AUROCs on shared draws."""
     pick = lambda m: F.max(F.when(F.col(method) == m, F.col("auroc")))
     return percentile_ci(
         reps.groupBy(*keys, "rep").agg((pick(a) - pick(b)).alias("delta_auroc")), keys, ["delta_auroc"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgauge.functions.scores import finite_or_error
-from driftgauge.operators.ordered import distribution, exact_percentiles, percentile_from
+from driftgauge.operators.ordered import distribution_checked, exact_percentiles, percentile_from
 
 ID_TAIL = 0.05
 # Score methods whose intervals are bootstrapped; the others report NULL limits.
@@ -25,11 +25,11 @@ def score_distribution(
     is_id: str = "is_id",
     weight: Column | None = None,
     score_type: str = "double",
-) -> DataFrame:
-    """Distinct scores per cell with ID / OOD counts and running counts."""
+) -> tuple[DataFrame, bool]:
+    """Distinct scores per cell with ID / OOD counts and running counts; ranged?"""
     w = weight if weight is not None else F.lit(1)
     one = F.col(is_id)
-    return distribution(
+    return distribution_checked(
         _checked(df, keys, score, score_type),
         keys,
         score,
@@ -47,35 +47,41 @@ def auroc_from() -> Column:
 
 def auroc(df: DataFrame, keys: list[str], **kw) -> DataFrame:
     """AUROC with ID as the positive class, one row per cell."""
-    return score_distribution(df, keys, **kw).groupBy(*keys).agg(auroc_from().alias("auroc"))
+    return score_distribution(df, keys, **kw)[0].groupBy(*keys).agg(auroc_from().alias("auroc"))
 
 
 def separability(df: DataFrame, keys: list[str], score: str = "score", **kw) -> DataFrame:
     """AUROC, FPR at 95 % ID recall, its threshold and the counts, one row per cell.
 
-    The threshold is the 5th ID percentile; FPR counts OOD strictly above it. Both come
-    from one sorted distribution, the threshold table has one row per cell.
+    The threshold is the 5th ID percentile; FPR counts OOD strictly above it. While a cell
+    fits a task everything comes out of one sort; beyond that the threshold table (one row
+    per cell) is joined back to the ranged distribution.
     """
-    dist = score_distribution(df, keys, score=score, **kw)
-    head = dist.groupBy(*keys).agg(
+    dist, ranged = score_distribution(df, keys, score=score, **kw)
+    facts = [
         auroc_from().alias("auroc"),
-        percentile_from(score, "n_id", ID_TAIL).alias("threshold"),
         F.max("n_id_total").alias("n_id"),
         F.max("n_ood_total").alias("n_ood"),
-    )
-    above = (
-        dist.select(*keys, score, F.col("n_ood").alias("__ood"))
-        .where("__ood > 0")
-        .join(head.select(*keys, "threshold"), keys)
-        .where(F.col(score) > F.col("threshold"))
-        .groupBy(*keys)
-        .agg(F.sum("__ood").alias("__above"))
-    )
-    return head.join(above, keys, "left").select(
+    ]
+    above = F.sum(F.when(F.col(score) > F.col("threshold"), F.col("n_ood")).otherwise(0))
+    if not ranged:
+        whole = Window.partitionBy(*(keys or [F.lit(0)]))
+        flat = dist.withColumn("threshold", percentile_from(score, "n_id", ID_TAIL, over=whole))
+        head = flat.groupBy(*keys).agg(*facts, F.max("threshold").alias("thr"), above.alias("__above"))
+    else:
+        thr = dist.groupBy(*keys).agg(*facts, percentile_from(score, "n_id", ID_TAIL).alias("thr"))
+        over = (
+            dist.select(*keys, score, "n_ood")
+            .join(thr.select(*keys, F.col("thr").alias("threshold")), keys)
+            .groupBy(*keys)
+            .agg(above.alias("__above"))
+        )
+        head = thr.join(over, keys)
+    return head.select(
         *keys,
         "auroc",
-        F.try_divide(F.coalesce(F.col("__above"), F.lit(0)).cast("double"), F.col("n_ood")).alias("fpr95"),
-        "threshold",
+        F.try_divide(F.col("__above").cast("double"), F.col("n_ood")).alias("fpr95"),
+        F.col("thr").alias("threshold"),
         "n_id",
         "n_ood",
     )

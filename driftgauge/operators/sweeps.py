@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftgauge.functions.draws import keyed_hash
 from driftgauge.operators.correlation import spearman
 from driftgauge.operators.moments import ledoit_wolf
-from driftgauge.operators.ordered import prefix_sums
+from driftgauge.operators.ordered import distribution, prefix_sums
 from driftgauge.operators.sampling import positions
 from driftgauge.operators.scorer import mahalanobis_score
 from driftgauge.operators.separability import separability
@@ -66,11 +66,25 @@ def subsample_refits(
     )
 
 
-def against_shared_id(id_rows: DataFrame, ood_rows: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
-    """Pair the ID rows of each key with every sweep cell of that key (few cells per key)."""
-    cells = ood_rows.select(*keys, *cell).distinct()
-    shared = id_rows.join(cells, keys).withColumn("is_id", F.lit(True))
-    return shared.unionByName(ood_rows.withColumn("is_id", F.lit(False)))
+def auroc_against_shared_id(id_rows: DataFrame, ood_rows: DataFrame, keys: list[str], cell: list[str], score: str = "score") -> DataFrame:
+    """AUROC of every sweep cell against the one ID sample of its key, without copying ID rows.
+
+    All scores of a key are placed once on the ID distribution; each cell then averages the
+    share of ID rows above its own rows (ties one half).
+    """
+    marks = id_rows.select(*keys, score, F.lit(1).alias("__w")).unionByName(ood_rows.select(*keys, score, F.lit(0).alias("__w")))
+    placed = distribution(marks, keys, score, {"n_id": F.col("__w")})
+    mine = ood_rows.groupBy(*keys, *cell, score).agg(F.count(F.lit(1)).alias("n_ood"))
+    wins = F.col("n_id_total") - F.col("n_id_before") - F.lit(0.5) * F.col("n_id")
+    return (
+        mine.join(placed, [*keys, score])
+        .groupBy(*keys, *cell)
+        .agg(
+            (F.sum(F.col("n_ood") * wins) / (F.max("n_id_total").cast("double") * F.sum("n_ood"))).alias("auroc"),
+            F.max("n_id_total").alias("n_id"),
+            F.sum("n_ood").alias("n_ood"),
+        )
+    )
 
 
 def severity_correlations(sweep: DataFrame, backbone: str, corruption: str, severity: str, measures: list[str]) -> DataFrame:

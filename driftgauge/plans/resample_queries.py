@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftgauge.functions.draws import MODULUS, keyed_hash_sql, poisson_weight_sql
 from driftgauge.functions.scores import correct, msp
-from driftgauge.operators import dispersion, ranks, resample, separability, silhouette, sweeps
+from driftgauge.operators import bootstrap, dispersion, ranks, resample, separability, silhouette, sweeps
 from driftgauge.operators.silhouette import SHUFFLE_ROUNDS
 from driftgauge.plans import views as v
 from driftgauge.plans.rank_queries import CELLS_SQL, cells
@@ -56,8 +56,9 @@ ci AS (SELECT {_K}, {_ci("auroc")}, {_ci("fpr95")} FROM au JOIN fpr USING ({_K},
 )
 def bootstrap_separability(spark, sf):
     """AUROC and FPR95 limits from Poisson replicate weights."""
-    w = resample.poisson_replicates(_vector_scores(spark, sf), "sample_id", REPS, SEED)
-    out = resample.separability_ci(w, ["domain", "backbone", "method"])
+    keys = ["domain", "backbone", "method"]
+    reps = bootstrap.bootstrap_separability(_vector_scores(spark, sf), keys, "sample_id", REPS, SEED)
+    out = resample.percentile_ci(reps, keys, ["auroc", "fpr95"])
     return rounded(out, "auroc_ci_low", "auroc_ci_high", "fpr95_ci_low", "fpr95_ci_high")
 
 
@@ -96,7 +97,8 @@ def score_comparison(spark, sf):
     rows = _vector_scores(spark, sf)
     points = separability.separability(rows, [*keys, "method"])
     some = rows.where(F.col("method").isin(*separability.BOOTSTRAPPED_METHODS))
-    ci = resample.separability_ci(resample.poisson_replicates(some, "sample_id", REPS, SEED), [*keys, "method"])
+    reps = bootstrap.bootstrap_separability(some, [*keys, "method"], "sample_id", REPS, SEED)
+    ci = resample.percentile_ci(reps, [*keys, "method"], ["auroc", "fpr95"])
     out = separability.score_comparison(points, ci, keys)
     return rounded(out, "auroc", "fpr95", "threshold", "auroc_ci_low", "auroc_ci_high", "fpr95_ci_low", "fpr95_ci_high")
 
@@ -109,8 +111,9 @@ SELECT domain, backbone, {_ci("delta_auroc", "d")} FROM d GROUP BY ALL""",
 )
 def bootstrap_delta_auroc(spark, sf):
     """Difference of two scores' AUROCs on the same draws."""
-    w = resample.poisson_replicates(_vector_scores(spark, sf), "sample_id", REPS, SEED)
-    out = resample.delta_auroc_ci(w, ["domain", "backbone"], "energy", "msp")
+    keys = ["domain", "backbone"]
+    reps = bootstrap.bootstrap_separability(_vector_scores(spark, sf), [*keys, "method"], "sample_id", REPS, SEED)
+    out = resample.delta_auroc_ci(reps, keys, "energy", "msp")
     return rounded(out, "delta_auroc_ci_low", "delta_auroc_ci_high")
 
 
@@ -362,11 +365,8 @@ def _sweep(spark, sf):
     )
     keys, cell = ["backbone"], ["corruption", "severity"]
     measures = ["msp", "mahalanobis"]
-    both = sweeps.against_shared_id(
-        rows.where("is_id").select(*keys, *measures), rows.where("not is_id").select(*keys, *cell, *measures), keys, cell
-    )
-    long = both.unpivot([*keys, *cell, "is_id"], measures, "method", "score")
-    a = separability.auroc(long, [*keys, *cell, "method"])
+    long = rows.unpivot([*keys, *cell, "is_id"], measures, "method", "score")
+    a = sweeps.auroc_against_shared_id(long.where("is_id"), long.where("not is_id"), [*keys, "method"], cell)
     pick = lambda m: F.max(F.when(F.col("method") == m, F.col("auroc")))
     points = a.groupBy(*keys, *cell).agg(
         pick("mahalanobis").alias("mahalanobis_auroc"), pick("msp").alias("msp_auroc"),

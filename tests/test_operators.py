@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from driftgauge.functions import draws, labels, scores
 from driftgauge.operators import (
-    calibration, cases, correlation, coverage, decisions, dispersion, knn, manifest, moments, ordered, ranks, resample,
-    sampling, scorer, separability, silhouette, tables,
+    bootstrap, calibration, cases, correlation, coverage, decisions, dispersion, knn, manifest, moments, ordered, ranks,
+    resample, sampling, scorer, separability, silhouette, sweeps, tables,
 )
 
 
@@ -260,6 +260,36 @@ def test_bootstrap_interval_covers_and_matches_normal_theory(spark):
         assert half == pytest.approx(1.96 * np.std(boots), rel=0.25)
 
 
+def test_bootstrap_paths_agree(spark, request):
+    """One sort per cell, chained ranges, and replicate-as-key give the same replicates."""
+    rng = np.random.default_rng(21)
+    n = 700
+    s = np.where(rng.random(n) < 0.35, 0.25, np.round(rng.normal(size=n), 2))
+    data = [("hot" if i % 10 else "cold", bool(rng.random() < 0.4), float(s[i]), i) for i in range(n)]
+    df = spark.createDataFrame(data, "cell string, is_id boolean, score double, sample_id bigint")
+
+    def table(frame):
+        return {(r.cell, r.rep): (round(r.auroc, 10), round(r.fpr95, 10)) for r in frame.select("cell", "rep", "auroc", "fpr95").collect()}
+
+    one_sort = table(bootstrap.bootstrap_separability(df, ["cell"], "sample_id", 12, 42))
+    by_key = table(separability.separability(resample.poisson_replicates(df, "sample_id", 12, 42), ["cell", "rep"], weight=F.col("weight")))
+    request.getfixturevalue("tiny_tasks")
+    ranged = table(bootstrap.bootstrap_separability(df, ["cell"], "sample_id", 12, 42))
+    assert len(one_sort) == 24
+    assert one_sort == by_key
+    assert one_sort == ranged
+
+
+def test_sweep_auroc_without_copies(spark):
+    rng = np.random.default_rng(22)
+    ids = spark.createDataFrame([("k", float(x)) for x in rng.integers(0, 30, 200)], "k string, score double")
+    oods = spark.createDataFrame([("k", int(c), float(x)) for c, x in zip(rng.integers(0, 4, 300), rng.integers(-5, 25, 300))], "k string, c int, score double")
+    got = {r.c: r.auroc for r in sweeps.auroc_against_shared_id(ids, oods, ["k"], ["c"]).collect()}
+    a = [r.score for r in ids.collect()]
+    for c in range(4):
+        assert got[c] == pytest.approx(brute_auroc(a, [r.score for r in oods.where(f"c = {c}").collect()]))
+
+
 def test_shuffled_labels_are_a_bijection():
     for n, n_id in ((1, 1), (17, 5), (230, 30)):
         lab = silhouette.shuffled_labels(np.arange(n), n, n_id, np.arange(1, 41), 42)
