@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgauge.operators.ordered import prefix_sums
@@ -70,12 +70,39 @@ def coverage_at_risk(
     none_value: float | None = 0.0,
 ) -> DataFrame:
     """Largest coverage whose prefix risk meets each target (last prefix wins, not the first)."""
-    aggs = []
+    return curve.groupBy(*keys).agg(
+        *_coverage_aggregates(targets, eps, none_value), (F.max("errors") / F.max("n")).alias("full_risk"), F.max("n").alias("n")
+    )
+
+
+def _coverage_aggregates(targets: tuple[float, ...], eps: float, none_value: float | None) -> list[Column]:
+    out = []
     for t in targets:
         share = F.max(_last_ok(t, eps)).cast("double") / F.max("n")
-        aggs.append(F.coalesce(share, F.lit(none_value).cast("double")).alias(f"coverage_at_risk{round(t * 100)}"))
-    return curve.groupBy(*keys).agg(
-        *aggs, (F.max("errors") / F.max("n")).alias("full_risk"), F.max("n").alias("n")
+        out.append(F.coalesce(share, F.lit(none_value).cast("double")).alias(f"coverage_at_risk{round(t * 100)}"))
+    return out
+
+
+def _grid_hits(n_points: int, top: float, step: float, k_rule: str) -> Column:
+    """Grid points whose prefix length is this row's, as ARRAY<STRUCT<grid_coverage, point>>.
+
+    A prefix length only belongs to grid points near k/n, so a row tests a few of them; the
+    shortest prefix also stands for all points that round to zero.
+    """
+    n, k = F.col("n"), F.col("accepted")
+    near = (k / n - F.lit(top)) / F.lit(step)
+    slack = F.lit(2) + F.ceil(F.lit(1.0) / (n * F.lit(abs(step))))
+    low = F.greatest(F.lit(0), F.floor(near - slack)).cast("int")
+    high = F.least(F.lit(n_points - 1), F.ceil(near + slack)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(n_points - 1))
+    some = F.when(k == 1, every).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    def mine(i: Column) -> Column:
+        raw = (F.lit(top) + i * F.lit(step)) * n
+        return F.greatest(F.lit(1), (F.rint(raw) if k_rule == "round" else F.floor(raw)).cast("bigint")) == k
+
+    return F.transform(
+        F.filter(some, mine), lambda i: F.struct((F.lit(top) + i * F.lit(step)).alias("grid_coverage"), i.alias("point"))
     )
 
 
@@ -89,28 +116,45 @@ def risk_at_grid(
 ) -> DataFrame:
     """Risk at a fixed coverage grid; k is round-half-even(c*n) or truncated, at least 1.
 
-    The grid is n_points rows per cell, joined to the curve on the prefix length.
+    Every curve row knows its own grid points, so nothing is joined. For unit-weight curves.
     """
-    sizes = curve.groupBy(*keys).agg(F.max("n").alias("__n"))
-    points = sizes.select(*keys, "__n", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("point"))
-    c = F.lit(top) + F.col("point") * F.lit(step)
-    raw = c * F.col("__n")
-    k = F.rint(raw) if k_rule == "round" else F.floor(raw)
-    grid = points.select(
-        *keys, "point", c.alias("grid_coverage"), F.greatest(F.lit(1), k.cast("bigint")).alias("accepted")
+    hits = curve.select(*keys, "accepted", "risk", F.explode(_grid_hits(n_points, top, step, k_rule)).alias("g"))
+    return hits.select(*keys, "g.point", "g.grid_coverage", "accepted", "risk")
+
+
+def _trapezoid(points: Column) -> Column:
+    """Area under (x, y) structs sorted by x."""
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(points) - 1))
+    return F.aggregate(
+        steps,
+        F.lit(0.0),
+        lambda acc, i: acc
+        + F.coalesce(
+            (F.get(points, i)["x"] - F.get(points, i - 1)["x"]) * (F.get(points, i)["y"] + F.get(points, i - 1)["y"]) / 2.0,
+            F.lit(0.0),
+        ),
     )
-    return curve.select(*keys, "accepted", "risk").join(grid, [*keys, "accepted"])
 
 
 def aurc(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """Trapezoid area under the risk over the ascending coverage grid."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("grid_coverage")
-    area = (F.col("grid_coverage") - F.lag("grid_coverage").over(w)) * (F.col("risk") + F.lag("risk").over(w)) / 2.0
-    return grid.withColumn("__area", area).groupBy(*keys).agg(F.sum("__area").alias("aurc"))
+    """Trapezoid area under the risk over the ascending coverage grid (91 points per cell)."""
+    points = F.sort_array(F.collect_list(F.struct(F.col("grid_coverage").alias("x"), F.col("risk").alias("y"))))
+    return grid.groupBy(*keys).agg(points.alias("__p")).select(*keys, _trapezoid(F.col("__p")).alias("aurc"))
 
 
 def selective_report(df: DataFrame, keys: list[str], targets: tuple[float, ...] = (0.10, 0.15), **kw) -> DataFrame:
-    """AURC, coverage at the risk targets (NULL if never met), full risk and n per cell."""
+    """AURC, coverage at the risk targets (NULL if never met), full risk and n per cell.
+
+    One pass over the sorted curve: each row adds its grid points (91 per cell in all) and
+    its prefix length to the same aggregate.
+    """
     curve = risk_curve(df, keys, **kw)
-    cov = coverage_at_risk(curve, keys, targets, eps=0.0, none_value=None)
-    return aurc(risk_at_grid(curve, keys), keys).join(cov, keys)
+    hits = _grid_hits(GRID_POINTS, GRID_TOP, GRID_STEP, "round")
+    risk = F.col("risk")
+    points = F.transform(hits, lambda g: F.struct(g["grid_coverage"].alias("x"), risk.alias("y")))
+    marked = curve.withColumn("__g", points)
+    mine = F.flatten(F.collect_list(F.when(F.size("__g") > 0, F.col("__g"))))
+    agg = marked.groupBy(*keys).agg(
+        mine.alias("__p"), *_coverage_aggregates(targets, 0.0, None), (F.max("errors") / F.max("n")).alias("full_risk"), F.max("n").alias("n")
+    )
+    return agg.select(*keys, _trapezoid(F.sort_array("__p")).alias("aurc"), *[c for c in agg.columns if c not in (*keys, "__p")])

@@ -72,5 +72,7 @@ def key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
 
 
 def bounded_tasks(df: DataFrame) -> DataFrame:
-    """Cap the number of partial results at twice the cluster's cores (no shuffle)."""
-    return df.coalesce(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    """Cap the number of partial results by the cluster's size, not the table's (no shuffle)."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.coalesce(n)

@@ -54,11 +54,11 @@ def with_ranges(
     """
     limit = rows_per_task(df.sparkSession)
     n = (df if source is None else source).count()
+    if n > limit:
+        df = cut_lineage(df)
+        n = n if source is None else df.count()
     if n <= limit:
         return df.withColumns({_RANGE: F.lit(0), _TIE: F.lit(0)}), False
-    df = cut_lineage(df)
-    if source is not None:
-        n = df.count()
     n_ranges = min(MAX_RANGES, max(2, math.ceil(n / limit) * 2))
     cuts = _cut_points(df, value, n_ranges)
     df = _bucketize(df, value, _RANGE, cuts, isolate=True)

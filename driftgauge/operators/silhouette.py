@@ -18,6 +18,7 @@ from driftgauge.operators.kernels import bounded_tasks, cell_key, key_fields, ke
 from driftgauge.operators.ordered import prefix_sums
 
 SHUFFLE_ROUNDS = 16
+LABEL_BLOCK = 2_000_000
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 
@@ -49,6 +50,14 @@ def shuffled_labels(idx: np.ndarray, n: int, n_id: int, reps: np.ndarray, seed:
     return x < n_id
 
 
+def _pieces(cells: pa.Array, n_reps: int):
+    """Rows by cell, few enough at once that rows x replicates stays small."""
+    width = max(1, LABEL_BLOCK // (n_reps + 2))
+    for cell, rows in row_groups(cells):
+        for lo in range(0, len(rows), width):
+            yield cell, rows[lo : lo + width]
+
+
 def _sum_parts(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return np.sum(np.stack([np.asarray(v) for v in pdf[col]]), axis=0)
 
@@ -63,7 +72,7 @@ def _class_sums(df: DataFrame, keys: list[str], n_reps: int, seed: int) -> DataF
         acc: dict = {}
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
-            for cell, rows in row_groups(col("__cell")):
+            for cell, rows in _pieces(col("__cell"), n_reps):
                 take = pa.array(rows)
                 x = unit(matrix(col("__v").take(take)))
                 idx = col("__idx").to_numpy(zero_copy_only=False)[rows]
@@ -94,7 +103,11 @@ def silhouette_null(
 ) -> DataFrame:
     """(keys, rep, silhouette): rep 0 observed, reps 1..n_perm with shuffled labels."""
     base = df.select(*keys, F.col(sample_id), F.col(is_id).alias("__id"), F.col(vec).alias("__v"))
-    flagged = prefix_sums(base, keys, sample_id, {"n": F.lit(1).cast("bigint"), "m": F.col("__id").cast("bigint")})
+    if n_perm:  # shuffles need each row's position in its cell
+        flagged = prefix_sums(base, keys, sample_id, {"n": F.lit(1).cast("bigint"), "m": F.col("__id").cast("bigint")})
+    else:
+        sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), F.count_if("__id").alias("m_total"))
+        flagged = base.join(sizes, keys).withColumn("n_before", F.lit(0).cast("bigint"))
     ready = flagged.select(
         *keys,
         cell_key(keys).alias("__cell"),
@@ -118,7 +131,7 @@ def silhouette_null(
         acc: dict = {}
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
-            for cell, rows in row_groups(col("__cell")):
+            for cell, rows in _pieces(col("__cell"), n_perm):
                 whole, s_id = shared.value[cell]
                 x = unit(matrix(col("__v").take(pa.array(rows))))
                 idx = col("__idx").to_numpy(zero_copy_only=False)[rows]

@@ -157,7 +157,7 @@ def react_energy(spark, sf):
 def _fitted(spark, sf, k=50):
     s = v.samples(spark, sf)
     h = cut_lineage(v.heads(s))
-    rows = scorer.linear_logits(s, h, KEYS)
+    rows = cut_lineage(scorer.linear_logits(s, h, KEYS))  # every fit below reads this table
     model = scorer.ShiftScorer(k_nearest=k).fit(rows.where("split = 'train'"), h, KEYS)
     return model, rows
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Rows one task may sort or window comfortably; larger inputs are range-bucketed.
 ROWS_PER_TASK_CONF = "spark.driftgauge.rowsPerTask"
-ROWS_PER_TASK_DEFAULT = 2_000_000
+ROWS_PER_TASK_DEFAULT = 4_000_000
 # Upper bound for anything that is broadcast by hand (fitted parameters, train blocks).
 BROADCAST_BYTES_CONF = "spark.driftgauge.broadcastBytes"
 BROADCAST_BYTES_DEFAULT = 512 * 1024 * 1024
