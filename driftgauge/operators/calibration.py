@@ -75,7 +75,7 @@ def fit_temperature(
     the bracket shrinks by (points-1)/2 per round. The cell table (one row per cell)
     carries each bracket to the next round as a join, not through the driver.
     """
-    slim = df.select(*keys, logits, label)
+    slim = cut_lineage(df.select(*keys, logits, label))  # read once per round
     bracket = slim.groupBy(*keys).agg(F.lit(T_LOW).alias("lo"), F.lit(T_HIGH).alias("hi"))
     width = T_HIGH - T_LOW
     while width > T_TOLERANCE:

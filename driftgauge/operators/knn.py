@@ -2,9 +2,9 @@
 
 Training vectors are assigned to pivots. A query first searches its own pivot's rows,
 which bounds its k-th distance; the triangle inequality then tells which other pivots can
-still hold a closer row, and only those are searched. Pivot groups are split into blocks
-of at most ``block`` rows on both sides, so a pivot that owns most rows is spread over
-many tasks, and a block pair returns k rows per query, never its pairs.
+still hold a closer row, and only those are searched. Pivot groups are split into bounded
+blocks on both sides, so a pivot that owns most rows is spread over many tasks, and a
+block pair returns k rows per query, never its pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +20,14 @@ from driftgauge.operators.kernels import cell_key, matrix, row_groups, unit
 from driftgauge.operators.ordered import union_all
 from driftgauge.session import cut_lineage
 
-BLOCK_ROWS = 4096
+# A training block is about this many bytes; every query block meets every training block
+# of its pivot, so larger blocks mean fewer copies in the shuffle.
+BLOCK_BYTES = 64 * 1024 * 1024
+QUERY_BLOCK_ROWS = 8192
+PIVOT_ROWS = 4096
 MAX_PIVOTS = 64
+# Tile of one distance matrix inside a task.
+TILE_QUERIES, TILE_ROWS = 1024, 8192
 MERGE_FAN_IN = 64
 _SLACK = 1e-9
 
@@ -49,7 +55,7 @@ def knn_join(
     vec: str = "feats",
     query_id: str = "sample_id",
     train_id: str = "sample_id",
-    block: int = BLOCK_ROWS,
+    block: int | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """(keys, query id, neighbours ARRAY<STRUCT<distance, id>>): the k nearest training rows.
@@ -59,8 +65,11 @@ def knn_join(
     sc = train.sparkSession.sparkContext
     t = train.select(cell_key(keys).alias("__cell"), F.col(train_id).cast("bigint").alias("__tid"), F.col(vec).alias("__v"))
     q = queries.select(*keys, cell_key(keys).alias("__cell"), F.col(query_id).alias("__qid"), F.col(vec).alias("__v"))
-    largest = t.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    n_pivots = int(min(MAX_PIVOTS, max(1, largest // block)))
+    sizes = t.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("d"))
+    shape = sizes.agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    t_block = block or int(min(131_072, max(4096, BLOCK_BYTES // (8 * max(1, shape["d"] or 1)))))
+    q_block = block or QUERY_BLOCK_ROWS
+    n_pivots = int(min(MAX_PIVOTS, max(1, (shape["n"] or 0) // (block or PIVOT_ROWS))))
     pivots = sc.broadcast(_pivots(t, n_pivots, seed))
 
     @F.arrow_udf("struct<p:int,d:double>")
@@ -77,7 +86,7 @@ def knn_join(
         "__cell", "__tid", "__v", F.col("__near.p").alias("__p"), F.col("__near.d").alias("__d")
     )
     info = cut_lineage(t.groupBy("__cell", "__p").agg(F.count(F.lit(1)).alias("n"), F.max("__d").alias("radius")))
-    blocks_of = info.select("__cell", "__p", F.ceil(F.col("n") / block).cast("int").alias("__tblocks"))
+    blocks_of = info.select("__cell", "__p", F.ceil(F.col("n") / t_block).cast("int").alias("__tblocks"))
     radii: dict[str, dict[int, float]] = {}
     for r in info.collect():  # cells x pivots, at most MAX_PIVOTS per cell
         radii.setdefault(r["__cell"], {})[r["__p"]] = r["radius"]
@@ -85,7 +94,7 @@ def knn_join(
 
     slim = q.select("__cell", "__qid", "__v")
     home = slim.withColumn("__p", nearest_pivot("__v", "__cell")["p"])
-    first = _search(t, home, blocks_of, k, block)
+    first = _search(t, home, blocks_of, k, q_block)
     if n_pivots == 1:
         return _finish(q, keys, query_id, first, k)
 
@@ -113,7 +122,7 @@ def knn_join(
         .withColumn("__need", still_needed("__v", "__cell", "__p", "__bound"))
         .select("__cell", "__qid", "__v", F.explode("__need").alias("__p"))
     )
-    second = _search(t, rest, blocks_of, k, block)
+    second = _search(t, rest, blocks_of, k, q_block)
     both = union_all([first, second]).groupBy("__cell", "__qid").agg(_best(k).alias("__top"))
     return _finish(q, keys, query_id, both, k)
 
@@ -130,9 +139,9 @@ def _finish(q: DataFrame, keys: list[str], query_id: str, top: DataFrame, k: int
     )
 
 
-def _search(t: DataFrame, q: DataFrame, blocks_of: DataFrame, k: int, block: int) -> DataFrame:
+def _search(t: DataFrame, q: DataFrame, blocks_of: DataFrame, k: int, q_block: int) -> DataFrame:
     """Top-k per query over the training rows of its target pivot, block against block."""
-    load = q.groupBy("__cell", "__p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__qblocks"))
+    load = q.groupBy("__cell", "__p").agg(F.ceil(F.count(F.lit(1)) / q_block).cast("int").alias("__qblocks"))
     plan = blocks_of.join(load, ["__cell", "__p"])
     t_side = t.join(plan, ["__cell", "__p"]).select(
         "__cell",
@@ -171,9 +180,8 @@ def _search(t: DataFrame, q: DataFrame, blocks_of: DataFrame, k: int, block: int
         ids = ids[order]
         width = min(k, len(ids))
         if len(lv) and width:
-            dist = np.clip(1.0 - unit(matrix(lv)) @ unit(matrix(rv))[order].T, 0.0, 2.0)
-            near = _smallest(dist, width)
-            best, who = np.take_along_axis(dist, near, axis=1).ravel(), ids[near].ravel()
+            best, near = _nearest(unit(matrix(lv)), unit(matrix(rv))[order], width)
+            best, who = best.ravel(), ids[near].ravel()
         else:
             width, best, who = 0, np.empty(0), np.empty(0, dtype=np.int64)
         offsets = pa.array(np.arange(len(lv) + 1, dtype=np.int32) * width)
@@ -193,6 +201,23 @@ def _search(t: DataFrame, q: DataFrame, blocks_of: DataFrame, k: int, block: int
     return merged.groupBy("__cell", "__qid").agg(_best(k).alias("__top"))
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``width`` smallest cosine distances per row of x and their rows in y, tile by tile."""
+    best, near = np.empty((len(x), width)), np.empty((len(x), width), dtype=np.int64)
+    for lo in range(0, len(x), TILE_QUERIES):
+        q = x[lo : lo + TILE_QUERIES]
+        d, who = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
+        for at in range(0, len(y), TILE_ROWS):
+            tile = np.clip(1.0 - q @ y[at : at + TILE_ROWS].T, 0.0, 2.0)
+            mine = _smallest(tile, min(width, tile.shape[1]))
+            d = np.hstack([d, np.take_along_axis(tile, mine, axis=1)])
+            who = np.hstack([who, mine + at])
+            keep = _smallest(d, min(width, d.shape[1]))
+            d, who = np.take_along_axis(d, keep, axis=1), np.take_along_axis(who, keep, axis=1)
+        best[lo : lo + TILE_QUERIES], near[lo : lo + TILE_QUERIES] = d, who
+    return best, near
+
+
 def _smallest(dist: np.ndarray, width: int) -> np.ndarray:
     """Column positions of the ``width`` smallest entries per row, ties to the left."""
     if width >= dist.shape[1]:

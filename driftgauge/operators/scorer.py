@@ -7,11 +7,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,7 @@ from driftgauge.functions import scores as S
 from driftgauge.operators.kernels import (
     cell_key,
     key_fields,
+    list_array,
     matrix,
     normalized,
     row_groups,
@@ -56,6 +59,8 @@ def linear_logits(df: DataFrame, heads: DataFrame, keys: list[str], feats: str =
             x = matrix(vecs.take(pa.array(rows)))
             z = x @ w.reshape(len(b), -1).T + b
             z = np.hstack([-z, z]) if z.shape[1] == 1 else z
+            if len(rows) == len(vecs):
+                return list_array(z)
             for r, line in zip(rows, z):
                 result[r] = line
         return pa.array(result, pa.list_(pa.float64()))
@@ -159,11 +164,9 @@ def fit_vim(train: DataFrame, heads: DataFrame, keys: list[str], dim: int | None
 
 def mahalanobis_score(df: DataFrame, fit: DataFrame, keys: list[str], feats: str = "feats", out: str = "score") -> DataFrame:
     """-||(x/|x| - mean) L|| with the cell's whitening factor; cells go in broadcast-sized chunks."""
-    chunks = parameter_chunks(fit, keys, ["mean", "factor"])
     parts = []
-    for cells in chunks:
-        own = cell_key(keys).isin(cells)
-        rows, params = (df, fit) if len(chunks) == 1 else (df.where(own), fit.where(own))
+    for own in parameter_chunks(fit, keys, ["mean", "factor"]):
+        rows, params = (df, fit) if own is None else (df.where(own), fit.where(own))
         shared = df.sparkSession.sparkContext.broadcast(collect_vectors(params, keys, ["mean", "factor"]))
 
         def kernel(vecs: pa.Array, cell_names: pa.Array, shared=shared) -> pa.Array:
@@ -186,20 +189,27 @@ def _distance_udf(kernel):
     return distance
 
 
-def parameter_chunks(params: DataFrame, keys: list[str], cols: list[str]) -> list[list]:
-    """Cells grouped so that one group's parameters fit the broadcast limit."""
+def parameter_chunks(params: DataFrame, keys: list[str], cols: list[str]) -> list[Column | None]:
+    """Filters that select groups of cells whose parameters together fit the broadcast limit.
+
+    Plain equality on the keys, so a source partitioned by cell reads each cell once. A
+    single ``None`` when everything fits.
+    """
     limit = broadcast_bytes(params.sparkSession)
     size = sum((F.size(c) for c in cols), F.lit(0))
-    rows = params.select(cell_key(keys).alias("cell"), (size * 8).alias("bytes")).collect()
+    rows = params.select(*keys, (size * 8).alias("__bytes")).collect()
     chunks: list[list] = [[]]
     used = 0
     for r in rows:
-        if chunks[-1] and used + r["bytes"] > limit:
+        if chunks[-1] and used + r["__bytes"] > limit:
             chunks.append([])
             used = 0
-        chunks[-1].append(r["cell"])
-        used += r["bytes"]
-    return chunks
+        chunks[-1].append(r)
+        used += r["__bytes"]
+    if len(chunks) == 1:
+        return [None]
+    cell = lambda r: reduce(and_, [F.col(k) == F.lit(r[k]) for k in keys])
+    return [reduce(or_, [cell(r) for r in c]) for c in chunks]
 
 
 @dataclass
@@ -234,11 +244,9 @@ class ShiftScorerModel:
 
     def wide(self, samples: DataFrame, with_knn: bool = True) -> DataFrame:
         """One column per method next to the input columns (feats and logits dropped)."""
-        chunks = parameter_chunks(self.params, self.keys, ["mean", "factor", "u", "basis", "weight", "bias"])
         parts = []
-        for cells in chunks:
-            own = cell_key(self.keys).isin(cells)
-            some, params = (samples, self.params) if len(chunks) == 1 else (samples.where(own), self.params.where(own))
+        for own in parameter_chunks(self.params, self.keys, ["mean", "factor", "u", "basis", "weight", "bias"]):
+            some, params = (samples, self.params) if own is None else (samples.where(own), self.params.where(own))
             parts.append(self._feature_scores(some, params))
         scored = union_all(parts)
         z = F.col("logits")

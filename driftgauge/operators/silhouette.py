@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from driftgauge.functions.draws import keyed_hash_np
 from driftgauge.operators.kernels import bounded_tasks, cell_key, key_fields, key_values, list_array, matrix, row_groups, typed, unit
-from driftgauge.operators.ordered import prefix_sums
+from driftgauge.operators.ordered import prefix_sums, union_all
+from driftgauge.session import broadcast_bytes, cut_lineage
 
 SHUFFLE_ROUNDS = 16
 LABEL_BLOCK = 2_000_000
@@ -62,11 +63,12 @@ def _sum_parts(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return np.sum(np.stack([np.asarray(v) for v in pdf[col]]), axis=0)
 
 
-def _class_sums(df: DataFrame, keys: list[str], n_reps: int, seed: int) -> DataFrame:
+def _class_sums(df: DataFrame, keys: list[str], reps: np.ndarray, seed: int) -> DataFrame:
     """(keys, rep, s): ID vector sum per replicate; rep 0 is the observed labelling, -1 all rows."""
     names = list(keys)
     schema = T.StructType([*key_fields(df, keys), T.StructField("rep", T.IntegerType()), T.StructField("s", _DOUBLES)])
-    reps = np.arange(1, n_reps + 1, dtype=np.int64)
+    n_reps = len(reps)
+    numbers = np.r_[-1, 0, reps].astype(np.int32)
 
     def partials(batches):
         acc: dict = {}
@@ -88,7 +90,7 @@ def _class_sums(df: DataFrame, keys: list[str], n_reps: int, seed: int) -> DataF
         for key, s in acc.values():
             cols = [typed([v], len(s)) for v in key]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(np.arange(-1, n_reps + 1, dtype=np.int32)), list_array(s)], names=[*names, "rep", "s"]
+                [*cols, pa.array(numbers), list_array(s)], names=[*names, "rep", "s"]
             )
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,15 +119,28 @@ def silhouette_null(
         "__id",
         "__v",
     )
-    names = list(keys)
-    sums = _class_sums(ready, keys, n_perm, seed)
+    # class sums of one block of replicates are broadcast: cells x replicates x d, size-checked
+    shape = df.groupBy(*keys).agg(F.max(F.size(vec)).alias("d")).agg(F.count(F.lit(1)).alias("cells"), F.max("d").alias("d")).first()
+    per_rep = 8 * max(1, shape["cells"]) * max(1, shape["d"] or 1)
+    width = max(1, broadcast_bytes(df.sparkSession) // per_rep - 2)
+    if n_perm > width:
+        ready = cut_lineage(ready)
+    blocks = [np.arange(lo, min(lo + width, n_perm + 1), dtype=np.int64) for lo in range(1, n_perm + 1, width)] or [np.arange(0)]
+    parts = [_null_block(ready, keys, reps, seed) for reps in blocks]
+    return union_all([parts[0], *[p.where("rep > 0") for p in parts[1:]]])
+
+
+def _null_block(ready: DataFrame, keys: list[str], reps: np.ndarray, seed: int) -> DataFrame:
+    """Silhouettes of rep 0 and of one block of replicates: class sums, then row scores."""
+    df, names, n_perm = ready, list(keys), len(reps)
+    sums = _class_sums(ready, keys, reps, seed)
     by_cell: dict[str, dict[int, np.ndarray]] = {}
-    for r in sums.select(cell_key(keys).alias("__cell"), "rep", "s").collect():  # cells x replicates x d
+    for r in sums.select(cell_key(keys).alias("__cell"), "rep", "s").collect():
         by_cell.setdefault(r["__cell"], {})[r["rep"]] = np.asarray(r["s"])
-    stacked = {c: (v[-1], np.stack([v[i] for i in range(n_perm + 1)])) for c, v in by_cell.items()}
+    stacked = {c: (v[-1], np.stack([v[int(i)] for i in (0, *reps)])) for c, v in by_cell.items()}
     shared = df.sparkSession.sparkContext.broadcast(stacked)
     schema = T.StructType([*key_fields(df, keys), T.StructField("n", T.LongType()), T.StructField("s", _DOUBLES)])
-    reps = np.arange(1, n_perm + 1, dtype=np.int64)
+    numbers = np.r_[0, reps].astype(np.int32)
 
     def partials(batches):
         acc: dict = {}
@@ -159,7 +174,7 @@ def silhouette_null(
         return pd.DataFrame(
             {
                 **{k: [pdf[k].iloc[0]] * len(mean) for k in names},
-                "rep": np.arange(len(mean), dtype=np.int32),
+                "rep": numbers,
                 "silhouette": mean,
             }
         )

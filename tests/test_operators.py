@@ -9,6 +9,7 @@ from driftgauge.operators import (
     bootstrap, calibration, cases, correlation, coverage, decisions, dispersion, knn, manifest, moments, ordered, ranks,
     resample, sampling, scorer, separability, silhouette, sweeps, tables,
 )
+from driftgauge.session import BROADCAST_BYTES_CONF
 
 
 def rows_of(df):
@@ -310,6 +311,11 @@ def test_silhouette_against_pairs(spark):
         s.append((b - a) / max(a, b))
     assert silhouette.silhouette(df, ["cell"]).first().feature_silhouette_cosine == pytest.approx(np.mean(s))
     t = silhouette.silhouette_test(df, ["cell"], 50).first()
+    spark.conf.set(BROADCAST_BYTES_CONF, str(8 * 6 * 20))  # 18 replicates per block
+    try:
+        assert tuple(silhouette.silhouette_test(df, ["cell"], 50).first())[1:] == pytest.approx(tuple(t)[1:])
+    finally:
+        spark.conf.unset(BROADCAST_BYTES_CONF)
     assert 1 / 51 <= t.silhouette_perm_p_value <= 1 and abs(t.silhouette_perm_null_mean) < 0.1
 
 
@@ -335,6 +341,19 @@ def test_knn_blocks_and_pivots_are_exact(spark, cloud):
             assert [n.id for n in r.neighbours] == list(want)
 
 
+def test_knn_tiles(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(30, 5)), np.repeat(rng.normal(size=(40, 5)), 2, axis=0)  # every row twice
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    whole = knn._nearest(x, y, 7)
+    monkeypatch.setattr(knn, "TILE_QUERIES", 8)
+    monkeypatch.setattr(knn, "TILE_ROWS", 3)
+    tiled = knn._nearest(x, y, 7)
+    assert np.allclose(whole[0], tiled[0])
+    want = np.argsort(np.round(1 - x @ y.T, 12), axis=1, kind="stable")[:, :7]
+    assert (np.sort(whole[1], axis=1) == np.sort(want, axis=1)).all() and (np.sort(tiled[1], axis=1) == np.sort(want, axis=1)).all()
+
+
 def test_knn_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([("c", i, [1.0, float(i % 2)]) for i in range(20)], "cell string, sample_id bigint, feats array<double>")
     q = spark.createDataFrame([("c", 100, [2.0, 0.0])], df.schema)
@@ -363,14 +382,13 @@ def test_ledoit_wolf_and_scores(spark, cloud):
 
 
 def test_parameter_chunks_give_the_same_scores(spark, cloud):
-    from driftgauge.session import BROADCAST_BYTES_CONF
-
     _, df = cloud
     fit = moments.ledoit_wolf(df, ["cell"])
     whole = {r.sample_id: r.score for r in scorer.mahalanobis_score(df, fit, ["cell"]).collect()}
     spark.conf.set(BROADCAST_BYTES_CONF, "600")
     try:
         assert len(scorer.parameter_chunks(fit, ["cell"], ["mean", "factor"])) == 2
+        assert scorer.parameter_chunks(fit.where("cell = 'a'"), ["cell"], ["mean", "factor"]) == [None]
         parts = {r.sample_id: r.score for r in scorer.mahalanobis_score(df, fit, ["cell"]).collect()}
     finally:
         spark.conf.unset(BROADCAST_BYTES_CONF)
