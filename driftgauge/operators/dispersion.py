@@ -135,3 +135,10 @@ def split_flag(df: DataFrame, keys: list[str], value: str, p: float, out: str =
     thr = exact_percentiles(df, keys, value, {"__thr": p})
     joined = df.join(thr, keys) if keys else df.crossJoin(F.broadcast(thr))
     return joined.withColumn(out, F.when(F.col(value) >= F.col("__thr"), "High").otherwise("Low")).drop("__thr")
+
+
+def dispersion_vs_separability(table: DataFrame, silhouette: DataFrame, gap_ci: DataFrame, keys: list[str], side: str = "side") -> DataFrame:
+    """The two-row report per cell: dispersion, silhouette test, and gap limits on the OOD row only."""
+    limits = [c for c in gap_ci.columns if c not in keys]
+    joined = table.join(silhouette, keys).join(gap_ci, keys)
+    return joined.withColumns({c: F.when(F.col(side) == "OOD", F.col(c)) for c in limits})

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftgauge.functions import scores as S
-from driftgauge.operators import learners, moments, scorer, separability, sweeps, tables
+from driftgauge.functions.draws import keyed_hash_sql
+from driftgauge.operators import (
+    calibration, correlation, decisions, learners, moments, scorer, separability, sweeps, tables,
+)
 from driftgauge.operators.knn import knn_distance, knn_join
 from driftgauge.plans import views as v
+from driftgauge.plans.rank_queries import CELLS_SQL, cells
 from driftgauge.plans.registry import query
 from driftgauge.plans.views import R, r6, rounded
 from driftgauge.session import cut_lineage
@@ -74,15 +78,28 @@ def _plane(spark, sf):
     return s.withColumn("feats", F.slice("feats", 1, 2)).withColumn("backbone", F.lit("plane"))
 
 
+def _plane_fit_sql(src: str, key: str | None = None) -> str:
+    """CTE ``k``: shrunk 2 x 2 covariance (kxx, kxy, kyy), mean (mx, my), weight w per key."""
+    g, on = (f"{key}, ", f"USING ({key})") if key else ("", "ON true")
+    by = f"GROUP BY {key}" if key else ""
+    return f"""
+m AS (SELECT {g}avg(x) AS mx, avg(y) AS my, count(*) AS n FROM {src} {by}),
+c AS (SELECT {g}max(n) AS n, max(mx) AS mx, max(my) AS my, avg((x - mx) * (x - mx)) AS sxx, avg((x - mx) * (y - my)) AS sxy, avg((y - my) * (y - my)) AS syy,
+   sum(((x - mx) * (x - mx) + (y - my) * (y - my)) * ((x - mx) * (x - mx) + (y - my) * (y - my))) AS q4 FROM {src} JOIN m {on} {by}),
+s AS (SELECT *, (sxx + syy) / 2 AS mu, sxx * sxx + 2 * sxy * sxy + syy * syy AS sq FROM c),
+sw AS (SELECT *, least((q4 / n - sq) / (2.0::DOUBLE * n), sq / 2 - mu * mu) / (sq / 2 - mu * mu) AS w FROM s),
+kk AS (SELECT *, (1 - w) * sxx + w * mu AS kxx, (1 - w) * sxy AS kxy, (1 - w) * syy + w * mu AS kyy FROM sw),
+k AS (SELECT *, ((kxx + kyy) / 2 + sqrt((kxx - kyy) * (kxx - kyy) / 4 + kxy * kxy)) / ((kxx + kyy) / 2 - sqrt((kxx - kyy) * (kxx - kyy) / 4 + kxy * kxy)) AS cond FROM kk)"""
+
+
+def _plane_distance(dx: str, dy: str) -> str:
+    return f"sqrt((({dx}) * ({dx}) * kyy - 2 * ({dx}) * ({dy}) * kxy + ({dy}) * ({dy}) * kxx) / (kxx * kyy - kxy * kxy))"
+
+
 @query(
     "mahalanobis_plane",
-    f"""WITH {_PLANE_SQL}, m AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pu WHERE split = 'train'),
-c AS (SELECT max(n) AS n, max(mx) AS mx, max(my) AS my, avg((x - mx) * (x - mx)) AS sxx, avg((x - mx) * (y - my)) AS sxy, avg((y - my) * (y - my)) AS syy,
-   sum(((x - mx) * (x - mx) + (y - my) * (y - my)) * ((x - mx) * (x - mx) + (y - my) * (y - my))) AS q4 FROM pu CROSS JOIN m WHERE split = 'train'),
-s AS (SELECT *, (sxx + syy) / 2 AS mu, sxx * sxx + 2 * sxy * sxy + syy * syy AS sq FROM c),
-w AS (SELECT *, least((q4 / n - sq) / (2.0::DOUBLE * n), sq / 2 - mu * mu) / (sq / 2 - mu * mu) AS w FROM s),
-k AS (SELECT *, (1 - w) * sxx + w * mu AS kxx, (1 - w) * sxy AS kxy, (1 - w) * syy + w * mu AS kyy FROM w)
-SELECT sample_id, split, {R("-sqrt(((x - mx) * (x - mx) * kyy - 2 * (x - mx) * (y - my) * kxy + (y - my) * (y - my) * kxx) / (kxx * kyy - kxy * kxy))")} AS mahalanobis FROM pu CROSS JOIN k""",
+    f"""WITH {_PLANE_SQL}, tr AS (SELECT x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr")}
+SELECT sample_id, split, {R("-" + _plane_distance("x - mx", "y - my"))} AS mahalanobis FROM pu CROSS JOIN k""",
 )
 def mahalanobis_plane(spark, sf):
     rows = _plane(spark, sf)
@@ -105,6 +122,57 @@ def frechet_plane(spark, sf):
     return rounded(moments.frechet_distance(rows.withColumn("side", side), KEYS), "fid")
 
 
+@query(
+    "geometry_plane",
+    f"""WITH {_PLANE_SQL}, tr AS (SELECT x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr")}, o AS (SELECT avg(x) AS ox, avg(y) AS oy, count(*) AS n_ood FROM pu WHERE split = 'far')
+SELECT 'plane' AS backbone, {R("sqrt((ox - mx) * (ox - mx) + (oy - my) * (oy - my))")} AS mean_shift, {R(_plane_distance("ox - mx", "oy - my"))} AS maha_mean_shift,
+  {R("100 * ((ox - mx) * (ox - mx) + (oy - my) * (oy - my)) / ((ox - mx) * (ox - mx) + (oy - my) * (oy - my) + 1e-12::DOUBLE)")} AS pct_shift_in_top5_eigenspace, n AS n_train, n_ood, CAST(2 AS INTEGER) AS feat_dim FROM k CROSS JOIN o""",
+)
+def geometry_plane(spark, sf):
+    rows = _plane(spark, sf)
+    out = moments.geometry_readout(rows.where("split = 'train'"), rows.where("split = 'far'"), KEYS)
+    return rounded(out, "mean_shift", "maha_mean_shift", "pct_shift_in_top5_eigenspace")
+
+
+_EVAL_SQL = f"""SELECT k.{{key}}, sample_id, split = 'id_val' AS is_id, -{_plane_distance("x - mx", "y - my")} AS score FROM pu CROSS JOIN k WHERE split IN ('id_val', 'far')"""
+
+
+@query(
+    "fit_size_plane",
+    f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY {keyed_hash_sql(42, "sample_id")}, sample_id) AS pos FROM pu WHERE split = 'train'),
+tr AS (SELECT n_train, x, y FROM o JOIN (VALUES (50), (100), (200)) z(n_train) ON pos <= n_train), {_plane_fit_sql("tr", "n_train")},
+scored AS ({_EVAL_SQL.format(key="n_train")}), {v.sep_sql("scored", "n_train")}
+SELECT CAST(sep.n_train AS INTEGER) AS n_train, {R("auroc")} AS auroc, {R("fpr95")} AS fpr95, {R("w")} AS shrinkage FROM sep JOIN k ON sep.n_train = k.n_train""",
+)
+def fit_size_plane(spark, sf):
+    """Refits on nested subsets, checked against closed forms in the plane."""
+    rows = _plane(spark, sf)
+    ev = rows.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
+    out = sweeps.fit_size_ablation(rows.where("split = 'train'"), ev, KEYS, (50, 100, 200))
+    return rounded(out.select("n_train", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
+
+
+_REFIT = {
+    "auroc_sub_mean": "avg(auroc)", "auroc_sub_std": "stddev_samp(auroc)", "auroc_sub_min": "min(auroc)", "auroc_sub_max": "max(auroc)",
+    "cond_prec_sub_mean": "avg(cond)", "cond_prec_sub_std": "stddev_samp(cond)", "shrinkage_sub_mean": "avg(w)",
+}
+
+
+@query(
+    "subsample_refits_plane",
+    f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY {keyed_hash_sql(42, "draw", "sample_id")}, sample_id) AS pos
+   FROM pu CROSS JOIN (SELECT unnest(range(0, 20)) AS draw) WHERE split = 'train'),
+tr AS (SELECT draw, x, y FROM o WHERE pos <= 120), {_plane_fit_sql("tr", "draw")}, scored AS ({_EVAL_SQL.format(key="draw")}), {v.auroc_sql("scored", "draw")}
+SELECT 'plane' AS backbone, count(*) AS n_draws, {", ".join(f"{R(e)} AS {n}" for n, e in _REFIT.items())} FROM au JOIN k ON au.draw = k.draw""",
+)
+def subsample_refits_plane(spark, sf):
+    """Twenty refits on subsamples without replacement."""
+    rows = _plane(spark, sf)
+    ev = rows.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
+    out = sweeps.subsample_refits(rows.where("split = 'train'"), ev, KEYS, n_sub=120)
+    return rounded(out, *_REFIT)
+
+
 @query("frechet_distance")
 def frechet_distance(spark, sf):
     """All backbones and domains, all rows (matrix square root: no SQL twin beyond the plane)."""
@@ -283,3 +351,27 @@ def domain_classifier(spark, sf):
     """Cross-validated AUROC of telling the far shift from ID."""
     rows = v.samples(spark, sf).where("backbone = 'b16' and split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
     return rounded(learners.classifier_summary(learners.domain_classifier(rows)), "mean_auroc", "std_auroc")
+
+
+@query("temperature_jump")
+def temperature_jump(spark, sf):
+    """Fitted temperatures against the MSP jump, raw and at T*, per domain (iterative fit)."""
+    rows = cut_lineage(v.with_logits(spark, sf).drop("feats"))
+    t = calibration.fit_temperature(rows.where("split = 'id_val'"), KEYS)
+    z = F.col("logits")
+    ev = v.by_domain(rows.join(t, KEYS)).withColumns({"msp": S.msp(z), "msp_tstar": S.msp(z, F.col("t_star"))})
+    long = ev.unpivot(["domain", "backbone", "is_id"], ["msp", "msp_tstar"], "method", "score")
+    a = cut_lineage(separability.auroc(long, ["domain", "backbone", "method"]))
+    jumps = tables.baseline_jump(a, ["domain", "method"], "backbone", ["b16", "b32"], "auroc")
+    r = correlation.pearson(jumps.join(t, KEYS), ["domain", "method"], "t_star", "jump")
+    return correlation.with_p_value(decisions.correlation_verdict(r, "r"), "r")
+
+
+@query(
+    "fill_missing_table",
+    f"""WITH {CELLS_SQL} SELECT domain, backbone, method, {R("auroc")} AS auroc, CASE WHEN method = 'knn' OR (method = 'mahalanobis' AND backbone = 'm2') THEN 'computed' ELSE 'table' END AS source FROM cells""",
+)
+def fill_missing_table(spark, sf):
+    c = cells(spark, sf)
+    table = c.where("not (method = 'knn' or (method = 'mahalanobis' and backbone = 'm2'))")
+    return rounded(tables.fill_missing(table, c, ["domain", "backbone", "method"], "auroc"), "auroc")

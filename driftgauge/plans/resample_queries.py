@@ -10,8 +10,8 @@ from driftgauge.operators import bootstrap, dispersion, ranks, resample, separab
 from driftgauge.operators.silhouette import SHUFFLE_ROUNDS
 from driftgauge.plans import views as v
 from driftgauge.plans.rank_queries import CELLS_SQL, cells
-from driftgauge.plans.registry import query
-from driftgauge.plans.score_queries import _sides
+from driftgauge.plans.registry import ORACLES, query
+from driftgauge.plans.score_queries import _sides, dispersion_table
 from driftgauge.plans.views import R, rounded
 from driftgauge.session import cut_lineage
 
@@ -332,6 +332,22 @@ def silhouette_permutation(spark, sf):
     return rounded(out, "feature_silhouette_cosine", "silhouette_perm_p_value", "silhouette_perm_null_mean", "silhouette_perm_null_std")
 
 
+_GAP_LIMITS = ["cvid_gap_ci_low", "cvid_gap_ci_high", "logit_gap_gap_ci_low", "logit_gap_gap_ci_high"]
+
+
+@query(
+    "dispersion_vs_separability",
+    f"""SELECT d.*, s.* EXCLUDE (domain, backbone), {", ".join(f"CASE WHEN side = 'OOD' THEN g.{c} END AS {c}" for c in _GAP_LIMITS)}
+FROM ({ORACLES["dispersion_table"]}) d JOIN ({ORACLES["silhouette_permutation"]}) s USING (domain, backbone) JOIN ({ORACLES["bootstrap_dispersion_gap"]}) g USING (domain, backbone)""",
+)
+def dispersion_vs_separability(spark, sf):
+    """ID and OOD rows: dispersion, gaps, silhouette with its null, and gap limits."""
+    keys = ["domain", "backbone"]
+    return dispersion.dispersion_vs_separability(
+        dispersion_table(spark, sf), silhouette_permutation(spark, sf), bootstrap_dispersion_gap(spark, sf), keys
+    )
+
+
 # --- severity sweep ---------------------------------------------------------------------
 
 _SWEEP_SQL = f"""li AS (SELECT 'm' || CAST(l_suppkey % 8 AS VARCHAR) AS backbone, l_returnflag AS corruption, 1 + l_linenumber % 5 AS severity, l_returnflag = 'N' AS is_id,
