@@ -1,8 +1,8 @@
-"""Poisson bootstrap of AUROC and FPR95 that sorts the rows once for all replicates.
+"""Poisson bootstraps that sort the rows once for all replicates.
 
 Replicates are weight columns computed next to the sorted rows, never copies of them.
 While all rows fit a task's bound, each cell is one group. Beyond that the score axis is
-cut into ranges (a heavy score gets a range of its own, cut further by id): every range
+cut into ranges for AUROC and FPR95 (a heavy score gets a range of its own, cut further by id): every range
 reports its weights and wins per replicate, ranges are chained by prefix sums, and only
 the one range that holds a replicate's percentile is opened again.
 """
@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 
 from driftgauge.functions.draws import POISSON_STEPS, keyed_hash_np
 from driftgauge.functions.scores import finite_or_error
+from driftgauge.operators.dispersion import CVID_EPS, TRIM_SHARE
 from driftgauge.operators.kernels import key_fields
 from driftgauge.operators.ordered import with_ranges
+from driftgauge.operators.resample import dispersion_gap_reps, poisson_replicates, spearman_reps
 from driftgauge.operators.separability import ID_TAIL
-from driftgauge.session import cut_lineage
+from driftgauge.session import cut_lineage, rows_per_task
 
 # Weights held at once by one task.
 REPLICATE_BLOCK = 4_000_000
@@ -85,24 +87,90 @@ def bootstrap_separability(
     ranged, needed = with_ranges(slim, "s", "sid")
     if needed:
         return _ranged(ranged, keys, n_reps, seed)
-    schema = T.StructType([*key_fields(df, keys), *[T.StructField(*f) for f in (("rep", T.IntegerType()), ("auroc", T.DoubleType()), ("fpr95", T.DoubleType()))]])
+
+    def kernel(c: dict, w: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(c["s"], kind="stable")
+        return list(_whole_cell(c["s"][order], c["one"][order], w[order]))
+
+    return _replicates(slim, keys, ["auroc", "fpr95"], kernel, n_reps, seed)
+
+
+def _replicates(slim: DataFrame, keys: list[str], outputs: list[str], kernel, n_reps: int, seed: int) -> DataFrame:
+    """(keys, rep, outputs): a kernel over each cell's columns and a block of weight columns."""
+    schema = T.StructType(
+        [*key_fields(slim, keys), T.StructField("rep", T.IntegerType()), *[T.StructField(o, T.DoubleType()) for o in outputs]]
+    )
+    columns = [c for c in slim.columns if c not in keys]
     all_reps = np.arange(1, n_reps + 1, dtype=np.int64)
 
-    def replicate(cell: pa.Table) -> pa.Table:
-        s, ids, one = _sorted_rows(cell)
-        parts = [_whole_cell(s, one, _weights(ids, reps, seed)) for reps in _blocks(len(s), all_reps)]
-        auc, fpr = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        return pa.Table.from_arrays(
-            [
-                *[cell.column(k).combine_chunks().take(pa.array(np.zeros(n_reps, dtype=np.int64))) for k in keys],
-                pa.array(all_reps.astype(np.int32)),
-                pa.array(auc, from_pandas=True),
-                pa.array(fpr, from_pandas=True),
-            ],
-            names=[*keys, "rep", "auroc", "fpr95"],
-        )
+    def run(cell: pa.Table) -> pa.Table:
+        data = {}
+        for c in columns:
+            col = cell.column(c)
+            data[c] = np.asarray(col.to_pylist(), dtype=bool) if pa.types.is_boolean(col.type) else col.to_numpy()
+        ids = data["sid"].astype(np.int64)
+        parts = [kernel(data, _weights(ids, reps, seed)) for reps in _blocks(len(ids), all_reps)]
+        found = [pa.array(np.concatenate([p[i] for p in parts]), from_pandas=True) for i in range(len(outputs))]
+        heads = [cell.column(k).combine_chunks().take(pa.array(np.zeros(n_reps, dtype=np.int64))) for k in keys]
+        return pa.Table.from_arrays([*heads, pa.array(all_reps.astype(np.int32)), *found], names=[*keys, "rep", *outputs])
+
+    return slim.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _weighted_ranks(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Average rank of every row under each weight column, minus the mean rank."""
+    order = np.argsort(v, kind="stable")
+    first = _tie_starts(v[order])
+    group = np.add.reduceat(w[order], first)
+    rank = np.cumsum(group, axis=0) - group + (group + 1) / 2.0 - (w.sum(axis=0) + 1) / 2.0
+    out = np.empty(w.shape)
+    out[order] = np.repeat(rank, np.diff(np.r_[first, len(v)]), axis=0)
+    return out
+
+
+def bootstrap_spearman(df: DataFrame, keys: list[str], sample_id: str, x: str, y: str, n_reps: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys, rep, rho); past a task's row bound the replicate becomes a grouping key."""
+    if df.count() > rows_per_task(df.sparkSession):
+        return spearman_reps(poisson_replicates(df, sample_id, n_reps, seed), keys, x, y).select(*keys, "rep", "rho")
+    slim = df.select(
+        *keys, F.col(sample_id).alias("sid"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+    )
+
+    def kernel(c: dict, w: np.ndarray) -> list[np.ndarray]:
+        a, b = _weighted_ranks(c["x"], w), _weighted_ranks(c["y"], w)
+        spread = np.sqrt((w * a * a).sum(axis=0) * (w * b * b).sum(axis=0))
+        return [np.where(spread > 0, (w * a * b).sum(axis=0) / np.where(spread > 0, spread, 1.0), np.nan)]
+
+    return _replicates(slim, keys, ["rho"], kernel, n_reps, seed)
+
+
+def _weighted_trim(v: np.ndarray, w: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Trimmed mean and population std per weight column (weights are copies)."""
+    order = np.argsort(v, kind="stable")
+    v, w = v[order][:, None], w[order]
+    upto, n = np.cumsum(w, axis=0), w.sum(axis=0)
+    k = np.floor(share * n)
+    whole = (n < 3) | (k <= 0) | (2 * k >= n)
+    kept = np.where(whole, w, np.clip(np.minimum(upto, n - k) - np.maximum(upto - w, k), 0, None))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = (kept * v).sum(axis=0) / kept.sum(axis=0)
+        return mean, np.sqrt((kept * (v - mean) ** 2).sum(axis=0) / kept.sum(axis=0))
+
+
+def bootstrap_dispersion_gap(df: DataFrame, keys: list[str], sample_id: str, n_reps: int = 1000, seed: int = 42, side: str = "side") -> DataFrame:
+    """(keys, rep, cvid_gap, logit_gap_gap): OOD minus ID, from rows with logit_norm and logit_gap."""
+    if df.count() > rows_per_task(df.sparkSession):
+        return dispersion_gap_reps(poisson_replicates(df, sample_id, n_reps, seed), keys, side)
+    slim = df.select(*keys, F.col(sample_id).alias("sid"), (F.col(side) == "OOD").alias("ood"), "logit_norm", "logit_gap")
+
+    def kernel(c: dict, w: np.ndarray) -> list[np.ndarray]:
+        stats = []
+        for mine in (c["ood"], ~c["ood"]):
+            mean, std = _weighted_trim(c["logit_norm"][mine], w[mine], TRIM_SHARE)
+            stats.append((std / (np.abs(mean) + CVID_EPS), _weighted_trim(c["logit_gap"][mine], w[mine], TRIM_SHARE)[0]))
+        return [stats[0][i] - stats[1][i] for i in (0, 1)]
 
-    return slim.groupBy(*keys).applyInArrow(replicate, schema)
+    return _replicates(slim, keys, ["cvid_gap", "logit_gap_gap"], kernel, n_reps, seed)
 
 
 _PART = ["__range", "__tie_range"]

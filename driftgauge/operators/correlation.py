@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.operators.ordered import average_ranks
+from driftgauge.operators.ordered import distribution
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -59,20 +59,34 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([p_value(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, n)], dtype="float64")
 
 
-def _corr(x: str, y: str) -> Column:
-    return F.nanvl(F.corr(F.col(x).cast("double"), F.col(y).cast("double")), F.lit(None).cast("double"))
+def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Correlation and row count per group; NULL where a side is constant."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return df.groupBy(*keys).agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    return df.groupBy(*keys).agg(_corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+def _centred_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Average rank minus the mean rank, a row of weight w counting as w rows."""
+    dist = distribution(df, keys, value, {"__n": F.col("__w")})
+    rank = F.col("__n_before") + (F.col("__n") + 1) / 2.0 - (F.col("__n_total") + 1) / 2.0
+    return df.join(dist.select(*keys, value, rank.alias(out)), [*keys, value])
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks, each rank computed with range-bucketed prefix counts."""
-    slim = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    ranked = average_ranks(slim, keys, "__x", "__rx", descending=False)
-    ranked = average_ranks(ranked, keys, "__y", "__ry", descending=False)
-    return ranked.groupBy(*keys).agg(_corr("__rx", "__ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, weight: Column | None = None) -> DataFrame:
+    """Correlation of average ranks (optionally weighted); NULL where a side is constant.
+
+    Ranks come from range-bucketed prefix counts and are centred exactly, so the sums need
+    no second pass.
+    """
+    w = F.lit(1) if weight is None else weight
+    slim = df.select(
+        *keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), w.cast("bigint").alias("__w")
+    )
+    ranked = _centred_ranks(_centred_ranks(slim, keys, "__x", "__a"), keys, "__y", "__b")
+    n, a, b = F.col("__w"), F.col("__a"), F.col("__b")
+    rho = F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b)))
+    return ranked.groupBy(*keys).agg(rho.alias("rho"), F.sum(n).alias("n"))
 
 
 def with_p_value(df: DataFrame, r: str, out: str = "p_value") -> DataFrame:

@@ -185,16 +185,5 @@ def kept_after_trim(count: str, share: float) -> Column:
     return F.when(whole, n).otherwise(F.greatest(F.lit(0), inside))
 
 
-def average_ranks(
-    df: DataFrame, keys: list[str], value: str, out: str = "rank", descending: bool = True
-) -> DataFrame:
-    """Ranks with ties averaged; rank 1 = largest value unless ``descending`` is off."""
-    dist = distribution(df, keys, value, {"__n": F.lit(1)}, descending=descending)
-    ranks = dist.select(
-        *keys, value, (F.col("__n_before") + (F.col("__n") + 1) / 2.0).alias(out)
-    )
-    return df.join(ranks, [*keys, value])
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

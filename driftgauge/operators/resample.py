@@ -127,7 +127,8 @@ def _copies(weighted: DataFrame) -> DataFrame:
 
 
 def spearman_reps(weighted: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    return spearman(_copies(weighted), [*keys, "rep"], x, y)
+    """Rank correlation per (keys, rep), weighted rows counting as that many rows."""
+    return spearman(weighted, [*keys, "rep"], x, y, weight=F.col("weight"))
 
 
 def spread_reps(weighted: DataFrame, keys: list[str], value: str = "auroc") -> DataFrame:

@@ -131,8 +131,7 @@ g AS (SELECT domain, backbone, rep, sum(CASE WHEN measure = 'logit_norm' THEN CA
 SELECT domain, backbone, {_ci("cvid_gap", "c")}, {_ci("logit_gap_gap", "g")} FROM g GROUP BY ALL""",
 )
 def bootstrap_dispersion_gap(spark, sf):
-    w = resample.poisson_replicates(cut_lineage(_sides(spark, sf)), "sample_id", REPS, SEED)
-    reps = resample.dispersion_gap_reps(w, ["domain", "backbone"])
+    reps = bootstrap.bootstrap_dispersion_gap(cut_lineage(_sides(spark, sf)), ["domain", "backbone"], "sample_id", REPS, SEED)
     out = resample.percentile_ci(reps, ["domain", "backbone"], ["cvid_gap", "logit_gap_gap"])
     return rounded(out, "cvid_gap_ci_low", "cvid_gap_ci_high", "logit_gap_gap_ci_low", "logit_gap_gap_ci_high")
 
@@ -194,8 +193,7 @@ c AS (SELECT stratum, rep, corr(a, b) AS rho FROM k GROUP BY ALL)
 SELECT stratum, {_ci("rho")} FROM c GROUP BY stratum""",
 )
 def bootstrap_spearman(spark, sf):
-    w = resample.poisson_replicates(v.event_scores(spark, sf), "sample_id", 20, SEED)
-    reps = resample.spearman_reps(w, ["stratum"], "user_id", "score")
+    reps = bootstrap.bootstrap_spearman(v.event_scores(spark, sf), ["stratum"], "sample_id", "user_id", "score", 20, SEED)
     return rounded(resample.percentile_ci(reps, ["stratum"], ["rho"]), "rho_ci_low", "rho_ci_high")
 
 

@@ -105,7 +105,7 @@ def input_mismatch(spark, sf):
 @query(
     "severity_slices",
     """WITH s AS (SELECT o_orderkey AS idx, o_orderpriority AS corruption, CAST(o_orderkey // 1000 + 1 AS INTEGER) AS severity FROM orders)
-SELECT corruption, severity, count(*) AS n, min(corruption || '/s' || severity || '/' || lpad(CAST(idx AS VARCHAR), 5, '0')) AS first_key FROM s GROUP BY ALL""",
+SELECT corruption, severity, count(*) AS n, min(corruption || '/s' || severity || '/' || lpad(CAST(idx AS VARCHAR), CAST(greatest(5, length(CAST(idx AS VARCHAR))) AS INTEGER), '0')) AS first_key FROM s GROUP BY ALL""",
 )
 def severity_slices(spark, sf):
     """Severity from the position in a stack of equal slices, with a path key per row."""
@@ -229,7 +229,7 @@ def union_first_wins(spark, sf):
 @query(
     "union_missing_columns",
     """SELECT 'events' AS src, event_type AS grp, count(*) AS n, NULL::DOUBLE AS mean_price FROM events GROUP BY event_type
-UNION ALL SELECT 'orders', o_orderpriority, count(*), round(avg(o_totalprice), 6) + 0.0::DOUBLE FROM orders GROUP BY o_orderpriority""",
+UNION ALL SELECT 'orders', o_orderpriority, count(*), round(avg(o_totalprice) + 1e-10::DOUBLE, 6) + 0.0::DOUBLE FROM orders GROUP BY o_orderpriority""",
 )
 def union_missing_columns(spark, sf):
     e = v.table(spark, sf, "events", "event_type").groupBy(F.col("event_type").alias("grp")).agg(F.count(F.lit(1)).alias("n")).withColumn("src", F.lit("events"))

@@ -21,6 +21,7 @@ BACKBONES = {"b16": (1, 16), "b32": (1, 32), "b64": (1, 64), "t32": (33, 32)}
 SHIFT = 0.05
 HEAD_SCALE = 10.0
 DOMAINS = ("near", "far")
+NUDGE = 1e-10
 
 
 def table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
@@ -29,8 +30,11 @@ def table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
 
 
 def r6(c: Column) -> Column:
-    """Six decimals, no negative zero: the form results are compared in."""
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    """Six decimals, no negative zero: the form results are compared in.
+
+    The nudge keeps exact half steps (k/400 and the like) from rounding by engine.
+    """
+    return F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -188,7 +192,7 @@ scored AS (SELECT event_id AS sample_id, user_id, event_type AS stratum, value A
 
 
 def R(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6) + 0.0::DOUBLE"
+    return f"round(CAST({x} AS DOUBLE) + {NUDGE}::DOUBLE, 6) + 0.0::DOUBLE"
 
 
 def auroc_sql(src: str, keys: str, name: str = "au", w: str = "1", score: str = "score") -> str:

@@ -281,6 +281,23 @@ def test_bootstrap_paths_agree(spark, request):
     assert one_sort == ranged
 
 
+def test_rank_and_dispersion_bootstraps_agree_on_both_paths(spark, request):
+    rng = np.random.default_rng(23)
+    data = [("c", "OOD" if i % 3 else "ID", i, float(rng.integers(0, 9)), float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(data, "cell string, side string, sample_id bigint, logit_norm double, logit_gap double")
+
+    def both():
+        rho = bootstrap.bootstrap_spearman(df, ["cell"], "sample_id", "logit_norm", "logit_gap", 8, 42)
+        gap = bootstrap.bootstrap_dispersion_gap(df, ["cell"], "sample_id", 8, 42)
+        a = {r.rep: r.rho for r in rho.collect()}
+        return a, {r.rep: r.cvid_gap for r in gap.collect()}, {r.rep: r.logit_gap_gap for r in gap.collect()}
+
+    plain = both()
+    request.getfixturevalue("tiny_tasks")
+    for a, b in zip(plain, both()):
+        assert len(a) == 8 and a == pytest.approx(b)
+
+
 def test_sweep_auroc_without_copies(spark):
     rng = np.random.default_rng(22)
     ids = spark.createDataFrame([("k", float(x)) for x in rng.integers(0, 30, 200)], "k string, score double")
