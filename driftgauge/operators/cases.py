@@ -34,10 +34,9 @@ SPLIT_READER_GROUP = "OOD_high_confident_wrong"
 
 
 def min_max(df: DataFrame, value: str, out: str) -> DataFrame:
-    """(x - min) / (max - min + eps); the one-row range is broadcast."""
-    span = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    scaled = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + F.lit(MINMAX_EPS))
-    return df.crossJoin(F.broadcast(span)).withColumn(out, scaled).drop("__lo", "__hi")
+    """(x - min) / (max - min + eps); the range is a scalar subquery."""
+    span = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    return df.withColumn(out, (F.col(value) - span["lo"]) / (span["hi"] - span["lo"] + F.lit(MINMAX_EPS)))
 
 
 def behavior_groups(df: DataFrame) -> DataFrame:
@@ -101,8 +100,8 @@ def select_cases(df: DataFrame, sample_no: str, seed: int = 42, target: int = TA
         .limit(target)
         .withColumn("__pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__stage", danger.desc(), F.col(sample_no))))
     )
-    have = picked.agg(F.count(F.lit(1)).alias("__have"))
-    filled = rest.crossJoin(F.broadcast(have)).where(F.col("__pos") <= F.lit(target) - F.col("__have")).drop("__have")
+    have = picked.agg(F.count(F.lit(1))).scalar()
+    filled = rest.where(F.col("__pos") <= F.lit(target) - have)
     both = picked.drop("__k").unionByName(filled)
     return number_cases(trim_cases(both, sample_no, target), ["__stage", "__pos"]).drop("__stage", "__pos")
 

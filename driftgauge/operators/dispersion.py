@@ -133,8 +133,10 @@ def robust_profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def split_flag(df: DataFrame, keys: list[str], value: str, p: float, out: str = "flag") -> DataFrame:
     """'High' where value >= the group's percentile p, else 'Low'."""
     thr = exact_percentiles(df, keys, value, {"__thr": p})
-    joined = df.join(thr, keys) if keys else df.crossJoin(F.broadcast(thr))
-    return joined.withColumn(out, F.when(F.col(value) >= F.col("__thr"), "High").otherwise("Low")).drop("__thr")
+    if not keys:
+        return df.withColumn(out, F.when(F.col(value) >= thr.scalar(), "High").otherwise("Low"))
+    flagged = df.join(thr, keys).withColumn(out, F.when(F.col(value) >= F.col("__thr"), "High").otherwise("Low"))
+    return flagged.drop("__thr")
 
 
 def dispersion_vs_separability(table: DataFrame, silhouette: DataFrame, gap_ci: DataFrame, keys: list[str], side: str = "side") -> DataFrame:

@@ -27,7 +27,7 @@ def complete_raters(df: DataFrame, group: list[str], rater: list[str], item: str
     keys = [*group, *rater]
     need = df.select(*group, item).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("__need"))
     have = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__have"))
-    joined = have.join(need, group) if group else have.crossJoin(F.broadcast(need))
+    joined = have.join(need, group) if group else have.withColumn("__need", need.scalar())
     full = joined.where("__have = __need").select(*keys)
     return df.join(full, keys, "left_semi")
 
@@ -66,11 +66,10 @@ def leave_one_out(df: DataFrame, keys: list[str], member: str) -> DataFrame:
 
     Members (backbones, domains) are few; the row count grows by their number.
     """
-    members = df.select(*keys, F.col(member).alias("held_out")).distinct()
     if keys:
-        copies = df.join(members, keys)
+        copies = df.join(df.select(*keys, F.col(member).alias("held_out")).distinct(), keys)
     else:
-        copies = df.withColumn("__one", F.lit(1)).join(members.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        copies = df.withColumn("held_out", F.explode(df.agg(F.collect_set(member)).scalar()))
     return copies.where(F.col(member) != F.col("held_out"))
 
 
@@ -113,11 +112,9 @@ def leave_one_domain_spread(df: DataFrame, value: str = "auroc") -> DataFrame:
     """
     per = spread(df, ["domain", "method"], value).where("n_backbones >= 2")
     all_ = mean_spread(per).withColumn("held_out", F.lit("(none)"))
-    domains = df.select(F.col("domain").alias("held_out")).distinct()
-    methods = per.select("method").distinct()
-    holds = methods.withColumn("__one", F.lit(1)).join(domains.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    domains = df.agg(F.collect_set("domain")).scalar()
     loo = (
-        per.join(holds, "method")
+        per.withColumn("held_out", F.explode(domains))
         .where("domain != held_out")
         .groupBy("method", "held_out")
         .agg(F.avg("spread").alias("mean_spread"), F.count(F.lit(1)).alias("n_domains"))

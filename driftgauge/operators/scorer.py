@@ -92,10 +92,10 @@ def react_threshold(train: DataFrame, keys: list[str], feats: str = "feats", p:
             "entries",
         )
         bracket = cut_lineage(bracket)
-        tagged = entries.join(bracket, keys) if keys else entries.crossJoin(F.broadcast(bracket))
+        tagged = entries.join(bracket, keys)
         below = tagged.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.max("entries").alias("entries"))
         inside = distribution(tagged.where("v >= lo and v <= hi"), keys, "v", {"n": F.lit(1)})
-        placed = inside.join(below, keys) if keys else inside.crossJoin(F.broadcast(below))
+        placed = inside.join(below, keys)
         start = F.col("below") + F.col("n_before")
         h = F.lit(float(p)) * (F.col("entries") - 1)
         at = lambda pos: F.max(F.when((start <= pos) & (pos < start + F.col("n")), F.col("v")))

@@ -145,7 +145,7 @@ def baseline_jump(df: DataFrame, keys: list[str], name: str, baseline: list[str]
     The baseline means are one row per group and join back, so no group is windowed whole.
     """
     base = df.where(F.col(name).isin(baseline)).groupBy(*keys).agg(F.avg(metric).alias("baseline_mean"))
-    joined = df.join(base, keys, "left") if keys else df.crossJoin(F.broadcast(base))
+    joined = df.join(base, keys, "left") if keys else df.withColumn("baseline_mean", base.scalar())
     return joined.withColumn(out, F.col(metric) - F.col("baseline_mean"))
 
 

@@ -434,8 +434,9 @@ def estimator_verdict(spark, sf):
         diff("trim_01").alias("gap_trim_01"), diff("trim_05").alias("gap_trim_05"), diff("trim_10").alias("gap_trim_10"),
         diff("median").alias("gap_median"), F.max(F.when(~F.col("is_id"), F.col("frac_beyond_3iqr"))).alias("frac_beyond_3iqr"),
     )
-    ref = gaps.where("backbone = 'm1'").select(F.col("gap_trim_01").alias("reference_gap"))
-    out = decisions.estimator_verdict(gaps.crossJoin(F.broadcast(ref)))
+    gaps = cut_lineage(gaps)
+    ref = gaps.where("backbone = 'm1'").select("gap_trim_01").scalar()
+    out = decisions.estimator_verdict(gaps.withColumn("reference_gap", ref))
     return rounded(out, "gap_trim_01", "gap_median", "frac_beyond_3iqr").select(
         "backbone", "gap_trim_01", "gap_median", "frac_beyond_3iqr", "verdict"
     )

@@ -156,8 +156,7 @@ def _pool(spark, sf):
         (-F.col("o_totalprice") / F.lit(10000.0)).alias("maha_score"),
     )
     pool = pool.withColumn("ai_pred", F.when(F.col("ai_prob_malignant") > 0.5, "malignant").otherwise("benign"))
-    flagged = dispersion.split_flag(pool.withColumn("__all", F.lit(1)), ["__all"], "maha_score", 0.15, "reliability_flag")
-    return cases.behavior_groups(flagged.drop("__all"))
+    return cases.behavior_groups(dispersion.split_flag(pool, [], "maha_score", 0.15, "reliability_flag"))
 
 
 @query(
@@ -193,7 +192,7 @@ SELECT 'RS_' || lpad(CAST(row_number() OVER (ORDER BY stage, pos) AS VARCHAR), 3
 )
 def case_selection(spark, sf):
     """96 cases: 24 per group, filled by priority and danger, numbered."""
-    out = cases.select_cases(_pool(spark, sf), "case_no", SEED)
+    out = cases.select_cases(cut_lineage(_pool(spark, sf)), "case_no", SEED)
     return rounded(out.select("case_id", "case_no", "behavior_group", "danger_score"), "danger_score")
 
 

@@ -373,5 +373,5 @@ def background_rejections(spark, sf):
     boxes = manifest.square_boxes(ann)
     cand = cut_lineage(manifest.background_candidates(boxes, images))
     kept = manifest.without_touching(cand, ann)
-    count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
-    return count(boxes, "n_boxes").crossJoin(count(cand, "n_inside")).crossJoin(count(kept, "n_kept"))
+    inside, left = (d.agg(F.count(F.lit(1))).scalar() for d in (cand, kept))
+    return boxes.agg(F.count(F.lit(1)).alias("n_boxes")).withColumns({"n_inside": inside, "n_kept": left})
