@@ -100,6 +100,9 @@ def prefix_sums_checked(
             *[F.sum(n).over(whole).alias(f"{n}_total") for n in sums],
         )
         return plain, False
+    # ranges are joined on their keys, where NULLs would drop out without a word
+    blank = reduce(lambda a, c: a | c, [F.col(c).isNull() for c in [*keys, value]])
+    src = src.where(F.when(blank, F.raise_error(F.lit("NULL grouping key or value")).cast("boolean")).otherwise(F.lit(True)))
     range_order = F.col(_RANGE).desc() if descending else F.col(_RANGE).asc()
     totals = src.groupBy(*keys, _RANGE, _TIE).agg(*[F.sum(n).alias(f"{n}__sum") for n in sums])
     part = keys or [F.lit(0)]
