@@ -39,3 +39,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgauge.llm.packing import pack
 
     return pack(load(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    from driftgauge.llm.simhash import hex_digits, near_duplicates
+
+    found = near_duplicates(load(spark, sf_dir, "documents"), words=4)
+    return found.select("doc_id", hex_digits().alias("fingerprint"), "component_id")
