@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgauge.llm.common import blocks, texts_of, written
-from driftgauge.llm.tokens import END_ID, WordEncoder, vocabulary_path
+from driftgauge.llm.tokens import END_ID, encoder
 
 WINDOW = 2048
 UNIT = 64
@@ -186,10 +186,10 @@ def cut_documents(docs: DataFrame, tokenizer: str | None, end_id: int, window: i
     """One row per document: its tokens, the checksums of the pieces it may be cut into, and its ranks in its part."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer or vocabulary_path()), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
         whole_rank, unit_rank, tail_rank = 0, [0] * (window // unit), [0] * unit
         for block in blocks(batches, "text"):
-            ids, bounds = encoder.encode(texts_of(block, "text"), end_id)
+            ids, bounds = words.encode(texts_of(block, "text"), end_id)
             data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
             rows = []
             for doc_id, first, end in zip(block.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgauge.llm.common import blocks, texts_of
-from driftgauge.llm.tokens import END_ID, WordEncoder, vocabulary_path
+from driftgauge.llm.tokens import END_ID, encoder
 
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 ARROW = pa.schema(
@@ -43,9 +43,9 @@ def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_
     """``docs`` in ``doc_id`` order with their ids; ``shard_start`` counts the ids before a document in its shard."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, shard = WordEncoder(tokenizer or vocabulary_path()), 0, TaskContext.get().partitionId()
+        words, before, shard = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for block in blocks(batches, "text"):
-            ids, bounds = encoder.encode(texts_of(block, "text"), end_id)
+            ids, bounds = words.encode(texts_of(block, "text"), end_id)
             lengths = np.diff(bounds)
             yield pa.RecordBatch.from_arrays(
                 [

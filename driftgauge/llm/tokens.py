@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -20,18 +21,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder:
-    """Ids of texts under a tokenizer that drops white space.
+    """Ids of texts under a tokenizer that drops white space and marks the last id of a run of letters.
 
     Such a tokenizer never joins characters across white space, so a text's ids are those of its words in turn. Words
     met before are looked up; the table of known words starts anew after ``known_limit`` words, which bounds memory
     and changes no result.
     """
 
-    def __init__(self, path: str, known_limit: int = 300_000, longest_known: int = 64):
+    AT_ONCE = 500
+
+    def __init__(self, path: str, known_limit: int = 600_000, longest_known: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        size = self._tokenizer.get_vocab_size()
+        self._closes = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self._known_limit = known_limit
         self._longest_known = longest_known
         self._forget()
@@ -41,23 +46,49 @@ class WordEncoder:
         self._lengths = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, many in one text: each ends at its closing id, or the words are encoded singly."""
+        ids, lengths = [], []
+        groups = [words[a : a + self.AT_ONCE] for a in range(0, len(words), self.AT_ONCE)]
+        texts = [" ".join(g) for g in groups]
+        for group, encoding in zip(groups, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            own = np.array(encoding.ids, np.uint32)
+            ends = np.flatnonzero(self._closes[own]) + 1
+            if len(ends) == len(group) and ends[-1] == len(own):
+                own_lengths = np.diff(ends, prepend=0)
+            else:
+                own, own_lengths = self._each(group)
+            ids.append(own)
+            lengths.append(own_lengths)
+        empty = np.zeros(0, np.int64)
+        return np.concatenate([empty.astype(np.uint32), *ids]), np.concatenate([empty, *lengths])
+
     def _rows(self, words: list[str]) -> np.ndarray:
         if len(self._lengths) > self._known_limit:
             self._forget()
         rows = np.fromiter(map(self._row.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(rows < 0)
-        fresh = [words[i] for i in new]
-        found = [e.ids for e in self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        rows[new] = len(self._lengths) + np.arange(len(new))
-        self._row.update((w, r) for w, r in zip(fresh, rows[new].tolist(), strict=True) if len(w) <= self._longest_known)
-        self._lengths = np.concatenate([self._lengths, lengths])
-        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+        new = np.flatnonzero(rows < 0).tolist()
+        plain = [i for i in new if words[i].isalpha()]
+        other = [i for i in new if not words[i].isalpha()]
+        for at, encode in ((plain, self._letters), (other, self._each)):
+            fresh = [words[i] for i in at]
+            ids, lengths = encode(fresh)
+            first = len(self._lengths)
+            rows[at] = first + np.arange(len(at))
+            self._row.update((w, r) for r, w in enumerate(fresh, first) if len(w) <= self._longest_known)
+            self._lengths = np.concatenate([self._lengths, lengths])
+            self._ids = np.concatenate([self._ids, ids])
         return rows
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the bounds of each text in it; ``end_id`` closes every text."""
-        split = pc.ascii_split_whitespace(texts)
+        # A point or comma that ends a word of letters is a word of its own to the tokenizer.
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"(\pL)([.,])(\s|$)", r"\1 \2\3"))
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = pc.dictionary_encode(split.flatten())
@@ -73,3 +104,9 @@ class WordEncoder:
             ids = np.insert(ids, out[1:], np.uint32(end_id))
             out = out + np.arange(len(out))
         return ids, out
+
+
+@cache
+def encoder(path: str | None = None) -> WordEncoder:
+    """The encoder of this Python process; later tasks of the process know the words of earlier ones."""
+    return WordEncoder(path or vocabulary_path())
