@@ -43,16 +43,22 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     return pc.fill_null(batch.column(column), "")
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts as codes, each text's bounds in them, and the word of each code."""
     split = pc.ascii_split_whitespace(texts)
-    offsets = split.offsets.to_numpy().astype(np.int64)
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
     coded = pc.dictionary_encode(split.flatten())
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    words = coded.dictionary.to_pylist()
-    offsets -= offsets[0]
-    if "" in words:  # the splitter gives an empty word at either end of a text
-        keep = codes != words.index("")
-        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:  # the splitter gives an empty word at either end of a text
+        keep = codes != empty
+        bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
         codes = codes[keep]
-    return codes, offsets, words
+    return codes, bounds, coded.dictionary
+
+
+def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between the bounds of each text."""
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return sums[bounds[1:]] - sums[bounds[:-1]]

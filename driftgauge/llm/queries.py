@@ -48,3 +48,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(load(spark, sf_dir, "documents"), words=4)
     return found.select("doc_id", hex_digits().alias("fingerprint"), "component_id")
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents."""
+    from driftgauge.llm.quality_rules import judge
+
+    judged = judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "failed_rules")

@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgauge.llm.common import blocks, texts_of, written
@@ -35,27 +35,62 @@ from driftgauge.llm.graph import components
 RADIUS = 4
 VARIANTS_PER_TASK = 4_000_000
 HASHES_AT_ONCE = 1 << 16
+WIDE_WORDS = 8
+ZONES = 32
+ZONE_BITS = 8  # equal bits that a zone asks for
+POINT_BITS = 32  # bits of a zone that may differ in up to RADIUS places
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """SimHash over XXH64 of the ``words``-word shingles of a text; A-Z are lower-cased, repeats count."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the ``words``-word shingles of a text, A-Z lower-cased, repeats included, in bounded arrays."""
     import xxhash
 
     split = text.lower().split()
     if not split:
-        return 0
+        return
     ends = list(accumulate((len(w) + 1 for w in split), initial=0))
     joined, digest = b" ".join(split), xxhash.xxh64_intdigest
     n = max(1, len(split) - words + 1)
     last = ends[min(words, len(split)) :]
-    counts = np.zeros(64, np.int64)
     for a in range(0, n, HASHES_AT_ONCE):
         b = min(n, a + HASHES_AT_ONCE)
-        hashes = np.fromiter((digest(joined[i : j - 1], seed) for i, j in zip(ends[a:b], last[a:b])), "<u8", b - a)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.fromiter((digest(joined[i : j - 1], seed) for i, j in zip(ends[a:b], last[a:b], strict=True)), "<u8", b - a)
+
+
+def bit_counts(words: np.ndarray) -> np.ndarray:
+    """How many rows of a (rows, k) array of 64-bit words set each of the 64 k bits, lowest first."""
+    counts = np.zeros(64 * words.shape[1], np.int64)
+    for a in range(0, len(words), 255):  # byte-wide sums, eight to a word, cannot overflow within 255 rows
+        bits = np.unpackbits(words[a : a + 255].view(np.uint8), axis=1, bitorder="little")
+        counts += bits.view(np.uint64).sum(axis=0).view(np.uint8)
+    return counts
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash: a bit is 1 if it is set in over half of the shingles' hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        counts += bit_counts(hashes[:, None])
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: bytes, words: int) -> np.ndarray:
+    """SimHash of ``WIDE_WORDS`` words of 64 bits: each shingle's hash is mixed with one constant for each word."""
+    counts, n = np.zeros(64 * WIDE_WORDS, np.int64), 0
+    steps = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for hashes in shingle_hashes(text, words):
+        z = hashes[:, None] + steps
+        z ^= z >> np.uint64(30)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(27)
+        z *= np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        counts += bit_counts(z)
+        n += len(hashes)
+    return np.packbits(2 * counts > n, bitorder="little")
+
+
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and fingerprint (its 64 bits as a long) of every whole text."""
 
@@ -83,7 +118,7 @@ def ball_size(bits: int, flips: int) -> int:
 
 
 def meetings(points: np.ndarray, flips: np.ndarray, bits: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(member, smallest member) indices of points whose balls meet; ``flips`` are those each point still has.
+    """(members, group) of points whose balls meet, sorted by group then member; ``flips`` are those each point has left.
 
     Only the lowest ``bits`` bits are varied. Sets that would make over ``limit`` variants are halved by the highest of
     these bits: a point goes to its own side, and to the other one if it has a flip to spend.
@@ -120,27 +155,47 @@ def meetings(points: np.ndarray, flips: np.ndarray, bits: int, limit: int) -> It
             variants.append(at[sure])
         owner, variant = np.concatenate(owners), np.concatenate(variants)
         order = np.lexsort((owner, variant))
-        owner, variant = owner[order], variant[order]
-        first = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
-        yield owner, np.repeat(owner[first], np.diff(np.r_[first, len(owner)]))
+        yield owner[order], variant[order]
 
     with np.errstate(over="ignore"):
         yield from search(np.arange(len(points)), flips, bits)
 
 
-def smallest_of(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of ``n`` items the smallest item it is linked to, in any number of steps."""
-    label = np.arange(n)
-    for a, b in links:
-        while True:
-            low = np.minimum(label[a], label[b])
-            if (low == label[a]).all() and (low == label[b]).all():
-                break
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            while (label[label] != label).any():
-                label = label[label]
-    return label
+def star(members: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The smallest member of each member's group."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return np.repeat(members[first], np.diff(np.r_[first, len(members)]))
+
+
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (smallest item of each linked set) after the links between ``a`` and ``b``."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (low == label[a]).all() and (low == label[b]).all():
+            return label
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def dealt(rows: DataFrame, n: int, bits: int, flips: int, variants_per_task: int, zones: int = 1) -> tuple[DataFrame, int]:
+    """``rows`` (``point`` among others) once for each prefix of the point's bits that its ball reaches.
+
+    The prefix is as long as keeps a task's variants bounded for ``n`` rows spread over ``zones``.
+    """
+    wanted = n * ball_size(bits, flips) / zones / variants_per_task
+    prefix = min(bits, 32, max(0, math.ceil(math.log2(max(wanted, 1)))))
+    reach = F.array(*[F.lit(int(m)).cast("long") for m in ball_masks(prefix, flips)])
+    top = F.shiftrightunsigned("point", bits - prefix) if prefix else F.lit(0).cast("long")
+    sent = rows.withColumn("mask", F.explode(reach)).withColumn("prefix", top.bitwiseXOR(F.col("mask"))).drop("mask")
+    return sent, prefix
+
+
+def flips_left(points: np.ndarray, own: int, bits: int, prefix: int, flips: int) -> np.ndarray:
+    if not prefix:
+        return np.full(len(points), flips, np.int64)
+    return flips - np.bitwise_count((points >> np.uint64(bits - prefix)) ^ np.uint64(own)).astype(np.int64)
 
 
 def ball_links(marks: DataFrame, radius: int = RADIUS, variants_per_task: int = VARIANTS_PER_TASK) -> DataFrame:
@@ -151,25 +206,22 @@ def ball_links(marks: DataFrame, radius: int = RADIUS, variants_per_task: int =
     if radius % 2:
         raise ValueError("the radius must be even: both balls take half of it")
     flips = radius // 2
-    n = max(1, marks.count())
-    prefix = min(32, max(0, math.ceil(math.log2(n * ball_size(64, flips) / variants_per_task))))
-    reach = F.array(*[F.lit(int(m)).cast("long") for m in ball_masks(prefix, flips)])
-    top = F.shiftrightunsigned("fp", 64 - prefix) if prefix else F.lit(0).cast("long")
-    dealt = marks.select("fp", F.explode(reach).alias("mask")).select("fp", top.bitwiseXOR(F.col("mask")).alias("prefix"))
+    sent, prefix = dealt(marks.select(F.col("fp").alias("point")), marks.count(), 64, flips, variants_per_task)
 
     def collide(table: pa.Table) -> pa.Table:
-        points = np.sort(table.column("fp").to_numpy())
+        points = np.sort(table.column("point").to_numpy())
         bits = points.view(np.uint64)
-        own = table.column("prefix")[0].as_py()
-        spent = np.bitwise_count((bits >> np.uint64(64 - prefix)) ^ np.uint64(own)) if prefix else np.zeros(len(bits), int)
-        label = smallest_of(len(bits), meetings(bits, flips - spent.astype(np.int64), 64 - prefix, variants_per_task))
+        left = flips_left(bits, table.column("prefix")[0].as_py(), 64, prefix, flips)
+        label = np.arange(len(points))
+        for members, group in meetings(bits, left, 64 - prefix, variants_per_task):
+            label = join_labels(label, members, star(members, group))
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": points[linked], "b": points[label[linked]]})
 
-    return dealt.groupBy("prefix").applyInArrow(collide, "a long, b long").distinct()
+    return sent.groupBy("prefix").applyInArrow(collide, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id: the smallest ``doc_id`` reachable over fingerprints within ``radius`` bits."""
     rows = written(fingerprints(docs, words), "fingerprints")
     marks = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
@@ -184,3 +236,150 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> Da
 
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def differing_bits(similarity: float) -> int:
+    """Bits of the wide fingerprint in which two texts of this shingle similarity may differ.
+
+    Each bit differs with probability angle / pi; two standard deviations are allowed for.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE_WORDS
+    return int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+
+
+def zone_bits() -> np.ndarray:
+    """Which bits of the wide fingerprint make up each zone: (ZONES, ZONE_BITS + POINT_BITS), without repeats in a zone."""
+    rng, bits, size = np.random.default_rng(7), 64 * WIDE_WORDS, ZONE_BITS + POINT_BITS
+    per = bits // size
+    dealt_bits = [rng.permutation(bits)[: per * size].reshape(per, size) for _ in range(-(-ZONES // per))]
+    return np.concatenate(dealt_bits)[:ZONES]
+
+
+def linked_by_bits(wide: np.ndarray, most: int, groups: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Labels after linking all members of a group that differ in at most ``most`` bits of the wide fingerprint.
+
+    The smallest member of a group is compared first; pairs that this leaves apart are compared after that.
+    """
+    label = np.arange(len(wide))
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= most
+
+    for members, group in groups:
+        pairs = np.unique(np.stack([members, star(members, group)], axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        near = close(pairs[:, 0], pairs[:, 1])
+        label = join_labels(label, pairs[near, 0], pairs[near, 1])
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        apart = np.add.reduceat(label[members] != label[star(members, group)], first) > 0
+        sizes = np.diff(np.r_[first, len(members)])
+        seen = set()
+        for at in np.flatnonzero(apart & (sizes > 2)):
+            who = members[first[at] : first[at] + sizes[at]]
+            if (key := who.tobytes()) in seen:
+                continue
+            seen.add(key)
+            for i in range(1, len(who) - 1):
+                rest = who[i + 1 :][label[who[i + 1 :]] != label[who[i]]]
+                mine = np.full(len(rest), who[i])
+                near = close(mine, rest)
+                if near.any():
+                    label = join_labels(label, mine[near], rest[near])
+    return label
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, the hash of the text, its wide fingerprint and that fingerprint's hash."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            found = [wide_fingerprint(t, words).tobytes() for t in texts_of(block, "text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), block.column("text_hash"), pa.array(found, pa.binary())],
+                names=["doc_id", "text_hash", "wide"],
+            )
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+    )
+    found = rows.mapInArrow(compute, "doc_id long, text_hash long, wide binary")
+    return found.withColumn("node", F.xxhash64("wide"))
+
+
+def similar_documents(
+    docs: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    variants_per_task: int = VARIANTS_PER_TASK,
+) -> DataFrame:
+    """doc_id, text_hash and ``root``: equal for documents linked by shingle similarity of about ``similarity`` or more.
+
+    At this similarity 64 bits differ in about ten places, far beyond a radius whose balls can be listed. So the
+    fingerprint is 512 bits wide, and the ball hashing runs in 32 zones of 40 of its bits: within a zone 8 bits are
+    equal and the other 32 differ in at most 4, met in the middle by balls of 2. A pair of similarity 0.8 meets in at
+    least one zone with probability 0.98 (0.999 at 0.85). Whatever meets is verified on all 512 bits: the bits in which
+    two texts differ estimate their similarity, and two standard deviations are allowed for, so pairs below 0.6 are
+    practically never linked. Texts without a word have a fingerprint of zeros and are linked to each other.
+    """
+    rows = written(wide_fingerprints(docs, words), "wide-fingerprints")
+    marks = rows.groupBy("node").agg(F.min("wide").alias("wide"))
+    order, most, flips = zone_bits(), differing_bits(similarity), RADIUS // 2
+
+    def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(ZONES, dtype=np.int64) << ZONE_BITS
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2048):
+                batch = whole.slice(a, 2048)
+                data = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                bits = np.unpackbits(data, axis=1, bitorder="little")[:, order]
+                weights = 1 << np.arange(POINT_BITS, dtype=np.int64)
+                zone = number + bits[:, :, :ZONE_BITS].astype(np.int64) @ weights[:ZONE_BITS]
+                point = bits[:, :, ZONE_BITS:].astype(np.int64) @ weights
+                at = pa.array(np.repeat(np.arange(batch.num_rows), ZONES))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(zone.ravel()), pa.array(point.ravel()), batch.column("node").take(at), batch.column("wide").take(at)],
+                    names=["zone", "point", "node", "wide"],
+                )
+
+    n = marks.count()
+    placed = marks.mapInArrow(zones, "zone long, point long, node long, wide binary")
+    sent, prefix = dealt(placed, n, POINT_BITS, flips, variants_per_task, 1 << ZONE_BITS)
+
+    def collide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node = table.column("node").to_numpy()
+        points = table.column("point").to_numpy().astype(np.uint64)
+        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
+        left = flips_left(points, table.column("prefix")[0].as_py(), POINT_BITS, prefix, flips)
+        label = linked_by_bits(wide, most, meetings(points, left, POINT_BITS - prefix, variants_per_task))
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[linked], "b": node[label[linked]]})
+
+    links = sent.groupBy("zone", "prefix").applyInArrow(collide, "a long, b long").distinct()
+    roots = components(links)
+    return rows.join(roots, rows["node"] == roots["node"], "left").select(
+        "doc_id", "text_hash", F.coalesce(roots["root"], rows["node"]).alias("root")
+    )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each linked group the row of the smallest ``doc_id`` stays.
+
+    A null ``doc_id`` comes after all others, equal ids are told apart by text, and of equal rows one stays.
+    """
+    found = similar_documents(docs, words, similarity)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kept = found.groupBy("root").agg(F.min(key).alias("k")).select(
+        F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")
+    )
+    inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    id_column, text = f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
+    rows = docs.select(*inner).withColumn("own_hash", F.xxhash64(F.col(text).cast("string")))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
+    stayed = rows.join(kept, same, "left_semi")
+    first = Window.partitionBy(id_column, "own_hash").orderBy(F.lit(0))
+    once = stayed.withColumn("copy", F.row_number().over(first)).where("copy = 1")
+    return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
