@@ -58,3 +58,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *counts, "base_failed", "kept", "failed_rules")
+
+
+@query("op8_secrets_ledger")
+def op8_secrets_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all documents, scanned once for each blob."""
+    from pyspark.sql import functions as F
+
+    from driftgauge.llm import secrets_ledger as ledger
+
+    path = scratch_path(spark, "secrets-ledger")
+    ledger.start_ledger(spark, path)
+    places = ledger.update_ledger(ledger.versions_of(load(spark, sf_dir, "documents")), path)
+    base = tuple(r.kind for r in ledger.BASE_RULES)
+    return ledger.findings_by_path(places, path).select(
+        F.col("path").alias("doc_id"),
+        *[ledger.count_of(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(ledger.spans_text(base), 256).alias("base_sha256"),
+        ledger.spans_text().alias("spans"),
+        F.lower(F.hex("blob")).alias("blob"),
+    )
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item found in it."""
+    from driftgauge.llm.decontamination import contaminated
+
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
