@@ -86,3 +86,36 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgauge.llm.decontamination import contaminated
 
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op1_line_dedup",
+    """
+    WITH lines AS (
+        SELECT doc_id, source, pos AS number, trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g')) AS line, line AS raw
+        FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)
+    ), spread AS (
+        SELECT line, min((doc_id, number)) AS first FROM lines
+        WHERE line <> '' AND length(line) - length(replace(line, ' ', '')) + 1 >= 3
+        GROUP BY line HAVING count(DISTINCT source) >= 10
+    ), judged AS (
+        SELECT l.*, (s.line IS NOT NULL AND s.first <> (l.doc_id, l.number)) AS gone
+        FROM lines l LEFT JOIN spread s ON s.line = l.line
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           CAST(length(coalesce(string_agg(raw, chr(10) ORDER BY number) FILTER (NOT gone), '')) AS BIGINT) AS n_chars,
+           md5(coalesce(string_agg(raw, chr(10) ORDER BY number) FILTER (NOT gone), '')) AS text_md5
+    FROM judged GROUP BY doc_id
+    """,
+)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that spread over ten sites or more."""
+    from pyspark.sql import functions as F
+
+    from driftgauge.llm.line_dedup import without_boilerplate
+
+    cleaned = without_boilerplate(load(spark, sf_dir, "documents"), extra=("n_lines", "n_removed"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")
+    )
