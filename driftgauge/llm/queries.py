@@ -119,3 +119,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(
         "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")
     )
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents."""
+    from driftgauge.llm.quality_classifier import classify
+
+    return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    from driftgauge.llm.language import identify
+
+    return identify(load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
