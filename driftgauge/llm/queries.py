@@ -135,3 +135,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgauge.llm.language import identify
 
     return identify(load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op2_extraction")
+def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from driftgauge.llm.extraction import main_text
+
+    return main_text(load(spark, sf_dir, "pages"))
