@@ -232,3 +232,30 @@ def contaminated(
     ]
     found = reduce(DataFrame.union, passes) if passes else docs.sparkSession.createDataFrame([], schema)
     return found.select(*[F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)], *[f.split()[0] for f in MATCHES.split(", ")])
+
+
+def clean_documents(
+    docs: DataFrame,
+    items: DataFrame,
+    similarity: float = SIMILARITY,
+    least_words: int = LEAST_WORDS,
+    bytes_per_pass: int = BYTES_PER_PASS,
+) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns."""
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").cast("string").alias("own_text"))
+
+    def one_pass(rows: DataFrame, block: Items) -> DataFrame:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in blocks(batches, "own_text"):
+                codes, bounds, words = plain_words(texts_of(batch, "own_text"))
+                found = block.matches(word_hashes(words)[codes] if len(words) else np.zeros(0, np.uint64), bounds)
+                clear = np.ones(batch.num_rows, bool)
+                clear[[f[0] for f in found]] = False
+                yield batch.filter(pa.array(clear))
+
+        return rows.mapInArrow(clean, rows.schema)
+
+    for ids, texts in item_blocks(items, "item_id", "text", bytes_per_pass):
+        rows = one_pass(rows, Items.of(ids, texts, similarity, least_words))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
