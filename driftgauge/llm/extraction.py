@@ -31,7 +31,8 @@ from driftgauge.llm.page_tree import Block, align, numbered, parse, texts
 
 LEAST_PAGES = 5
 CONSTANT_SHARE = 0.8
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 32 << 20  # of reference pages
+BROADCAST_ROWS = 500_000  # of pairs of numbers
 _BLOCKS = pa.list_(pa.struct([("slot", pa.int32()), ("excluded", pa.bool_()), ("region", pa.bool_()), ("text", pa.string())]))
 
 
@@ -64,7 +65,9 @@ def aligned_blocks(pages: DataFrame) -> DataFrame:
         source.alias("html"),
     )
     # The reference is the page with the smallest hash: any page will do, if only all tasks choose the same.
-    chosen = rows.groupBy("host").agg(F.min("content").alias("content"))
+    chosen = written(rows.groupBy("host").agg(F.min("content").alias("content")), "chosen-pages")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     models = (
         rows.join(chosen, ["host", "content"], "left_semi")
         .groupBy("host")
@@ -102,7 +105,9 @@ def constant_slots(pages: DataFrame, least_pages: int, constant_share: float) ->
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, constant_share: float = CONSTANT_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page of ``pages`` (``page_id``, ``url``, ``html``)."""
     found = written(aligned_blocks(pages), "page-blocks")
-    constants = constant_slots(found, least_pages, constant_share).withColumnRenamed("host", "constant_host")
+    constants = written(constant_slots(found, least_pages, constant_share), "page-constants").withColumnRenamed("host", "constant_host")
+    if (constants.agg(F.sum(F.size("constants") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
+        constants = F.broadcast(constants)
     joined = found.join(constants, F.col("host") == F.col("constant_host"), "left")
     content = F.filter(
         "blocks",
