@@ -72,6 +72,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"
+BROADCAST_ROWS = 200_000
 
 
 def versions_of(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,7 +113,9 @@ def update_ledger(
     """Scan what the ledger lacks and add it; returns path and blob of every version.
 
     One version of each unseen blob is chosen on (path, blob) alone. The texts of the chosen ones are then picked out
-    by whichever list is shorter, the chosen or the others, so a corpus with few copies moves few rows.
+    by whichever list is shorter, the chosen or the others. That list is sent to the texts if it has at most
+    ``BROADCAST_ROWS`` rows of about 70 bytes; beyond that texts and list meet in a shuffle. The ledger has one writer
+    at a time.
     """
     spark = versions.sparkSession
     places = written(versions.select("path", "blob"), "places")
@@ -126,15 +129,19 @@ def update_ledger(
     chosen = written(chosen, "chosen")
     same = F.col("path").eqNullSafe(F.col("chosen_path")) & (F.col("blob") == F.col("chosen_blob"))
     n_chosen, n_places = chosen.count(), places.count()
+
+    def sent(rows: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
     if 2 * n_chosen <= n_places:
-        texts = versions.join(chosen, same, "left_semi")
+        texts = versions.join(sent(chosen, n_chosen), same, "left_semi")
     else:
         other = places.join(chosen, same, "left_anti").select(
             F.col("path").alias("chosen_path"), F.col("blob").alias("chosen_blob")
         )
-        texts = versions.join(written(other, "skipped"), same, "left_anti")
-    entries = scan(texts, rules).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
-    entries.write.parquet(f"{ledger}/run-{uuid.uuid4().hex}")
+        texts = versions.join(sent(written(other, "skipped"), n_places - n_chosen), same, "left_anti")
+    entries = scan(texts, rules).dropDuplicates(["blob"])  # a row that repeats path and text comes twice
+    entries.select("blob", F.lit(rule_version).alias("rule_version"), "findings").write.parquet(f"{ledger}/run-{uuid.uuid4().hex}")
     return places
 
 
@@ -143,8 +150,7 @@ def findings_by_path(
 ) -> DataFrame:
     """path, blob and findings (null if none) of every version."""
     entries = read_ledger(places.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0))
-    entries = entries.dropDuplicates(["blob"]).select("blob", "findings")
-    return places.join(entries, "blob", "left")
+    return places.join(entries.select("blob", "findings"), "blob", "left")
 
 
 def spans_text(kinds: tuple[str, ...] | None = None) -> Column:
