@@ -14,14 +14,24 @@ from driftgauge.session import scratch_path
 BLOCK_BYTES = 4 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of a few megabytes, unless the session sets bounds of its own."""
+    for name, usual, bound in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, bound)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: a table of its own, safe from lost executors."""
+    bound_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,13 +24,13 @@ class WordEncoder:
     """Ids of texts under a tokenizer that drops white space and marks the last id of a run of letters.
 
     Such a tokenizer never joins characters across white space, so a text's ids are those of its words in turn. Words
-    met before are looked up; the table of known words starts anew after ``known_limit`` words, which bounds memory
-    and changes no result.
+    met before are looked up; beyond ``known_limit`` words those that came up only once are forgotten, which bounds
+    memory and changes no result.
     """
 
     AT_ONCE = 500
 
-    def __init__(self, path: str, known_limit: int = 600_000, longest_known: int = 64):
+    def __init__(self, path: str, known_limit: int = 400_000, longest_known: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
@@ -39,13 +39,21 @@ class WordEncoder:
         self._closes = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self._known_limit = known_limit
         self._longest_known = longest_known
-        self._forget()
-
-    def _forget(self) -> None:
         self._row: dict[str, int] = {}
         self._lengths = np.zeros(0, np.int64)
+        self._uses = np.zeros(0, np.int32)
         self._ids = np.zeros(0, np.uint32)
 
+    def _forget(self) -> None:
+        keep = self._uses > 1
+        if 2 * keep.sum() > self._known_limit:
+            keep[:] = False
+        at = np.cumsum(keep) - 1
+        self._row = {w: int(at[r]) for w, r in self._row.items() if keep[r]}
+        self._ids = self._ids[np.repeat(keep, self._lengths)]
+        self._lengths = self._lengths[keep]
+        self._uses = np.ones(len(self._lengths), np.int32)
+
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -82,10 +90,12 @@ class WordEncoder:
             rows[at] = first + np.arange(len(at))
             self._row.update((w, r) for r, w in enumerate(fresh, first) if len(w) <= self._longest_known)
             self._lengths = np.concatenate([self._lengths, lengths])
+            self._uses = np.concatenate([self._uses, np.zeros(len(lengths), np.int32)])
             self._ids = np.concatenate([self._ids, ids])
+        self._uses[rows] += 1
         return rows
 
-    def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the bounds of each text in it; ``end_id`` closes every text."""
         # A point or comma that ends a word of letters is a word of its own to the tokenizer.
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"(\pL)([.,])(\s|$)", r"\1 \2\3"))
@@ -93,17 +103,17 @@ class WordEncoder:
         bounds -= bounds[0]
         coded = pc.dictionary_encode(split.flatten())
         rows = self._rows(coded.dictionary.to_pylist())
-        starts = np.cumsum(self._lengths) - self._lengths
+        # One row more closes texts: it stands behind the known words, and each text ends with it.
+        ids = np.append(self._ids, np.uint32(end_id))
+        lengths = np.append(self._lengths, 1)
         words = rows[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-        lengths = self._lengths[words]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        total = int(ends[-1])
-        ids = self._ids[np.repeat(starts[words] - ends[:-1], lengths) + np.arange(total)]
-        out = ends[bounds]
-        if end_id is not None:
-            ids = np.insert(ids, out[1:], np.uint32(end_id))
-            out = out + np.arange(len(out))
-        return ids, out
+        words = np.insert(words, bounds[1:], len(lengths) - 1)
+        own = lengths[words]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        starts = (np.cumsum(lengths) - lengths)[words] - ends[:-1]
+        place = np.repeat(starts.astype(np.int32), own)  # far fewer than 2^31 ids are known or in a block
+        place += np.arange(len(place), dtype=np.int32)
+        return ids[place], ends[bounds + np.arange(len(bounds))]
 
 
 @cache
