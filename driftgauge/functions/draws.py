@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MODULUS = 2_147_483_647
-MULTIPLIER = 48_271
-OFFSET = 69_621
+# Multiplier, offset and weight of a key's high part, one row per lane.
+LANES = ((48_271, 69_621, 40_692), (39_373, 62_089, 52_774))
 FINISH = 7
 
 # P(X <= k) for X ~ Poisson(1), as integers on the scale of MODULUS.
@@ -28,41 +28,82 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _mix(h: Column, x: Column) -> Column:
-    t = (h * F.lit(MULTIPLIER) + F.pmod(x.cast("bigint"), F.lit(MODULUS)) + F.lit(11)) % F.lit(MODULUS)
-    return _let(t, lambda v: (v * (v + F.lit(OFFSET))) % F.lit(MODULUS))
+def _mix(lane: int, h: Column, x: Column) -> Column:
+    """One step of a lane. A key enters by its remainder and by its quotient, so all 64 bits of it count."""
+    multiplier, offset, high = LANES[lane]
+    x, m = x.cast("bigint"), F.lit(MODULUS)
+    quotient = F.pmod(F.call_function("div", x, m), m)
+    t = (h * F.lit(multiplier) + F.pmod(x, m) + quotient * F.lit(high) + F.lit(11)) % m
+    return _let(t, lambda v: (v * (v + F.lit(offset))) % m)
 
 
-def keyed_hash(seed: int, *keys: Column) -> Column:
-    """BIGINT in [0, MODULUS)."""
+def _lane(lane: int, seed: int, keys: tuple[Column, ...]) -> Column:
     h = F.lit(int(seed)).cast("bigint")
     for k in keys:
-        h = _mix(h, k)
-    return _mix(h, F.lit(FINISH))
+        h = _mix(lane, h, k)
+    return h
 
 
-def keyed_hash_np(seed: int, *keys) -> np.ndarray:
-    def step(h, x):
-        t = (h * MULTIPLIER + np.mod(x, MODULUS) + 11) % MODULUS
-        return (t * (t + OFFSET)) % MODULUS
+def keyed_hash(seed: int, *keys: Column) -> Column:
+    """BIGINT in [0, MODULUS), from two lanes: keys share draws only if they agree in both."""
+    return _mix(0, _mix(0, _lane(0, seed, keys), _lane(1, seed, keys)), F.lit(FINISH))
+
+
+def wide_hash(seed: int, *keys: Column) -> Column:
+    """BIGINT in [0, MODULUS^2), about 62 bits: for targets in pools that 31 bits cannot reach."""
+    first, second = (_mix(lane, _lane(lane, seed, keys), F.lit(FINISH)) for lane in (0, 1))
+    return first * F.lit(MODULUS) + second
+
 
+def _mix_np(lane: int, h, x):
+    multiplier, offset, high = LANES[lane]
+    x = np.asarray(x, dtype=np.int64)
+    quotient = np.mod(np.where(x < 0, -(-x // MODULUS), x // MODULUS), MODULUS)
+    t = (h * multiplier + np.mod(x, MODULUS) + quotient * high + 11) % MODULUS
+    return (t * (t + offset)) % MODULUS
+
+
+def _lane_np(lane: int, seed: int, keys):
     h = np.int64(seed)
     for k in keys:
-        h = step(h, np.asarray(k, dtype=np.int64))
-    return step(h, np.int64(FINISH))
+        h = _mix_np(lane, h, k)
+    return h
 
 
-def _mix_sql(h: str, x: str) -> str:
-    t = f"(({h} * {MULTIPLIER} + ({x}) % {MODULUS} + 11) % {MODULUS})"
-    return f"(({t} * ({t} + {OFFSET})) % {MODULUS})"
+def keyed_hash_np(seed: int, *keys) -> np.ndarray:
+    return _mix_np(0, _mix_np(0, _lane_np(0, seed, keys), _lane_np(1, seed, keys)), np.int64(FINISH))
 
 
-def keyed_hash_sql(seed: int, *keys: str) -> str:
-    """The same hash as SQL text (non-negative BIGINT keys)."""
+def wide_hash_np(seed: int, *keys) -> np.ndarray:
+    first, second = (_mix_np(lane, _lane_np(lane, seed, keys), np.int64(FINISH)) for lane in (0, 1))
+    return first * MODULUS + second
+
+
+def _mix_sql(lane: int, h: str, x: str) -> str:
+    multiplier, offset, high = LANES[lane]
+    t = f"(({h} * {multiplier} + ({x}) % {MODULUS} + (({x}) // {MODULUS} % {MODULUS}) * {high} + 11) % {MODULUS})"
+    return f"(({t} * ({t} + {offset})) % {MODULUS})"
+
+
+def _lane_sql(lane: int, seed: int, keys) -> str:
     h = f"CAST({int(seed)} AS BIGINT)"
     for k in keys:
-        h = _mix_sql(h, f"CAST({k} AS BIGINT)")
-    return _mix_sql(h, str(FINISH))
+        h = _mix_sql(lane, h, f"CAST({k} AS BIGINT)")
+    return h
+
+
+def keyed_hash_sql(seed: int, *keys: str) -> str:
+    """The same hash as SQL text (non-negative BIGINT keys)."""
+    multiplier, offset, _ = LANES[0]
+    # the lanes are below MODULUS, so that the second has no quotient to add
+    t = f"(({_lane_sql(0, seed, keys)} * {multiplier} + {_lane_sql(1, seed, keys)} + 11) % {MODULUS})"
+    both = f"(({t} * ({t} + {offset})) % {MODULUS})"
+    return _mix_sql(0, both, str(FINISH))
+
+
+def wide_hash_sql(seed: int, *keys: str) -> str:
+    first, second = (_mix_sql(lane, _lane_sql(lane, seed, keys), str(FINISH)) for lane in (0, 1))
+    return f"({first} * {MODULUS} + {second})"
 
 
 def poisson_weight(h: Column) -> Column:

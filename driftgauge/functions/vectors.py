@@ -28,17 +28,3 @@ def l2_normalize(v: Column, eps: float = NORM_EPS) -> Column:
     """x / (||x|| + eps)."""
     length = norm(v) + F.lit(eps)
     return F.transform(v, lambda x: x / length)
-
-
-def clip_above(v: Column, tau: Column | float) -> Column:
-    bound = tau if isinstance(tau, Column) else F.lit(float(tau))
-    return F.transform(v, lambda x: F.least(x, bound))
-
-
-def head_logits(feats: Column, head: Column) -> Column:
-    """Logits of a linear head given as ARRAY<STRUCT<weight, bias>> in class order.
-
-    A one-row (binary) head yields ``[-z, z]`` so that every head has >= 2 logits.
-    """
-    z = F.transform(head, lambda h: dot(feats, h["weight"]) + h["bias"])
-    return F.when(F.size(z) == 1, F.array(-z[0], z[0])).otherwise(z)

@@ -19,10 +19,11 @@ from driftgauge.functions.draws import POISSON_STEPS, keyed_hash_np
 from driftgauge.functions.scores import finite_or_error
 from driftgauge.operators.dispersion import CVID_EPS, TRIM_SHARE
 from driftgauge.operators.kernels import key_fields
+from driftgauge.operators import ordered
 from driftgauge.operators.ordered import with_ranges
 from driftgauge.operators.resample import dispersion_gap_reps, poisson_replicates, spearman_reps
 from driftgauge.operators.separability import ID_TAIL
-from driftgauge.session import cut_lineage, rows_per_task
+from driftgauge.session import cut_lineage
 
 # Weights held at once by one task.
 REPLICATE_BLOCK = 4_000_000
@@ -130,7 +131,7 @@ def _weighted_ranks(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def bootstrap_spearman(df: DataFrame, keys: list[str], sample_id: str, x: str, y: str, n_reps: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, rep, rho); past a task's row bound the replicate becomes a grouping key."""
-    if df.count() > rows_per_task(df.sparkSession):
+    if df.count() > ordered.ROWS_PER_RANGE:
         return spearman_reps(poisson_replicates(df, sample_id, n_reps, seed), keys, x, y).select(*keys, "rep", "rho")
     slim = df.select(
         *keys, F.col(sample_id).alias("sid"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
@@ -158,8 +159,11 @@ def _weighted_trim(v: np.ndarray, w: np.ndarray, share: float) -> tuple[np.ndarr
 
 
 def bootstrap_dispersion_gap(df: DataFrame, keys: list[str], sample_id: str, n_reps: int = 1000, seed: int = 42, side: str = "side") -> DataFrame:
-    """(keys, rep, cvid_gap, logit_gap_gap): OOD minus ID, from rows with logit_norm and logit_gap."""
-    if df.count() > rows_per_task(df.sparkSession):
+    """(keys, rep, cvid_gap, logit_gap_gap): OOD minus ID, from rows with logit_norm and logit_gap.
+
+    NULL where a side drew nothing, in one task per cell as well as with the replicate as a grouping key.
+    """
+    if df.count() > ordered.ROWS_PER_RANGE:
         return dispersion_gap_reps(poisson_replicates(df, sample_id, n_reps, seed), keys, side)
     slim = df.select(*keys, F.col(sample_id).alias("sid"), (F.col(side) == "OOD").alias("ood"), "logit_norm", "logit_gap")
 

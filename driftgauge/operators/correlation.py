@@ -59,11 +59,17 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([p_value(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, n)], dtype="float64")
 
 
+def complete_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows in which both sides are numbers (NULL and NaN are not)."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    return df.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
+
+
 def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Correlation and row count per group; NULL where a side is constant."""
+    """Correlation and number of complete pairs per group; NULL where a side is constant."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return df.groupBy(*keys).agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
+    return complete_pairs(df, x, y).groupBy(*keys).agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def _centred_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -74,13 +80,13 @@ def _centred_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> Data
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, weight: Column | None = None) -> DataFrame:
-    """Correlation of average ranks (optionally weighted); NULL where a side is constant.
+    """Correlation of average ranks over complete pairs (optionally weighted); NULL where a side is constant.
 
     Ranks come from range-bucketed prefix counts and are centred exactly, so the sums need
     no second pass.
     """
     w = F.lit(1) if weight is None else weight
-    slim = df.select(
+    slim = complete_pairs(df, x, y).select(
         *keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), w.cast("bigint").alias("__w")
     )
     ranked = _centred_ranks(_centred_ranks(slim, keys, "__x", "__a"), keys, "__y", "__b")

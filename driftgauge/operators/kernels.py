@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NORM_EPS = 1e-8
+# Upper bound for anything that is broadcast by hand (fitted parameters).
+BROADCAST_BYTES = 512 * 1024 * 1024
 _SEP = "\x1f"
 
 
 def cell_key(keys: list[str]) -> Column:
-    """One string that names a cell, for looking up its parameters inside a task."""
-    return F.concat_ws(_SEP, *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    """One string that names a cell, for looking up its parameters inside a task; a NULL key stops the job."""
 
+    def part(k: str) -> Column:
+        stop = F.raise_error(F.lit(f"NULL in the grouping key {k}"))
+        return F.coalesce(F.replace(F.col(k).cast("string"), F.lit(_SEP), F.lit(_SEP + _SEP)), stop.cast("string"))
 
-def cell_name(values) -> str:
-    return _SEP.join(str(v) for v in values)
+    return F.concat_ws(_SEP + "/", *[part(k) for k in keys]) if keys else F.lit("")
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
@@ -71,8 +74,6 @@ def key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def bounded_tasks(df: DataFrame) -> DataFrame:
-    """Cap the number of partial results by the cluster's size, not the table's (no shuffle)."""
-    spark = df.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.coalesce(n)
+def merge_fan(spark) -> int:
+    """How many groups partial results meet in before they meet in one: 1 on a small cluster."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)

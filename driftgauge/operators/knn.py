@@ -9,6 +9,8 @@ block pair returns k rows per query, never its pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from driftgauge.session import cut_lineage
 BLOCK_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK_ROWS = 8192
 PIVOT_ROWS = 4096
-MAX_PIVOTS = 64
+PIVOT_BYTES = 64 * 1024 * 1024  # of all pivots of all cells, which every task holds
 # Tile of one distance matrix inside a task.
 TILE_QUERIES, TILE_ROWS = 1024, 8192
 MERGE_FAN_IN = 64
@@ -60,16 +62,20 @@ def knn_join(
 ) -> DataFrame:
     """(keys, query id, neighbours ARRAY<STRUCT<distance, id>>): the k nearest training rows.
 
-    Ties go to the smaller training id. Fewer than k come back only if the cell has fewer.
+    Ties go to the smaller training id. Fewer than k come back only if the cell has fewer; a query of a cell without
+    training rows keeps its row, with no neighbours.
     """
     sc = train.sparkSession.sparkContext
     t = train.select(cell_key(keys).alias("__cell"), F.col(train_id).cast("bigint").alias("__tid"), F.col(vec).alias("__v"))
     q = queries.select(*keys, cell_key(keys).alias("__cell"), F.col(query_id).alias("__qid"), F.col(vec).alias("__v"))
     sizes = t.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("d"))
-    shape = sizes.agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    shape = sizes.agg(F.max("n").alias("n"), F.max("d").alias("d"), F.count(F.lit(1)).alias("cells")).first()
     t_block = block or int(min(131_072, max(4096, BLOCK_BYTES // (8 * max(1, shape["d"] or 1)))))
     q_block = block or QUERY_BLOCK_ROWS
-    n_pivots = int(min(MAX_PIVOTS, max(1, (shape["n"] or 0) // (block or PIVOT_ROWS))))
+    # about sqrt(n) pivots in cells that are worth splitting, as far as all cells' pivots fit their bound
+    n_cells, n = max(1, shape["cells"]), shape["n"] or 0
+    wanted = math.isqrt(n) if n >= 2 * (block or PIVOT_ROWS) else 1
+    n_pivots = int(max(1, min(wanted, PIVOT_BYTES // (8 * n_cells * max(1, shape["d"] or 1)))))
     pivots = sc.broadcast(_pivots(t, n_pivots, seed))
 
     @F.arrow_udf("struct<p:int,d:double>")
@@ -88,7 +94,7 @@ def knn_join(
     info = cut_lineage(t.groupBy("__cell", "__p").agg(F.count(F.lit(1)).alias("n"), F.max("__d").alias("radius")))
     blocks_of = info.select("__cell", "__p", F.ceil(F.col("n") / t_block).cast("int").alias("__tblocks"))
     radii: dict[str, dict[int, float]] = {}
-    for r in info.collect():  # cells x pivots, at most MAX_PIVOTS per cell
+    for r in info.collect():  # cells x pivots, one number each
         radii.setdefault(r["__cell"], {})[r["__p"]] = r["radius"]
     radius = sc.broadcast(radii)
 
@@ -134,8 +140,8 @@ def _best(k: int):
 def _finish(q: DataFrame, keys: list[str], query_id: str, top: DataFrame, k: int) -> DataFrame:
     return (
         q.select(*keys, "__cell", "__qid")
-        .join(top, ["__cell", "__qid"])
-        .select(*keys, F.col("__qid").alias(query_id), F.col("__top").alias("neighbours"))
+        .join(top, ["__cell", "__qid"], "left")
+        .select(*keys, F.col("__qid").alias(query_id), F.coalesce(F.col("__top"), F.array().cast(top.schema["__top"].dataType)).alias("neighbours"))
     )
 
 
@@ -236,4 +242,5 @@ def knn_distance(
     """Mean cosine distance to the k nearest training rows (columns keys, query id, mean_distance)."""
     near = knn_join(train, queries, keys, k, vec, query_id, **kw)
     d = F.transform("neighbours", lambda x: x["distance"])
-    return near.select(*keys, query_id, (F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / F.size(d)).alias("mean_distance"))
+    mean = F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / F.size(d)
+    return near.select(*keys, query_id, F.when(F.size(d) > 0, mean).alias("mean_distance"))

@@ -15,18 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.operators.kernels import (
-    bounded_tasks,
     cell_key,
-    cell_name,
     key_fields,
     key_values,
     list_array,
     matrix,
+    merge_fan,
     normalized,
     row_groups,
     typed,
 )
-from driftgauge.session import broadcast_bytes
+from driftgauge.operators import kernels
 
 _DOUBLES = T.ArrayType(T.DoubleType())
 FLUSH_BYTES = 256 * 1024 * 1024
@@ -38,7 +37,7 @@ def _sum_rows(values: pd.Series) -> np.ndarray:
 
 def vector_means(df: DataFrame, keys: list[str], vec: str, normalize: bool = False) -> DataFrame:
     """(keys, n, mean ARRAY<DOUBLE>) per cell."""
-    slim = bounded_tasks(df.select(*keys, cell_key(keys).alias("__cell"), F.col(vec).alias("__v")))
+    slim = df.select(*keys, cell_key(keys).alias("__cell"), F.col(vec).alias("__v"))
     partial = T.StructType([*key_fields(df, keys), T.StructField("n", T.LongType()), T.StructField("s", _DOUBLES)])
     names = list(keys)
 
@@ -71,7 +70,7 @@ def vector_means(df: DataFrame, keys: list[str], vec: str, normalize: bool = Fal
 def collect_vectors(df: DataFrame, keys: list[str], cols: list[str]) -> dict[str, tuple]:
     """Fitted parameters (one row per cell) as a dict for the tasks, size-checked."""
     size = df.agg(F.sum(sum((F.size(c) for c in cols), F.lit(0))).alias("v")).first()["v"] or 0
-    limit = broadcast_bytes(df.sparkSession)
+    limit = kernels.BROADCAST_BYTES
     if size * 8 > limit:
         raise ValueError(f"{size * 8} bytes of fitted vectors exceed the broadcast limit {limit}; fit fewer cells at once")
     rows = df.select(cell_key(keys).alias("__cell"), *cols).collect()
@@ -80,7 +79,7 @@ def collect_vectors(df: DataFrame, keys: list[str], cols: list[str]) -> dict[str
 
 def gram_rows(df: DataFrame, keys: list[str], vec: str, centers: dict[str, tuple], normalize: bool = False) -> DataFrame:
     """(keys, n, q4, i, g): row i of sum (x-c)(x-c)^T per cell, with n and sum ||x-c||^4."""
-    slim = bounded_tasks(df.select(*keys, cell_key(keys).alias("__cell"), F.col(vec).alias("__v")))
+    slim = df.select(*keys, cell_key(keys).alias("__cell"), F.col(vec).alias("__v"))
     names = list(keys)
     shared = df.sparkSession.sparkContext.broadcast(centers)
     schema = T.StructType(
@@ -128,7 +127,11 @@ def gram_rows(df: DataFrame, keys: list[str], vec: str, centers: dict[str, tuple
             {**row, "n": [int(pdf["n"].sum())], "q4": [float(pdf["q4"].sum())], "g": [_sum_rows(pdf["g"])]}
         )
 
-    return slim.mapInArrow(partials, schema).groupBy(*keys, "i").applyInPandas(merge, schema)
+    found, fan = slim.mapInArrow(partials, schema), merge_fan(df.sparkSession)
+    if fan > 1:  # many tasks: their partials meet in two steps, so none gathers one from every task
+        dealt = found.withColumn("__part", F.spark_partition_id() % fan)
+        found = dealt.groupBy(*keys, "i", "__part").applyInPandas(merge, schema)
+    return found.groupBy(*keys, "i").applyInPandas(merge, schema)
 
 
 def _assemble(pdf: pd.DataFrame) -> np.ndarray:

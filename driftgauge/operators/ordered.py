@@ -1,9 +1,11 @@
 """Order statistics and prefix sums per group that hold when one group owns most rows.
 
 A plain ``Window.partitionBy(cell).orderBy(score)`` puts a whole cell in one task.
-Here a large input is first cut into value ranges (approximate quantiles only choose
-the cut points, results stay exact), each (cell, range) is windowed on its own and
-shifted by the totals of the ranges before it.
+Here the input is cut into value ranges (approximate quantiles only choose the cut
+points, results stay exact), each (cell, range) is windowed on its own and shifted by
+the totals of the ranges before it. The number of ranges follows the number of rows
+without a bound; an input of one range needs no cut points and no shifting. NULL keys
+and NULL values stop the job at every size: callers decide what a NULL means before.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from driftgauge.session import cut_lineage, rows_per_task
+from driftgauge.session import cut_lineage
 
-MAX_RANGES = 4096
+# Rows that one task may sort or window comfortably.
+ROWS_PER_RANGE = 4_000_000
 _RANGE, _TIE = "__range", "__tie_range"
 
 
 def _cut_points(df: DataFrame, col: str, n_ranges: int) -> list[float]:
     grid = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), grid, 20 * n_ranges).alias("c")).first()["c"]
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), grid, 8 * n_ranges + 1000).alias("c")).first()["c"]
     return sorted(set(cuts or []))
 
 
@@ -49,17 +52,17 @@ def with_ranges(
     was aggregated from it can only be smaller, and counting the source prunes all columns.
 
     Cut points come from the whole input, so a range never holds more than about
-    ``rows_per_task`` rows of all groups together, whatever the largest group is. A
+    ``ROWS_PER_RANGE`` rows of all groups together, whatever the largest group is. A
     value heavy enough to be a cut point gets its own range, which is cut by ``tie``.
     """
-    limit = rows_per_task(df.sparkSession)
+    limit = ROWS_PER_RANGE
     n = (df if source is None else source).count()
     if n > limit:
         df = cut_lineage(df)
         n = n if source is None else df.count()
     if n <= limit:
         return df.withColumns({_RANGE: F.lit(0), _TIE: F.lit(0)}), False
-    n_ranges = min(MAX_RANGES, max(2, math.ceil(n / limit) * 2))
+    n_ranges = max(2, math.ceil(n / limit) * 2)
     cuts = _cut_points(df, value, n_ranges)
     df = _bucketize(df, value, _RANGE, cuts, isolate=True)
     if tie is None:
@@ -84,7 +87,9 @@ def prefix_sums_checked(
     ``name_before`` (total of strictly earlier rows) and ``name_total`` (group total).
     Rows must be unique per (keys, value, tie); ``tie`` is always ascending.
     """
-    src = df.withColumns(sums)
+    blank = reduce(lambda a, c: a | c, [F.col(c).isNull() for c in [*keys, value]])
+    stop = F.raise_error(F.lit(f"NULL in {', '.join([*keys, value])}")).cast("boolean")
+    src = df.where(F.when(blank, stop).otherwise(F.lit(True))).withColumns(sums)
     src, ranged = with_ranges(src, value, tie, source)
     by_value = F.col(value).desc() if descending else F.col(value).asc()
     order = [by_value] + ([F.col(tie).asc()] if tie else [])
@@ -100,13 +105,10 @@ def prefix_sums_checked(
             *[F.sum(n).over(whole).alias(f"{n}_total") for n in sums],
         )
         return plain, False
-    # ranges are joined on their keys, where NULLs would drop out without a word
-    blank = reduce(lambda a, c: a | c, [F.col(c).isNull() for c in [*keys, value]])
-    src = src.where(F.when(blank, F.raise_error(F.lit("NULL grouping key or value")).cast("boolean")).otherwise(F.lit(True)))
     range_order = F.col(_RANGE).desc() if descending else F.col(_RANGE).asc()
     totals = src.groupBy(*keys, _RANGE, _TIE).agg(*[F.sum(n).alias(f"{n}__sum") for n in sums])
     part = keys or [F.lit(0)]
-    # one row per (group, range): at most a few thousand rows per group
+    # one row per (group, range)
     wr = Window.partitionBy(*part).orderBy(range_order, F.col(_TIE).asc())
     before = wr.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = wr.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -22,14 +22,20 @@ def item_ranks(df: DataFrame, rater: list[str], value: str, out: str = "rank") -
     )
 
 
-def complete_raters(df: DataFrame, group: list[str], rater: list[str], item: str) -> DataFrame:
-    """Drop raters that miss any item seen in their group."""
+def votes(df: DataFrame, value: str) -> DataFrame:
+    """Rows that carry a number: NULL and NaN are no votes."""
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
+def complete_raters(df: DataFrame, group: list[str], rater: list[str], item: str, value: str) -> DataFrame:
+    """The votes of raters that miss no item seen in their group; a NULL or NaN value is a missing item."""
     keys = [*group, *rater]
     need = df.select(*group, item).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("__need"))
-    have = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__have"))
+    cast = votes(df, value)
+    have = cast.groupBy(*keys).agg(F.count_distinct(item).alias("__have"))
     joined = have.join(need, group) if group else have.withColumn("__need", need.scalar())
     full = joined.where("__have = __need").select(*keys)
-    return df.join(full, keys, "left_semi")
+    return cast.join(full, keys, "left_semi")
 
 
 def concordance(ranked: DataFrame, group: list[str], item: str, rank: str = "rank") -> DataFrame:
@@ -56,8 +62,12 @@ def concordance(ranked: DataFrame, group: list[str], item: str, rank: str = "ran
 
 
 def kendall_w(df: DataFrame, group: list[str], rater: list[str], item: str, value: str) -> DataFrame:
-    """Kendall's W per group over complete raters; NULL for a single rater."""
-    rows = complete_raters(df, group, rater, item)
+    """Kendall's W per group over complete raters; NULL for a single rater.
+
+    An item counts as seen in its group if any row names it, even with a NULL value, so a rater with a NULL cell is
+    incomplete and does not vote.
+    """
+    rows = complete_raters(df, group, rater, item, value)
     return concordance(item_ranks(rows, [*group, *rater], value), group, item)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgauge.functions.draws import MODULUS, keyed_hash, poisson_weight
+from driftgauge.functions.draws import MODULUS, keyed_hash, poisson_weight, wide_hash
 from driftgauge.operators import coverage as C
 from driftgauge.operators.correlation import spearman
 from driftgauge.operators.dispersion import CVID_EPS, TRIM_SHARE, _trimmed
@@ -55,7 +55,7 @@ def multinomial_replicates(
     placed = prefix_sums(samples, pool, sample_id, {"n": F.lit(1).cast("bigint")}).select(
         *pool, sample_id, F.col("n_before").alias("__pos"), F.col("n_total").alias("__size")
     )
-    target = (keyed_hash(seed, F.col("rep"), F.col("__pos")) % F.col("__size")).alias("__pos")
+    target = (wide_hash(seed, F.col("rep"), F.col("__pos")) % F.col("__size")).alias("__pos")
     drawn = (
         with_replicates(placed, n_reps)
         .select(*pool, "rep", target)
@@ -114,10 +114,11 @@ def dispersion_gap_reps(weighted: DataFrame, keys: list[str], side: str = "side"
     stat = F.when(
         F.col("measure") == "logit_norm", F.col("trim_std") / (F.abs("trim_mean") + F.lit(CVID_EPS))
     ).otherwise(F.col("trim_mean"))
-    signed = F.when(F.col(side) == "OOD", stat).otherwise(-stat)
+    of = lambda name, s: F.max(F.when((F.col("measure") == name) & (F.col(side) == s), stat))
+    # NULL unless both sides drew something
     return trim.groupBy(*keys, "rep").agg(
-        F.sum(F.when(F.col("measure") == "logit_norm", signed)).alias("cvid_gap"),
-        F.sum(F.when(F.col("measure") == "logit_gap", signed)).alias("logit_gap_gap"),
+        (of("logit_norm", "OOD") - of("logit_norm", "ID")).alias("cvid_gap"),
+        (of("logit_gap", "OOD") - of("logit_gap", "ID")).alias("logit_gap_gap"),
     )
 
 

@@ -27,8 +27,8 @@ def positions(df: DataFrame, group: list[str], sample_id: str, seed: int) -> Dat
 
 
 def sample_n(df: DataFrame, group: list[str], sample_id: str, n: int, seed: int) -> DataFrame:
-    """n random rows per group without replacement."""
-    return positions(df, group, sample_id, seed).where(F.col("pos") <= n).drop("pos", "group_size")
+    """n random rows per group without replacement: the n smallest keyed hashes, cut in every partition first."""
+    return top_n(df, group, [keyed_hash(seed, F.col(sample_id)), F.col(sample_id)], n)
 
 
 def stratified_fraction(df: DataFrame, strata: list[str], sample_id: str, frac: float, seed: int) -> DataFrame:

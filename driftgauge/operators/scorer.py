@@ -29,11 +29,13 @@ from driftgauge.operators.kernels import (
 from driftgauge.operators.knn import knn_distance
 from driftgauge.operators.moments import collect_vectors, gram_rows, ledoit_wolf, _assemble
 from driftgauge.operators.ordered import distribution, union_all
-from driftgauge.session import broadcast_bytes, cut_lineage
+from driftgauge.operators import kernels
+from driftgauge.session import cut_lineage
 
 REACT_PERCENTILE = 0.90
 VIM_CLIP = 100.0
 METHODS = ("msp", "energy", "logit_norm", "react_energy", "vim", "mahalanobis", "knn")
+FEATURE_ONLY = ("mahalanobis", "knn")
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 
@@ -178,7 +180,14 @@ def mahalanobis_score(df: DataFrame, fit: DataFrame, keys: list[str], feats: str
             return pa.array(res)
 
         parts.append(rows.withColumn(out, _distance_udf(kernel)(F.col(feats), cell_key(keys))))
-    return union_all(parts)
+    return union_all([*parts, *([without_fit(df, fit, keys, out)] if len(parts) > 1 else [])])
+
+
+def without_fit(df: DataFrame, fit: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """No rows; stops the job if a row's cell has no parameters (chunks are picked by key, which would lose it)."""
+    lost = df.join(fit.select(*keys).distinct(), keys, "left_anti")
+    name = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    return lost.withColumn(out, F.raise_error(F.concat(F.lit("no fit for cell "), name)).cast("double"))
 
 
 def _distance_udf(kernel):
@@ -195,7 +204,7 @@ def parameter_chunks(params: DataFrame, keys: list[str], cols: list[str]) -> lis
     Plain equality on the keys, so a source partitioned by cell reads each cell once. A
     single ``None`` when everything fits.
     """
-    limit = broadcast_bytes(params.sparkSession)
+    limit = kernels.BROADCAST_BYTES
     size = sum((F.size(c) for c in cols), F.lit(0))
     rows = params.select(*keys, (size * 8).alias("__bytes")).collect()
     chunks: list[list] = [[]]
@@ -212,59 +221,90 @@ def parameter_chunks(params: DataFrame, keys: list[str], cols: list[str]) -> lis
     return [reduce(or_, [cell(r) for r in c]) for c in chunks]
 
 
+# What each score over features needs from the fit, in the order its kernel takes it.
+_PARAMETERS = {
+    "react_energy": ("weight", "bias", "tau"),
+    "vim": ("u", "basis", "weight", "bias", "alpha"),
+    "mahalanobis": ("mean", "factor"),
+}
+_LOGIT_SCORES = {"msp": S.msp, "energy": S.energy, "logit_norm": S.logit_norm}
+
+
+def _react(x: np.ndarray, weight, bias, tau) -> np.ndarray:
+    return _logsumexp(np.minimum(x, tau[0]) @ weight.reshape(len(bias), -1).T + bias)
+
+
+def _vim(x: np.ndarray, u, basis, weight, bias, alpha) -> np.ndarray:
+    residual = np.linalg.norm((x - u) @ basis.reshape(len(u), -1), axis=1)
+    return _logsumexp(np.clip(x @ weight.reshape(len(bias), -1).T + bias, -VIM_CLIP, VIM_CLIP)) - alpha[0] * residual
+
+
+def _mahalanobis(x: np.ndarray, mean, factor) -> np.ndarray:
+    return -np.linalg.norm((normalized(x) - mean) @ factor.reshape(len(mean), -1), axis=1)
+
+
+_KERNELS = {"react_energy": _react, "vim": _vim, "mahalanobis": _mahalanobis}
+
+
 @dataclass
 class ShiftScorerModel:
     """Fitted parameters as DataFrames (one row per cell) plus the training vectors for kNN."""
 
     keys: list[str]
     k_nearest: int
-    params: DataFrame
+    methods: tuple[str, ...]
+    params: DataFrame | None
     train: DataFrame
 
+    @property
+    def _feature_methods(self) -> list[str]:
+        return [m for m in _PARAMETERS if m in self.methods]
+
+    def _columns(self) -> list[str]:
+        return list(dict.fromkeys(c for m in self._feature_methods for c in _PARAMETERS[m]))
+
     def _feature_scores(self, samples: DataFrame, params: DataFrame) -> DataFrame:
-        cols = ["mean", "factor", "u", "basis", "weight", "bias", "scalars"]
-        table = params.withColumn("scalars", F.array("tau", "alpha"))
+        cols, methods = self._columns(), self._feature_methods
+        table = params.withColumns({c: F.array(c) for c in ("tau", "alpha") if c in cols})
         shared = samples.sparkSession.sparkContext.broadcast(collect_vectors(table, self.keys, cols))
 
-        @F.arrow_udf("struct<react_energy:double,vim:double,mahalanobis:double>")
+        @F.arrow_udf(f"struct<{','.join(f'{m}:double' for m in methods)}>")
         def score(vecs: pa.Array, cells: pa.Array) -> pa.Array:
-            out = np.empty((3, len(vecs)))
+            out = np.empty((len(methods), len(vecs)))
             for cell, rows in row_groups(cells):
-                mean, factor, u, basis, weight, bias, (tau, alpha) = shared.value[cell]
+                own = dict(zip(cols, shared.value[cell]))
                 x = matrix(vecs.take(pa.array(rows)))
-                w = weight.reshape(len(bias), -1)
-                out[0, rows] = _logsumexp(np.minimum(x, tau) @ w.T + bias)
-                residual = np.linalg.norm((x - u) @ basis.reshape(len(u), -1), axis=1)
-                out[1, rows] = _logsumexp(np.clip(x @ w.T + bias, -VIM_CLIP, VIM_CLIP)) - alpha * residual
-                white = (normalized(x) - mean) @ factor.reshape(len(mean), -1)
-                out[2, rows] = -np.linalg.norm(white, axis=1)
-            return pa.StructArray.from_arrays([pa.array(o) for o in out], names=["react_energy", "vim", "mahalanobis"])
+                for i, m in enumerate(methods):
+                    out[i, rows] = _KERNELS[m](x, *[own[c] for c in _PARAMETERS[m]])
+            return pa.StructArray.from_arrays([pa.array(o) for o in out], names=methods)
 
         return samples.withColumn("__f", score(F.col("feats"), cell_key(self.keys)))
 
     def wide(self, samples: DataFrame, with_knn: bool = True) -> DataFrame:
         """One column per method next to the input columns (feats and logits dropped)."""
-        parts = []
-        for own in parameter_chunks(self.params, self.keys, ["mean", "factor", "u", "basis", "weight", "bias"]):
-            some, params = (samples, self.params) if own is None else (samples.where(own), self.params.where(own))
-            parts.append(self._feature_scores(some, params))
-        scored = union_all(parts)
-        z = F.col("logits")
+        scored, found = samples, self._feature_methods
+        if found:
+            parts, cols = [], [c for c in self._columns() if c not in ("tau", "alpha")]
+            for own in parameter_chunks(self.params, self.keys, cols):
+                some, params = (samples, self.params) if own is None else (samples.where(own), self.params.where(own))
+                parts.append(self._feature_scores(some, params))
+            if len(parts) > 1:
+                nothing = without_fit(samples, self.params, self.keys, "__stop")
+                kind = parts[0].schema["__f"].dataType
+                parts.append(nothing.withColumn("__f", F.when(F.col("__stop").isNotNull(), F.lit(None)).cast(kind)).drop("__stop"))
+            scored = union_all(parts)
+        logit_scores = [_LOGIT_SCORES[m](F.col("logits")).alias(m) for m in METHODS if m in _LOGIT_SCORES and m in self.methods]
         out = scored.select(
             *[c for c in samples.columns if c not in ("feats", "logits")],
-            S.msp(z).alias("msp"),
-            S.energy(z).alias("energy"),
-            S.logit_norm(z).alias("logit_norm"),
-            F.col("__f.react_energy").alias("react_energy"),
-            F.col("__f.vim").alias("vim"),
-            F.col("__f.mahalanobis").alias("mahalanobis"),
+            *logit_scores,
+            *[F.col(f"__f.{m}").alias(m) for m in found],
         )
-        if not with_knn:
+        if not with_knn or "knn" not in self.methods:
             return out
         near = knn_distance(self.train, samples, self.keys, self.k_nearest).select(
             *self.keys, "sample_id", (-F.col("mean_distance")).alias("knn")
         )
-        return out.join(near, [*self.keys, "sample_id"])
+        return out.join(near, [*self.keys, "sample_id"], "left")
 
     def transform(self, samples: DataFrame, with_knn: bool = True) -> DataFrame:
         """Long scores: one row per sample and method."""
@@ -280,16 +320,39 @@ def _logsumexp(z: np.ndarray) -> np.ndarray:
 
 
 class ShiftScorer:
-    """Fits every score that needs training rows: covariance, clip level, residual space, neighbours."""
+    """Fits what the asked scores need: covariance, clip level, residual space, neighbours.
+
+    ``methods`` defaults to all seven. Without heads (a fit on features alone) the scores over logits and heads are
+    left out; asking for one of them by name is an error then.
+    """
 
-    def __init__(self, k_nearest: int = 50, react_percentile: float = REACT_PERCENTILE, vim_dim: int | None = None):
+    def __init__(
+        self,
+        k_nearest: int = 50,
+        react_percentile: float = REACT_PERCENTILE,
+        vim_dim: int | None = None,
+        methods: tuple[str, ...] | None = None,
+    ):
+        unknown = set(methods or ()) - set(METHODS)
+        if unknown:
+            raise ValueError(f"unknown methods {sorted(unknown)}")
         self.k_nearest = k_nearest
         self.react_percentile = react_percentile
         self.vim_dim = vim_dim
+        self.methods = methods
 
-    def fit(self, train: DataFrame, heads: DataFrame, keys: list[str]) -> ShiftScorerModel:
-        cov = ledoit_wolf(train, keys).select(*keys, "mean", "factor", "shrinkage", "condition")
-        tau = react_threshold(train, keys, p=self.react_percentile)
-        vim = fit_vim(train, heads, keys, self.vim_dim).select(*keys, "u", "basis", "alpha")
-        params = cut_lineage(cov.join(tau, keys).join(vim, keys).join(head_arrays(heads, keys), keys))
-        return ShiftScorerModel(keys, self.k_nearest, params, train)
+    def fit(self, train: DataFrame, heads: DataFrame | None, keys: list[str]) -> ShiftScorerModel:
+        methods = self.methods or (METHODS if heads is not None else FEATURE_ONLY)
+        if heads is None and set(methods) - set(FEATURE_ONLY):
+            raise ValueError(f"{sorted(set(methods) - set(FEATURE_ONLY))} need heads")
+        parts = []
+        if "mahalanobis" in methods:
+            parts.append(ledoit_wolf(train, keys).select(*keys, "mean", "factor", "shrinkage", "condition"))
+        if "react_energy" in methods:
+            parts.append(react_threshold(train, keys, p=self.react_percentile))
+        if "vim" in methods:
+            parts.append(fit_vim(train, heads, keys, self.vim_dim).select(*keys, "u", "basis", "alpha"))
+        if {"react_energy", "vim"} & set(methods):
+            parts.append(head_arrays(heads, keys))
+        params = cut_lineage(reduce(lambda x, y: x.join(y, keys), parts)) if parts else None
+        return ShiftScorerModel(keys, self.k_nearest, tuple(methods), params, train)

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.functions.draws import keyed_hash_np
-from driftgauge.operators.kernels import bounded_tasks, cell_key, key_fields, key_values, list_array, matrix, row_groups, typed, unit
+from driftgauge.functions.draws import keyed_hash_np, wide_hash_np
+from driftgauge.operators.kernels import cell_key, key_fields, key_values, list_array, matrix, row_groups, typed, unit
 from driftgauge.operators.ordered import prefix_sums, union_all
-from driftgauge.session import broadcast_bytes, cut_lineage
+from driftgauge.operators import kernels
+from driftgauge.session import cut_lineage
 
 SHUFFLE_ROUNDS = 16
 LABEL_BLOCK = 2_000_000
@@ -44,7 +45,7 @@ def shuffled_labels(idx: np.ndarray, n: int, n_id: int, reps: np.ndarray, seed:
     """
     x = np.repeat(np.asarray(idx, dtype=np.int64)[:, None], len(reps), axis=1)
     for r in range(SHUFFLE_ROUNDS):
-        k = keyed_hash_np(seed, reps, r) % n
+        k = wide_hash_np(seed, reps, r) % n
         mirror = (k[None, :] + n - x) % n
         bit = (keyed_hash_np(seed + 1, reps[None, :], np.full_like(x, r), np.maximum(x, mirror)) // 1024) % 2
         x = np.where(bit == 1, mirror, x)
@@ -96,7 +97,7 @@ def _class_sums(df: DataFrame, keys: list[str], reps: np.ndarray, seed: int) ->
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*names, "rep"]}, "s": [_sum_parts(pdf, "s")]})
 
-    return bounded_tasks(df).mapInArrow(partials, schema).groupBy(*keys, "rep").applyInPandas(merge, schema)
+    return df.mapInArrow(partials, schema).groupBy(*keys, "rep").applyInPandas(merge, schema)
 
 
 def silhouette_null(
@@ -122,7 +123,7 @@ def silhouette_null(
     # class sums of one block of replicates are broadcast: cells x replicates x d, size-checked
     shape = df.groupBy(*keys).agg(F.max(F.size(vec)).alias("d")).agg(F.count(F.lit(1)).alias("cells"), F.max("d").alias("d")).first()
     per_rep = 8 * max(1, shape["cells"]) * max(1, shape["d"] or 1)
-    width = max(1, broadcast_bytes(df.sparkSession) // per_rep - 2)
+    width = max(1, kernels.BROADCAST_BYTES // per_rep - 2)
     if n_perm > width:
         ready = cut_lineage(ready)
     blocks = [np.arange(lo, min(lo + width, n_perm + 1), dtype=np.int64) for lo in range(1, n_perm + 1, width)] or [np.arange(0)]
@@ -179,7 +180,7 @@ def _null_block(ready: DataFrame, keys: list[str], reps: np.ndarray, seed: int)
             }
         )
 
-    return bounded_tasks(ready).mapInArrow(partials, schema).groupBy(*keys).applyInPandas(merge, out)
+    return ready.mapInArrow(partials, schema).groupBy(*keys).applyInPandas(merge, out)
 
 
 def silhouette(df: DataFrame, keys: list[str], **kw) -> DataFrame:

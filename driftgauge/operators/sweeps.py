@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgauge.functions.draws import keyed_hash
 from driftgauge.operators.correlation import spearman
 from driftgauge.operators.moments import ledoit_wolf
-from driftgauge.operators.ordered import distribution, prefix_sums
-from driftgauge.operators.sampling import positions
+from driftgauge.operators.ordered import distribution
 from driftgauge.operators.scorer import mahalanobis_score
 from driftgauge.operators.separability import separability
 from driftgauge.session import cut_lineage
@@ -19,19 +18,30 @@ FIT_SIZES = (100, 500, 1000, 2500, 5000)
 N_DRAWS = 20
 
 
+def _first(train: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """Place 1..n of the first rows per key, found on the ids alone: no vector is sorted."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return train.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+
+
 def nested_subsets(train: DataFrame, keys: list[str], sizes: tuple[int, ...], sample_id: str = "sample_id", seed: int = 42) -> DataFrame:
-    """Training rows once per fit size that includes them (key ``n_train``); subsets are nested."""
-    placed = positions(train, keys, sample_id, seed)
-    wanted = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: F.col("pos") <= s)
-    return placed.withColumn("n_train", F.explode(wanted)).drop("pos", "group_size")
+    """Training rows once per fit size that includes them (key ``n_train``); subsets are nested.
+
+    A size larger than the cell's table has no rows.
+    """
+    ids = train.select(*keys, sample_id)
+    order = [keyed_hash(seed, F.col(sample_id)), F.col(sample_id)]
+    placed = _first(ids, keys, order, max(sizes)).join(ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys)
+    wanted = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: (F.col("pos") <= s) & (F.col("__n") >= s))
+    chosen = placed.select(*keys, sample_id, F.explode(wanted).alias("n_train"))
+    return train.join(chosen, [*keys, sample_id])
 
 
 def repeated_draws(train: DataFrame, keys: list[str], n_sub: int, n_draws: int, sample_id: str = "sample_id", seed: int = 42) -> DataFrame:
     """``n_draws`` independent samples of n_sub rows without replacement (key ``draw``)."""
-    reps = train.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    hashed = reps.withColumn("__h", keyed_hash(seed, F.col("draw"), F.col(sample_id)))
-    placed = prefix_sums(hashed, [*keys, "draw"], "__h", {"__one": F.lit(1).cast("bigint")}, tie=sample_id)
-    return placed.where(F.col("__one_before") < n_sub).drop("__one", "__one_before", "__one_total", "__h")
+    ids = train.select(*keys, sample_id).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    order = [keyed_hash(seed, F.col("draw"), F.col(sample_id)), F.col(sample_id)]
+    return train.join(_first(ids, [*keys, "draw"], order, n_sub).drop("pos"), [*keys, sample_id])
 
 
 def _evaluate(subsets: DataFrame, evaluation: DataFrame, keys: list[str], key: str) -> DataFrame:
@@ -49,12 +59,29 @@ def fit_size_ablation(train: DataFrame, evaluation: DataFrame, keys: list[str],
     return _evaluate(nested_subsets(train, keys, sizes, **kw), evaluation, keys, "n_train")
 
 
+REFIT_COLUMNS = (
+    "auroc_sub_mean", "auroc_sub_std", "auroc_sub_min", "auroc_sub_max",
+    "cond_prec_sub_mean", "cond_prec_sub_std", "shrinkage_sub_mean",
+)
+
+
 def subsample_refits(
     train: DataFrame, evaluation: DataFrame, keys: list[str], n_sub: int, n_draws: int = N_DRAWS, **kw
 ) -> DataFrame:
-    """Mean and sd of AUROC, conditioning and shrinkage over repeated subsample fits."""
-    per = _evaluate(repeated_draws(train, keys, n_sub, n_draws, **kw), evaluation, keys, "draw")
-    return per.groupBy(*keys).agg(
+    """The full fit, and mean and sd of AUROC, conditioning and shrinkage over repeated subsample fits.
+
+    A cell of at most ``n_sub`` training rows is not subsampled: the full fit stands for all draws.
+    """
+    full = cut_lineage(_evaluate(train.withColumn("__all", F.lit(0)), evaluation, keys, "__all")).select(
+        *keys,
+        F.col("n_fit").alias("n_full"),
+        F.col("auroc").alias("auroc_full"),
+        F.col("condition").alias("cond_prec_full"),
+        F.col("shrinkage").alias("shrinkage_full"),
+    )
+    large = full.where(F.col("n_full") > n_sub).select(*keys)
+    per = _evaluate(repeated_draws(train.join(large, keys, "left_semi"), keys, n_sub, n_draws, **kw), evaluation.join(large, keys, "left_semi"), keys, "draw")
+    drawn = per.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_draws"),
         F.avg("auroc").alias("auroc_sub_mean"),
         F.stddev_samp("auroc").alias("auroc_sub_std"),
@@ -64,6 +91,24 @@ def subsample_refits(
         F.stddev_samp("condition").alias("cond_prec_sub_std"),
         F.avg("shrinkage").alias("shrinkage_sub_mean"),
     )
+    instead = {"auroc": "auroc_full", "cond_prec": "cond_prec_full", "shrinkage": "shrinkage_full"}
+    subsampled = F.col("n_draws").isNotNull()
+
+    def value(name: str) -> Column:
+        full_value = F.lit(0.0) if name.endswith("_std") else F.col(instead[name.split("_sub_")[0]])
+        return F.when(subsampled, F.col(name)).otherwise(full_value).alias(name)
+
+    return full.join(drawn, keys, "left").select(
+        *keys,
+        "n_full",
+        "auroc_full",
+        "cond_prec_full",
+        "shrinkage_full",
+        subsampled.alias("subsampled"),
+        F.when(subsampled, F.lit(n_sub)).otherwise(F.col("n_full")).cast("long").alias("n_sub"),
+        F.coalesce("n_draws", F.lit(0)).cast("long").alias("n_draws"),
+        *[value(c) for c in REFIT_COLUMNS],
+    )
 
 
 def auroc_against_shared_id(id_rows: DataFrame, ood_rows: DataFrame, keys: list[str], cell: list[str], score: str = "score") -> DataFrame:

@@ -27,13 +27,13 @@ def exactly_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 
 
 def aligned_join(left: DataFrame, right: DataFrame, key: str, same: str) -> DataFrame:
-    """Inner join on the sample key that stops when the shared column disagrees."""
-    joined = left.join(right.withColumnRenamed(same, "__other"), key)
-    ok = F.when(
-        ~F.col(same).eqNullSafe(F.col("__other")),
-        F.raise_error(F.concat(F.lit("rows do not match for "), F.col(key).cast("string"))),
-    ).otherwise(F.lit(True))
-    return joined.where(ok).drop("__other")
+    """Join on the sample key that stops when a row has no partner or the shared column disagrees."""
+    l, r = left.withColumn("__left", F.lit(True)), right.withColumnRenamed(same, "__other").withColumn("__right", F.lit(True))
+    joined = l.join(r, key, "full")
+    paired = F.col("__left").isNotNull() & F.col("__right").isNotNull() & F.col(same).eqNullSafe(F.col("__other"))
+    name = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+    ok = F.when(~paired, F.raise_error(F.concat(F.lit("rows do not match for "), name))).otherwise(F.lit(True))
+    return joined.where(ok).drop("__other", "__left", "__right")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,7 +77,7 @@ def unpivot_prefixed(df: DataFrame, ids: list[str], prefix: str, names: str, val
     """``<prefix><name>`` columns to rows, NULLs dropped, legacy short names mapped."""
     cols = [c for c in df.columns if c.startswith(prefix)]
     long = df.unpivot(ids, cols, "__c", value).where(F.col(value).isNotNull())
-    name = F.substring(F.col("__c"), len(prefix) + 1, 1000)
+    name = F.substr(F.col("__c"), F.lit(len(prefix) + 1))
     if aliases:
         fixed = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
         name = F.coalesce(fixed[name], name)

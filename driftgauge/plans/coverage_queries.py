@@ -10,7 +10,8 @@ from driftgauge.plans import views as v
 from driftgauge.plans.rank_queries import CELLS_SQL, cells
 from driftgauge.plans.registry import query
 from driftgauge.plans.views import R, rounded
-from driftgauge.session import cut_lineage
+from driftgauge.session import cut_lineage, scratch_path
+from driftgauge.sources import writers
 
 KEYS = ["model", "protocol"]
 
@@ -137,6 +138,20 @@ def split_half_rows(spark, sf):
     return rounded(val.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), "mean_score")
 
 
+@query(
+    "frozen_group_split",
+    f"""WITH {v.ORDERS_SQL}, {_SPLIT_SQL} SELECT half, model, count(*) AS n, {R("avg(score)")} AS mean_score FROM scored JOIN split USING (group_id) GROUP BY half, model""",
+)
+def frozen_group_split(spark, sf):
+    """The split is written once; a later run with other rows finds it and deals nothing anew."""
+    rows = v.order_scores(spark, sf)
+    path = scratch_path(spark, "group-split")
+    writers.once(spark, path, lambda: sampling.group_split(rows, "group_id", "correct"))
+    split = writers.once(spark, path, lambda: sampling.group_split(rows.where("score > 0 and group_id % 2 = 0"), "group_id", "correct"))
+    dealt = sampling.apply_split(rows, split, "group_id")
+    return rounded(dealt.groupBy("half", "model").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), "mean_score")
+
+
 def _scope(s: str) -> str:
     where = "" if s == "full" else f" WHERE is_id OR half = '{s}'"
     return f"SELECT model, '{s}' AS scope, is_id, score, correct, sample_id FROM rows_{where}"

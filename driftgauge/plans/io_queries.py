@@ -37,23 +37,23 @@ def feature_bundle_roundtrip(spark, sf):
 
 @query(
     "score_table_glob",
-    f"""WITH {CELLS_SQL} SELECT 'F' AS domain, CASE backbone WHEN 'm0' THEN 'resnet18' WHEN 'm1' THEN 'efficientnet_v2_s' WHEN 'm2' THEN 'densenet121' END AS backbone, method, {R("auroc")} AS auroc
-FROM cells WHERE domain = 'F' AND backbone IN ('m0', 'm1', 'm2')""",
+    f"""WITH {CELLS_SQL} SELECT domain, CASE backbone WHEN 'm0' THEN 'resnet18' WHEN 'm1' THEN 'efficientnet_v2_s' WHEN 'm2' THEN 'densenet121' END AS backbone, method, {R("auroc")} AS auroc
+FROM cells WHERE backbone IN ('m0', 'm1', 'm2')""",
 )
 def score_table_glob(spark, sf):
-    """Per-backbone score CSVs under one folder; keys come from the file names, variants are dropped."""
+    """Per-backbone score CSVs, a folder per domain; keys come from the paths, variants are dropped."""
     path = scratch_path(spark, "scores")
     stems = {"m0": "resnet18", "m1": "efficientnet_v2_s_224", "m2": "densenet121", "m3": "resnet18_supcon", "m4": "vit_b_16", "m5": "effb3_224", "m6": "convnext_192", "m7": "efficientnet_v2_s"}
-    c = cells(spark, sf).where("domain = 'F'")
+    stem = F.create_map(*[F.lit(x) for kv in stems.items() for x in kv])[F.col("backbone")]
     null = F.lit(None).cast("double")
-    for model, stem in stems.items():  # one small table per backbone, as the layout demands
-        part = c.where(F.col("backbone") == model).select(
-            F.col("method").alias("Method"), F.col("auroc").alias("AUROC"), null.alias("FPR95"), null.alias("Threshold"),
-            null.alias("AUROC_CI_low"), null.alias("AUROC_CI_high"), null.alias("FPR95_CI_low"), null.alias("FPR95_CI_high"),
-        )
-        writers.write_csv(part.coalesce(1), f"{path}/{stem}_score_comparison.csv")
-    out = readers.scan_score_tables(spark, f"{path}/*_score_comparison.csv", "F")
-    return rounded(out.select("domain", "backbone", "method", "auroc"), "auroc")
+    parts = cells(spark, sf).select(
+        "domain", F.concat(stem, F.lit("_score_comparison.csv")).alias("file"), F.col("method").alias("Method"), F.col("auroc").alias("AUROC"),
+        null.alias("FPR95"), null.alias("Threshold"), null.alias("AUROC_CI_low"), null.alias("AUROC_CI_high"),
+        null.alias("FPR95_CI_low"), null.alias("FPR95_CI_high"),
+    )
+    writers.write_csv(parts, path, ["domain", "file"])
+    scans = [readers.scan_score_tables(spark, f"{path}/domain={d}/file=*_score_comparison.csv", d) for d in ("F", "O")]
+    return rounded(scans[0].unionByName(scans[1]).select("domain", "backbone", "method", "auroc"), "auroc")
 
 
 @query(
@@ -140,9 +140,10 @@ def train_meta_scan(spark, sf):
     li = v.table(spark, sf, "lineitem", "l_suppkey", "l_discount")
     acc = li.groupBy(F.concat(F.lit("m"), (F.col("l_suppkey") % 8).cast("string")).alias("backbone")).agg(F.avg("l_discount").alias("best_id_val_acc"))
     path = scratch_path(spark, "meta")
-    for b in ("m0", "m1", "m2"):  # the other backbones have no side file
-        writers.write_verdict(acc.where(F.col("backbone") == b).select("best_id_val_acc").coalesce(1), f"{path}/{b}_train_meta.json")
-    meta = readers.read_train_meta(spark, f"{path}/*_train_meta.json")
+    some = acc.where(F.col("backbone").isin("m0", "m1", "m2"))  # the other backbones have no side file
+    named = some.select(F.concat("backbone", F.lit("_train_meta.json")).alias("file"), "best_id_val_acc")
+    writers.write_verdict(named, path, ["file"])
+    meta = readers.read_train_meta(spark, f"{path}/file=*_train_meta.json")
     return rounded(acc.select("backbone").join(meta, "backbone", "left"), "id_acc")
 
 

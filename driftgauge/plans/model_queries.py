@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from driftgauge.functions import scores as S
 from driftgauge.functions.draws import keyed_hash_sql
 from driftgauge.operators import (
-    calibration, correlation, decisions, learners, moments, scorer, separability, sweeps, tables,
+    calibration, correlation, decisions, learners, moments, ranks, scorer, separability, sweeps, tables,
 )
 from driftgauge.operators.knn import knn_distance, knn_join
 from driftgauge.plans import views as v
 from driftgauge.plans.rank_queries import CELLS_SQL, cells
 from driftgauge.plans.registry import query
 from driftgauge.plans.views import R, r6, rounded
-from driftgauge.session import cut_lineage
+from driftgauge.session import cut_lineage, written_by
 
 KEYS = ["backbone"]
 
@@ -57,13 +57,12 @@ def feature_means(spark, sf):
 
 @query(
     "feature_covariance",
-    f"""WITH {v.SAMPLES_SQL}, e AS (SELECT backbone, split, sample_id, unnest(feats) AS x, generate_subscripts(feats, 1) AS i FROM samples WHERE backbone = 'b16')
-SELECT a.split, CAST((a.i - 1) * 16 + b.i - 1 AS INTEGER) AS cell, {R("covar_samp(a.x, b.x)")} AS cov FROM e a JOIN e b ON a.sample_id = b.sample_id GROUP BY a.split, a.i, b.i""",
+    f"""WITH {v.SAMPLES_SQL}, e AS (SELECT backbone, split, sample_id, len(feats) AS d, unnest(feats) AS x, generate_subscripts(feats, 1) AS i FROM samples)
+SELECT a.backbone, a.split, CAST((a.i - 1) * max(a.d) + b.i - 1 AS INTEGER) AS cell, {R("covar_samp(a.x, b.x)")} AS cov FROM e a JOIN e b ON a.backbone = b.backbone AND a.sample_id = b.sample_id GROUP BY a.backbone, a.split, a.i, b.i""",
 )
 def feature_covariance(spark, sf):
-    rows = v.samples(spark, sf).where("backbone = 'b16'")
-    cov = moments.mean_and_covariance(rows, ["split"])
-    return rounded(cov.select("split", F.posexplode("cov").alias("cell", "cov")), "cov")
+    cov = moments.mean_and_covariance(v.samples(spark, sf), ["backbone", "split"])
+    return rounded(cov.select("backbone", "split", F.posexplode("cov").alias("cell", "cov")), "cov")
 
 
 # Two-dimensional cells have closed forms, so the fitted scores get a SQL twin there.
@@ -140,7 +139,7 @@ _EVAL_SQL = f"""SELECT k.{{key}}, sample_id, split = 'id_val' AS is_id, -{_plane
 @query(
     "fit_size_plane",
     f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY {keyed_hash_sql(42, "sample_id")}, sample_id) AS pos FROM pu WHERE split = 'train'),
-tr AS (SELECT n_train, x, y FROM o JOIN (VALUES (50), (100), (200)) z(n_train) ON pos <= n_train), {_plane_fit_sql("tr", "n_train")},
+tr AS (SELECT n_train, x, y FROM o JOIN (VALUES (100), (500), (1000), (2500), (5000)) z(n_train) ON pos <= n_train AND n_train <= (SELECT count(*) FROM o)), {_plane_fit_sql("tr", "n_train")},
 scored AS ({_EVAL_SQL.format(key="n_train")}), {v.sep_sql("scored", "n_train")}
 SELECT CAST(sep.n_train AS INTEGER) AS n_train, {R("auroc")} AS auroc, {R("fpr95")} AS fpr95, {R("w")} AS shrinkage FROM sep JOIN k ON sep.n_train = k.n_train""",
 )
@@ -148,7 +147,7 @@ def fit_size_plane(spark, sf):
     """Refits on nested subsets, checked against closed forms in the plane."""
     rows = _plane(spark, sf)
     ev = rows.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
-    out = sweeps.fit_size_ablation(rows.where("split = 'train'"), ev, KEYS, (50, 100, 200))
+    out = sweeps.fit_size_ablation(rows.where("split = 'train'"), ev, KEYS)
     return rounded(out.select("n_train", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
 
 
@@ -157,20 +156,26 @@ _REFIT = {
     "cond_prec_sub_mean": "avg(cond)", "cond_prec_sub_std": "stddev_samp(cond)", "shrinkage_sub_mean": "avg(w)",
 }
 
+_REFIT_FULL = {n: "0.0::DOUBLE" if n.endswith("_std") else n.split("_sub_")[0] + "_full" for n in _REFIT}
+
 
 @query(
     "subsample_refits_plane",
     f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY {keyed_hash_sql(42, "draw", "sample_id")}, sample_id) AS pos
    FROM pu CROSS JOIN (SELECT unnest(range(0, 20)) AS draw) WHERE split = 'train'),
-tr AS (SELECT draw, x, y FROM o WHERE pos <= 120), {_plane_fit_sql("tr", "draw")}, scored AS ({_EVAL_SQL.format(key="draw")}), {v.auroc_sql("scored", "draw")}
-SELECT 'plane' AS backbone, count(*) AS n_draws, {", ".join(f"{R(e)} AS {n}" for n, e in _REFIT.items())} FROM au JOIN k ON au.draw = k.draw""",
+tr AS (SELECT draw, x, y FROM o WHERE pos <= 120 UNION ALL SELECT -1, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "draw")}, scored AS ({_EVAL_SQL.format(key="draw")}), {v.auroc_sql("scored", "draw")},
+j AS (SELECT au.draw, auroc, cond, w, n FROM au JOIN k ON au.draw = k.draw), f AS (SELECT n AS n_full, auroc AS auroc_full, cond AS cond_prec_full, w AS shrinkage_full FROM j WHERE draw = -1),
+sub AS (SELECT count(*) AS n_draws, {", ".join(f"{e} AS {n}" for n, e in _REFIT.items())} FROM j WHERE draw >= 0)
+SELECT 'plane' AS backbone, n_full, {R("auroc_full")} AS auroc_full, {R("cond_prec_full")} AS cond_prec_full, {R("shrinkage_full")} AS shrinkage_full, n_full > 120 AS subsampled,
+  CASE WHEN n_full > 120 THEN 120 ELSE n_full END AS n_sub, CASE WHEN n_full > 120 THEN n_draws ELSE 0 END AS n_draws,
+  {", ".join(f"{R(f'CASE WHEN n_full > 120 THEN {n} ELSE {i} END')} AS {n}" for n, i in _REFIT_FULL.items())} FROM f CROSS JOIN sub""",
 )
 def subsample_refits_plane(spark, sf):
     """Twenty refits on subsamples without replacement."""
     rows = _plane(spark, sf)
     ev = rows.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
     out = sweeps.subsample_refits(rows.where("split = 'train'"), ev, KEYS, n_sub=120)
-    return rounded(out, *_REFIT)
+    return rounded(out, "auroc_full", "cond_prec_full", "shrinkage_full", *_REFIT)
 
 
 @query("frechet_distance")
@@ -219,22 +224,22 @@ zm AS (SELECT *, max(z) OVER (PARTITION BY backbone, sample_id) AS m FROM z)
 SELECT backbone, sample_id, split, {R("max(m) + ln(sum(exp(z - m)))")} AS react_energy FROM zm GROUP BY backbone, sample_id, split""",
 )
 def react_energy(spark, sf):
-    return _scored(spark, sf).select("backbone", "sample_id", "split", r6(F.col("react_energy")).alias("react_energy"))
+    """Needs the clip level alone: the other fits are switched off."""
+    s = v.samples(spark, sf)
+    h = cut_lineage(v.heads(s))
+    model = scorer.ShiftScorer(methods=("react_energy",)).fit(s.where("split = 'train'"), h, KEYS)
+    return model.wide(s).select("backbone", "sample_id", "split", r6(F.col("react_energy")).alias("react_energy"))
 
 
-def _fitted(spark, sf, k=50):
+def _fitted(spark, sf, k=50, methods=None):
+    """Model and rows; the rows are written once by cell and split, so every fit reads its columns of its split."""
     s = v.samples(spark, sf)
     h = cut_lineage(v.heads(s))
-    rows = cut_lineage(scorer.linear_logits(s, h, KEYS))  # every fit below reads this table
-    model = scorer.ShiftScorer(k_nearest=k).fit(rows.where("split = 'train'"), h, KEYS)
+    rows = written_by(scorer.linear_logits(s, h, KEYS), *KEYS, "split")
+    model = scorer.ShiftScorer(k_nearest=k, methods=methods).fit(rows.where("split = 'train'"), h, KEYS)
     return model, rows
 
 
-def _scored(spark, sf, with_knn=False):
-    model, rows = _fitted(spark, sf)
-    return model.wide(rows.where("split <> 'train'") if with_knn else rows, with_knn)
-
-
 @query(
     "vim_plane",
     f"""WITH {_PLANE_SQL}, w AS (SELECT label AS class, 10.0::DOUBLE * avg(a) AS wa, 10.0::DOUBLE * avg(b) AS wb FROM plane WHERE split = 'train' GROUP BY label),
@@ -251,8 +256,66 @@ def vim_plane(spark, sf):
     s = _plane(spark, sf)
     h = cut_lineage(v.heads(s))
     rows = scorer.linear_logits(s, h, KEYS)
+    model = scorer.ShiftScorer(methods=("vim",)).fit(rows.where("split = 'train'"), h, KEYS)
+    return model.wide(rows).select("sample_id", "split", r6(F.col("vim")).alias("vim"))
+
+
+# --- the whole chain -----------------------------------------------------------------------
+
+# Every pair of dimensions is a rater of its own: 32 planes use all of the vector, and in a plane every fit has a closed form.
+_PLANES = 32
+_CHAIN_SQL = f"""
+pl AS (SELECT 'p' || lpad(CAST(k AS VARCHAR), 2, '0') AS backbone, vec_id AS sample_id, label,
+   CASE WHEN vec_id % 5 IN (0, 3, 4) THEN CASE WHEN (vec_id // 5) % 10 = 0 THEN 'id_val' ELSE 'train' END WHEN vec_id % 5 = 1 THEN 'near' ELSE 'far' END AS split,
+   CAST(embedding[2 * k + 1] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN {v.SHIFT}::DOUBLE ELSE 0.0::DOUBLE END AS a,
+   CAST(embedding[2 * k + 2] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN {v.SHIFT}::DOUBLE ELSE 0.0::DOUBLE END AS b FROM embeddings CROSS JOIN (SELECT unnest(range(0, {_PLANES})) AS k)),
+pu AS (SELECT *, a / (sqrt(a * a + b * b) + 1e-8::DOUBLE) AS x, b / (sqrt(a * a + b * b) + 1e-8::DOUBLE) AS y FROM pl),
+w AS (SELECT backbone, label AS class, {v.HEAD_SCALE}::DOUBLE * avg(a) AS wa, {v.HEAD_SCALE}::DOUBLE * avg(b) AS wb FROM pl WHERE split = 'train' GROUP BY ALL),
+tau AS (SELECT backbone, quantile_cont(e, 0.9) AS tau FROM (SELECT backbone, a AS e FROM pl WHERE split = 'train' UNION ALL SELECT backbone, b FROM pl WHERE split = 'train') GROUP BY backbone),
+z AS (SELECT pl.backbone, sample_id, split, a, b, a * wa + b * wb AS z, least(a, tau) * wa + least(b, tau) * wb AS zc FROM pl JOIN w ON pl.backbone = w.backbone JOIN tau ON tau.backbone = pl.backbone),
+zm AS (SELECT *, max(z) OVER (PARTITION BY backbone, sample_id) AS m, max(zc) OVER (PARTITION BY backbone, sample_id) AS mc FROM z),
+gg AS (SELECT backbone, avg(a * a) AS aa, avg(a * b) AS ab, avg(b * b) AS bb FROM pl WHERE split = 'train' GROUP BY backbone),
+gl AS (SELECT *, (aa + bb) / 2 - sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS lo FROM gg),
+ge AS (SELECT backbone, ab / sqrt(ab * ab + (lo - aa) * (lo - aa)) AS va, (lo - aa) / sqrt(ab * ab + (lo - aa) * (lo - aa)) AS vb FROM gl),
+lg AS (SELECT backbone, sample_id, any_value(split) AS split, 1.0 / sum(exp(z - m)) AS msp, max(m) + ln(sum(exp(z - m))) AS energy, sqrt(sum(z * z)) AS logit_norm,
+   max(mc) + ln(sum(exp(zc - mc))) AS react_energy, max(m) AS top, any_value(a) AS a, any_value(b) AS b FROM zm GROUP BY backbone, sample_id),
+rs AS (SELECT lg.*, abs(a * va + b * vb) AS res FROM lg JOIN ge ON ge.backbone = lg.backbone),
+al AS (SELECT backbone, avg(top) / (avg(res) + 1e-12::DOUBLE) AS alpha FROM rs WHERE split = 'train' GROUP BY backbone),
+tr AS (SELECT backbone, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "backbone")},
+ma AS (SELECT pu.backbone, sample_id, -{_plane_distance("x - mx", "y - my")} AS mahalanobis FROM pu JOIN k ON k.backbone = pu.backbone),
+nu AS (SELECT backbone, sample_id, split, a / sqrt(a * a + b * b) AS x, b / sqrt(a * a + b * b) AS y FROM pl),
+nd AS (SELECT q.backbone, q.sample_id, t.sample_id AS t, greatest(0.0::DOUBLE, 1.0::DOUBLE - (q.x * t.x + q.y * t.y)) AS d FROM nu q JOIN nu t ON q.backbone = t.backbone WHERE q.split <> 'train' AND t.split = 'train'),
+nr AS (SELECT *, row_number() OVER (PARTITION BY backbone, sample_id ORDER BY d, t) AS rn FROM nd),
+kn AS (SELECT backbone, sample_id, -avg(d) AS knn FROM nr WHERE rn <= 50 GROUP BY backbone, sample_id),
+wide AS (SELECT rs.backbone, rs.sample_id, rs.split, msp, energy, logit_norm, react_energy, energy - alpha * res AS vim, mahalanobis, knn
+   FROM rs JOIN al ON al.backbone = rs.backbone JOIN ma ON ma.backbone = rs.backbone AND ma.sample_id = rs.sample_id JOIN kn ON kn.backbone = rs.backbone AND kn.sample_id = rs.sample_id),
+long AS (SELECT domain, backbone, is_id, method, round(score, 9) AS score FROM (SELECT d.domain, wide.*, split = 'id_val' AS is_id FROM wide JOIN (VALUES ('near'), ('far')) d(domain) ON split = 'id_val' OR split = d.domain)
+   UNPIVOT (score FOR method IN (msp, energy, logit_norm, react_energy, vim, mahalanobis, knn)))"""
+
+
+@query(
+    "w_from_vectors",
+    f"""WITH {_CHAIN_SQL}, {v.auroc_sql("long", "domain, backbone, method")}, {v.ranks_sql("au", "domain, backbone")}, {v.w_sql("rk", "domain")},
+loo AS (SELECT r.*, h.held_out FROM rk r JOIN (SELECT DISTINCT domain, backbone AS held_out FROM au) h ON r.domain = h.domain AND r.backbone <> h.held_out), {v.w_sql("loo", "domain, held_out", name="lw")}
+SELECT domain, '(none)' AS held_out, n_raters, {R("kendall_w")} AS kendall_w, {R("0.0")} AS delta_vs_full FROM kw
+UNION ALL SELECT l.domain, held_out, l.n_raters, {R("l.kendall_w")}, {R("l.kendall_w - k.kendall_w")} FROM lw l JOIN kw k ON l.domain = k.domain""",
+)
+def w_from_vectors(spark, sf):
+    """Vectors to seven scores to AUROC to Kendall's W over 32 raters, and W without each rater."""
+    s = v.samples(spark, sf).where("backbone = 'b64'")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(_PLANES - 1)), lambda i: F.struct(i.alias("i"), F.slice("feats", 2 * i + 1, 2).alias("f")))
+    planes = s.withColumn("p", F.explode(pairs)).withColumns(
+        {"backbone": F.concat(F.lit("p"), F.lpad(F.col("p.i").cast("string"), 2, "0")), "feats": F.col("p.f")}
+    ).drop("p")
+    planes = written_by(planes, *KEYS, "split")
+    h = cut_lineage(v.heads(planes))
+    rows = scorer.linear_logits(planes, h, KEYS)
     model = scorer.ShiftScorer().fit(rows.where("split = 'train'"), h, KEYS)
-    return model.wide(rows, with_knn=False).select("sample_id", "split", r6(F.col("vim")).alias("vim"))
+    long = model.transform(rows.where("split <> 'train'")).withColumn("score", F.round("score", 9))
+    cell = cut_lineage(separability.auroc(v.by_domain(long), ["domain", "backbone", "method"]))
+    full = ranks.kendall_w(cell, ["domain"], ["backbone"], "method", "auroc")
+    full = full.select("domain", F.lit("(none)").alias("held_out"), "n_raters", "kendall_w", F.lit(0.0).alias("delta_vs_full"))
+    return rounded(full.unionByName(ranks.jackknife_w(cell, ["domain"], "backbone", "method", "auroc")), "kendall_w", "delta_vs_full")
 
 
 # --- neighbours ---------------------------------------------------------------------------
@@ -326,15 +389,15 @@ def _evaluation(spark, sf):
 @query("fit_size_ablation")
 def fit_size_ablation(spark, sf):
     """Nested training subsets, one covariance fit per size."""
-    out = sweeps.fit_size_ablation(_train(spark, sf), _evaluation(spark, sf), KEYS, (100, 500, 1000))
+    out = sweeps.fit_size_ablation(_train(spark, sf), _evaluation(spark, sf), KEYS)
     return rounded(out.select("backbone", "n_train", "n_fit", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
 
 
 @query("subsample_refits")
 def subsample_refits(spark, sf):
     """Repeated subsample fits: mean and sd of AUROC, conditioning and shrinkage."""
-    out = sweeps.subsample_refits(_train(spark, sf), _evaluation(spark, sf), KEYS, n_sub=150, n_draws=5)
-    return rounded(out, *[c for c in out.columns if c not in ("backbone", "n_draws")])
+    out = sweeps.subsample_refits(_train(spark, sf), _evaluation(spark, sf), KEYS, n_sub=150)
+    return rounded(out, *[c for c in out.columns if c not in ("backbone", "n_full", "subsampled", "n_sub", "n_draws")])
 
 
 @query("linear_probe")

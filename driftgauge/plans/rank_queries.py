@@ -96,6 +96,24 @@ def kendall_w_incomplete_raters(spark, sf):
     return rounded(ranks.kendall_w(holes, ["domain"], ["backbone"], "method", "auroc"), "kendall_w", "friedman_chi2")
 
 
+@query(
+    "kendall_w_null_cells",
+    f"""WITH {CELLS_SQL}, votes AS (SELECT * FROM cells WHERE NOT (backbone = 'm3' AND method = 'knn' AND domain = 'F') AND NOT (backbone = 'm1' AND method = 'msp')),
+full_r AS (SELECT h.* FROM votes h JOIN (SELECT domain, backbone FROM votes GROUP BY ALL HAVING count(*) = 5) f USING (domain, backbone)),
+{v.ranks_sql("full_r", "domain, backbone")}, {v.w_sql("rk", "domain")}
+SELECT domain, {_W_COLS} FROM kw""",
+)
+def kendall_w_null_cells(spark, sf):
+    """A rater with a NULL or NaN score does not vote."""
+    score = (
+        F.when((F.col("backbone") == "m3") & (F.col("method") == "knn") & (F.col("domain") == "F"), F.lit(None).cast("double"))
+        .when((F.col("backbone") == "m1") & (F.col("method") == "msp"), F.lit(float("nan")))
+        .otherwise(F.col("auroc"))
+    )
+    holes = cells(spark, sf).withColumn("auroc", score)
+    return rounded(ranks.kendall_w(holes, ["domain"], ["backbone"], "method", "auroc"), "kendall_w", "friedman_chi2")
+
+
 @query(
     "kendall_w_jackknife",
     f"""WITH {CELLS_SQL}, {v.ranks_sql("cells", "domain, backbone")}, {v.w_sql("rk", "domain")},
@@ -167,7 +185,7 @@ FROM holes GROUP BY ALL HAVING count(*) = 5""",
 def complete_matrix(spark, sf):
     """Long table to matrix, complete rows only."""
     holes = cells(spark, sf).where("not (backbone in ('m1', 'm6') and method = 'energy')")
-    full = ranks.complete_raters(holes, ["domain"], ["backbone"], "method")
+    full = ranks.complete_raters(holes, ["domain"], ["backbone"], "method", "auroc")
     wide = full.groupBy("domain", "backbone").pivot("method", list(v.ZOO_METHODS)).agg(F.first("auroc"))
     return rounded(wide, *v.ZOO_METHODS)
 

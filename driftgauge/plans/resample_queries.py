@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftgauge.functions.draws import MODULUS, keyed_hash_sql, poisson_weight_sql
+from driftgauge.functions.draws import MODULUS, keyed_hash_sql, poisson_weight_sql, wide_hash_sql
 from driftgauge.functions.scores import correct, msp
 from driftgauge.operators import bootstrap, dispersion, ranks, resample, separability, silhouette, sweeps
 from driftgauge.operators.silhouette import SHUFFLE_ROUNDS
@@ -16,9 +16,9 @@ from driftgauge.plans.views import R, rounded
 from driftgauge.session import cut_lineage
 
 SEED = 42
-# Replicates of the registered queries; the operators default to 1000 and 10000.
-REPS = 100
-PERMS = 200
+# The published numbers of replicates and permutations.
+REPS = resample.N_BOOTSTRAP
+PERMS = resample.N_PERMUTATIONS
 
 
 def _poisson_sql(src: str, name: str, reps: int = REPS, sid: str = "sample_id") -> str:
@@ -65,7 +65,7 @@ def bootstrap_separability(spark, sf):
 _DRAWS_SQL = f"""
 pool AS (SELECT domain, backbone, is_id, sample_id, row_number() OVER (PARTITION BY domain, backbone, is_id ORDER BY sample_id) - 1 AS pos,
            count(*) OVER (PARTITION BY domain, backbone, is_id) AS size FROM (SELECT DISTINCT domain, backbone, is_id, sample_id FROM scored)),
-drawn AS (SELECT domain, backbone, is_id, rep, {keyed_hash_sql(SEED, "rep", "pos")} % size AS pos, count(*) AS weight
+drawn AS (SELECT domain, backbone, is_id, rep, {wide_hash_sql(SEED, "rep", "pos")} % size AS pos, count(*) AS weight
           FROM pool CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep) GROUP BY ALL),
 w AS (SELECT s.domain, s.backbone, s.method, s.is_id, s.score, d.rep, d.weight FROM drawn d
       JOIN pool p ON p.domain = d.domain AND p.backbone = d.backbone AND p.is_id = d.is_id AND p.pos = d.pos
@@ -186,14 +186,14 @@ def bootstrap_spread(spark, sf):
 
 @query(
     "bootstrap_spearman",
-    f"""WITH {v.EVENTS_SQL}, s AS (SELECT stratum, sample_id, user_id, score FROM scored), {_poisson_sql("s", "w", 20)}, cp AS (SELECT w.* FROM w {_COPIES}),
+    f"""WITH {v.EVENTS_SQL}, s AS (SELECT stratum, sample_id, user_id, score FROM scored), {_poisson_sql("s", "w")}, cp AS (SELECT w.* FROM w {_COPIES}),
 k AS (SELECT stratum, rep, rank() OVER (PARTITION BY stratum, rep ORDER BY user_id) + (count(*) OVER (PARTITION BY stratum, rep, user_id) - 1) / 2.0::DOUBLE AS a,
         rank() OVER (PARTITION BY stratum, rep ORDER BY score) + (count(*) OVER (PARTITION BY stratum, rep, score) - 1) / 2.0::DOUBLE AS b FROM cp),
 c AS (SELECT stratum, rep, corr(a, b) AS rho FROM k GROUP BY ALL)
 SELECT stratum, {_ci("rho")} FROM c GROUP BY stratum""",
 )
 def bootstrap_spearman(spark, sf):
-    reps = bootstrap.bootstrap_spearman(v.event_scores(spark, sf), ["stratum"], "sample_id", "user_id", "score", 20, SEED)
+    reps = bootstrap.bootstrap_spearman(v.event_scores(spark, sf), ["stratum"], "sample_id", "user_id", "score", REPS, SEED)
     return rounded(resample.percentile_ci(reps, ["stratum"], ["rho"]), "rho_ci_low", "rho_ci_high")
 
 
@@ -281,8 +281,9 @@ def _eval_vectors(spark, sf):
     return v.by_domain(v.samples(spark, sf))
 
 
-_PAIR_SQL = f"""{v.SAMPLES_SQL}, ev AS (SELECT d.domain, s.backbone, s.sample_id, s.split = 'id_val' AS is_id, list_transform(feats, lambda x: x / sqrt(list_dot_product(feats, feats))) AS u
-  FROM samples s JOIN (VALUES ('near'), ('far')) d(domain) ON s.split = 'id_val' OR s.split = d.domain),
+_EV_SQL = f"""{v.SAMPLES_SQL}, ev AS (SELECT d.domain, s.backbone, s.sample_id, s.split = 'id_val' AS is_id, list_transform(feats, lambda x: x / sqrt(list_dot_product(feats, feats))) AS u
+  FROM samples s JOIN (VALUES ('near'), ('far')) d(domain) ON s.split = 'id_val' OR s.split = d.domain)"""
+_PAIR_SQL = f"""{_EV_SQL},
 pr AS (SELECT a.domain, a.backbone, a.sample_id AS a, b.sample_id AS b, 1.0::DOUBLE - list_dot_product(a.u, b.u) AS dist FROM ev a JOIN ev b ON a.domain = b.domain AND a.backbone = b.backbone AND a.sample_id <> b.sample_id)"""
 
 
@@ -297,11 +298,11 @@ def cosine_silhouette(spark, sf):
     return rounded(silhouette.silhouette(_eval_vectors(spark, sf), ["domain", "backbone"]), "feature_silhouette_cosine")
 
 
-_S_PERMS = 10
+_S_PERMS = resample.N_BOOTSTRAP
 
 
 def _round_sql(r: int) -> str:
-    k = f"({keyed_hash_sql(SEED, 'rep', str(r))} % n)"
+    k = f"({wide_hash_sql(SEED, 'rep', str(r))} % n)"
     mirror = f"(({k} + n - x) % n)"
     bit = f"(({keyed_hash_sql(SEED + 1, 'rep', str(r), 'top')} // 1024) % 2)"
     before = f"sw{r - 1}" if r else "sw_start"
@@ -313,19 +314,26 @@ sw{r} AS (SELECT domain, backbone, sample_id, rep, n, n_id, CASE WHEN {bit} = 1
 
 @query(
     "silhouette_permutation",
-    f"""WITH {_PAIR_SQL}, sw_1 AS (SELECT domain, backbone, sample_id, is_id, row_number() OVER (PARTITION BY domain, backbone ORDER BY sample_id) - 1 AS x, count(*) OVER (PARTITION BY domain, backbone) AS n,
+    f"""WITH {_EV_SQL}, sw_1 AS (SELECT domain, backbone, sample_id, is_id, row_number() OVER (PARTITION BY domain, backbone ORDER BY sample_id) - 1 AS x, count(*) OVER (PARTITION BY domain, backbone) AS n,
    count(*) FILTER (is_id) OVER (PARTITION BY domain, backbone) AS n_id FROM ev),
 sw_start AS (SELECT domain, backbone, sample_id, rep, n, n_id, x FROM sw_1 CROSS JOIN (SELECT unnest(range(1, {_S_PERMS + 1})) AS rep)),
 {", ".join(_round_sql(r) for r in range(SHUFFLE_ROUNDS))},
 lab AS (SELECT domain, backbone, sample_id, rep, x < n_id AS is_id FROM sw{SHUFFLE_ROUNDS - 1} UNION ALL SELECT domain, backbone, sample_id, 0 AS rep, is_id FROM ev),
-m AS (SELECT p.domain, p.backbone, x.rep, p.a, avg(dist) FILTER (x.is_id = y.is_id) AS own, avg(dist) FILTER (x.is_id <> y.is_id) AS other FROM pr p
-  JOIN lab x ON x.domain = p.domain AND x.backbone = p.backbone AND x.sample_id = p.a JOIN lab y ON y.domain = p.domain AND y.backbone = p.backbone AND y.sample_id = p.b AND x.rep = y.rep GROUP BY p.domain, p.backbone, x.rep, p.a),
+lu AS (SELECT l.domain, l.backbone, l.rep, l.is_id, e.u FROM lab l JOIN ev e ON e.domain = l.domain AND e.backbone = l.backbone AND e.sample_id = l.sample_id),
+dims AS (SELECT domain, backbone, rep, is_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM lu),
+cs AS (SELECT domain, backbone, rep, list(si ORDER BY i) AS s_id, list(so ORDER BY i) AS s_ood
+  FROM (SELECT domain, backbone, rep, i, sum(CASE WHEN is_id THEN x ELSE 0.0::DOUBLE END) AS si, sum(CASE WHEN is_id THEN 0.0::DOUBLE ELSE x END) AS so FROM dims GROUP BY ALL) GROUP BY domain, backbone, rep),
+cn AS (SELECT domain, backbone, count(*) FILTER (is_id) AS n_id, count(*) FILTER (NOT is_id) AS n_ood FROM ev GROUP BY ALL),
+m AS (SELECT lu.domain, lu.backbone, lu.rep,
+   CASE WHEN is_id THEN (n_id - list_dot_product(u, s_id)) / (n_id - 1) ELSE (n_ood - list_dot_product(u, s_ood)) / (n_ood - 1) END AS own,
+   CASE WHEN is_id THEN 1 - list_dot_product(u, s_ood) / n_ood ELSE 1 - list_dot_product(u, s_id) / n_id END AS other
+  FROM lu JOIN cs ON cs.domain = lu.domain AND cs.backbone = lu.backbone AND cs.rep = lu.rep JOIN cn ON cn.domain = lu.domain AND cn.backbone = lu.backbone),
 s AS (SELECT domain, backbone, rep, avg((other - own) / greatest(other, own)) AS s FROM m GROUP BY ALL), o AS (SELECT * FROM s WHERE rep = 0)
 SELECT s.domain, s.backbone, {R("max(o.s)")} AS feature_silhouette_cosine, {R("(count(*) FILTER (s.s >= o.s) + 1) / (count(*) + 1)")} AS silhouette_perm_p_value,
   {R("avg(s.s)")} AS silhouette_perm_null_mean, {R("stddev_pop(s.s)")} AS silhouette_perm_null_std FROM s JOIN o ON s.domain = o.domain AND s.backbone = o.backbone WHERE s.rep > 0 GROUP BY s.domain, s.backbone""",
 )
 def silhouette_permutation(spark, sf):
-    """Label-permutation null of the silhouette; the SQL twin permutes the same labels over all pairs."""
+    """Label-permutation null of the silhouette; the twin of ``cosine_silhouette`` walks all pairs, this one sums classes."""
     out = silhouette.silhouette_test(_eval_vectors(spark, sf), ["domain", "backbone"], _S_PERMS, seed=SEED)
     return rounded(out, "feature_silhouette_cosine", "silhouette_perm_p_value", "silhouette_perm_null_mean", "silhouette_perm_null_std")
 

@@ -132,12 +132,12 @@ def bulk_float_auroc(spark, sf):
 
 @query(
     "pooled_domain_auroc",
-    f"""WITH {v.BULK_SQL}, pooled AS (SELECT * FROM bulk WHERE method = 'price'), {v.auroc_sql("pooled", "method, backbone")}
+    f"""WITH {v.BULK_SQL}, {v.auroc_sql("bulk", "method, backbone")}
 SELECT method, backbone, {R("auroc")} AS auroc, n_id, n_ood FROM au""",
 )
 def pooled_domain_auroc(spark, sf):
     """Several shifted sources as one: rows are pooled before the metric, never averaged after."""
-    rows = v.bulk_scores(spark, sf).where("method = 'price'")
+    rows = v.bulk_scores(spark, sf)
     parts = rows.where("domain = 'F'").unionByName(rows.where("domain = 'O'"))
     out = separability.separability(parts, ["method", "backbone"])
     return rounded(out, "auroc").select("method", "backbone", "auroc", "n_id", "n_ood")
@@ -415,6 +415,40 @@ def spearman_by_group(spark, sf):
     return rounded(correlation.spearman(rows, ["domain", "model"], "x", "y"), "rho")
 
 
+_HOLES = "CASE WHEN l_orderkey % 7 = 3 THEN NULL ELSE l_quantity END AS x, CASE WHEN l_linenumber = 4 THEN NULL ELSE l_extendedprice END AS y"
+
+
+def _with_holes(spark, sf):
+    li = v.table(spark, sf, "lineitem", "l_linestatus", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return li.select(
+        F.col("l_linestatus").alias("domain"),
+        (F.col("l_suppkey") % 8).alias("model"),
+        F.when(F.col("l_orderkey") % 7 != 3, F.col("l_quantity")).alias("x"),
+        F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice")).alias("y"),
+    )
+
+
+@query(
+    "pearson_with_nulls",
+    f"""SELECT domain, model, {R("corr(x, y)")} AS r, count(*) AS n FROM (SELECT l_linestatus AS domain, l_suppkey % 8 AS model, {_HOLES} FROM lineitem)
+WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL""",
+)
+def pearson_with_nulls(spark, sf):
+    """Complete pairs only, in the deviations and the count too."""
+    return rounded(correlation.pearson(_with_holes(spark, sf), ["domain", "model"], "x", "y"), "r")
+
+
+@query(
+    "spearman_with_nulls",
+    f"""WITH s AS (SELECT * FROM (SELECT l_linestatus AS domain, l_suppkey % 8 AS model, {_HOLES} FROM lineitem) WHERE x IS NOT NULL AND y IS NOT NULL),
+k AS (SELECT domain, model, {_avg_rank_sql("domain, model", "x")} AS rx, {_avg_rank_sql("domain, model", "y")} AS ry FROM s)
+SELECT domain, model, {R("corr(rx, ry)")} AS rho, count(*) AS n FROM k GROUP BY ALL""",
+)
+def spearman_with_nulls(spark, sf):
+    """Ranks are taken among complete pairs."""
+    return rounded(correlation.spearman(_with_holes(spark, sf), ["domain", "model"], "x", "y"), "rho")
+
+
 @query("correlation_p_values")
 def correlation_p_values(spark, sf):
     """Pearson with two-sided Student-t p-values (no t distribution in SQL; tests check known values)."""

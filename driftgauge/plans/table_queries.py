@@ -52,6 +52,18 @@ def image_names(spark, sf):
     return v.table(spark, sf, "pages", "page_id", "url").select("page_id", L.with_extension(F.col("url")).alias("image"))
 
 
+@query(
+    "image_names_png_only",
+    """SELECT page_id, CASE WHEN lower(name) LIKE '%.png' THEN name ELSE name || '.png' END AS image
+FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' ELSE '' END AS name FROM pages)""",
+)
+def image_names_png_only(spark, sf):
+    """The coded table's rule: only PNG counts as an image name."""
+    p = v.table(spark, sf, "pages", "page_id", "url")
+    tail = F.when(F.col("page_id") % 3 == 0, ".PNG").when(F.col("page_id") % 3 == 1, ".jpg").otherwise("")
+    return p.select("page_id", L.with_extension(F.concat("url", tail), known=(".png",)).alias("image"))
+
+
 @query(
     "source_flags",
     """SELECT source, CASE WHEN regexp_matches(source, '(?i)PAD|UFES|ood') THEN 'OOD' ELSE 'ID' END AS flag, count(*) AS n
@@ -143,9 +155,10 @@ def anti_join_external(spark, sf):
     """SELECT l.doc_id, quality, lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
 )
 def aligned_join(spark, sf):
-    """Equi-join on the sample key; a shared column that disagrees stops the job."""
+    """Equi-join on the sample key; a missing partner or a shared column that disagrees stops the job."""
     lab = v.table(spark, sf, "labels", "doc_id", "quality").withColumn("parity", F.col("doc_id") % 2)
     doc = v.table(spark, sf, "documents", "doc_id", "lang").withColumn("parity", F.col("doc_id") % 2)
+    doc = doc.join(lab.select("doc_id"), "doc_id", "left_semi")
     return tables.aligned_join(lab, doc, "doc_id", "parity").select("doc_id", "quality", "lang")
 
 
@@ -315,20 +328,19 @@ def min_max_mean(spark, sf):
 
 @query(
     "channel_shift",
-    f"""WITH {v.SAMPLES_SQL}, e AS (SELECT split, unnest(feats) AS x, generate_subscripts(feats, 1) - 1 AS i FROM samples WHERE backbone = 'b64' AND split IN ('id_val', 'far')),
-c AS (SELECT i // 16 AS layer, i % 16 AS channel, avg(x) FILTER (split = 'id_val') AS a, avg(x) FILTER (split = 'far') AS b FROM e GROUP BY ALL),
-l AS (SELECT layer, sqrt(avg((b - a) * (b - a))) / sqrt(avg(a * a) + 1e-12::DOUBLE) AS s FROM c GROUP BY layer)
-SELECT 'b64' AS backbone, {R("avg(s)")} AS bn_shift, count(*) AS n_bn_layers FROM l""",
+    f"""WITH {v.SAMPLES_SQL}, e AS (SELECT backbone, split, unnest(feats) AS x, generate_subscripts(feats, 1) - 1 AS i FROM samples WHERE split <> 'train'),
+c AS (SELECT domain, backbone, i // 16 AS layer, i % 16 AS channel, avg(x) FILTER (split = 'id_val') AS a, avg(x) FILTER (split = domain) AS b FROM e CROSS JOIN (VALUES ('near'), ('far')) d(domain) GROUP BY ALL),
+l AS (SELECT domain, backbone, layer, sqrt(avg((b - a) * (b - a))) / sqrt(avg(a * a) + 1e-12::DOUBLE) AS s FROM c GROUP BY ALL)
+SELECT domain, backbone, {R("avg(s)")} AS bn_shift, count(*) AS n_bn_layers FROM l GROUP BY ALL""",
 )
 def channel_shift(spark, sf):
     """Partial sums per (split, layer, channel) to the layer-averaged standardised shift."""
-    rows = v.samples(spark, sf).where("backbone = 'b64' and split in ('id_val', 'far')")
-    side = F.when(F.col("split") == "id_val", "ID").otherwise("OOD")
-    flat = rows.select("backbone", side.alias("split"), F.posexplode("feats").alias("i", "x"))
-    sums = flat.groupBy("backbone", "split", F.floor(F.col("i") / 16).alias("layer"), (F.col("i") % 16).alias("channel")).agg(
+    side = F.when(F.col("is_id"), "ID").otherwise("OOD")
+    flat = v.by_domain(v.samples(spark, sf)).select("domain", "backbone", side.alias("split"), F.posexplode("feats").alias("i", "x"))
+    sums = flat.groupBy("domain", "backbone", "split", F.floor(F.col("i") / 16).alias("layer"), (F.col("i") % 16).alias("channel")).agg(
         F.sum("x").alias("sum"), F.count(F.lit(1)).cast("double").alias("n")
     )
-    return rounded(tables.channel_shift(sums, ["backbone"]), "bn_shift")
+    return rounded(tables.channel_shift(sums, ["domain", "backbone"]), "bn_shift")
 
 
 # --- crop manifest -------------------------------------------------------------------------

@@ -1,24 +1,18 @@
-"""Session helpers: local sessions for tests and benches, checkpoints, sizing knobs."""
+"""Session helpers: local sessions for tests and benches, the shared folder, written tables."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows one task may sort or window comfortably; larger inputs are range-bucketed.
-ROWS_PER_TASK_CONF = "spark.driftgauge.rowsPerTask"
-ROWS_PER_TASK_DEFAULT = 4_000_000
-# Upper bound for anything that is broadcast by hand (fitted parameters, train blocks).
-BROADCAST_BYTES_CONF = "spark.driftgauge.broadcastBytes"
-BROADCAST_BYTES_DEFAULT = 512 * 1024 * 1024
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def local_session(app: str = "driftgauge", cpus: str | int = "*") -> SparkSession:
+def local_session(app: str = "driftgauge", cpus: str | int = "*", checkpoint_dir: str | None = None) -> SparkSession:
     parts = str(os.cpu_count() or 8) if cpus == "*" else str(cpus)
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", parts)
@@ -27,30 +21,26 @@ def local_session(app: str = "driftgauge", cpus: str | int = "*") -> SparkSessio
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
-
-
-def rows_per_task(spark: SparkSession) -> int:
-    return int(spark.conf.get(ROWS_PER_TASK_CONF, str(ROWS_PER_TASK_DEFAULT)))
-
-
-def broadcast_bytes(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES_DEFAULT)))
+    if checkpoint_dir is not None:
+        builder = builder.config(CHECKPOINT_DIR, checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, set as checkpoint folder if need be.
 
-    Only a local master (tests, benches) falls back to a folder of its own.
+    Only where driver and tasks are one process on one machine (a plain ``local`` master) an unset folder is replaced,
+    by one named after the application in the folder that Spark itself uses for local files.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
+        shared = sc.getConf().get(CHECKPOINT_DIR)
         if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="driftgauge-ckpt-")
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+            shared = f"{sc.getConf().get('spark.local.dir', '/tmp')}/driftgauge-{sc.applicationId}"
         sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
@@ -62,5 +52,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a written table."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for a written table; its parent goes when the driver ends."""
+    parent = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{parent}/table"
+
+
+def written_by(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` written once, a folder for each value of the columns, and read back: later reads are pruned."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -25,7 +25,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def scan_score_tables(spark: SparkSession, glob: str, domain: str) -> DataFrame:
     """All per-backbone score tables under a glob, keyed by file name, held-out variants dropped."""
     raw = spark.read.schema(schemas.SCORE_COMPARISON).option("header", True).csv(glob)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_score_comparison\.csv(?:/|$)", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_score_comparison\.csv(?:/|$)", 1)
     keyed = raw.select(F.lit(domain).alias("domain"), official_backbone(stem).alias("backbone"), "*")
     return keyed.where(F.col("backbone").isNotNull()).select(
         "domain", "backbone", F.lower("Method").alias("method"), F.col("AUROC").alias("auroc"),
@@ -36,7 +36,7 @@ def scan_score_tables(spark: SparkSession, glob: str, domain: str) -> DataFrame:
 def read_train_meta(spark: SparkSession, glob: str) -> DataFrame:
     """(backbone, id_acc) from small JSON side files named ``<backbone>_train_meta.json``."""
     raw = spark.read.schema(schemas.TRAIN_META).option("multiLine", True).json(glob)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_train_meta\.json(?:/|$)", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_train_meta\.json(?:/|$)", 1)
     return raw.select(stem.alias("backbone"), F.col("best_id_val_acc").alias("id_acc"))
 
 

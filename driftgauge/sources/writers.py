@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,29 +20,27 @@ def write_results(df: DataFrame, path: str, frac: float, tag: str, seed: int, in
     tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*run).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, folders: list[str] | None = None) -> None:
+    """CSV with a header; ``folders`` names columns whose values become folders, all written by one job."""
+    df.write.mode("overwrite").option("header", True).partitionBy(*(folders or [])).csv(path)
 
 
-def write_verdict(df: DataFrame, path: str) -> None:
+def write_verdict(df: DataFrame, path: str, folders: list[str] | None = None) -> None:
     """One JSON object per verdict row."""
-    df.write.mode("overwrite").json(path)
-
-
-def verdict_text(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct("*")).alias("value"))
+    df.write.mode("overwrite").partitionBy(*(folders or [])).json(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    """Whether a finished write is at the path: its folder holds Spark's success mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def once(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at the path, built and written only if it is not there yet."""
+    """The table at the path, built and written only if no finished one is there yet.
+
+    A folder without the success mark is what a crashed run left behind; it is written anew.
+    """
     if not exists(spark, path):
-        build().write.mode("ignore").parquet(path)
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

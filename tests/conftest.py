@@ -5,19 +5,18 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from driftgauge.session import ROWS_PER_TASK_CONF, local_session  # noqa: E402
+from driftgauge.operators import ordered  # noqa: E402
+from driftgauge.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("driftgauge-tests", cpus=8)
+def spark(tmp_path_factory):
+    s = local_session("driftgauge-tests", cpus=8, checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("OFF")
     yield s
 
 
 @pytest.fixture
-def tiny_tasks(spark):
+def tiny_tasks(monkeypatch):
     """Make every non-trivial input take the range-bucketed path."""
-    spark.conf.set(ROWS_PER_TASK_CONF, "50")
-    yield
-    spark.conf.unset(ROWS_PER_TASK_CONF)
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 50)

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from driftgauge.functions import draws, labels, scores
 from driftgauge.operators import (
-    bootstrap, calibration, cases, correlation, coverage, decisions, dispersion, knn, manifest, moments, ordered, ranks,
+    bootstrap, calibration, cases, correlation, coverage, decisions, dispersion, kernels, knn, manifest, moments, ordered, ranks,
     resample, sampling, scorer, separability, silhouette, sweeps, tables,
 )
-from driftgauge.session import BROADCAST_BYTES_CONF
 
 
 def rows_of(df):
@@ -315,7 +314,7 @@ def test_shuffled_labels_are_a_bijection():
     assert lab.mean(axis=1).std() < 0.1  # every row is ID about equally often
 
 
-def test_silhouette_against_pairs(spark):
+def test_silhouette_against_pairs(spark, monkeypatch):
     rng = np.random.default_rng(13)
     x, y = rng.normal(size=(40, 6)) + 0.4, rng.random(40) < 0.4
     df = spark.createDataFrame([("c", i, bool(t), [float(v) for v in r]) for i, (r, t) in enumerate(zip(x, y))], "cell string, sample_id bigint, is_id boolean, feats array<double>")
@@ -328,11 +327,9 @@ def test_silhouette_against_pairs(spark):
         s.append((b - a) / max(a, b))
     assert silhouette.silhouette(df, ["cell"]).first().feature_silhouette_cosine == pytest.approx(np.mean(s))
     t = silhouette.silhouette_test(df, ["cell"], 50).first()
-    spark.conf.set(BROADCAST_BYTES_CONF, str(8 * 6 * 20))  # 18 replicates per block
-    try:
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "BROADCAST_BYTES", 8 * 6 * 20)  # 18 replicates per block
         assert tuple(silhouette.silhouette_test(df, ["cell"], 50).first())[1:] == pytest.approx(tuple(t)[1:])
-    finally:
-        spark.conf.unset(BROADCAST_BYTES_CONF)
     assert 1 / 51 <= t.silhouette_perm_p_value <= 1 and abs(t.silhouette_perm_null_mean) < 0.1
 
 
@@ -398,17 +395,21 @@ def test_ledoit_wolf_and_scores(spark, cloud):
         assert [scored[(r.cell, i)] for i in at] == pytest.approx(list(want))
 
 
-def test_parameter_chunks_give_the_same_scores(spark, cloud):
+def test_parameter_chunks_give_the_same_scores(spark, cloud, monkeypatch):
     _, df = cloud
     fit = moments.ledoit_wolf(df, ["cell"])
     whole = {r.sample_id: r.score for r in scorer.mahalanobis_score(df, fit, ["cell"]).collect()}
-    spark.conf.set(BROADCAST_BYTES_CONF, "600")
-    try:
+    lost = fit.where("cell <> 'b'") if "b" in {r.cell for r in fit.select("cell").collect()} else fit.limit(0)
+    with pytest.raises(Exception):
+        scorer.mahalanobis_score(df, lost, ["cell"]).collect()
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "BROADCAST_BYTES", 600)
         assert len(scorer.parameter_chunks(fit, ["cell"], ["mean", "factor"])) == 2
         assert scorer.parameter_chunks(fit.where("cell = 'a'"), ["cell"], ["mean", "factor"]) == [None]
         parts = {r.sample_id: r.score for r in scorer.mahalanobis_score(df, fit, ["cell"]).collect()}
-    finally:
-        spark.conf.unset(BROADCAST_BYTES_CONF)
+        strange = df.withColumn("cell", F.when(F.col("sample_id") == 0, "elsewhere").otherwise(F.col("cell")))
+        with pytest.raises(Exception, match="no fit for cell elsewhere"):
+            scorer.mahalanobis_score(strange, fit, ["cell"]).collect()
     assert parts == pytest.approx(whole)
 
 
@@ -592,3 +593,132 @@ def test_stratified_fraction_quota(spark):
     df = spark.range(0, 103).select((F.col("id") % 2).alias("s"), "id").unionByName(spark.createDataFrame([(9, 1000)], "s bigint, id bigint"))
     got = {r.s: r["count"] for r in sampling.stratified_fraction(df, ["s"], "id", 0.1, 42).groupBy("s").count().collect()}
     assert got == {0: 5, 1: 5, 9: 1}
+
+
+# --- NULLs, lost rows, keys ------------------------------------------------------------------
+
+
+def test_null_scores_are_no_votes(spark):
+    rows = [("r1", m, float(i)) for i, m in enumerate("abcd")] + [("r2", m, float(i)) for i, m in enumerate("abdc")]
+    holes = [("r3", "a", None), ("r3", "b", 1.0), ("r3", "c", 2.0), ("r3", "d", 3.0), ("r4", "a", float("nan")), ("r4", "b", 1.0)]
+    schema = "rater string, item string, value double"
+    want = ranks.kendall_w(spark.createDataFrame(rows, schema), [], ["rater"], "item", "value").first()
+    got = ranks.kendall_w(spark.createDataFrame(rows + holes, schema), [], ["rater"], "item", "value").first()
+    assert got.n_raters == 2 and got.kendall_w == pytest.approx(want.kendall_w)
+
+
+@pytest.mark.parametrize("stat,column", [(correlation.pearson, "r"), (correlation.spearman, "rho")])
+def test_correlation_takes_complete_pairs(spark, stat, column):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=60), rng.normal(size=60)
+    rows = [("g", None if i % 5 == 0 else float(a), float("nan") if i % 7 == 0 else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    full = [r for r in rows if r[1] is not None and r[2] == r[2]]
+    df, clean = (spark.createDataFrame(r, "g string, x double, y double") for r in (rows, full))
+    got, want = stat(df, ["g"], "x", "y").first(), stat(clean, ["g"], "x", "y").first()
+    assert got.n == len(full) and got[column] == pytest.approx(want[column])
+
+
+def test_null_value_stops_at_every_size(spark, monkeypatch):
+    df = spark.createDataFrame([("g", float(i) if i else None, i) for i in range(200)], "g string, v double, i bigint")
+    for limit in (50, 4_000_000):
+        monkeypatch.setattr(ordered, "ROWS_PER_RANGE", limit)
+        with pytest.raises(Exception, match="NULL in g, v"):
+            ordered.exact_percentiles(df, ["g"], "v", {"p": 0.5}).collect()
+
+
+def test_cells_do_not_share_names(spark):
+    df = spark.createDataFrame([("a", "b\x1f"), ("a\x1f", "b"), ("a\x1f/b", "c"), ("a", "b\x1f/c")], "x string, y string")
+    assert df.select(kernels.cell_key(["x", "y"]).alias("k")).distinct().count() == 4
+    with pytest.raises(Exception, match="NULL in the grouping key y"):
+        spark.createDataFrame([("a", None)], "x string, y string").select(kernels.cell_key(["x", "y"])).collect()
+
+
+def test_aligned_join_stops_on_unmatched_rows(spark):
+    a = spark.createDataFrame([(1, 0), (2, 0)], "id bigint, y int")
+    for other in ([(1, 0)], [(1, 0), (2, 0), (3, 0)], [(1, 0), (2, 1)]):
+        with pytest.raises(Exception, match="rows do not match"):
+            tables.aligned_join(a, spark.createDataFrame(other, "id bigint, y int"), "id", "y").collect()
+    assert tables.aligned_join(a, a, "id", "y").count() == 2
+
+
+def test_queries_of_cells_without_training_rows_stay(spark, cloud):
+    _, df = cloud
+    other = df.limit(3).withColumn("cell", F.lit("nowhere"))
+    both = df.union(other)
+    near = {(r.cell, r.sample_id): r.mean_distance for r in knn.knn_distance(df, both, ["cell"], 5).collect()}
+    assert len(near) == both.count()
+    assert all((d is None) == (c == "nowhere") for (c, _), d in near.items())
+
+
+def test_more_pivots_find_the_same_neighbours(spark, cloud):
+    _, df = cloud
+    want = {(r.cell, r.sample_id): r.mean_distance for r in knn.knn_distance(df, df, ["cell"], 7).collect()}
+    got = {(r.cell, r.sample_id): r.mean_distance for r in knn.knn_distance(df, df, ["cell"], 7, block=16).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_scores_are_fitted_on_request(spark, cloud):
+    _, df = cloud
+    train = df.withColumn("split", F.lit("train"))
+    alone = scorer.ShiftScorer(k_nearest=3).fit(train, None, ["cell"])
+    assert alone.methods == scorer.FEATURE_ONLY
+    assert [c for c in alone.wide(train).columns if c in scorer.METHODS] == ["mahalanobis", "knn"]
+    only = scorer.ShiftScorer(methods=("mahalanobis",)).fit(train, None, ["cell"])
+    assert set(only.params.columns) == {"cell", "mean", "factor", "shrinkage", "condition"}
+    with pytest.raises(ValueError, match="need heads"):
+        scorer.ShiftScorer(methods=("vim",)).fit(train, None, ["cell"])
+    with pytest.raises(ValueError, match="unknown"):
+        scorer.ShiftScorer(methods=("magic",))
+
+
+def test_sizes_beyond_the_table_have_no_rows(spark, cloud):
+    _, df = cloud
+    n = df.where("cell = 'a'").count()
+    subsets = sweeps.nested_subsets(df.where("cell = 'a'"), ["cell"], (10, n, n + 1))
+    assert {r.n_train: r["count"] for r in subsets.groupBy("n_train").count().collect()} == {10: 10, n: n}
+
+
+def test_refits_show_the_full_fit_and_skip_small_cells(spark, cloud):
+    _, df = cloud
+    sizes = {r.cell: r["count"] for r in df.groupBy("cell").count().collect()}
+    limit = min(sizes.values())
+    ev = df.withColumn("is_id", F.col("sample_id") % 2 == 0)
+    rows = {r.cell: r for r in sweeps.subsample_refits(df, ev, ["cell"], limit, n_draws=3).collect()}
+    assert set(rows) == set(sizes)
+    for cell, r in rows.items():
+        assert r.n_full == sizes[cell] and r.subsampled == (sizes[cell] > limit)
+        if not r.subsampled:
+            assert (r.n_sub, r.n_draws, r.auroc_sub_std, r.auroc_sub_mean) == (r.n_full, 0, 0.0, r.auroc_full)
+        else:
+            assert r.n_draws == 3 and r.n_sub == limit
+
+
+def test_draws_use_all_bits_of_a_key():
+    ids = np.array([5, 5 + draws.MODULUS, 5 + 2 * draws.MODULUS, 5 + (1 << 40), 40_692, draws.MODULUS], dtype=np.int64)
+    reps = np.arange(400)
+    h = draws.keyed_hash_np(1, reps[:, None], ids[None, :])
+    same = [(h[:, i] == h[:, j]).sum() for i in range(len(ids)) for j in range(i)]
+    assert max(same) <= 1
+    size = 1 << 45  # a pool far beyond 31 bits is reached to its end
+    target = draws.wide_hash_np(1, 3, np.arange(20_000)) % size
+    assert target.max() > 0.999 * size and abs((target < size / 2).mean() - 0.5) < 0.02
+
+
+def test_dispersion_gap_is_null_without_a_side(spark, monkeypatch):
+    rows = [("c", i, "OOD" if i < 3 else "ID", 1.0 + i, 2.0 + i) for i in range(6)]
+    df = spark.createDataFrame(rows, "cell string, sample_id bigint, side string, logit_norm double, logit_gap double")
+    found = []
+    for limit in (4_000_000, 2):
+        monkeypatch.setattr(ordered, "ROWS_PER_RANGE", limit)
+        reps = bootstrap.bootstrap_dispersion_gap(df, ["cell"], "sample_id", 60)
+        found.append({r.rep: (r.cvid_gap, r.logit_gap_gap) for r in reps.collect()})
+    small, large = found
+    blank = {b for b, (c, _) in small.items() if c is None}
+    assert blank and blank == {b for b in small if large.get(b, (None, None))[0] is None}
+    for b in set(small) - blank:
+        assert large[b] == pytest.approx(small[b])
+
+
+def test_names_of_the_coded_table(spark):
+    df = spark.createDataFrame([("photo.jpg",), ("a.PNG",), ("b",)], "n string")
+    assert rows_of(df.select(labels.with_extension(F.col("n"), known=(".png",)))) == [("photo.jpg.png",), ("a.PNG",), ("b.png",)]

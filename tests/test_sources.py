@@ -96,3 +96,11 @@ def test_scores_accept_streams(spark, tmp_path):
     spark.createDataFrame([(1, [0.0, 0.0])], "sample_id bigint, logits array<double>").write.parquet(path)
     stream = spark.readStream.schema("sample_id bigint, logits array<double>").parquet(path)
     assert stream.select("sample_id", msp(F.col("logits")).alias("score")).isStreaming
+
+
+def test_write_once_after_a_crash(spark, tmp_path):
+    path = str(tmp_path / "once")
+    spark.range(4).write.parquet(path)
+    (tmp_path / "once" / "_SUCCESS").unlink()  # what a crashed first build leaves behind
+    assert writers.once(spark, path, lambda: spark.range(7).select("id")).count() == 7
+    assert writers.once(spark, path, lambda: spark.range(9).select("id")).count() == 7
