@@ -36,9 +36,10 @@ RADIUS = 4
 VARIANTS_PER_TASK = 4_000_000
 HASHES_AT_ONCE = 1 << 16
 WIDE_WORDS = 8
-ZONES = 32
-ZONE_BITS = 8  # equal bits that a zone asks for
 POINT_BITS = 32  # bits of a zone that may differ in up to RADIUS places
+ROWS_AT_ONCE = 1024
+LEAST_ZONE_BITS = 6  # bits of a zone that must be equal
+RECALL = 0.998
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -179,12 +180,12 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def dealt(rows: DataFrame, n: int, bits: int, flips: int, variants_per_task: int, zones: int = 1) -> tuple[DataFrame, int]:
-    """``rows`` (``point`` among others) once for each prefix of the point's bits that its ball reaches.
+def dealt(rows: DataFrame, n: int, bits: int, flips: int, variants_per_task: int) -> tuple[DataFrame, int]:
+    """``rows`` (``point``) once for each prefix of the point's bits that its ball reaches.
 
-    The prefix is as long as keeps a task's variants bounded for ``n`` rows spread over ``zones``.
+    The prefix is as long as keeps a task's variants bounded for ``n`` rows.
     """
-    wanted = n * ball_size(bits, flips) / zones / variants_per_task
+    wanted = n * ball_size(bits, flips) / variants_per_task
     prefix = min(bits, 32, max(0, math.ceil(math.log2(max(wanted, 1)))))
     reach = F.array(*[F.lit(int(m)).cast("long") for m in ball_masks(prefix, flips)])
     top = F.shiftrightunsigned("point", bits - prefix) if prefix else F.lit(0).cast("long")
@@ -241,19 +242,38 @@ def hex_digits(fp: str = "fp"):
 def differing_bits(similarity: float) -> int:
     """Bits of the wide fingerprint in which two texts of this shingle similarity may differ.
 
-    Each bit differs with probability angle / pi; two standard deviations are allowed for.
+    Two standard deviations are allowed for.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = differing_share(similarity)
     bits = 64 * WIDE_WORDS
     return int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
-def zone_bits() -> np.ndarray:
-    """Which bits of the wide fingerprint make up each zone: (ZONES, ZONE_BITS + POINT_BITS), without repeats in a zone."""
-    rng, bits, size = np.random.default_rng(7), 64 * WIDE_WORDS, ZONE_BITS + POINT_BITS
+def differing_share(similarity: float) -> float:
+    """Share of bits in which two texts of this shingle similarity differ on average: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def zone_shape(n: int, similarity: float, variants_per_task: int) -> tuple[int, int]:
+    """How many bits must be equal in a zone, so that a task's variants stay bounded, and how many zones that takes.
+
+    A pair at ``similarity`` meets in one zone if those bits agree and at most ``RADIUS`` of the others differ; there
+    are as many zones as make it meet in at least one with probability ``RECALL``.
+    """
+    share = differing_share(similarity)
+    variants = n * ball_size(POINT_BITS, RADIUS // 2) / variants_per_task
+    equal = max(LEAST_ZONE_BITS, math.ceil(math.log2(max(variants, 1))))
+    close = sum(comb(POINT_BITS, d) * share**d * (1 - share) ** (POINT_BITS - d) for d in range(RADIUS + 1))
+    meets = (1 - share) ** equal * close
+    return equal, math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
+
+
+def zone_bits(equal: int, zones: int) -> np.ndarray:
+    """Which bits of the wide fingerprint make up each zone, without repeats in a zone."""
+    rng, bits, size = np.random.default_rng(7), 64 * WIDE_WORDS, equal + POINT_BITS
     per = bits // size
-    dealt_bits = [rng.permutation(bits)[: per * size].reshape(per, size) for _ in range(-(-ZONES // per))]
-    return np.concatenate(dealt_bits)[:ZONES]
+    dealt_bits = [rng.permutation(bits)[: per * size].reshape(per, size) for _ in range(-(-zones // per))]
+    return np.concatenate(dealt_bits)[:zones]
 
 
 def linked_by_bits(wide: np.ndarray, most: int, groups: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -318,47 +338,47 @@ def similar_documents(
     """doc_id, text_hash and ``root``: equal for documents linked by shingle similarity of about ``similarity`` or more.
 
     At this similarity 64 bits differ in about ten places, far beyond a radius whose balls can be listed. So the
-    fingerprint is 512 bits wide, and the ball hashing runs in 32 zones of 40 of its bits: within a zone 8 bits are
-    equal and the other 32 differ in at most 4, met in the middle by balls of 2. A pair of similarity 0.8 meets in at
-    least one zone with probability 0.98 (0.999 at 0.85). Whatever meets is verified on all 512 bits: the bits in which
-    two texts differ estimate their similarity, and two standard deviations are allowed for, so pairs below 0.6 are
-    practically never linked. Texts without a word have a fingerprint of zeros and are linked to each other.
+    fingerprint is 512 bits wide, and the ball hashing runs in zones of its bits: within a zone a few bits are equal and
+    32 others differ in at most 4, met in the middle by balls of 2. A document goes to one group of each zone, named by
+    the equal bits. Their number grows with the logarithm of the corpus and keeps the groups bounded; the number of
+    zones (34 up to some 500,000 documents) is such that a pair at ``similarity`` meets in at least one with probability
+    ``RECALL``, a closer pair with a higher one. Whatever meets is verified on all 512 bits: the bits in which two texts
+    differ estimate their similarity, and two standard deviations are allowed for, so pairs below 0.6 are practically
+    never linked. Texts without a word have a fingerprint of zeros and are linked to each other.
     """
     rows = written(wide_fingerprints(docs, words), "wide-fingerprints")
     marks = rows.groupBy("node").agg(F.min("wide").alias("wide"))
-    order, most, flips = zone_bits(), differing_bits(similarity), RADIUS // 2
+    equal, n_zones = zone_shape(marks.count(), similarity, variants_per_task)
+    order, most, flips = zone_bits(equal, n_zones), differing_bits(similarity), RADIUS // 2
 
     def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.arange(ZONES, dtype=np.int64) << ZONE_BITS
+        number = np.arange(n_zones, dtype=np.int64) << equal
+        weights = 1 << np.arange(max(equal, POINT_BITS), dtype=np.int64)
         for whole in batches:
-            for a in range(0, whole.num_rows, 2048):
-                batch = whole.slice(a, 2048)
+            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(a, ROWS_AT_ONCE)
                 data = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 bits = np.unpackbits(data, axis=1, bitorder="little")[:, order]
-                weights = 1 << np.arange(POINT_BITS, dtype=np.int64)
-                zone = number + bits[:, :, :ZONE_BITS].astype(np.int64) @ weights[:ZONE_BITS]
-                point = bits[:, :, ZONE_BITS:].astype(np.int64) @ weights
-                at = pa.array(np.repeat(np.arange(batch.num_rows), ZONES))
+                zone = number + bits[:, :, :equal].astype(np.int64) @ weights[:equal]
+                point = bits[:, :, equal:].astype(np.int64) @ weights[:POINT_BITS]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), n_zones))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(zone.ravel()), pa.array(point.ravel()), batch.column("node").take(at), batch.column("wide").take(at)],
                     names=["zone", "point", "node", "wide"],
                 )
 
-    n = marks.count()
-    placed = marks.mapInArrow(zones, "zone long, point long, node long, wide binary")
-    sent, prefix = dealt(placed, n, POINT_BITS, flips, variants_per_task, 1 << ZONE_BITS)
-
     def collide(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         node = table.column("node").to_numpy()
         points = table.column("point").to_numpy().astype(np.uint64)
         wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
-        left = flips_left(points, table.column("prefix")[0].as_py(), POINT_BITS, prefix, flips)
-        label = linked_by_bits(wide, most, meetings(points, left, POINT_BITS - prefix, variants_per_task))
+        groups = meetings(points, np.full(len(points), flips, np.int64), POINT_BITS, variants_per_task)
+        label = linked_by_bits(wide, most, groups)
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
 
-    links = sent.groupBy("zone", "prefix").applyInArrow(collide, "a long, b long").distinct()
+    sent = marks.mapInArrow(zones, "zone long, point long, node long, wide binary")
+    links = sent.groupBy("zone").applyInArrow(collide, "a long, b long").distinct()
     roots = components(links)
     return rows.join(roots, rows["node"] == roots["node"], "left").select(
         "doc_id", "text_hash", F.coalesce(roots["root"], rows["node"]).alias("root")
