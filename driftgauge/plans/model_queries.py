@@ -402,18 +402,19 @@ def subsample_refits(spark, sf):
 
 @query("linear_probe")
 def linear_probe(spark, sf):
-    """L2 logistic probe on frozen features: accuracy per split."""
-    rows = v.samples(spark, sf).where("backbone = 'b64'")
-    model = learners.fit_probe(rows.where("split = 'train'"))
-    scored = learners.probe_logits(model, rows).withColumn("ok", S.correct(F.col("logits"), F.col("label")))
-    return rounded(scored.groupBy("split").agg(F.avg("ok").alias("accuracy"), F.count(F.lit(1)).alias("n")), "accuracy")
+    """L2 logistic probes on the frozen features of every backbone, as heads: accuracy per split."""
+    rows = v.samples(spark, sf)
+    heads = cut_lineage(learners.fit_probe(rows.where("split = 'train'"), KEYS))
+    scored = scorer.linear_logits(rows, heads, KEYS).withColumn("ok", S.correct(F.col("logits"), F.col("label")))
+    return rounded(scored.groupBy("backbone", "split").agg(F.avg("ok").alias("accuracy"), F.count(F.lit(1)).alias("n")), "accuracy")
 
 
 @query("domain_classifier")
 def domain_classifier(spark, sf):
-    """Cross-validated AUROC of telling the far shift from ID."""
-    rows = v.samples(spark, sf).where("backbone = 'b16' and split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
-    return rounded(learners.classifier_summary(learners.domain_classifier(rows)), "mean_auroc", "std_auroc")
+    """Cross-validated AUROC of telling each shift from ID, for every backbone."""
+    keys = ["domain", "backbone"]
+    rows = v.by_domain(v.samples(spark, sf)).select(*keys, "sample_id", "is_id", "feats")
+    return rounded(learners.classifier_summary(learners.domain_classifier(rows, keys), keys), "mean_auroc", "std_auroc")
 
 
 @query("temperature_jump")

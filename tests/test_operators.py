@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftgauge.functions import draws, labels, scores
 from driftgauge.operators import (
-    bootstrap, calibration, cases, correlation, coverage, decisions, dispersion, kernels, knn, manifest, moments, ordered, ranks,
+    bootstrap, calibration, cases, correlation, coverage, decisions, dispersion, kernels, knn, learners, manifest, moments, ordered, ranks,
     resample, sampling, scorer, separability, silhouette, sweeps, tables,
 )
 
@@ -722,3 +722,76 @@ def test_dispersion_gap_is_null_without_a_side(spark, monkeypatch):
 def test_names_of_the_coded_table(spark):
     df = spark.createDataFrame([("photo.jpg",), ("a.PNG",), ("b",)], "n string")
     assert rows_of(df.select(labels.with_extension(F.col("n"), known=(".png",)))) == [("photo.jpg.png",), ("a.PNG",), ("b.png",)]
+
+
+def plain_logistic(x, y, c, ridge, blocks):
+    """Gradient descent to the optimum of the penalised loss, last coefficient unpenalised."""
+    theta = np.zeros((blocks, x.shape[1]))
+    for _ in range(200):
+        g, h = learners.derivatives(x, y, c, theta)
+        pen = np.tile(np.r_[np.full(x.shape[1] - 1, ridge), 1e-9], blocks)
+        step = np.linalg.solve(h + np.diag(pen), g + pen * theta.ravel())
+        theta = theta - step.reshape(theta.shape)
+    return theta
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_derivatives_against_differences(blocks):
+    rng = np.random.default_rng(blocks)
+    x, y, c = learners.with_ones(rng.normal(size=(30, 3))), rng.integers(0, max(2, blocks), 30), rng.random(30)
+    theta = rng.normal(size=(blocks, 4))
+
+    def loss(t):
+        z = x @ t.reshape(blocks, -1).T
+        if blocks == 1:
+            return float((c * (np.logaddexp(0, z[:, 0]) - y * z[:, 0])).sum())
+        return float((c * (np.log(np.exp(z).sum(axis=1)) - z[np.arange(30), y])).sum())
+
+    g, h = learners.derivatives(x, y, c, theta)
+    eps, flat = 1e-5, theta.ravel()
+    for i in range(len(flat)):
+        e = np.zeros(len(flat))
+        e[i] = eps
+        assert (loss(flat + e) - loss(flat - e)) / (2 * eps) == pytest.approx(g[i], rel=1e-4, abs=1e-6)
+        up, down = (learners.derivatives(x, y, c, (flat + s * e).reshape(theta.shape))[0] for s in (1, -1))
+        assert (up - down) / (2 * eps) == pytest.approx(h[i], rel=1e-4, abs=1e-6)
+
+
+def test_probes_are_fitted_per_cell(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for cell, classes in (("two", 2), ("four", 4)):
+        y = rng.integers(0, classes, 240)
+        x = rng.normal(size=(240, 5)) + np.eye(5)[y] * 1.5
+        rows += [(cell, i, int(t), [float(v) for v in r]) for i, (r, t) in enumerate(zip(x, y))]
+        want[cell] = plain_logistic(learners.with_ones(x), y, np.ones(240), 1.0, 1 if classes == 2 else classes)
+    df = spark.createDataFrame(rows, "cell string, sample_id bigint, label int, feats array<double>").repartition(5)
+    heads = learners.fit_probe(df, ["cell"])
+    got = {c: [] for c in want}
+    for r in heads.orderBy("cell", "class").collect():
+        got[r.cell].append([*r.weight, r.bias])
+    for cell, theta in want.items():
+        found, known = np.array(got[cell]), theta
+        if len(known) > 1:  # a shift common to all intercepts changes nothing
+            found[:, -1] -= found[:, -1].mean()
+            known[:, -1] -= known[:, -1].mean()
+        assert found == pytest.approx(known, abs=1e-5)
+    logits = scorer.linear_logits(df, heads, ["cell"])
+    right = logits.withColumn("ok", scores.correct(F.col("logits"), F.col("label"))).groupBy("cell").agg(F.avg("ok").alias("a")).collect()
+    assert min(r.a for r in right) > 0.6
+
+
+def test_domain_classifier_per_cell(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for cell, shift in (("far", 3.0), ("same", 0.0)):
+        for i in range(200):
+            ood = i % 4 == 0
+            rows.append((cell, i, not ood, [float(v) for v in rng.normal(size=6) + (shift if ood else 0.0) * np.eye(6)[0]]))
+    df = spark.createDataFrame(rows, "cell string, sample_id bigint, is_id boolean, feats array<double>")
+    per = learners.domain_classifier(df, ["cell"]).collect()
+    assert len(per) == 10
+    summary = {r.cell: r.mean_auroc for r in learners.classifier_summary(spark.createDataFrame(per), ["cell"]).collect()}
+    assert summary["far"] > 0.9 and 0.3 < summary["same"] < 0.7
+    alone = learners.classifier_summary(learners.domain_classifier(df.where("cell = 'far'"), ["cell"]), ["cell"]).first()
+    assert alone.mean_auroc == pytest.approx(summary["far"])
