@@ -264,7 +264,7 @@ def vim_plane(spark, sf):
 
 # Every pair of dimensions is a rater of its own: 32 planes use all of the vector, and in a plane every fit has a closed form.
 _PLANES = 32
-_CHAIN_SQL = f"""
+CHAIN_SQL = f"""
 pl AS (SELECT 'p' || lpad(CAST(k AS VARCHAR), 2, '0') AS backbone, vec_id AS sample_id, label,
    CASE WHEN vec_id % 5 IN (0, 3, 4) THEN CASE WHEN (vec_id // 5) % 10 = 0 THEN 'id_val' ELSE 'train' END WHEN vec_id % 5 = 1 THEN 'near' ELSE 'far' END AS split,
    CAST(embedding[2 * k + 1] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN {v.SHIFT}::DOUBLE ELSE 0.0::DOUBLE END AS a,
@@ -293,15 +293,8 @@ long AS (SELECT domain, backbone, is_id, method, round(score, 9) AS score FROM (
    UNPIVOT (score FOR method IN (msp, energy, logit_norm, react_energy, vim, mahalanobis, knn)))"""
 
 
-@query(
-    "w_from_vectors",
-    f"""WITH {_CHAIN_SQL}, {v.auroc_sql("long", "domain, backbone, method")}, {v.ranks_sql("au", "domain, backbone")}, {v.w_sql("rk", "domain")},
-loo AS (SELECT r.*, h.held_out FROM rk r JOIN (SELECT DISTINCT domain, backbone AS held_out FROM au) h ON r.domain = h.domain AND r.backbone <> h.held_out), {v.w_sql("loo", "domain, held_out", name="lw")}
-SELECT domain, '(none)' AS held_out, n_raters, {R("kendall_w")} AS kendall_w, {R("0.0")} AS delta_vs_full FROM kw
-UNION ALL SELECT l.domain, held_out, l.n_raters, {R("l.kendall_w")}, {R("l.kendall_w - k.kendall_w")} FROM lw l JOIN kw k ON l.domain = k.domain""",
-)
-def w_from_vectors(spark, sf):
-    """Vectors to seven scores to AUROC to Kendall's W over 32 raters, and W without each rater."""
+def plane_model(spark, sf, methods=None):
+    """Fitted scorer and evaluation rows with 32 pairs of dimensions as backbones."""
     s = v.samples(spark, sf).where("backbone = 'b64'")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(_PLANES - 1)), lambda i: F.struct(i.alias("i"), F.slice("feats", 2 * i + 1, 2).alias("f")))
     planes = s.withColumn("p", F.explode(pairs)).withColumns(
@@ -310,8 +303,21 @@ def w_from_vectors(spark, sf):
     planes = written_by(planes, *KEYS, "split")
     h = cut_lineage(v.heads(planes))
     rows = scorer.linear_logits(planes, h, KEYS)
-    model = scorer.ShiftScorer().fit(rows.where("split = 'train'"), h, KEYS)
-    long = model.transform(rows.where("split <> 'train'")).withColumn("score", F.round("score", 9))
+    model = scorer.ShiftScorer(methods=methods).fit(rows.where("split = 'train'"), h, KEYS)
+    return model, rows.where("split <> 'train'")
+
+
+@query(
+    "w_from_vectors",
+    f"""WITH {CHAIN_SQL}, {v.auroc_sql("long", "domain, backbone, method")}, {v.ranks_sql("au", "domain, backbone")}, {v.w_sql("rk", "domain")},
+loo AS (SELECT r.*, h.held_out FROM rk r JOIN (SELECT DISTINCT domain, backbone AS held_out FROM au) h ON r.domain = h.domain AND r.backbone <> h.held_out), {v.w_sql("loo", "domain, held_out", name="lw")}
+SELECT domain, '(none)' AS held_out, n_raters, {R("kendall_w")} AS kendall_w, {R("0.0")} AS delta_vs_full FROM kw
+UNION ALL SELECT l.domain, held_out, l.n_raters, {R("l.kendall_w")}, {R("l.kendall_w - k.kendall_w")} FROM lw l JOIN kw k ON l.domain = k.domain""",
+)
+def w_from_vectors(spark, sf):
+    """Vectors to seven scores to AUROC to Kendall's W over 32 raters, and W without each rater."""
+    model, rows = plane_model(spark, sf)
+    long = model.transform(rows).withColumn("score", F.round("score", 9))
     cell = cut_lineage(separability.auroc(v.by_domain(long), ["domain", "backbone", "method"]))
     full = ranks.kendall_w(cell, ["domain"], ["backbone"], "method", "auroc")
     full = full.select("domain", F.lit("(none)").alias("held_out"), "n_raters", "kendall_w", F.lit(0.0).alias("delta_vs_full"))

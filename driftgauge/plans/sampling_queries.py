@@ -10,6 +10,7 @@ from driftgauge.operators import cases, decisions, dispersion, sampling, tables
 from driftgauge.operators.correlation import spearman
 from driftgauge.operators.separability import auroc
 from driftgauge.plans import views as v
+from driftgauge.plans.model_queries import CHAIN_SQL, plane_model
 from driftgauge.plans.registry import query
 from driftgauge.plans.views import R, r6, rounded
 from driftgauge.session import cut_lineage
@@ -73,8 +74,8 @@ def registry_order(spark, sf):
 # --- ID-only gate -----------------------------------------------------------------------
 
 _GATE_POS = keyed_hash_sql(SEED, "sample_id")
-_GATE_SQL = f"""{v.SCORES_SQL}, two AS (SELECT domain, backbone, sample_id, is_id, max(CASE WHEN method = 'msp' THEN score END) AS a,
-   max(CASE WHEN method = 'logit_norm' THEN score END) AS b FROM scored GROUP BY ALL),
+_GATE_SQL = f"""{CHAIN_SQL}, two AS (SELECT d.domain, backbone, sample_id, split = 'id_val' AS is_id, round(msp, 9) AS a, round(mahalanobis, 9) AS b
+   FROM wide JOIN (VALUES ('near'), ('far')) d(domain) ON split = 'id_val' OR split = d.domain),
 pos AS (SELECT *, row_number() OVER (PARTITION BY domain, backbone ORDER BY {_GATE_POS}, sample_id) AS pos, count(*) OVER (PARTITION BY domain, backbone) AS size FROM two WHERE is_id),
 cal AS (SELECT domain, backbone, rank() OVER (PARTITION BY domain, backbone ORDER BY a) + (count(*) OVER (PARTITION BY domain, backbone, a) - 1) / 2.0::DOUBLE AS ra,
    rank() OVER (PARTITION BY domain, backbone ORDER BY b) + (count(*) OVER (PARTITION BY domain, backbone, b) - 1) / 2.0::DOUBLE AS rb FROM pos WHERE pos <= size // 2),
@@ -87,11 +88,13 @@ gate AS (SELECT r.domain, r.backbone, r.n AS n_calib, rho, CASE WHEN rho < 0.5 T
 
 
 def _gate(spark, sf):
-    """Calibrate on half of the ID rows, evaluate on the other half; the logit norm stands for the feature score."""
+    """Calibrate on half of the ID rows, evaluate on the other half: softmax confidence against Mahalanobis score."""
     keys = ["domain", "backbone"]
-    rows = v.logit_scores(v.by_domain(v.with_logits(spark, sf))).where("method <> 'energy'")
-    pick = lambda m: F.max(F.when(F.col("method") == m, F.col("score")))
-    two = cut_lineage(rows.groupBy(*keys, "sample_id", "is_id").agg(pick("msp").alias("msp"), pick("logit_norm").alias("maha")))
+    model, rows = plane_model(spark, sf, ("msp", "mahalanobis"))
+    scored = v.by_domain(model.wide(rows))
+    two = cut_lineage(
+        scored.select(*keys, "sample_id", "is_id", F.round("msp", 9).alias("msp"), F.round("mahalanobis", 9).alias("maha"))
+    )
     halves = sampling.half_split(two.where("is_id"), keys, "sample_id", SEED)
     rho = decisions.gate_choice(spearman(halves.where("half = 'calib'"), keys, "msp", "maha"))
     ev = halves.where("half = 'eval'").drop("half").unionByName(two.where("not is_id"))
