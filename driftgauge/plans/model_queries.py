@@ -65,16 +65,33 @@ def feature_covariance(spark, sf):
     return rounded(cov.select("backbone", "split", F.posexplode("cov").alias("cell", "cov")), "cov")
 
 
-# Two-dimensional cells have closed forms, so the fitted scores get a SQL twin there.
-_PLANE_SQL = """
-plane AS (SELECT vec_id AS sample_id, label, CASE WHEN vec_id % 5 IN (0, 3, 4) THEN CASE WHEN (vec_id // 5) % 10 = 0 THEN 'id_val' ELSE 'train' END WHEN vec_id % 5 = 1 THEN 'near' ELSE 'far' END AS split,
-   CAST(embedding[1] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS a, CAST(embedding[2] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS b FROM embeddings),
-pu AS (SELECT *, a / (sqrt(a * a + b * b) + 1e-8::DOUBLE) AS x, b / (sqrt(a * a + b * b) + 1e-8::DOUBLE) AS y FROM plane)"""
+# Every pair of dimensions is a backbone of its own: 32 planes use all of the vector, and in a plane every fit has a
+# closed form, so the fitted scores get a SQL twin.
+_PLANES = 32
+_PLANE_SQL = f"""
+pl AS (SELECT 'p' || lpad(CAST(k AS VARCHAR), 2, '0') AS backbone, vec_id AS sample_id, label,
+   CASE WHEN vec_id % 5 IN (0, 3, 4) THEN CASE WHEN (vec_id // 5) % 10 = 0 THEN 'id_val' ELSE 'train' END WHEN vec_id % 5 = 1 THEN 'near' ELSE 'far' END AS split,
+   CAST(embedding[2 * k + 1] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN {v.SHIFT}::DOUBLE ELSE 0.0::DOUBLE END AS a,
+   CAST(embedding[2 * k + 2] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN {v.SHIFT}::DOUBLE ELSE 0.0::DOUBLE END AS b FROM embeddings CROSS JOIN (SELECT unnest(range(0, {_PLANES})) AS k)),
+pu AS (SELECT *, a / (sqrt(a * a + b * b) + 1e-8::DOUBLE) AS x, b / (sqrt(a * a + b * b) + 1e-8::DOUBLE) AS y FROM pl)"""
+
+
+def planes(spark, sf):
+    """The samples with 32 pairs of dimensions as backbones, written once by cell and split."""
+    s = v.samples(spark, sf).where("backbone = 'b64'")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(_PLANES - 1)), lambda i: F.struct(i.alias("i"), F.slice("feats", 2 * i + 1, 2).alias("f")))
+    flat = s.withColumn("p", F.explode(pairs)).withColumns(
+        {"backbone": F.concat(F.lit("p"), F.lpad(F.col("p.i").cast("string"), 2, "0")), "feats": F.col("p.f")}
+    ).drop("p")
+    return written_by(flat, *KEYS, "split")
 
 
-def _plane(spark, sf):
-    s = v.samples(spark, sf).where("backbone = 'b16'")
-    return s.withColumn("feats", F.slice("feats", 1, 2)).withColumn("backbone", F.lit("plane"))
+def plane_model(spark, sf, methods=None):
+    """Fitted scorer and all rows of the planes."""
+    rows = planes(spark, sf)
+    h = cut_lineage(v.heads(rows))
+    rows = scorer.linear_logits(rows, h, KEYS)
+    return scorer.ShiftScorer(methods=methods).fit(rows.where("split = 'train'"), h, KEYS), rows
 
 
 def _plane_fit_sql(src: str, key: str | None = None) -> str:
@@ -97,84 +114,85 @@ def _plane_distance(dx: str, dy: str) -> str:
 
 @query(
     "mahalanobis_plane",
-    f"""WITH {_PLANE_SQL}, tr AS (SELECT x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr")}
-SELECT sample_id, split, {R("-" + _plane_distance("x - mx", "y - my"))} AS mahalanobis FROM pu CROSS JOIN k""",
+    f"""WITH {_PLANE_SQL}, tr AS (SELECT backbone, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "backbone")}
+SELECT pu.backbone, sample_id, split, {R("-" + _plane_distance("x - mx", "y - my"))} AS mahalanobis FROM pu JOIN k ON k.backbone = pu.backbone""",
 )
 def mahalanobis_plane(spark, sf):
-    rows = _plane(spark, sf)
+    rows = planes(spark, sf)
     fit = cut_lineage(moments.ledoit_wolf(rows.where("split = 'train'"), KEYS))
     return scorer.mahalanobis_score(rows, fit, KEYS, out="mahalanobis").select(
-        "sample_id", "split", r6(F.col("mahalanobis")).alias("mahalanobis")
+        "backbone", "sample_id", "split", r6(F.col("mahalanobis")).alias("mahalanobis")
     )
 
 
 @query(
     "frechet_plane",
-    f"""WITH {_PLANE_SQL}, g AS (SELECT CASE WHEN split = 'id_val' THEN 'ID' ELSE 'OOD' END AS side, avg(a) AS ma, avg(b) AS mb, covar_samp(a, a) AS aa, covar_samp(a, b) AS ab, covar_samp(b, b) AS bb
-   FROM plane WHERE split IN ('id_val', 'far') GROUP BY ALL), j AS (SELECT i.ma - o.ma AS da, i.mb - o.mb AS db, i.aa + i.bb + o.aa + o.bb AS tr, i.aa * o.aa + 2 * i.ab * o.ab + i.bb * o.bb AS trp,
-   (i.aa * i.bb - i.ab * i.ab) * (o.aa * o.bb - o.ab * o.ab) AS det FROM g i JOIN g o ON i.side = 'ID' AND o.side = 'OOD')
-SELECT 'plane' AS backbone, {R("da * da + db * db + tr - 2 * sqrt(trp + 2 * sqrt(det))")} AS fid FROM j""",
+    f"""WITH {_PLANE_SQL}, g AS (SELECT backbone, domain, CASE WHEN split = 'id_val' THEN 'ID' ELSE 'OOD' END AS side, avg(a) AS ma, avg(b) AS mb, covar_samp(a, a) AS aa, covar_samp(a, b) AS ab, covar_samp(b, b) AS bb
+   FROM pl JOIN (VALUES ('near'), ('far')) d(domain) ON split = 'id_val' OR split = d.domain GROUP BY ALL), j AS (SELECT i.domain, i.backbone, i.ma - o.ma AS da, i.mb - o.mb AS db, i.aa + i.bb + o.aa + o.bb AS tr, i.aa * o.aa + 2 * i.ab * o.ab + i.bb * o.bb AS trp,
+   (i.aa * i.bb - i.ab * i.ab) * (o.aa * o.bb - o.ab * o.ab) AS det FROM g i JOIN g o ON i.side = 'ID' AND o.side = 'OOD' AND i.backbone = o.backbone AND i.domain = o.domain)
+SELECT domain, backbone, {R("da * da + db * db + tr - 2 * sqrt(trp + 2 * sqrt(det))")} AS fid FROM j""",
 )
 def frechet_plane(spark, sf):
-    rows = _plane(spark, sf).where("split in ('id_val', 'far')")
-    side = F.when(F.col("split") == "id_val", "ID").otherwise("OOD")
-    return rounded(moments.frechet_distance(rows.withColumn("side", side), KEYS), "fid")
+    rows = v.by_domain(planes(spark, sf)).withColumn("side", F.when(F.col("is_id"), "ID").otherwise("OOD"))
+    return rounded(moments.frechet_distance(rows, ["domain", "backbone"]), "fid")
 
 
 @query(
     "geometry_plane",
-    f"""WITH {_PLANE_SQL}, tr AS (SELECT x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr")}, o AS (SELECT avg(x) AS ox, avg(y) AS oy, count(*) AS n_ood FROM pu WHERE split = 'far')
-SELECT 'plane' AS backbone, {R("sqrt((ox - mx) * (ox - mx) + (oy - my) * (oy - my))")} AS mean_shift, {R(_plane_distance("ox - mx", "oy - my"))} AS maha_mean_shift,
-  {R("100 * ((ox - mx) * (ox - mx) + (oy - my) * (oy - my)) / ((ox - mx) * (ox - mx) + (oy - my) * (oy - my) + 1e-12::DOUBLE)")} AS pct_shift_in_top5_eigenspace, n AS n_train, n_ood, CAST(2 AS INTEGER) AS feat_dim FROM k CROSS JOIN o""",
+    f"""WITH {_PLANE_SQL}, tr AS (SELECT backbone, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "backbone")}, o AS (SELECT backbone, avg(x) AS ox, avg(y) AS oy, count(*) AS n_ood FROM pu WHERE split = 'far' GROUP BY backbone)
+SELECT k.backbone, {R("sqrt((ox - mx) * (ox - mx) + (oy - my) * (oy - my))")} AS mean_shift, {R(_plane_distance("ox - mx", "oy - my"))} AS maha_mean_shift,
+  {R("100 * ((ox - mx) * (ox - mx) + (oy - my) * (oy - my)) / ((ox - mx) * (ox - mx) + (oy - my) * (oy - my) + 1e-12::DOUBLE)")} AS pct_shift_in_top5_eigenspace, n AS n_train, n_ood, CAST(2 AS INTEGER) AS feat_dim FROM k JOIN o ON o.backbone = k.backbone""",
 )
 def geometry_plane(spark, sf):
-    rows = _plane(spark, sf)
+    rows = planes(spark, sf)
     out = moments.geometry_readout(rows.where("split = 'train'"), rows.where("split = 'far'"), KEYS)
     return rounded(out, "mean_shift", "maha_mean_shift", "pct_shift_in_top5_eigenspace")
 
 
-_EVAL_SQL = f"""SELECT k.{{key}}, sample_id, split = 'id_val' AS is_id, -{_plane_distance("x - mx", "y - my")} AS score FROM pu CROSS JOIN k WHERE split IN ('id_val', 'far')"""
+def _plane_eval_sql(key: str) -> str:
+    return f"""SELECT k.backbone, k.{key}, sample_id, split = 'id_val' AS is_id, -{_plane_distance("x - mx", "y - my")} AS score FROM pu JOIN k ON k.backbone = pu.backbone WHERE split IN ('id_val', 'far')"""
+
+
+def _plane_evaluation(rows):
+    return rows.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
 
 
 @query(
     "fit_size_plane",
-    f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY {keyed_hash_sql(42, "sample_id")}, sample_id) AS pos FROM pu WHERE split = 'train'),
-tr AS (SELECT n_train, x, y FROM o JOIN (VALUES (100), (500), (1000), (2500), (5000)) z(n_train) ON pos <= n_train AND n_train <= (SELECT count(*) FROM o)), {_plane_fit_sql("tr", "n_train")},
-scored AS ({_EVAL_SQL.format(key="n_train")}), {v.sep_sql("scored", "n_train")}
-SELECT CAST(sep.n_train AS INTEGER) AS n_train, {R("auroc")} AS auroc, {R("fpr95")} AS fpr95, {R("w")} AS shrinkage FROM sep JOIN k ON sep.n_train = k.n_train""",
+    f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY backbone ORDER BY {keyed_hash_sql(42, "sample_id")}, sample_id) AS pos, count(*) OVER (PARTITION BY backbone) AS size FROM pu WHERE split = 'train'),
+tr AS (SELECT backbone, n_train, x, y FROM o JOIN (VALUES (100), (500), (1000), (2500), (5000)) z(n_train) ON pos <= n_train AND n_train <= size), {_plane_fit_sql("tr", "backbone, n_train")},
+scored AS ({_plane_eval_sql("n_train")}), {v.sep_sql("scored", "backbone, n_train")}
+SELECT sep.backbone, CAST(sep.n_train AS INTEGER) AS n_train, {R("auroc")} AS auroc, {R("fpr95")} AS fpr95, {R("w")} AS shrinkage FROM sep JOIN k ON sep.n_train = k.n_train AND sep.backbone = k.backbone""",
 )
 def fit_size_plane(spark, sf):
-    """Refits on nested subsets, checked against closed forms in the plane."""
-    rows = _plane(spark, sf)
-    ev = rows.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
-    out = sweeps.fit_size_ablation(rows.where("split = 'train'"), ev, KEYS)
-    return rounded(out.select("n_train", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
+    """Refits on nested subsets of the published sizes, checked against closed forms; sizes over the table give no row."""
+    rows = planes(spark, sf)
+    out = sweeps.fit_size_ablation(rows.where("split = 'train'"), _plane_evaluation(rows), KEYS)
+    return rounded(out.select("backbone", "n_train", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
 
 
 _REFIT = {
     "auroc_sub_mean": "avg(auroc)", "auroc_sub_std": "stddev_samp(auroc)", "auroc_sub_min": "min(auroc)", "auroc_sub_max": "max(auroc)",
     "cond_prec_sub_mean": "avg(cond)", "cond_prec_sub_std": "stddev_samp(cond)", "shrinkage_sub_mean": "avg(w)",
 }
-
 _REFIT_FULL = {n: "0.0::DOUBLE" if n.endswith("_std") else n.split("_sub_")[0] + "_full" for n in _REFIT}
 
 
 @query(
     "subsample_refits_plane",
-    f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY {keyed_hash_sql(42, "draw", "sample_id")}, sample_id) AS pos
+    f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY backbone, draw ORDER BY {keyed_hash_sql(42, "draw", "sample_id")}, sample_id) AS pos
    FROM pu CROSS JOIN (SELECT unnest(range(0, 20)) AS draw) WHERE split = 'train'),
-tr AS (SELECT draw, x, y FROM o WHERE pos <= 120 UNION ALL SELECT -1, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "draw")}, scored AS ({_EVAL_SQL.format(key="draw")}), {v.auroc_sql("scored", "draw")},
-j AS (SELECT au.draw, auroc, cond, w, n FROM au JOIN k ON au.draw = k.draw), f AS (SELECT n AS n_full, auroc AS auroc_full, cond AS cond_prec_full, w AS shrinkage_full FROM j WHERE draw = -1),
-sub AS (SELECT count(*) AS n_draws, {", ".join(f"{e} AS {n}" for n, e in _REFIT.items())} FROM j WHERE draw >= 0)
-SELECT 'plane' AS backbone, n_full, {R("auroc_full")} AS auroc_full, {R("cond_prec_full")} AS cond_prec_full, {R("shrinkage_full")} AS shrinkage_full, n_full > 120 AS subsampled,
+tr AS (SELECT backbone, draw, x, y FROM o WHERE pos <= 120 UNION ALL SELECT backbone, -1, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "backbone, draw")}, scored AS ({_plane_eval_sql("draw")}), {v.auroc_sql("scored", "backbone, draw")},
+j AS (SELECT au.backbone, au.draw, auroc, cond, w, n FROM au JOIN k ON au.draw = k.draw AND au.backbone = k.backbone), f AS (SELECT backbone, n AS n_full, auroc AS auroc_full, cond AS cond_prec_full, w AS shrinkage_full FROM j WHERE draw = -1),
+sub AS (SELECT backbone, count(*) AS n_draws, {", ".join(f"{e} AS {n}" for n, e in _REFIT.items())} FROM j WHERE draw >= 0 GROUP BY backbone)
+SELECT f.backbone, n_full, {R("auroc_full")} AS auroc_full, {R("cond_prec_full")} AS cond_prec_full, {R("shrinkage_full")} AS shrinkage_full, n_full > 120 AS subsampled,
   CASE WHEN n_full > 120 THEN 120 ELSE n_full END AS n_sub, CASE WHEN n_full > 120 THEN n_draws ELSE 0 END AS n_draws,
-  {", ".join(f"{R(f'CASE WHEN n_full > 120 THEN {n} ELSE {i} END')} AS {n}" for n, i in _REFIT_FULL.items())} FROM f CROSS JOIN sub""",
+  {", ".join(f"{R(f'CASE WHEN n_full > 120 THEN {n} ELSE {i} END')} AS {n}" for n, i in _REFIT_FULL.items())} FROM f JOIN sub ON sub.backbone = f.backbone""",
 )
 def subsample_refits_plane(spark, sf):
-    """Twenty refits on subsamples without replacement."""
-    rows = _plane(spark, sf)
-    ev = rows.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
-    out = sweeps.subsample_refits(rows.where("split = 'train'"), ev, KEYS, n_sub=120)
+    """Twenty refits on subsamples without replacement beside the full fit."""
+    rows = planes(spark, sf)
+    out = sweeps.subsample_refits(rows.where("split = 'train'"), _plane_evaluation(rows), KEYS, n_sub=120)
     return rounded(out, "auroc_full", "cond_prec_full", "shrinkage_full", *_REFIT)
 
 
@@ -240,36 +258,9 @@ def _fitted(spark, sf, k=50, methods=None):
     return model, rows
 
 
-@query(
-    "vim_plane",
-    f"""WITH {_PLANE_SQL}, w AS (SELECT label AS class, 10.0::DOUBLE * avg(a) AS wa, 10.0::DOUBLE * avg(b) AS wb FROM plane WHERE split = 'train' GROUP BY label),
-z AS (SELECT sample_id, split, class, a * wa + b * wb AS z, a, b FROM plane CROSS JOIN w), zx AS (SELECT *, max(z) OVER (PARTITION BY sample_id) AS zm FROM z),
-g AS (SELECT avg(a * a) AS aa, avg(a * b) AS ab, avg(b * b) AS bb FROM plane WHERE split = 'train'),
-l AS (SELECT *, (aa + bb) / 2 - sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS lo FROM g),
-e AS (SELECT ab / sqrt(ab * ab + (lo - aa) * (lo - aa)) AS va, (lo - aa) / sqrt(ab * ab + (lo - aa) * (lo - aa)) AS vb FROM l),
-r AS (SELECT sample_id, any_value(split) AS split, max(zm) AS top, max(zm) + ln(sum(exp(z - zm))) AS energy, max(abs(a * va + b * vb)) AS res FROM zx CROSS JOIN e GROUP BY sample_id),
-al AS (SELECT avg(top) / (avg(res) + 1e-12::DOUBLE) AS alpha FROM r WHERE split = 'train')
-SELECT sample_id, split, {R("energy - alpha * res")} AS vim FROM r CROSS JOIN al""",
-)
-def vim_plane(spark, sf):
-    """Residual-space score where the residual direction has a closed form."""
-    s = _plane(spark, sf)
-    h = cut_lineage(v.heads(s))
-    rows = scorer.linear_logits(s, h, KEYS)
-    model = scorer.ShiftScorer(methods=("vim",)).fit(rows.where("split = 'train'"), h, KEYS)
-    return model.wide(rows).select("sample_id", "split", r6(F.col("vim")).alias("vim"))
-
-
 # --- the whole chain -----------------------------------------------------------------------
 
-# Every pair of dimensions is a rater of its own: 32 planes use all of the vector, and in a plane every fit has a closed form.
-_PLANES = 32
-CHAIN_SQL = f"""
-pl AS (SELECT 'p' || lpad(CAST(k AS VARCHAR), 2, '0') AS backbone, vec_id AS sample_id, label,
-   CASE WHEN vec_id % 5 IN (0, 3, 4) THEN CASE WHEN (vec_id // 5) % 10 = 0 THEN 'id_val' ELSE 'train' END WHEN vec_id % 5 = 1 THEN 'near' ELSE 'far' END AS split,
-   CAST(embedding[2 * k + 1] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN {v.SHIFT}::DOUBLE ELSE 0.0::DOUBLE END AS a,
-   CAST(embedding[2 * k + 2] AS DOUBLE) + CASE WHEN vec_id % 5 = 2 THEN {v.SHIFT}::DOUBLE ELSE 0.0::DOUBLE END AS b FROM embeddings CROSS JOIN (SELECT unnest(range(0, {_PLANES})) AS k)),
-pu AS (SELECT *, a / (sqrt(a * a + b * b) + 1e-8::DOUBLE) AS x, b / (sqrt(a * a + b * b) + 1e-8::DOUBLE) AS y FROM pl),
+CHAIN_SQL = f"""{_PLANE_SQL},
 w AS (SELECT backbone, label AS class, {v.HEAD_SCALE}::DOUBLE * avg(a) AS wa, {v.HEAD_SCALE}::DOUBLE * avg(b) AS wb FROM pl WHERE split = 'train' GROUP BY ALL),
 tau AS (SELECT backbone, quantile_cont(e, 0.9) AS tau FROM (SELECT backbone, a AS e FROM pl WHERE split = 'train' UNION ALL SELECT backbone, b FROM pl WHERE split = 'train') GROUP BY backbone),
 z AS (SELECT pl.backbone, sample_id, split, a, b, a * wa + b * wb AS z, least(a, tau) * wa + least(b, tau) * wb AS zc FROM pl JOIN w ON pl.backbone = w.backbone JOIN tau ON tau.backbone = pl.backbone),
@@ -293,18 +284,14 @@ long AS (SELECT domain, backbone, is_id, method, round(score, 9) AS score FROM (
    UNPIVOT (score FOR method IN (msp, energy, logit_norm, react_energy, vim, mahalanobis, knn)))"""
 
 
-def plane_model(spark, sf, methods=None):
-    """Fitted scorer and evaluation rows with 32 pairs of dimensions as backbones."""
-    s = v.samples(spark, sf).where("backbone = 'b64'")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(_PLANES - 1)), lambda i: F.struct(i.alias("i"), F.slice("feats", 2 * i + 1, 2).alias("f")))
-    planes = s.withColumn("p", F.explode(pairs)).withColumns(
-        {"backbone": F.concat(F.lit("p"), F.lpad(F.col("p.i").cast("string"), 2, "0")), "feats": F.col("p.f")}
-    ).drop("p")
-    planes = written_by(planes, *KEYS, "split")
-    h = cut_lineage(v.heads(planes))
-    rows = scorer.linear_logits(planes, h, KEYS)
-    model = scorer.ShiftScorer(methods=methods).fit(rows.where("split = 'train'"), h, KEYS)
-    return model, rows.where("split <> 'train'")
+@query(
+    "vim_plane",
+    f"""WITH {CHAIN_SQL} SELECT rs.backbone, sample_id, split, {R("energy - alpha * res")} AS vim FROM rs JOIN al ON al.backbone = rs.backbone""",
+)
+def vim_plane(spark, sf):
+    """Residual-space score where the residual direction has a closed form."""
+    model, rows = plane_model(spark, sf, ("vim",))
+    return model.wide(rows).select("backbone", "sample_id", "split", r6(F.col("vim")).alias("vim"))
 
 
 @query(
@@ -317,7 +304,7 @@ UNION ALL SELECT l.domain, held_out, l.n_raters, {R("l.kendall_w")}, {R("l.kenda
 def w_from_vectors(spark, sf):
     """Vectors to seven scores to AUROC to Kendall's W over 32 raters, and W without each rater."""
     model, rows = plane_model(spark, sf)
-    long = model.transform(rows).withColumn("score", F.round("score", 9))
+    long = model.transform(rows.where("split <> 'train'")).withColumn("score", F.round("score", 9))
     cell = cut_lineage(separability.auroc(v.by_domain(long), ["domain", "backbone", "method"]))
     full = ranks.kendall_w(cell, ["domain"], ["backbone"], "method", "auroc")
     full = full.select("domain", F.lit("(none)").alias("held_out"), "n_raters", "kendall_w", F.lit(0.0).alias("delta_vs_full"))

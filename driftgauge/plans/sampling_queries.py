@@ -91,7 +91,7 @@ def _gate(spark, sf):
     """Calibrate on half of the ID rows, evaluate on the other half: softmax confidence against Mahalanobis score."""
     keys = ["domain", "backbone"]
     model, rows = plane_model(spark, sf, ("msp", "mahalanobis"))
-    scored = v.by_domain(model.wide(rows))
+    scored = v.by_domain(model.wide(rows.where("split <> 'train'")))
     two = cut_lineage(
         scored.select(*keys, "sample_id", "is_id", F.round("msp", 9).alias("msp"), F.round("mahalanobis", 9).alias("maha"))
     )
