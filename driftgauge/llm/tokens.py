@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-_LAST_POINT = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,])(\s|$)"
+# ASCII marks after the last letter of a word; not ">", which ends the names of special tokens.
+_LAST_MARKS = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([!-/:-=?@\[-`{-~]+)(\s|$)"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -98,9 +99,11 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the bounds of each text in it; ``end_id`` closes every text."""
-        # A point or comma that ends a word is a word of its own to the tokenizer, if the letter before stays a letter
-        # (some letters beyond Latin-1 become a letter and a mark, which would join the point).
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _LAST_POINT, r"\1 \2\3"))
+        # The tokenizer lower-cases, except for special tokens. Marks that end a word are a word of their own to it, if
+        # the letter before stays a letter (some beyond Latin-1 become a letter and a mark, which would join them).
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _LAST_MARKS, r"\1 \2\3"))
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = pc.dictionary_encode(split.flatten())

@@ -20,7 +20,7 @@ def whole_ids(texts):
     return [np.array(e.ids + [1], "<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-PIECES = ["a", "The", " ", "\n", ". ", ",", "'s", "ß", "é.", "İ", "क़.", "שׁ,", "e\u0301.", "中文", "<|endoftext|>", "12,", " ", "ﬁ.", "don't", "\t", "..", "x,y. "]
+PIECES = ["a", "!! ", "x###", "&&& ", "'", "\" ", "(b) ", "<|", "|>", "<|ENDOFTEXT|>", "z>", "[q] ", "_w_ ", "The", " ", "\n", ". ", ",", "'s", "ß", "é.", "İ", "क़.", "שׁ,", "e\u0301.", "中文", "<|endoftext|>", "12,", " ", "ﬁ.", "don't", "\t", "..", "x,y. "]
 
 
 @settings(max_examples=300, deadline=None)
