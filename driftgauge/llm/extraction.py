@@ -88,6 +88,9 @@ def aligned_blocks(pages: DataFrame) -> DataFrame:
 def constant_slots(pages: DataFrame, least_pages: int, constant_share: float) -> DataFrame:
     """host and ``constants``: (slot, hash of text) of the nodes that nearly all different pages of the host share."""
     many = pages.groupBy("host").agg(F.count_distinct("content").alias("n_pages")).where(F.col("n_pages") >= least_pages)
+    many = written(many, "page-hosts")
+    if many.count() <= BROADCAST_ROWS:  # then only nodes that pass are brought together by host
+        many = F.broadcast(many)
     fills = (
         pages.select("host", "content", F.explode("blocks").alias("b"))
         .where("b.slot >= 0 and not b.excluded")
