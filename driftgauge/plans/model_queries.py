@@ -360,14 +360,19 @@ def per_sample_report(spark, sf):
     return rounded(out, *scorer.METHODS)
 
 
-@query("fill_missing_scores")
+@query(
+    "fill_missing_scores",
+    f"""WITH {CHAIN_SQL}, {v.auroc_sql("long", "domain, backbone, method")}
+SELECT domain, backbone, method, {R("auroc")} AS auroc, CASE WHEN method = 'vim' OR (method = 'mahalanobis' AND backbone = 'p02') THEN 'computed' ELSE 'table' END AS source
+FROM au WHERE method <> 'knn'""",
+)
 def fill_missing_scores(spark, sf):
     """Table values win; holes are filled from freshly computed scores."""
-    model, rows = _fitted(spark, sf)
-    long = model.transform(rows.where("split <> 'train'"), with_knn=False)
+    model, rows = plane_model(spark, sf, tuple(m for m in scorer.METHODS if m != "knn"))
+    long = model.transform(rows.where("split <> 'train'")).withColumn("score", F.round("score", 9))
     keys = ["domain", "backbone", "method"]
     computed = cut_lineage(separability.auroc(v.by_domain(long), keys))
-    table = computed.where("not (method = 'vim' or (method = 'mahalanobis' and backbone = 'b32'))")
+    table = computed.where("not (method = 'vim' or (method = 'mahalanobis' and backbone = 'p02'))")
     return rounded(tables.fill_missing(table, computed, keys, "auroc"), "auroc")
 
 
