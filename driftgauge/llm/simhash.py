@@ -19,7 +19,7 @@ Only ``doc_id`` and ``text`` are read. An empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 from math import comb
@@ -78,9 +78,14 @@ def fingerprint(text: bytes, words: int) -> int:
 
 def wide_fingerprint(text: bytes, words: int) -> np.ndarray:
     """SimHash of ``WIDE_WORDS`` words of 64 bits: each shingle's hash is mixed with one constant for each word."""
+    return wide_bits(list(shingle_hashes(text, words)))
+
+
+def wide_bits(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """The wide fingerprint of all hashes in ``parts``."""
     counts, n = np.zeros(64 * WIDE_WORDS, np.int64), 0
     steps = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for hashes in shingle_hashes(text, words):
+    for hashes in parts:
         z = hashes[:, None] + steps
         z ^= z >> np.uint64(30)
         z *= np.uint64(0xBF58476D1CE4E5B9)
@@ -242,11 +247,11 @@ def hex_digits(fp: str = "fp"):
 def differing_bits(similarity: float) -> int:
     """Bits of the wide fingerprint in which two texts of this shingle similarity may differ.
 
-    Two standard deviations are allowed for.
+    Five standard deviations are allowed for: the bits only find candidates, their shingles decide.
     """
     share = differing_share(similarity)
     bits = 64 * WIDE_WORDS
-    return int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
 
 
 def differing_share(similarity: float) -> float:
@@ -309,24 +314,110 @@ def linked_by_bits(wide: np.ndarray, most: int, groups: Iterator[tuple[np.ndarra
     return label
 
 
+def pairs_apart(
+    wide: np.ndarray, label: np.ndarray, most: int, groups: Iterator[tuple[np.ndarray, np.ndarray]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, bits): members of a group with different labels whose wide fingerprints differ in at most ``most`` bits."""
+    found, seen = [np.zeros((0, 2), np.int64)], set()
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= most
+        found.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], axis=1))
+
+    for members, group in groups:
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[first, len(members)])
+        two = first[sizes == 2]
+        pairs = np.unique(np.stack([members[two], members[two + 1]], axis=1), axis=0)
+        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+        keep(pairs[:, 0], pairs[:, 1])
+        own = label[members]
+        mixed = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        for at in np.flatnonzero(mixed & (sizes > 2)):
+            who = members[first[at] : first[at] + sizes[at]]
+            if (key := who.tobytes()) in seen:
+                continue
+            seen.add(key)
+            who = who[np.argsort(label[who], kind="stable")]
+            for i, after in enumerate(np.searchsorted(label[who], label[who], side="right").tolist()):
+                if after < len(who):
+                    keep(np.full(len(who) - after, who[i]), who[after:])
+        if len(found) > 1000:
+            found = [np.unique(np.concatenate(found), axis=0)]
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs, np.bitwise_count(wide[pairs[:, 0]] ^ wide[pairs[:, 1]]).sum(axis=1).astype(np.int64)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, the hash of the text, its wide fingerprint and that fingerprint's hash."""
+    """doc_id, the hash of the text, its wide fingerprint and ``node``, the hash of its set of shingles."""
+    import xxhash
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            found = [wide_fingerprint(t, words).tobytes() for t in texts_of(block, "text").cast(pa.binary()).to_pylist()]
+            wide, node = [], []
+            for text in texts_of(block, "text").cast(pa.binary()).to_pylist():
+                wide.append(wide_fingerprint(text, words).tobytes())
+                node.append(xxhash.xxh64_intdigest(shingle_set(text, words).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("text_hash"), pa.array(found, pa.binary())],
-                names=["doc_id", "text_hash", "wide"],
+                [
+                    block.column("doc_id"),
+                    block.column("text_hash"),
+                    pa.array(wide, pa.binary()),
+                    pa.array(np.array(node, np.uint64).view(np.int64)),
+                ],
+                names=["doc_id", "text_hash", "wide", "node"],
             )
 
-    rows = docs.select(
+    return _texts(docs).mapInArrow(compute, "doc_id long, text_hash long, wide binary, node long")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     )
-    found = rows.mapInArrow(compute, "doc_id long, text_hash long, wide binary")
-    return found.withColumn("node", F.xxhash64("wide"))
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and ``shingles``, the sorted distinct shingle hashes, of the given nodes of ``rows``, each from one text."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            sets = [shingle_set(t, words).tobytes() for t in texts_of(block, "text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(place).alias("k"))
+    first = first.select("node", F.col("k.doc_id").alias("first_id"), F.col("k.text_hash").alias("first_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    found = _texts(docs).join(first, same).select("node", "text").mapInArrow(compute, "node long, shingles binary")
+    return found.groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least this similarity: common shingles over all shingles."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
+                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+                    same.append(False)
+                    continue
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                same.append(both >= similarity * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    mine = sets.select(F.col("node").alias("a"), F.col("shingles").alias("mine"))
+    theirs = sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs"))
+    return pairs.join(mine, "a").join(theirs, "b").mapInArrow(compare, "a long, b long")
 
 
 def similar_documents(
@@ -335,50 +426,91 @@ def similar_documents(
     similarity: float = 0.8,
     variants_per_task: int = VARIANTS_PER_TASK,
 ) -> DataFrame:
-    """doc_id, text_hash and ``root``: equal for documents linked by shingle similarity of about ``similarity`` or more.
+    """doc_id, text_hash and ``root``: equal for documents linked by shingle similarity of ``similarity`` or more.
 
     At this similarity 64 bits differ in about ten places, far beyond a radius whose balls can be listed. So the
     fingerprint is 512 bits wide, and the ball hashing runs in zones of its bits: within a zone a few bits are equal and
     32 others differ in at most 4, met in the middle by balls of 2. A document goes to one group of each zone, named by
     the equal bits. Their number grows with the logarithm of the corpus and keeps the groups bounded; the number of
     zones (34 up to some 500,000 documents) is such that a pair at ``similarity`` meets in at least one with probability
-    ``RECALL``, a closer pair with a higher one. Whatever meets is verified on all 512 bits: the bits in which two texts
-    differ estimate their similarity, and two standard deviations are allowed for, so pairs below 0.6 are practically
-    never linked. Texts without a word have a fingerprint of zeros and are linked to each other.
+    ``RECALL``, a closer pair with a higher one.
+
+    The fingerprint only finds candidates: what meets and differs in at most ``differing_bits``. Only texts that have one
+    go on, with their sets of shingles, and a link is a pair whose sets have the similarity. First each text is compared
+    with the smallest text it hangs together with, so a crowd of near copies is linked by as many comparisons as it has
+    members; then each text with its nearest candidate, and last all candidates, as far as they are not linked yet.
+    Texts with the same set of shingles, among them those without a word, are one node from the start.
     """
     rows = written(wide_fingerprints(docs, words), "wide-fingerprints")
     marks = rows.groupBy("node").agg(F.min("wide").alias("wide"))
     equal, n_zones = zone_shape(marks.count(), similarity, variants_per_task)
     order, most, flips = zone_bits(equal, n_zones), differing_bits(similarity), RADIUS // 2
 
-    def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.arange(n_zones, dtype=np.int64) << equal
-        weights = 1 << np.arange(max(equal, POINT_BITS), dtype=np.int64)
-        for whole in batches:
-            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(a, ROWS_AT_ONCE)
-                data = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                bits = np.unpackbits(data, axis=1, bitorder="little")[:, order]
-                zone = number + bits[:, :, :equal].astype(np.int64) @ weights[:equal]
-                point = bits[:, :, equal:].astype(np.int64) @ weights[:POINT_BITS]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), n_zones))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(zone.ravel()), pa.array(point.ravel()), batch.column("node").take(at), batch.column("wide").take(at)],
-                    names=["zone", "point", "node", "wide"],
-                )
-
-    def collide(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
+    def zoned(marks: DataFrame) -> DataFrame:
+        names = marks.columns
+
+        def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = np.arange(n_zones, dtype=np.int64) << equal
+            weights = 1 << np.arange(max(equal, POINT_BITS), dtype=np.int64)
+            for whole in batches:
+                for a in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(a, ROWS_AT_ONCE)
+                    data = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    bits = np.unpackbits(data, axis=1, bitorder="little")[:, order]
+                    zone = number + bits[:, :, :equal].astype(np.int64) @ weights[:equal]
+                    point = bits[:, :, equal:].astype(np.int64) @ weights[:POINT_BITS]
+                    at = pa.array(np.repeat(np.arange(batch.num_rows), n_zones))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(zone.ravel()), pa.array(point.ravel()), *(batch.column(n).take(at) for n in names)],
+                        names=["zone", "point", *names],
+                    )
+
+        kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marks.schema)
+        return marks.mapInArrow(zones, f"zone long, point long, {kept}")
+
+    def met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
         node = table.column("node").to_numpy()
         points = table.column("point").to_numpy().astype(np.uint64)
         wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
-        groups = meetings(points, np.full(len(points), flips, np.int64), POINT_BITS, variants_per_task)
+        return node, wide, meetings(points, np.full(len(points), flips, np.int64), POINT_BITS, variants_per_task)
+
+    def collide(table: pa.Table) -> pa.Table:
+        node, wide, groups = met(table.sort_by("node"))
         label = linked_by_bits(wide, most, groups)
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
 
-    sent = marks.mapInArrow(zones, "zone long, point long, node long, wide binary")
-    links = sent.groupBy("zone").applyInArrow(collide, "a long, b long").distinct()
+    def apart(nearest: bool):
+        def collide(table: pa.Table) -> pa.Table:
+            table = table.sort_by("node")
+            node, wide, groups = met(table)
+            label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+            pairs, bits = pairs_apart(wide, label, most, groups)
+            if nearest:
+                pairs, bits = np.concatenate([pairs, pairs[:, ::-1]]), np.concatenate([bits, bits])
+                ranked = np.lexsort((pairs[:, 1], bits, pairs[:, 0]))
+                first = ranked[np.unique(pairs[ranked, 0], return_index=True)[1]]
+                pairs, bits = pairs[first], bits[first]
+            return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]], "bits": bits})
+
+        return collide
+
+    hung = written(zoned(marks).groupBy("zone").applyInArrow(collide, "a long, b long").distinct(), "candidates")
+    ends = written(hung.select(F.col("a").alias("node")).union(hung.select("b")).distinct(), "candidate-nodes")
+    near = written(marks.join(ends, "node", "left_semi"), "candidate-marks")
+    sets = written(shingle_sets(docs, rows, ends, words), "shingle-sets")
+    links = written(verified(hung.groupBy("a").agg(F.min("b").alias("b")), sets, similarity), "near-links")
+    for nearest in (True, False):
+        roots = components(links)
+        labelled = near.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("label"))
+        pairs = zoned(labelled).groupBy("zone").applyInArrow(apart(nearest), "a long, b long, bits long")
+        if nearest:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("k")).select("a", F.col("k.b").alias("b"))
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        more = written(verified(pairs, sets, similarity), "near-links")
+        links = links.union(more)
+        if pairs.isEmpty():
+            break
     roots = components(links)
     return rows.join(roots, rows["node"] == roots["node"], "left").select(
         "doc_id", "text_hash", F.coalesce(roots["root"], rows["node"]).alias("root")

@@ -189,3 +189,28 @@ def test_wide_links_estimate_similarity(spark):
     rows = similar_documents(docs_frame(spark, [(1, text, "en", "s", 1), (2, far, "en", "s", 1)])).collect()
     assert len({r["root"] for r in rows}) == 2
     assert 64 < differing_bits(0.9) < differing_bits(0.8) < 128
+
+
+def test_links_are_what_exact_similarity_links(spark):
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(30):
+        base = " ".join(f"w{x}" for x in rng.integers(0, 5000, 400))
+        texts += [base] + [edited(base, share, rng) for share in (0.02, 0.032, 0.036, 0.04)]
+    chain = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 300))]
+    for _ in range(12):
+        chain.append(edited(chain[-1], 0.02, rng))
+    texts += chain
+    rng.shuffle(texts)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    pairs = [(similarity(a, b), i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i])]
+    assert sum(0.7 < s < 0.8 for s, _, _ in pairs) > 40
+    label = list(range(len(texts)))
+    for s, i, j in pairs:
+        if s >= 0.8 and label[i] != label[j]:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    found = {r["doc_id"]: r["root"] for r in similar_documents(docs_frame(spark, rows)).collect()}
+    groups = lambda of: sorted(sorted(n for n in range(len(texts)) if of[n] == r) for r in {of[n] for n in range(len(texts))})
+    assert groups(found) == groups(label)
+    kept = {r["doc_id"] for r in one_of_each(docs_frame(spark, rows)).collect()}
+    assert kept == set(label)
