@@ -19,7 +19,7 @@ Only ``doc_id`` and ``text`` are read. An empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 from math import comb
@@ -77,24 +77,28 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def wide_fingerprint(text: bytes, words: int) -> np.ndarray:
-    """SimHash of ``WIDE_WORDS`` words of 64 bits: each shingle's hash is mixed with one constant for each word."""
-    return wide_bits(list(shingle_hashes(text, words)))
+    """SimHash of ``WIDE_WORDS`` words of 64 bits over the distinct shingles, so repeats weigh nothing."""
+    return wide_bits(shingle_set(text, words))
 
 
-def wide_bits(parts: Sequence[np.ndarray]) -> np.ndarray:
-    """The wide fingerprint of all hashes in ``parts``."""
-    counts, n = np.zeros(64 * WIDE_WORDS, np.int64), 0
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+
+def wide_bits(shingles: np.ndarray) -> np.ndarray:
+    """The wide fingerprint of shingle hashes: each is mixed with one constant for each word."""
+    counts = np.zeros(64 * WIDE_WORDS, np.int64)
     steps = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for hashes in parts:
-        z = hashes[:, None] + steps
+    for a in range(0, len(shingles), HASHES_AT_ONCE):
+        z = shingles[a : a + HASHES_AT_ONCE, None] + steps
         z ^= z >> np.uint64(30)
         z *= np.uint64(0xBF58476D1CE4E5B9)
         z ^= z >> np.uint64(27)
         z *= np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
         counts += bit_counts(z)
-        n += len(hashes)
-    return np.packbits(2 * counts > n, bitorder="little")
+    return np.packbits(2 * counts > len(shingles), bitorder="little")
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -348,11 +352,6 @@ def pairs_apart(
     return pairs, np.bitwise_count(wide[pairs[:, 0]] ^ wide[pairs[:, 1]]).sum(axis=1).astype(np.int64)
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
-
-
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, the hash of the text, its wide fingerprint and ``node``, the hash of its set of shingles."""
     import xxhash
@@ -361,8 +360,9 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
         for block in blocks(batches, "text"):
             wide, node = [], []
             for text in texts_of(block, "text").cast(pa.binary()).to_pylist():
-                wide.append(wide_fingerprint(text, words).tobytes())
-                node.append(xxhash.xxh64_intdigest(shingle_set(text, words).tobytes()))
+                shingles = shingle_set(text, words)
+                wide.append(wide_bits(shingles).tobytes())
+                node.append(xxhash.xxh64_intdigest(shingles.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id"),

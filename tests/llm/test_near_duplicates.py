@@ -17,6 +17,7 @@ from driftgauge.llm.simhash import (
     near_duplicates,
     one_of_each,
     similar_documents,
+    wide_fingerprint,
 )
 
 from .odd import DOCS, EMPTY, PROSE, docs_frame
@@ -214,3 +215,20 @@ def test_links_are_what_exact_similarity_links(spark):
     assert groups(found) == groups(label)
     kept = {r["doc_id"] for r in one_of_each(docs_frame(spark, rows)).collect()}
     assert kept == set(label)
+
+
+def test_repeated_lines_do_not_outweigh_the_rest(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    differ = lambda a, b: int(np.bitwise_count(np.bitwise_xor(*[wide_fingerprint(t.encode(), 5) for t in (a, b)])).sum())
+    rows = []
+    for i, repeats in enumerate((5, 10, 30)):
+        text, line = words(300), words(12)
+        copy = text + f"\n{line}" * repeats
+        assert similarity(text, copy) > 0.9 and differ(text, copy) <= differing_bits(0.8)
+        rows += [(10 * i, text, "en", "s", 1), (10 * i + 1, copy, "en", "s", 1)]
+    line = words(20)
+    one, other = (words(300) + f"\n{line}" * 10 for _ in range(2))
+    assert similarity(one, other) < 0.1 and differ(one, other) > differing_bits(0.8)
+    rows += [(100, one, "en", "s", 1), (101, other, "en", "s", 1)]
+    assert {r["doc_id"] for r in one_of_each(docs_frame(spark, rows)).collect()} == {0, 10, 20, 100, 101}
