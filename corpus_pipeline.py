@@ -27,8 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that spread over ten sites or more, but for each line's first occurrence."""
-    return without_boilerplate(docs)
+    """Documents without lines of any length that spread over ten sites or more, but for each line's first occurrence."""
+    return without_boilerplate(docs, least_words=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,6 +202,15 @@ def test_lines_odd_rows(spark):
     assert without_boilerplate(docs_frame(spark, EMPTY)).collect() == []
 
 
+def test_pipeline_counts_the_sites_of_short_lines(spark):
+    from corpus_pipeline import line_dedup
+
+    rows = [(i, f"Les.\nown line {i} of this text\n转载请注明出处", "en", f"s{i % 12}", 1) for i in range(40)]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup(spark, docs_frame(spark, rows), "").collect())
+    assert got == plain_cleaned(rows, 10, 1)
+    assert got[0][1] == rows[0][1] and got[1][1] == "own line 1 of this text"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No &amp; title</title><style>p{}</style><script>var a="</p><p>no";</script></head>
 <body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=/a>Menu</a><li>More</ul></nav><!-- <p>no</p> -->
 <div class="cookie-notice">We use cookies</div><main><article><header><h1>The   title</h1></header>
