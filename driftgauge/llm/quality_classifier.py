@@ -4,7 +4,8 @@ Statistics of whole texts (lengths, shares of symbols, capitals, digits, repeate
 computed on the executors. A bounded sample of labelled rows, statistics only, trains histogram trees in numpy on the
 driver: every statistic is cut into quantile bins, each tree level adds up gradients per node, statistic and bin. The
 trees are complete binary trees kept as flat arrays, so scoring walks all rows of a batch down one level with one
-indexing step.
+indexing step. Rows of a label that the sample thins weigh as much as the rows they stand for, so scores estimate the
+share of good documents of the whole labelled table at every size.
 
 Nulls: a null text is an empty one; null labels and ids teach nothing, a repeated label counts once at its smallest
 value. Empty texts are scored like others. Repeated rows are all returned; a null id is not held out. If the sample
@@ -136,9 +137,11 @@ def fit_trees(
     bins: int = 64,
     ridge: float = 1.0,
     least_weight: float = 1.0,
+    weights: np.ndarray | None = None,
 ) -> Trees:
-    """Gradient boosting of the logistic loss on histograms."""
-    share = (y.sum() + 1) / (len(y) + 2)
+    """Gradient boosting of the logistic loss on histograms; ``weights`` of rows count relative to their mean."""
+    weights = np.ones(len(y)) if weights is None else weights * (len(y) / max(weights.sum(), 1e-9))
+    share = ((weights * y).sum() + 1) / (len(y) + 2)
     base = float(np.log(share / (1 - share)))
     inner = (1 << depth) - 1
     none = Trees(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
@@ -152,7 +155,7 @@ def fit_trees(
     statistic, cut, leaf = (np.zeros((rounds, s), t) for s, t in ((inner, np.int64), (inner, float), (inner + 1, float)))
     for tree in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        gradient, weight = y - p, p * (1 - p)
+        gradient, weight = weights * (y - p), weights * p * (1 - p)
         node = np.zeros(n, np.int64)
         cut[tree] = np.inf
         for level in range(depth):
@@ -190,8 +193,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 20_000, fol
         for block in blocks(batches, "text"):
             x = statistics(texts_of(block, "text"))
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())],
-                names=["doc_id", "quality", "x"],
+                [*(block.column(c) for c in ("doc_id", "quality", "weight")), pa.array([r.tobytes() for r in x], pa.binary())],
+                names=["doc_id", "quality", "weight", "x"],
             )
 
     known = (
@@ -200,15 +203,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 20_000, fol
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").cast("int").alias("quality"))
     )
-    known = bounded_sample(known, "quality", per_label)
-    rows = _rows(docs).join(known, "doc_id").select("doc_id", "quality", "text")
-    table = rows.mapInArrow(measure, "doc_id long, quality int, x binary").toArrow()
+    known = bounded_sample(known, "quality", per_label, weight="weight")
+    rows = _rows(docs).join(known, "doc_id").select("doc_id", "quality", "weight", "text")
+    table = rows.mapInArrow(measure, "doc_id long, quality int, weight double, x binary").toArrow()
     if not table.num_rows:
         return fit_trees(np.zeros((0, len(STATISTICS))), np.zeros(0))
     x = np.frombuffer(b"".join(table.column("x").to_pylist())).reshape(table.num_rows, -1)
     y = table.column("quality").to_numpy().astype(float)
     order = np.lexsort((y, *x.T, table.column("doc_id").to_numpy()))  # the order of arrival must not matter
-    return fit_trees(x[order], y[order])
+    return fit_trees(x[order], y[order], weights=table.column("weight").to_numpy()[order])
 
 
 def score_quality(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

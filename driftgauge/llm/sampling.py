@@ -11,16 +11,21 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % n
 
 
-def bounded_sample(rows: DataFrame, by: str, per_value: int, most_values: int = 1000) -> DataFrame:
+def bounded_sample(
+    rows: DataFrame, by: str, per_value: int, most_values: int = 1000, weight: str | None = None
+) -> DataFrame:
     """About ``per_value`` rows of each value of ``by``, chosen by a hash of ``doc_id``; never over four times as many.
 
     Only counts per value come to the driver. ``rows`` has ``doc_id``; what it holds beside that is not looked at.
+    ``weight`` names one more column: how many rows of its value a row stands for.
     """
     counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
     if len(counts) > most_values:
         raise ValueError(f"{len(counts)} values of {by}; at most {most_values} are supported")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / (1 << 40)
-    wanted = F.lit(False)
+    wanted, stands_for = F.lit(False), F.lit(1.0)
     for value, n in counts.items():
         wanted = wanted | ((F.col(by) == F.lit(value)) & (draw < min(1.0, per_value / n)))
-    return rows.where(wanted).limit(4 * per_value * max(1, len(counts)))
+        stands_for = F.when(F.col(by) == F.lit(value), max(1.0, n / per_value)).otherwise(stands_for)
+    chosen = rows if weight is None else rows.withColumn(weight, stands_for)
+    return chosen.where(wanted).limit(4 * per_value * max(1, len(counts)))

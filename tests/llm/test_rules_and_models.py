@@ -7,12 +7,13 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftgauge.llm import quality_rules as rules
 from driftgauge.llm.common import load
 from driftgauge.llm.language import fit_languages, identify, predict_languages
-from driftgauge.llm.quality_classifier import Trees, classify, fit_trees, good_documents
+from driftgauge.llm.quality_classifier import Trees, classify, fit_quality, fit_trees, good_documents, statistics
 from driftgauge.llm.sampling import bounded_sample
 
 from .odd import DOCS, EMPTY, docs_frame
@@ -164,3 +165,13 @@ def test_sample_is_bounded(spark):
     assert found["rare"] == 50 and 120 < found["common"] < 300
     same = spark.range(20_000).selectExpr("cast(1 as long) as doc_id", "'x' as kind")
     assert bounded_sample(same, "kind", 200).count() <= 800
+
+
+def test_scores_keep_the_labelled_share_when_a_label_is_thinned(spark):
+    text = "The same text for all, so nothing but the share of good labels can be learnt."
+    rows = [(i, text, "en", "s", 1) for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(4000)], "doc_id long, quality int")
+    x = statistics(pa.array([text]))
+    whole = fit_quality(docs_frame(spark, rows), labels).score(x)[0]
+    thinned = fit_quality(docs_frame(spark, rows), labels, per_label=200).score(x)[0]
+    assert abs(whole - 0.9) < 0.01 and abs(thinned - whole) < 0.03
