@@ -321,14 +321,25 @@ def linked_by_bits(wide: np.ndarray, most: int, groups: Iterator[tuple[np.ndarra
 def pairs_apart(
     wide: np.ndarray, label: np.ndarray, most: int, groups: Iterator[tuple[np.ndarray, np.ndarray]]
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, bits): members of a group with different labels whose wide fingerprints differ in at most ``most`` bits."""
-    found, seen = [np.zeros((0, 2), np.int64)], set()
+    """(pairs, bits): members of a group with different labels whose wide fingerprints differ in at most ``most`` bits.
+
+    Where groups overlap so much that their pairs outnumber those of all rows, all rows are compared instead.
+    """
+    found, seen, work = [np.zeros((0, 2), np.int64)], set(), 0
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
         near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= most
         found.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], axis=1))
 
+    def keep_across(who: np.ndarray) -> None:
+        who = who[np.argsort(label[who], kind="stable")]
+        for i, after in enumerate(np.searchsorted(label[who], label[who], side="right").tolist()):
+            if after < len(who):
+                keep(np.full(len(who) - after, who[i]), who[after:])
+
     for members, group in groups:
+        if work > len(wide) ** 2:
+            break
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         sizes = np.diff(np.r_[first, len(members)])
         two = first[sizes == 2]
@@ -342,12 +353,13 @@ def pairs_apart(
             if (key := who.tobytes()) in seen:
                 continue
             seen.add(key)
-            who = who[np.argsort(label[who], kind="stable")]
-            for i, after in enumerate(np.searchsorted(label[who], label[who], side="right").tolist()):
-                if after < len(who):
-                    keep(np.full(len(who) - after, who[i]), who[after:])
+            if (work := work + len(who) ** 2) > len(wide) ** 2:
+                break
+            keep_across(who)
         if len(found) > 1000:
             found = [np.unique(np.concatenate(found), axis=0)]
+    if work > len(wide) ** 2:
+        keep_across(np.arange(len(wide)))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pairs, np.bitwise_count(wide[pairs[:, 0]] ^ wide[pairs[:, 1]]).sum(axis=1).astype(np.int64)
 

@@ -16,6 +16,7 @@ from driftgauge.llm.simhash import (
     meetings,
     near_duplicates,
     one_of_each,
+    pairs_apart,
     similar_documents,
     wide_fingerprint,
 )
@@ -232,3 +233,15 @@ def test_repeated_lines_do_not_outweigh_the_rest(spark):
     assert similarity(one, other) < 0.1 and differ(one, other) > differing_bits(0.8)
     rows += [(100, one, "en", "s", 1), (101, other, "en", "s", 1)]
     assert {r["doc_id"] for r in one_of_each(docs_frame(spark, rows)).collect()} == {0, 10, 20, 100, 101}
+
+
+def test_pairs_of_crowded_groups_are_whole():
+    rng = np.random.default_rng(4)
+    wide = rng.integers(0, 4, (40, 8)).astype(np.uint64)
+    label = rng.integers(0, 12, 40)
+    crowds = [np.sort(rng.choice(40, 30, replace=False)) for _ in range(9)] + [np.arange(40)]
+    groups = [(np.concatenate(crowds), np.repeat(np.arange(10), [30] * 9 + [40]))]
+    bits = lambda i, j: int(np.bitwise_count(wide[i] ^ wide[j]).sum())
+    expected = {(i, j): bits(i, j) for j in range(40) for i in range(j) if label[i] != label[j] and bits(i, j) <= 8}
+    pairs, differ = pairs_apart(wide, label, 8, iter(groups))
+    assert {tuple(p): b for p, b in zip(pairs.tolist(), differ.tolist(), strict=True)} == expected
