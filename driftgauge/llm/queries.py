@@ -143,3 +143,25 @@ def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgauge.llm.extraction import main_text
 
     return main_text(load(spark, sf_dir, "pages"))
+
+
+@query("op13_merkle_manifest")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof digest and check of all documents against a manifest, a third of them tampered with."""
+    from pyspark.sql import functions as F
+
+    from driftgauge.llm import merkle
+    from driftgauge.llm.sampling import fold
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [lowered if c == "text" else F.col(c) for c in merkle.FIELDS]
+    # stored only where the change shows
+    tampered = F.when((fold("doc_id", 3) == 0) & (lowered != F.col("text")), merkle.leaf_digest(*fields))
+    path = scratch_path(spark, "merkle")
+    n_steps = merkle.write_manifest(load(spark, sf_dir, "documents"), path, extra={"tampered": tampered})
+    found = merkle.read_proofs(spark, path, n_steps, ("tampered",))
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
