@@ -165,3 +165,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query("op12_language_model")
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and byte-model log probabilities of all documents."""
+    from driftgauge.llm.ppm import language_model
+
+    return language_model(load(spark, sf_dir, "documents"))
