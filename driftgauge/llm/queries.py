@@ -173,3 +173,44 @@ def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgauge.llm.ppm import language_model
 
     return language_model(load(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^ \x09]+') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+    ), words AS (
+        SELECT piece, lang, unnest(w) AS w1, unnest(range(len(w))) AS i FROM pieces
+    ), runs AS (
+        SELECT lang, w1, lead(w1) OVER one AS w2, lead(w1, 2) OVER one AS w3 FROM words WINDOW one AS (PARTITION BY piece ORDER BY i)
+    ), f1 AS (SELECT lang, w1, CAST(count(*) AS HUGEINT) AS f FROM runs GROUP BY ALL
+    ), f2 AS (SELECT lang, w1, w2, CAST(count(*) AS HUGEINT) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+    ), f3 AS (SELECT lang, w1, w2, w3, CAST(count(*) AS HUGEINT) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+    ), around AS (
+        SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL
+    ), two AS (
+        SELECT lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, x.f AS l, y.f AS r, 1000000 * p.f * p.f // (x.f * y.f) AS score
+        FROM f2 p JOIN f1 x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, f FROM f1) y USING (lang, w2) LEFT JOIN around o USING (lang, w1, w2)
+        WHERE o.f IS NULL OR 100 * o.f < 50 * p.f
+    ), three AS (
+        SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2,
+               1000000 * t.f * t.f // (x.f * yz.f) AS s1, 1000000 * t.f * t.f // (xy.f * z.f) AS s2
+        FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f1 z ON z.lang = t.lang AND z.w1 = t.w3
+        JOIN f2 xy ON xy.lang = t.lang AND xy.w1 = t.w1 AND xy.w2 = t.w2 JOIN f2 yz ON yz.lang = t.lang AND yz.w1 = t.w2 AND yz.w2 = t.w3
+    ), every AS (
+        SELECT * FROM two UNION ALL
+        SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM three
+    )
+    SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+    JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    from driftgauge.llm.collocations import collocations
+
+    return collocations(load(spark, sf_dir, "documents"))
