@@ -55,12 +55,24 @@ def wide_hash(seed: int, *keys: Column) -> Column:
     return first * F.lit(MODULUS) + second
 
 
+def _reduced(v):
+    """``v % MODULUS`` for 0 <= v < 2^62: the modulus is 2^31 - 1, so shifts and additions do it."""
+    v = (v & MODULUS) + (v >> 31)
+    v = (v & MODULUS) + (v >> 31)
+    return np.where(v >= MODULUS, v - MODULUS, v)
+
+
 def _mix_np(lane: int, h, x):
     multiplier, offset, high = LANES[lane]
     x = np.asarray(x, dtype=np.int64)
-    quotient = np.mod(np.where(x < 0, -(-x // MODULUS), x // MODULUS), MODULUS)
-    t = (h * multiplier + np.mod(x, MODULUS) + quotient * high + 11) % MODULUS
-    return (t * (t + offset)) % MODULUS
+    t = h * multiplier + 11
+    if x.size and x.min() >= 0 and x.max() < MODULUS:  # no quotient to add
+        t = t + x
+    else:
+        quotient = np.mod(np.where(x < 0, -(-x // MODULUS), x // MODULUS), MODULUS)
+        t = t + np.mod(x, MODULUS) + quotient * high
+    t = _reduced(t)
+    return _reduced(t * (t + offset))
 
 
 def _lane_np(lane: int, seed: int, keys):

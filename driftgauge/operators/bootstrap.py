@@ -1,10 +1,13 @@
 """Poisson bootstraps that sort the rows once for all replicates.
 
 Replicates are weight columns computed next to the sorted rows, never copies of them.
-While all rows fit a task's bound, each cell is one group. Beyond that the score axis is
-cut into ranges for AUROC and FPR95 (a heavy score gets a range of its own, cut further by id): every range
-reports its weights and wins per replicate, ranges are chained by prefix sums, and only
-the one range that holds a replicate's percentile is opened again.
+While all rows fit a task's bound, each cell is one group. Beyond that the value axis is
+cut into ranges (a heavy value gets a range of its own, cut further by id): every part
+reports a few sums per replicate, parts are chained by prefix sums, and only the parts that
+decide a replicate are opened again: those with its percentile (AUROC, FPR95), its last
+prefix that meets the target (coverage) or its trim positions (dispersion). Rank correlation
+needs both ranks of a row at one place: ranks go from the ranges of one variable to those of
+the other as packed arrays, a block of replicates at a time.
 """
 
 from __future__ import annotations
@@ -14,19 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from driftgauge.functions.draws import POISSON_STEPS, keyed_hash_np
 from driftgauge.functions.scores import finite_or_error
+from driftgauge.operators.coverage import RISK_EPS
 from driftgauge.operators.dispersion import CVID_EPS, TRIM_SHARE
 from driftgauge.operators.kernels import key_fields
 from driftgauge.operators import ordered
 from driftgauge.operators.ordered import with_ranges
-from driftgauge.operators.resample import dispersion_gap_reps, poisson_replicates, spearman_reps
 from driftgauge.operators.separability import ID_TAIL
 from driftgauge.session import cut_lineage
 
 # Weights held at once by one task.
 REPLICATE_BLOCK = 4_000_000
+# Replicates whose ranks travel with a row at once (8 bytes each).
+RANK_BLOCK = 125
 
 
 def _weights(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
@@ -130,9 +136,7 @@ def _weighted_ranks(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def bootstrap_spearman(df: DataFrame, keys: list[str], sample_id: str, x: str, y: str, n_reps: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys, rep, rho); past a task's row bound the replicate becomes a grouping key."""
-    if df.count() > ordered.ROWS_PER_RANGE:
-        return spearman_reps(poisson_replicates(df, sample_id, n_reps, seed), keys, x, y).select(*keys, "rep", "rho")
+    """(keys, rep, rho); NULL where a replicate has no spread."""
     slim = df.select(
         *keys, F.col(sample_id).alias("sid"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
@@ -142,7 +146,204 @@ def bootstrap_spearman(df: DataFrame, keys: list[str], sample_id: str, x: str, y
         spread = np.sqrt((w * a * a).sum(axis=0) * (w * b * b).sum(axis=0))
         return [np.where(spread > 0, (w * a * b).sum(axis=0) / np.where(spread > 0, spread, 1.0), np.nan)]
 
-    return _replicates(slim, keys, ["rho"], kernel, n_reps, seed)
+    by_x, needed = with_ranges(slim, "x", "sid")
+    if not needed:
+        return _replicates(slim, keys, ["rho"], kernel, n_reps, seed)
+    return _ranged_spearman(by_x, keys, n_reps, seed)
+
+
+def _rank_bases(rows: DataFrame, keys: list[str], part: list[str], value: str, n_reps: int, seed: int) -> DataFrame:
+    """(keys, part, rep): weight of lower ranges and of the own one, whether that is one value, and the cell's weight."""
+
+    def kernel(c: dict, w: np.ndarray) -> list[np.ndarray]:
+        ends = [np.full(w.shape[1], end) for end in (c[value].min(), c[value].max())]
+        return [w.sum(axis=0).astype(float), *ends]
+
+    slim = rows.select(*keys, *part, "sid", value)
+    parts = _replicates(slim, [*keys, *part], ["w", "low", "high"], kernel, n_reps, seed)
+    ranges = parts.groupBy(*keys, part[0], "rep").agg(F.sum("w").alias("own"), (F.min("low") == F.max("high")).alias("single"))
+    cell = Window.partitionBy(*keys, "rep")
+    below = cell.orderBy(part[0]).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *keys, part[0], "rep", "own", "single",
+        F.coalesce(F.sum("own").over(below), F.lit(0.0)).alias("below"), F.sum("own").over(cell).alias("whole"),
+    )
+    return cut_lineage(parts.select(*keys, *part, "rep").join(ranges, [*keys, part[0], "rep"]))
+
+
+def _ranks_in_part(v: np.ndarray, w: np.ndarray, bases: dict) -> np.ndarray:
+    """Average ranks minus the mean rank, for the rows of one part and the replicates of ``bases``."""
+    middle = (bases["whole"] + 1) / 2.0
+    single = bases["below"] + (bases["own"] + 1) / 2.0 - middle
+    if bool(bases["single"][0]):
+        return np.repeat(single[None, :], len(v), axis=0)
+    return _weighted_ranks(v, w) + (w.sum(axis=0) + 1) / 2.0 + bases["below"] - middle
+
+
+def _bases_of(table: pa.Table) -> dict:
+    order = np.argsort(table.column("rep").to_numpy())
+    return {c: np.asarray(table.column(c).to_pylist())[order] for c in ("rep", "own", "single", "below", "whole")}
+
+
+def _ranged_spearman(by_x: DataFrame, keys: list[str], n_reps: int, seed: int) -> DataFrame:
+    px, py = ["__xr", "__xt"], ["__yr", "__yt"]
+    by_x = by_x.withColumnsRenamed(dict(zip(_PART, px, strict=True)))
+    both = cut_lineage(with_ranges(by_x, "y", "sid")[0].withColumnsRenamed(dict(zip(_PART, py, strict=True))))
+    bases_x, bases_y = (_rank_bases(both, keys, p, v, n_reps, seed) for p, v in ((px, "x"), (py, "y")))
+    sent = T.StructType([*key_fields(both, [*keys, *py]), T.StructField("sid", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("ranks", T.BinaryType())])
+    sums = T.StructType([*key_fields(both, keys), T.StructField("rep", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("xy", "xx", "yy")]])
+
+    def ranks(rows: pa.Table, table: pa.Table) -> pa.Table:
+        bases, ids = _bases_of(table), rows.column("sid").to_numpy().astype(np.int64)
+        found, step = [], max(1, REPLICATE_BLOCK // max(1, len(bases["rep"])))
+        v = rows.column("x").to_numpy()
+        if len(ids) <= step or bool(bases["single"][0]):
+            whole = _ranks_in_part(v, _weights(ids, bases["rep"], seed), bases)
+            found = [r.tobytes() for r in whole]
+        else:  # all rows of a part are needed for a rank, so replicates are cut instead
+            columns = []
+            for lo in range(0, len(bases["rep"]), max(1, REPLICATE_BLOCK // len(ids))):
+                some = slice(lo, lo + max(1, REPLICATE_BLOCK // len(ids)))
+                own = {k: b[some] for k, b in bases.items()}
+                columns.append(_ranks_in_part(v, _weights(ids, own["rep"], seed), own))
+            found = [r.tobytes() for r in np.concatenate(columns, axis=1)]
+        cols = [rows.column(k) for k in (*keys, *py, "sid", "y")]
+        return pa.Table.from_arrays([*cols, pa.array(found, pa.binary())], names=sent.names)
+
+    def products(rows: pa.Table, table: pa.Table) -> pa.Table:
+        bases, ids = _bases_of(table), rows.column("sid").to_numpy().astype(np.int64)
+        rx = np.stack([np.frombuffer(r) for r in rows.column("ranks").to_pylist()])
+        found, y = [], rows.column("y").to_numpy()
+        for lo in range(0, len(bases["rep"]), max(1, REPLICATE_BLOCK // len(ids))):
+            some = slice(lo, lo + max(1, REPLICATE_BLOCK // len(ids)))
+            own = {k: b[some] for k, b in bases.items()}
+            w = _weights(ids, own["rep"], seed)
+            a, b = rx[:, some], _ranks_in_part(y, w, own)
+            found.append([(w * p * q).sum(axis=0) for p, q in ((a, b), (a, a), (b, b))])
+        parts = [np.concatenate(f) for f in zip(*found, strict=True)]
+        heads = [rows.column(k).combine_chunks().take(pa.array(np.zeros(len(bases["rep"]), np.int64))) for k in keys]
+        return pa.Table.from_arrays([*heads, pa.array(bases["rep"].astype(np.int32)), *[pa.array(p) for p in parts]], names=sums.names)
+
+    blocks = []
+    for lo in range(1, n_reps + 1, RANK_BLOCK):
+        some = F.col("rep").between(lo, lo + RANK_BLOCK - 1)
+        gx, gy = [*keys, *px], [*keys, *py]
+        side = both.groupBy(*gx).cogroup(_renamed(bases_x.where(some), gx).groupBy(*_other(gx))).applyInArrow(ranks, sent)
+        blocks.append(side.groupBy(*gy).cogroup(_renamed(bases_y.where(some), gy).groupBy(*_other(gy))).applyInArrow(products, sums))
+    whole = ordered.union_all(blocks).groupBy(*keys, "rep").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    return whole.select(*keys, "rep", F.when(spread > 0, F.col("xy") / spread).alias("rho"))
+
+
+def _other(names: list[str]) -> list[str]:
+    return [f"{n}__q" for n in names]
+
+
+def _renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The keys of the other side of a cogroup, under names of their own."""
+    return df.withColumnsRenamed(dict(zip(names, _other(names), strict=True)))
+
+
+def _answers(rows: DataFrame, asked: DataFrame, group: list[str], keys: list[str], outputs: list[str], kernel, seed: int) -> DataFrame:
+    """(keys, rep, outputs): a kernel over a part's columns, the weights of the asked replicates and the questions."""
+    schema = T.StructType(
+        [*key_fields(rows, keys), T.StructField("rep", T.IntegerType()), *[T.StructField(o, T.DoubleType()) for o in outputs]]
+    )
+    columns = [c for c in rows.columns if c not in group]
+
+    def answer(part: pa.Table, questions: pa.Table) -> pa.Table:
+        reps = questions.column("rep").to_numpy().astype(np.int64)
+        if not len(reps):  # no replicate is decided here
+            return pa.Table.from_arrays([pa.array([], f.type) for f in empty], schema=empty)
+        data = {c: part.column(c).to_numpy(zero_copy_only=False) for c in columns}
+        asks = {c: questions.column(c).to_numpy(zero_copy_only=False) for c in questions.column_names if c not in _other(group)}
+        ids, found = data["sid"].astype(np.int64), []
+        width = max(1, REPLICATE_BLOCK // len(ids))
+        for lo in range(0, len(reps), width):
+            some = slice(lo, lo + width)
+            found.append(kernel(data, _weights(ids, reps[some], seed), {c: a[some] for c, a in asks.items()}))
+        heads = [part.column(k).combine_chunks().take(pa.array(np.zeros(len(reps), np.int64))) for k in keys]
+        values = [pa.array(np.concatenate([f[i] for f in found]), from_pandas=True) for i in range(len(outputs))]
+        return pa.Table.from_arrays([*heads, pa.array(reps.astype(np.int32)), *values], names=schema.names)
+
+    empty = to_arrow_schema(schema)
+    needed = rows.join(asked.select(*group).distinct(), group, "left_semi")
+    return needed.groupBy(*group).cogroup(_renamed(asked, group).groupBy(*_other(group))).applyInArrow(answer, schema)
+
+
+def _last_prefix(wrong: np.ndarray, w: np.ndarray, limit: float, n0: np.ndarray, e0: np.ndarray) -> np.ndarray:
+    """Longest prefix whose risk meets the limit, 0 if none; weights are copies, and n0 rows with e0 errors come before.
+
+    Copies of a wrong row only raise the risk: within one the best prefix is the longest still under the limit.
+    """
+    n, e = n0 + np.cumsum(w, axis=0), e0 + np.cumsum(w * wrong[:, None], axis=0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        whole = np.where((w > 0) & (e / n <= limit), n, 0)
+    before, errors = n - w, e - w * wrong[:, None]
+    room = np.floor((limit * before - errors) / (1.0 - limit))
+    inside = np.where((w > 1) & wrong[:, None] & (room >= 1), before + np.minimum(room, w), 0)
+    return np.maximum(whole, inside).max(axis=0)
+
+
+def bootstrap_coverage(
+    df: DataFrame, keys: list[str], sample_id: str, target: float = 0.10, n_reps: int = 1000, seed: int = 42,
+    score: str = "score", correct: str = "correct",
+) -> DataFrame:
+    """(keys, rep, coverage): the largest share of rows, by descending score and ties by id, whose risk meets the target.
+
+    0 where no prefix does, NULL where nothing was drawn. A part of the score axis reports its rows, its errors and the
+    least of errors - limit * rows over its prefixes; with the sums before it that tells whether one of its prefixes
+    meets the target, and only the last such part of each replicate is opened.
+    """
+    limit = target + RISK_EPS
+    slim = df.select(
+        *keys, finite_or_error(F.col(score).cast("double"), score).alias("s"), F.col(sample_id).cast("bigint").alias("sid"),
+        (~F.col(correct)).alias("wrong"),
+    )
+    rows, needed = with_ranges(slim, "s", "sid")
+
+    def ordered_rows(c: dict) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((c["sid"], -c["s"]))
+        return order, c["wrong"][order].astype(bool)
+
+    def whole_cell(c: dict, w: np.ndarray) -> list[np.ndarray]:
+        order, wrong = ordered_rows(c)
+        zero, n = np.zeros(w.shape[1]), w.sum(axis=0)
+        return [np.where(n > 0, _last_prefix(wrong, w[order], limit, zero, zero) / np.maximum(n, 1), np.nan)]
+
+    if not needed:
+        return _replicates(slim, keys, ["coverage"], whole_cell, n_reps, seed)
+
+    def summary(c: dict, w: np.ndarray) -> list[np.ndarray]:
+        order, wrong = ordered_rows(c)
+        w = w[order]
+        n, e = np.cumsum(w, axis=0), np.cumsum(w * wrong[:, None], axis=0)
+        # after a right row's last copy, or after a wrong row's first
+        first = np.where(wrong[:, None], w - 1, 0)
+        least = np.where(w > 0, (e - first) - limit * (n - first), np.inf).min(axis=0)
+        return [n[-1].astype(float), e[-1].astype(float), least]
+
+    group, cell = [*keys, *_PART], [*keys, "rep"]
+    parts = _replicates(rows, group, ["w", "e", "least"], summary, n_reps, seed)
+    by_rep = Window.partitionBy(*cell)
+    before = by_rep.orderBy(F.col("__range").desc(), F.col("__tie_range")).rowsBetween(Window.unboundedPreceding, -1)
+    chained = cut_lineage(
+        parts.select(
+            *group, "rep", "least", F.sum("w").over(by_rep).alias("n"),
+            F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("n0"), F.coalesce(F.sum("e").over(before), F.lit(0.0)).alias("e0"),
+        )
+    )
+    meets = F.col("e0") - F.lit(limit) * F.col("n0") + F.col("least") <= 0
+    last = chained.where(meets).groupBy(*cell).agg(F.max_by(F.struct(*_PART, "n0", "e0", "n"), F.struct("n0", -F.col("__range"), "__tie_range")).alias("p"))
+
+    def opened(c: dict, w: np.ndarray, q: dict) -> list[np.ndarray]:
+        order, wrong = ordered_rows(c)
+        return [_last_prefix(wrong, w[order], limit, q["n0"], q["e0"]) / q["n"]]
+
+    found = _answers(rows, last.select(*keys, "rep", "p.*"), group, keys, ["coverage"], opened, seed)
+    every = chained.groupBy(*cell).agg(F.max("n").alias("n"))
+    known = found.select(*cell, F.col("coverage").alias("__c"))
+    return every.join(known, cell, "left").select(*cell, F.when(F.col("n") > 0, F.coalesce("__c", F.lit(0.0))).alias("coverage"))
 
 
 def _weighted_trim(v: np.ndarray, w: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,10 +362,8 @@ def _weighted_trim(v: np.ndarray, w: np.ndarray, share: float) -> tuple[np.ndarr
 def bootstrap_dispersion_gap(df: DataFrame, keys: list[str], sample_id: str, n_reps: int = 1000, seed: int = 42, side: str = "side") -> DataFrame:
     """(keys, rep, cvid_gap, logit_gap_gap): OOD minus ID, from rows with logit_norm and logit_gap.
 
-    NULL where a side drew nothing, in one task per cell as well as with the replicate as a grouping key.
+    NULL where a side drew nothing.
     """
-    if df.count() > ordered.ROWS_PER_RANGE:
-        return dispersion_gap_reps(poisson_replicates(df, sample_id, n_reps, seed), keys, side)
     slim = df.select(*keys, F.col(sample_id).alias("sid"), (F.col(side) == "OOD").alias("ood"), "logit_norm", "logit_gap")
 
     def kernel(c: dict, w: np.ndarray) -> list[np.ndarray]:
@@ -174,7 +373,58 @@ def bootstrap_dispersion_gap(df: DataFrame, keys: list[str], sample_id: str, n_r
             stats.append((std / (np.abs(mean) + CVID_EPS), _weighted_trim(c["logit_gap"][mine], w[mine], TRIM_SHARE)[0]))
         return [stats[0][i] - stats[1][i] for i in (0, 1)]
 
-    return _replicates(slim, keys, ["cvid_gap", "logit_gap_gap"], kernel, n_reps, seed)
+    measures = ["logit_norm", "logit_gap"]
+    long = slim.unpivot([*keys, "sid", "ood"], measures, "measure", "v").withColumn("v", F.col("v").cast("double"))
+    rows, needed = with_ranges(long, "v", "sid", source=slim)
+    if not needed:
+        return _replicates(slim, keys, ["cvid_gap", "logit_gap_gap"], kernel, n_reps, seed)
+    stats = _ranged_trim(rows, [*keys, "ood", "measure"], n_reps, seed)
+    stat = F.when(F.col("measure") == "logit_norm", F.col("std") / (F.abs("mean") + F.lit(CVID_EPS))).otherwise(F.col("mean"))
+    of = lambda name, ood: F.max(F.when((F.col("measure") == name) & (F.col("ood") == F.lit(ood)), stat))
+    return stats.groupBy(*keys, "rep").agg(
+        (of("logit_norm", True) - of("logit_norm", False)).alias("cvid_gap"), (of("logit_gap", True) - of("logit_gap", False)).alias("logit_gap_gap")
+    )
+
+
+def _ranged_trim(rows: DataFrame, keys: list[str], n_reps: int, seed: int) -> DataFrame:
+    """(keys, rep, mean, std) of what the trim leaves: parts inside count by their sums, the parts at either end are opened.
+
+    Squares are taken from each cell's mean, so that they may be added over parts.
+    """
+    centre = rows.groupBy(*keys).agg(F.avg("v").alias("centre"))
+    rows = cut_lineage(rows.join(centre, keys))
+    group, cell = [*keys, *_PART], [*keys, "rep"]
+
+    def sums(c: dict, w: np.ndarray) -> list[np.ndarray]:
+        d = (c["v"] - c["centre"])[:, None]
+        return [w.sum(axis=0).astype(float), (w * d).sum(axis=0), (w * d * d).sum(axis=0)]
+
+    parts = _replicates(rows, group, ["w", "s1", "s2"], sums, n_reps, seed)
+    by_rep = Window.partitionBy(*cell)
+    before = by_rep.orderBy(*_PART).rowsBetween(Window.unboundedPreceding, -1)
+    n, k = F.col("n"), F.floor(F.lit(TRIM_SHARE) * F.col("n")).cast("double")
+    whole = (n < 3) | (k <= 0) | (2 * k >= n)
+    chained = parts.select(*group, "rep", "w", "s1", "s2", F.sum("w").over(by_rep).alias("n"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("b"))
+    first = F.when(whole, F.lit(0.0)).otherwise(F.least("w", F.greatest(F.lit(0.0), k - F.col("b"))))
+    end = F.when(whole, F.col("w")).otherwise(F.greatest(F.lit(0.0), F.least("w", n - k - F.col("b"))))
+    chained = cut_lineage(chained.select(*group, "rep", "w", "s1", "s2", first.alias("first"), end.alias("end")))
+    inside = (F.col("first") == 0) & (F.col("end") == F.col("w"))
+
+    def cut(c: dict, w: np.ndarray, q: dict) -> list[np.ndarray]:
+        order = np.argsort(c["v"], kind="stable")
+        d, w = (c["v"] - c["centre"])[order][:, None], w[order]
+        upto = np.cumsum(w, axis=0)
+        kept = np.clip(np.minimum(upto, q["end"]) - np.maximum(upto - w, q["first"]), 0, None)
+        return [kept.sum(axis=0), (kept * d).sum(axis=0), (kept * d * d).sum(axis=0)]
+
+    asked = chained.where(~inside & (F.col("first") < F.col("end"))).select(*group, "rep", "first", "end")
+    opened = _answers(rows, asked, group, keys, ["w", "s1", "s2"], cut, seed)
+    every = chained.where(inside).select(*cell, "w", "s1", "s2").unionByName(opened)
+    total = every.groupBy(*cell).agg(*[F.sum(c).alias(c) for c in ("w", "s1", "s2")]).join(centre, keys)
+    mean = F.try_divide("s1", "w")
+    return total.select(
+        *cell, (F.col("centre") + mean).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.try_divide("s2", "w") - mean * mean)).alias("std")
+    )
 
 
 _PART = ["__range", "__tie_range"]

@@ -21,6 +21,8 @@ from driftgauge.session import cut_lineage
 
 SHUFFLE_ROUNDS = 16
 LABEL_BLOCK = 2_000_000
+# Labels shuffled at once: their intermediate numbers stay in a core's cache.
+SHUFFLED_AT_ONCE = 64_000
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 
@@ -46,12 +48,42 @@ def shuffled_labels(idx: np.ndarray, n: int, n_id: int, reps: np.ndarray, seed:
     x = np.repeat(np.asarray(idx, dtype=np.int64)[:, None], len(reps), axis=1)
     for r in range(SHUFFLE_ROUNDS):
         k = wide_hash_np(seed, reps, r) % n
-        mirror = (k[None, :] + n - x) % n
-        bit = (keyed_hash_np(seed + 1, reps[None, :], np.full_like(x, r), np.maximum(x, mirror)) // 1024) % 2
+        mirror = k[None, :] + n - x
+        mirror -= n * (mirror >= n)
+        bit = (keyed_hash_np(seed + 1, reps[None, :], r, np.maximum(x, mirror)) >> 10) & 1
         x = np.where(bit == 1, mirror, x)
     return x < n_id
 
 
+def _packed_labels(df: DataFrame, reps: np.ndarray, seed: int) -> DataFrame:
+    """``df`` with the ID labels of all replicates as one bit each (``__bits``), drawn once for both passes."""
+    schema = T.StructType([*df.schema.fields, T.StructField("__bits", T.BinaryType())])
+    width = max(1, SHUFFLED_AT_ONCE // max(1, len(reps)))
+
+    def draw(batches):
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
+            idx, n, n_id = (col(c).to_numpy(zero_copy_only=False) for c in ("__idx", "n_total", "n_id"))
+            bits: list = [None] * b.num_rows
+            for _, rows in row_groups(col("__cell")):
+                for lo in range(0, len(rows), width):
+                    some = rows[lo : lo + width]
+                    labels = np.packbits(shuffled_labels(idx[some], int(n[some[0]]), int(n_id[some[0]]), reps, seed), axis=1)
+                    for i, own in zip(some, labels, strict=True):
+                        bits[i] = own.tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary())], names=[*b.schema.names, "__bits"])
+
+    return df.mapInArrow(draw, schema)
+
+
+def _labels(bits: pa.Array, reps: np.ndarray) -> np.ndarray:
+    """(rows, reps) labels of consecutive replicates (numbered from 1) out of packed bits."""
+    first = int(reps[0]) - 1
+    packed = np.stack([np.frombuffer(x, np.uint8) for x in bits.to_pylist()])
+    own = np.unpackbits(packed[:, first // 8 : (first + len(reps) + 7) // 8], axis=1)
+    return own[:, first % 8 : first % 8 + len(reps)].astype(bool)
+
+
 def _pieces(cells: pa.Array, n_reps: int):
     """Rows by cell, few enough at once that rows x replicates stays small."""
     width = max(1, LABEL_BLOCK // (n_reps + 2))
@@ -64,7 +96,7 @@ def _sum_parts(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return np.sum(np.stack([np.asarray(v) for v in pdf[col]]), axis=0)
 
 
-def _class_sums(df: DataFrame, keys: list[str], reps: np.ndarray, seed: int) -> DataFrame:
+def _class_sums(df: DataFrame, keys: list[str], reps: np.ndarray) -> DataFrame:
     """(keys, rep, s): ID vector sum per replicate; rep 0 is the observed labelling, -1 all rows."""
     names = list(keys)
     schema = T.StructType([*key_fields(df, keys), T.StructField("rep", T.IntegerType()), T.StructField("s", _DOUBLES)])
@@ -78,13 +110,10 @@ def _class_sums(df: DataFrame, keys: list[str], reps: np.ndarray, seed: int) ->
             for cell, rows in _pieces(col("__cell"), n_reps):
                 take = pa.array(rows)
                 x = unit(matrix(col("__v").take(take)))
-                idx = col("__idx").to_numpy(zero_copy_only=False)[rows]
-                is_id = np.asarray(col("__id").to_pylist(), dtype=bool)[rows]
-                n, n_id = col("n_total")[int(rows[0])].as_py(), col("n_id")[int(rows[0])].as_py()
                 labels = np.ones((len(rows), n_reps + 2))
-                labels[:, 1] = is_id
+                labels[:, 1] = np.asarray(col("__id").take(pa.array(rows)).to_pylist(), dtype=bool)
                 if n_reps:
-                    labels[:, 2:] = shuffled_labels(idx, n, n_id, reps, seed)
+                    labels[:, 2:] = _labels(col("__bits").take(pa.array(rows)), reps)
                 if cell not in acc:
                     acc[cell] = [key_values(b, names, rows[0]), 0.0]
                 acc[cell][1] = acc[cell][1] + labels.T @ x
@@ -124,17 +153,17 @@ def silhouette_null(
     shape = df.groupBy(*keys).agg(F.max(F.size(vec)).alias("d")).agg(F.count(F.lit(1)).alias("cells"), F.max("d").alias("d")).first()
     per_rep = 8 * max(1, shape["cells"]) * max(1, shape["d"] or 1)
     width = max(1, kernels.BROADCAST_BYTES // per_rep - 2)
-    if n_perm > width:
-        ready = cut_lineage(ready)
+    if n_perm:
+        ready = cut_lineage(_packed_labels(ready, np.arange(1, n_perm + 1, dtype=np.int64), seed))
     blocks = [np.arange(lo, min(lo + width, n_perm + 1), dtype=np.int64) for lo in range(1, n_perm + 1, width)] or [np.arange(0)]
-    parts = [_null_block(ready, keys, reps, seed) for reps in blocks]
+    parts = [_null_block(ready, keys, reps) for reps in blocks]
     return union_all([parts[0], *[p.where("rep > 0") for p in parts[1:]]])
 
 
-def _null_block(ready: DataFrame, keys: list[str], reps: np.ndarray, seed: int) -> DataFrame:
+def _null_block(ready: DataFrame, keys: list[str], reps: np.ndarray) -> DataFrame:
     """Silhouettes of rep 0 and of one block of replicates: class sums, then row scores."""
     df, names, n_perm = ready, list(keys), len(reps)
-    sums = _class_sums(ready, keys, reps, seed)
+    sums = _class_sums(ready, keys, reps)
     by_cell: dict[str, dict[int, np.ndarray]] = {}
     for r in sums.select(cell_key(keys).alias("__cell"), "rep", "s").collect():
         by_cell.setdefault(r["__cell"], {})[r["rep"]] = np.asarray(r["s"])
@@ -150,12 +179,11 @@ def _null_block(ready: DataFrame, keys: list[str], reps: np.ndarray, seed: int)
             for cell, rows in _pieces(col("__cell"), n_perm):
                 whole, s_id = shared.value[cell]
                 x = unit(matrix(col("__v").take(pa.array(rows))))
-                idx = col("__idx").to_numpy(zero_copy_only=False)[rows]
                 n, n_id = col("n_total")[int(rows[0])].as_py(), col("n_id")[int(rows[0])].as_py()
                 labels = np.empty((len(rows), n_perm + 1), dtype=bool)
-                labels[:, 0] = np.asarray(col("__id").to_pylist(), dtype=bool)[rows]
+                labels[:, 0] = np.asarray(col("__id").take(pa.array(rows)).to_pylist(), dtype=bool)
                 if n_perm:
-                    labels[:, 1:] = shuffled_labels(idx, n, n_id, reps, seed)
+                    labels[:, 1:] = _labels(col("__bits").take(pa.array(rows)), reps)
                 s = _score(x, labels, n_id, n - n_id, s_id, whole[None, :] - s_id).sum(axis=0)
                 if cell not in acc:
                     acc[cell] = [key_values(b, names, rows[0]), 0, 0.0]

@@ -148,8 +148,7 @@ def _coverage_reps(spark, sf):
     rows = v.with_logits(spark, sf).where("split <> 'train'").select(
         "backbone", "sample_id", msp(z).alias("score"), correct(z, F.col("label")).alias("correct")
     )
-    w = resample.poisson_replicates(cut_lineage(rows), "sample_id", REPS, SEED)
-    return cut_lineage(resample.coverage_reps(w, ["backbone"], target=0.5))
+    return cut_lineage(bootstrap.bootstrap_coverage(cut_lineage(rows), ["backbone"], "sample_id", 0.5, REPS, SEED))
 
 
 @query("bootstrap_coverage", f"""WITH {_COV_BOOT_SQL} SELECT backbone, {_ci("coverage")} FROM cov GROUP BY backbone""")

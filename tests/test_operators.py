@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, including the edge cases of the metrics."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,93 @@ def test_rank_and_dispersion_bootstraps_agree_on_both_paths(spark, request):
         assert len(a) == 8 and a == pytest.approx(b)
 
 
+def coverage_rows(spark, n, seed, wrong=0.4):
+    """A hot and a cold cell; scores tie often, one heavy value holds a third of the rows."""
+    rng = np.random.default_rng(seed)
+    score = np.where(rng.random(n) < 0.33, 0.5, np.round(rng.normal(size=n), 1))
+    right = rng.random(n) > wrong * (1.2 - (score > 0))
+    data = [("hot" if i % 7 else "cold", int(i * 31 % n), float(score[i]), bool(right[i])) for i in range(n)]
+    return spark.createDataFrame(data, "cell string, sample_id bigint, score double, correct boolean")
+
+
+@pytest.mark.parametrize("target", [0.1, 0.3, 0.5, 0.9])
+def test_coverage_bootstrap_paths_agree(spark, request, target):
+    """Weight columns in one group, chained score ranges, and replicates as a key give the same coverage."""
+    df = coverage_rows(spark, 600, 5)
+
+    def table(frame):
+        return {(r.cell, r.rep): round(r.coverage, 12) for r in frame.collect()}
+
+    by_key = table(resample.coverage_reps(resample.poisson_replicates(df, "sample_id", 10, 42), ["cell"], target))
+    one_sort = table(bootstrap.bootstrap_coverage(df, ["cell"], "sample_id", target, 10, 42))
+    request.getfixturevalue("tiny_tasks")
+    ranged = table(bootstrap.bootstrap_coverage(df, ["cell"], "sample_id", target, 10, 42))
+    assert len(by_key) == 20 and one_sort == by_key and ranged == by_key
+
+
+def test_coverage_bootstrap_extremes(spark, request):
+    """No prefix meets the target, all do, a single row that is not always drawn."""
+    rows = [("none", i, float(i), False) for i in range(80)] + [("all", i, float(i), True) for i in range(80)] + [("one", 3, 0.0, True)]
+    df = spark.createDataFrame(rows, "cell string, sample_id bigint, score double, correct boolean")
+
+    def table():
+        found = bootstrap.bootstrap_coverage(df, ["cell"], "sample_id", 0.2, 12, 42).collect()
+        return {(r.cell, r.rep): r.coverage for r in found}
+
+    plain = table()
+    assert {v for (c, _), v in plain.items() if c == "none"} == {0.0} and {v for (c, _), v in plain.items() if c == "all"} == {1.0}
+    assert {v for (c, _), v in plain.items() if c == "one"} == {None, 1.0}
+    request.getfixturevalue("tiny_tasks")
+    assert table() == plain
+
+
+def test_rank_bootstrap_with_heavy_ties_in_both_variables(spark, request):
+    rng = np.random.default_rng(29)
+    n = 500
+    x = np.where(rng.random(n) < 0.4, 3.0, rng.integers(0, 40, n).astype(float))
+    y = np.where(rng.random(n) < 0.3, -1.0, np.round(x + rng.normal(size=n) * 9))
+    data = [("hot" if i % 9 else "cold", i, float(x[i]), float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(data, "cell string, sample_id bigint, x double, y double")
+
+    def table():
+        return {(r.cell, r.rep): r.rho for r in bootstrap.bootstrap_spearman(df, ["cell"], "sample_id", "x", "y", 6, 42).collect()}
+
+    by_key = {(r.cell, r.rep): r.rho for r in resample.spearman_reps(resample.poisson_replicates(df, "sample_id", 6, 42), ["cell"], "x", "y").collect()}
+    plain = table()
+    request.getfixturevalue("tiny_tasks")
+    request.getfixturevalue("monkeypatch").setattr(bootstrap, "RANK_BLOCK", 4)
+    ranged = table()
+    assert len(plain) == 12 and plain == pytest.approx(by_key) and ranged == pytest.approx(plain)
+
+
+def test_dispersion_bootstrap_by_ranges_with_ties_and_missing_sides(spark, request):
+    rng = np.random.default_rng(31)
+    data = [("c", "OOD" if i % 4 else "ID", i, float(rng.integers(0, 3)), float(rng.normal())) for i in range(900)]
+    data += [("only_id", "ID", i, float(rng.normal()), 1.0) for i in range(400)] + [("few", "OOD" if i else "ID", i, 1.5, 2.5) for i in range(3)]
+    df = spark.createDataFrame(data, "cell string, side string, sample_id bigint, logit_norm double, logit_gap double")
+
+    def table():
+        found = bootstrap.bootstrap_dispersion_gap(df, ["cell"], "sample_id", 6, 42).collect()
+        return {(r.cell, r.rep, c): r[c] for r in found for c in ("cvid_gap", "logit_gap_gap")}
+
+    plain = table()
+    request.getfixturevalue("tiny_tasks")
+    ranged = table()
+    assert {k for k, v in plain.items() if v is None} == {k for k, v in ranged.items() if v is None}
+    for k, v in plain.items():
+        assert v is None or ranged[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_packed_labels_are_the_shuffled_ones(spark):
+    df = spark.range(40).selectExpr("'c' AS cell", "'c' AS __cell", "id AS __idx", "40L AS n_total", "13L AS n_id")
+    reps = np.arange(1, 22)
+    rows = sorted(silhouette._packed_labels(df, reps, 42).collect(), key=lambda r: r["__idx"])
+    expected = silhouette.shuffled_labels(np.arange(40), 40, 13, reps, 42)
+    for lo, hi in ((0, 21), (5, 21), (8, 16), (20, 21)):
+        got = silhouette._labels(pa.array([bytes(r["__bits"]) for r in rows]), reps[lo:hi])
+        assert (got == expected[:, lo:hi]).all()
+
+
 def test_sweep_auroc_without_copies(spark):
     rng = np.random.default_rng(22)
     ids = spark.createDataFrame([("k", float(x)) for x in rng.integers(0, 30, 200)], "k string, score double")
