@@ -2,8 +2,8 @@
 
 A state is a slot of two arrays; from state ``s`` symbol ``c`` leads to slot ``base[s] + c`` if ``check`` of that slot is
 ``s``. The root is slot 0. Symbols are small numbers (word codes come as digits), so a node has few children: nodes with
-many are given stretches of their own, the others are thrown at random places, all at once, until none collide. The draw
-is seeded by the trie's size, so the same keys give the same arrays.
+many are given stretches of their own, the next are thrown at random places, all of a size at once, until none collide,
+and single children fill the holes. The draw is seeded by the trie's size: the same keys give the same arrays.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MANY = 16  # children of a node that gets a stretch of its own
+MANY = 32  # children of a node that gets a stretch of its own
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,8 @@ def build(parent: np.ndarray, symbol: np.ndarray, width: int) -> tuple[DoubleArr
     stretch_ends = width + np.cumsum(high - low + 1)
     base[large] = stretch_ends - high - 1
     end = int(stretch_ends[-1]) if len(large) else width
-    room = end + 2 * int(size[small].sum()) + width
+    some, single = small[size[small] > 1], small[size[small] == 1]
+    room = end + int(size[some].sum()) + width
     taken = np.zeros(room + width, bool)
     taken[0] = True
 
@@ -75,21 +76,26 @@ def build(parent: np.ndarray, symbol: np.ndarray, width: int) -> tuple[DoubleArr
 
     taken[slots_of(large, base[large])[1]] = True
     draw = np.random.default_rng(n)
-    todo = small[np.argsort(-size[small], kind="stable")]
-    while len(todo):
-        at = draw.integers(1, room, len(todo))
-        owner, slots = slots_of(todo, at)
-        bad = taken[slots]
-        order = np.argsort(slots, kind="stable")
-        bad[order[1:][slots[order[1:]] == slots[order[:-1]]]] = True
-        lost = np.bincount(owner[bad], minlength=len(todo)) > 0
-        base[todo[~lost]] = at[~lost]
-        taken[slots[~lost[owner]]] = True
-        if lost.sum() > 0.95 * len(todo):  # little room is left
-            more = room // 4 + width
-            taken = np.concatenate([taken, np.zeros(more, bool)])
-            room += more
-        todo = todo[lost]
+    for least, most in ((9, MANY), (5, 8), (3, 4), (2, 2)):  # the larger a node, the emptier the arrays at its turn
+        todo, rounds = some[(size[some] >= least) & (size[some] <= most)], 0
+        while len(todo):
+            at = draw.integers(1, room, len(todo))
+            owner, slots = slots_of(todo, at)
+            bad = taken[slots]
+            order = np.argsort(slots, kind="stable")
+            bad[order[1:][slots[order[1:]] == slots[order[:-1]]]] = True
+            lost = np.bincount(owner[bad], minlength=len(todo)) > 0
+            base[todo[~lost]] = at[~lost]
+            taken[slots[~lost[owner]]] = True
+            todo, rounds = todo[lost], rounds + 1
+            if rounds % 12 == 0:  # little room is left
+                more = int(size[todo].sum()) + width
+                taken = np.concatenate([taken, np.zeros(more, bool)])
+                room += more
+    # a single child goes to any free slot
+    free = width + np.flatnonzero(~taken[width:room])[: len(single)]
+    free = np.concatenate([free, len(taken) + np.arange(len(single) - len(free))])
+    base[single] = free - symbol[first[single]]
     node_slot = np.zeros(n + 1, np.int64)
     if n:
         node_slot[1:] = base[parent] + symbol
