@@ -5,8 +5,10 @@ hashed into ``DIMENSIONS`` places, logarithmic in the counts and of length one.
 bounded sample of labelled texts are clustered by spherical k-means; a text gets the language of the centroid with the
 largest cosine. A text farther from its centroid than nearly all sample texts of that cluster is marked as rejected.
 
-The sample (``per_language`` texts of each language, see ``sampling.bounded_sample``) is vectorised on the executors, so
-the driver holds that many short vectors whatever the texts' length. Everything else reads all documents, whole.
+The sample (about ``per_language`` distinct rows of each language, see ``sampling.bounded_sample``) is vectorised and
+clustered on the executors, one language a task; the driver gets a few centroids of 16 KB for each language. Rows are put
+in order of id and text before they are clustered, so the order of arrival changes nothing. Everything else reads all
+documents, whole.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. Rows without a language or an id teach nothing; a
 null id is not held out. Repeated rows are all returned. Without a single labelled text every text is ``und``. Only the
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.common import blocks, texts_of
+from driftgauge.llm.common import blocks, texts_of, written
 from driftgauge.llm.sampling import bounded_sample, fold
 
 DIMENSIONS = 4096
@@ -109,31 +111,45 @@ def fit_languages(
             for a in range(0, block.num_rows, TEXTS_AT_ONCE):
                 part = block.slice(a, TEXTS_AT_ONCE)
                 counts, has_letter = gram_counts(texts_of(part, "text"))
-                rows = [c.tobytes() for c in np.log1p(counts).astype(np.float16)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), pa.array(rows, pa.binary()), pa.array(has_letter)], names=["lang", "vector", "usable"]
-                )
-
-    usable = labelled.where("doc_id is not null and lang is not null and text is not null")
-    sample = bounded_sample(usable.select("doc_id", "lang", "text"), "lang", per_language)
-    table = sample.mapInArrow(vectorise, "lang string, vector binary, usable boolean").where("usable").toArrow()
-    if not table.num_rows:
+                rows = pa.array([c.tobytes() for c in np.log1p(counts).astype(np.float16)], pa.binary())
+                found = [part.column("lang"), part.column("doc_id"), part.column("text_hash"), rows]
+                yield pa.RecordBatch.from_arrays(found, names=["lang", "doc_id", "text_hash", "tf"]).filter(pa.array(has_letter))
+
+    def unpacked(tf: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(tf.to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, seen = 0, np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            texts += batch.num_rows
+            seen += (unpacked(batch.column("tf")) > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([texts]), pa.array([seen.tobytes()], pa.binary())], names=["n", "seen"])
+
+    usable = labelled.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text")
+    sample = bounded_sample(usable, "lang", per_language).withColumn("text_hash", F.xxhash64("text"))
+    vectors = written(sample.mapInArrow(vectorise, "lang string, doc_id long, text_hash long, tf binary"), "language-sample")
+    parts = vectors.select("tf").coalesce(64).mapInArrow(frequencies, "n long, seen binary").toArrow()
+    n = sum(parts.column("n").to_pylist())
+    if not n:
         return None
-    tf = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float16).reshape(table.num_rows, -1).astype(np.float32)
-    lang = np.array(table.column("lang").to_pylist())
-    order = np.lexsort((*tf.T[:8], lang))  # the order of arrival must not matter
-    tf, lang = tf[order], lang[order]
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
-    x = unit_rows(tf * idf)
-    languages, centroids, nearest = [], [], []
-    for name in sorted(set(lang.tolist())):
-        found, own = clusters(x[lang == name], per_cluster)
-        cosine = (x[lang == name] * found[own]).sum(axis=1)
-        for c in range(len(found)):
-            languages.append(name)
-            centroids.append(found[c])
-            nearest.append(np.quantile(cosine[own == c], rejected_share) if (own == c).any() else 0.0)
-    return LanguageModel(languages, np.stack(centroids), idf, np.array(nearest))
+    seen = sum(np.frombuffer(x, np.int64) for x in parts.column("seen").to_pylist())
+    idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + 1
+
+    def cluster(group: pa.Table) -> pa.Table:
+        order = np.lexsort((group.column("text_hash").to_numpy(), group.column("doc_id").to_numpy()))  # however they came
+        x = unit_rows(unpacked(group.column("tf"))[order] * idf)
+        found, own = clusters(x, per_cluster)
+        cosine = (x * found[own]).sum(axis=1)
+        nearest = [float(np.quantile(cosine[own == c], rejected_share)) if (own == c).any() else 0.0 for c in range(len(found))]
+        rows = pa.array([c.tobytes() for c in found.astype(np.float32)], pa.binary())
+        same = group.column("lang").combine_chunks().take(pa.array([0] * len(found)))
+        return pa.table({"lang": same, "place": pa.array(range(len(found)), pa.int32()), "centroid": rows, "nearest": pa.array(nearest, pa.float64())})
+
+    # a language's sample is one bounded group; what comes back is per_cluster vectors a language
+    table = vectors.groupBy("lang").applyInArrow(cluster, "lang string, place int, centroid binary, nearest double").toArrow()
+    found = sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "place", "centroid", "nearest")), strict=True))
+    centroids = np.stack([np.frombuffer(c, np.float32) for _, _, c, _ in found])
+    return LanguageModel([name for name, *_ in found], centroids, idf, np.array([x for *_, x in found]))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.common import blocks, per_text, texts_of, words_of
+from driftgauge.llm.common import blocks, per_text, texts_of, words_of, written
 from driftgauge.llm.quality_rules import SPACES, SYMBOLS, repeated_words
 from driftgauge.llm.sampling import bounded_sample, fold
 
@@ -198,13 +198,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 20_000, fol
             )
 
     known = (
-        labels.where("doc_id is not null and quality is not null")
+        labels.where("doc_id is not null and quality in (0, 1)")
         .where(fold("doc_id", folds) != held_out)
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").cast("int").alias("quality"))
     )
     known = bounded_sample(known, "quality", per_label, weight="weight")
-    rows = _rows(docs).join(known, "doc_id").select("doc_id", "quality", "weight", "text")
+    # two labels of about per_label ids each: sent to the texts, which stay where they are
+    rows = _rows(docs).join(F.broadcast(written(known, "labelled-sample")), "doc_id").select("doc_id", "quality", "weight", "text")
     table = rows.mapInArrow(measure, "doc_id long, quality int, weight double, x binary").toArrow()
     if not table.num_rows:
         return fit_trees(np.zeros((0, len(STATISTICS))), np.zeros(0))

@@ -79,17 +79,63 @@ def test_certification_controls_the_risk():
     assert wrong / runs <= 0.07
 
 
+def test_a_path_tightens_where_it_pays():
+    # rule 0 catches the bad texts 0-3 at no cost, rule 1 text 4 for one good text, text 5 is out of reach
+    needs = np.array([[2, 9], [2, 9], [3, 9], [3, 9], [9, 1], [9, 9]] + [[9, 9]] * 19 + [[9, 1]])
+    good = np.arange(len(needs)) > 5
+    path = rules.choose_path(needs, good, [5, 5])
+    assert path.tolist() == [[2, 0], [3, 0], [3, 1]]
+    assert rules.choose_path(needs[6:], good[6:], [5, 5]).shape == (0, 2)
+
+
+def test_one_walk_rejects_few_good_texts_whatever_the_rules(spark):
+    """Six rules, noisy statistics: over many draws the share of runs with a broken stratum stays under delta."""
+    rng, broken, certified_steps, runs = np.random.default_rng(7), 0, 0, 200
+    sizes = [30] * 6
+    needs_of = lambda n, bad: np.minimum(31, 1 + rng.geometric(0.09 if bad else 0.02, (n, 6)))
+    truth = needs_of(100_000, False)
+    for _ in range(runs):
+        sample = np.concatenate([needs_of(150, False), needs_of(60, True)])
+        path = rules.choose_path(sample, np.arange(210) < 150, sizes)
+        if not len(path):
+            continue
+        held = needs_of(800, False)
+        rejected = [int((held <= step).any(axis=1).sum()) for step in path]
+        passed = rules.certified(rejected, 800, 0.05, 0.05)
+        certified_steps += passed
+        broken += bool(passed) and (truth <= path[passed - 1]).any(axis=1).mean() > 0.05
+    assert broken / runs <= 0.08 and certified_steps > 0
+
+
 def test_verdicts(spark):
-    good = " ".join(f"word{i}" for i in range(80))
-    junk = " ".join(f"w{i}###" for i in range(80))
-    rows = [(i, good if i % 4 else junk, "en" if i % 3 else None, "s", 1) for i in range(9000)]
-    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(9000)] + [(None, 1), (1, None), (1, 1)], "doc_id long, quality int")
+    good = [" ".join(f"word{i}x{j}" for j in range(80)) for i in range(2000)]
+    junk = [" ".join(f"w{i}{j}###" for j in range(80)) for i in range(700)]
+    texts = good + junk
+    rows = [(i, t, "en" if i % 3 else None, "s", 1) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i < 2000)) for i in range(2700)] + [(None, 1), (1, None), (1, 1)], "doc_id long, quality int")
     judged = rules.judge(docs_frame(spark, rows), labels).collect()
-    assert len(judged) == 9000
-    assert all(r["kept"] == (r["doc_id"] % 4 > 0) for r in judged)
+    assert len(judged) == 2700
+    assert all(r["kept"] == (r["doc_id"] < 2000) for r in judged)
     assert {tuple(r["failed_rules"]) for r in judged if not r["kept"]} >= {("symbols",)}
 
 
+def test_repeated_rows_and_texts_prove_nothing_more(spark):
+    """Too few distinct good texts for a certificate, however often they are repeated under whatever ids."""
+    good = [" ".join(f"word{i}x{j}" for j in range(80)) for i in range(150)]
+    junk = [" ".join(f"w{i}{j}###" for j in range(80)) for i in range(150)]
+    rows = [(i, (good + junk)[i % 300], "en", "s", 1) for i in range(3000)] * 2
+    labels = spark.createDataFrame([(i, int(i % 300 < 150)) for i in range(3000)], "doc_id long, quality int")
+    judged = rules.judge(docs_frame(spark, rows), labels)
+    assert judged.count() == 6000 and judged.where("not kept").count() == 0
+
+
+def test_many_strata(spark):
+    good, junk = (" ".join(f"{w}{j}" for j in range(80)) for w in ("word", "###"))
+    rows = [(i, f"{good} {i}" if i % 2 else f"{junk} {i}", f"stratum{i % 40}", "s", 1) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    assert rules.judge(docs_frame(spark, rows), labels).where("kept").count() == 400
+
+
 def test_verdicts_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     judged = rules.judge(docs_frame(spark), none).collect()
@@ -159,6 +205,50 @@ def test_strange_text_is_rejected(spark):
     assert found[1]["rejected"] and not found[2]["rejected"] and found[2]["lang_pred"] == "de"
 
 
+def plain_vector(text, idf):
+    """TF-IDF of one text gram by gram, in a dictionary."""
+    from driftgauge.llm.language import DIMENSIONS
+
+    chars = [32] + [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32, 32]
+    found, mask = Counter(), (1 << 32) - 1
+    for a, b, c in zip(chars, chars[1:], chars[2:], strict=False):
+        pair = (a * 0x9E3779B1 + b) & mask
+        triple = (pair * 0x85EBCA6B + c) & mask
+        if a != 32 or b != 32:
+            found[((pair * 0xC2B2AE35) & mask) >> 20] += 1
+        if b != 32:
+            found[((triple * 0x27D4EB2F) & mask) >> 20] += 1
+    assert DIMENSIONS == 4096
+    weights = {k: math.log1p(v) * float(idf[k]) for k, v in found.items()}
+    length = math.sqrt(sum(w * w for w in weights.values()))
+    return {k: w / length for k, w in weights.items()}
+
+
+def test_language_scores_equal_plain_cosines(spark):
+    docs = load(spark, SF, "documents").select("doc_id", "text", "lang").limit(60)
+    model = fit_languages(docs, per_language=40, per_cluster=3)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in predict_languages(docs, model).collect():
+        own = plain_vector(texts[r["doc_id"]], model.idf)
+        cosines = [sum(w * float(c[k]) for k, w in own.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: (round(cosines[i], 5), -i))
+        assert r["lang_pred"] == model.languages[best] and math.isclose(r["score"], max(cosines), abs_tol=2e-3)
+
+
+def test_language_model_does_not_depend_on_the_order_of_rows(spark):
+    docs = load(spark, SF, "documents").select("doc_id", "text", "lang")
+    docs = docs.unionAll(docs.where("lang = 'es'")).unionAll(docs.limit(20))
+    one, other = (fit_languages(d, per_language=60) for d in (docs, docs.repartition(7, "text").orderBy("text")))
+    assert one.languages == other.languages and len(set(one.languages)) == 4
+    for name in ("centroids", "idf", "nearest"):
+        assert (getattr(one, name) == getattr(other, name)).all()
+
+
+def test_many_languages(spark):
+    rows = [(i, f"text of language number {i % 1200} {'abcdefghij'[i % 10] * 9}", f"l{i % 1200}", "s", 1) for i in range(2400)]
+    assert len(set(fit_languages(docs_frame(spark, rows), per_language=5).languages)) == 1200
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(20_000).selectExpr("id as doc_id", "case when id < 50 then 'rare' else 'common' end as kind")
     found = {r["kind"]: r["count"] for r in bounded_sample(rows, "kind", 200).groupBy("kind").count().collect()}
