@@ -1,6 +1,7 @@
 """Operator 6: documents that hold a benchmark item, by pigeonhole pieces and Myers' distance.
 
-Texts and items are compared as words: lower-case runs of letters and digits. An item of m words may differ from a
+Texts and items are compared as words: lower-case runs of letters and digits; in scripts without spaces between words
+every character is a word. An item of m words may differ from a
 passage by k = (1 - similarity) x m word edits. It is split into k + 1 pieces; by the pigeonhole principle a passage
 within k edits holds at least one piece unchanged. All windows of a text are hashed at the few piece lengths in use and
 looked up among the piece hashes. Each hit fixes where the item would start, and the words around it are verified by
@@ -9,8 +10,8 @@ Myers' bit-parallel edit distance. So no passage within the budget is missed, wh
 The items are the stated query set: they are read in blocks of a bounded number of bytes, each block is sent with one
 pass over the documents, and nothing else is broadcast.
 
-Nulls: null texts match nothing. Items of fewer than ``least_words`` words (8) are ordinary phrases, prove nothing, and
-are left out; items need not be unique, each gets its own rows. A null id is kept as it is. Repeated documents are
+Nulls: null texts match nothing, nor do items without a letter or digit. An item of fewer than ``least_words`` words (8)
+has no budget: it is found where it stands word for word. Items need not be unique, each gets its own rows. A null id is kept as it is. Repeated documents are
 reported each. Only the named columns are read. Empty tables give an empty table.
 """
 
@@ -31,13 +32,19 @@ from driftgauge.llm.common import blocks, texts_of, words_of
 
 SIMILARITY = 0.8
 LEAST_WORDS = 8
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 BYTES_PER_PASS = 8 << 20
 MATCHES = "item_id long, n_words long, distance long, first_word long, end_word long"
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Lower-case runs of letters and digits, as codes, bounds and the word of each code."""
-    return words_of(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pN]+", " "))
+    """Lower-case runs of letters and digits (single characters of ``UNSPACED``), as codes, bounds and each code's word."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pN]+", " ")
+    split = pc.match_substring_regex(plain, UNSPACED)
+    if pc.any(split).as_py():
+        apart = pc.replace_substring_regex(plain.filter(split), f"({UNSPACED})", r" \1 ")
+        plain = pc.replace_with_mask(plain, split, apart)
+    return words_of(plain)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -97,10 +104,10 @@ class Items:
         kept_ids, kept, budgets = [], [], []
         by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True):
-            if b - a < least_words:
+            if a == b:
                 continue
             own = hashes[codes[a:b]]
-            budget = int((1 - similarity) * len(own) + 1e-9)
+            budget = int((1 - similarity) * len(own) + 1e-9) if len(own) >= least_words else 0
             for start, length in pieces(len(own), budget):
                 mark = int(window_hashes(own[start : start + length], length)[0])
                 by_length[length].append((mark, len(kept), start))

@@ -8,7 +8,7 @@ stays, all others are removed from their documents. What stays once keeps texts
 vanishing altogether.
 
 Nulls: a null text is an empty one and stays null-free; a null site is no site; a null id sorts after all others. Blank
-lines and lines of fewer than ``least_words`` words are never removed. Repeated rows are kept; their lines are cleaned
+lines are never removed, nor are lines of fewer than ``least_words`` words where a caller sets that above one. Repeated rows are kept; their lines are cleaned
 alike. Extra columns pass through whatever their names. An empty table gives an empty table. Lines are compared by a
 64-bit hash of the whole trimmed line.
 """
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from driftgauge.llm.common import blocks, written
 
 LEAST_SITES = 10
-LEAST_WORDS = 3
 SKETCH_BITS = 12  # 2^12 registers: a relative standard error of 1.6 %
 SPACES = r"[ \t\x0B\f\r]+"
 
@@ -104,7 +103,7 @@ def without_boilerplate(
     text: str = "text",
     site: str = "source",
     least_sites: int = LEAST_SITES,
-    least_words: int = LEAST_WORDS,
+    least_words: int = 1,
     extra: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``; a column ``n_chars`` is kept in step.

@@ -68,8 +68,12 @@ def op8_secrets_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgauge.llm import secrets_ledger as ledger
 
     path = scratch_path(spark, "secrets-ledger")
+    docs = load(spark, sf_dir, "documents")
     ledger.start_ledger(spark, path)
-    places = ledger.update_ledger(ledger.versions_of(load(spark, sf_dir, "documents")), path)
+    # an older state of the table first, then the whole of it: the second run scans what the ledger lacks
+    older = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    ledger.update_ledger(ledger.versions_of(older), path)
+    places = ledger.update_ledger(ledger.versions_of(docs), path)
     base = tuple(r.kind for r in ledger.BASE_RULES)
     return ledger.findings_by_path(places, path).select(
         F.col("path").alias("doc_id"),
@@ -97,8 +101,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                      unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)
     ), spread AS (
         SELECT line, min((doc_id, number)) AS first FROM lines
-        WHERE line <> '' AND length(line) - length(replace(line, ' ', '')) + 1 >= 3
-        GROUP BY line HAVING count(DISTINCT source) >= 10
+        WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
     ), judged AS (
         SELECT l.*, (s.line IS NOT NULL AND s.first <> (l.doc_id, l.number)) AS gone
         FROM lines l LEFT JOIN spread s ON s.line = l.line

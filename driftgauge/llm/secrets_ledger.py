@@ -3,7 +3,8 @@
 A version is one text at one path. Its blob is the SHA-256 of the text, so equal texts at any paths and in any versions
 are one blob. The ledger holds, for every blob and rule version already scanned, the findings (perhaps none). A run
 scans one text of each blob that the ledger lacks for this rule version, adds the result to the ledger, and joins the
-findings back to all paths. Running it again on old versions scans nothing.
+findings back to all paths. Running it again on old versions scans nothing. The rule version is a digest of the rules, so
+a changed pattern or minimum scans every blob again.
 
 Nulls: a null text is an empty one; a null path is a path like any other. Repeated rows give repeated result rows, and
 their blob is scanned once. Only the named columns are read. An empty table gives an empty table. Spans count code
@@ -12,6 +13,7 @@ points of the whole text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -71,10 +73,15 @@ MORE_RULES = (
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_"),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "1"
 BROADCAST_ROWS = 200_000
 
 
+def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
+    """A digest of all that decides what the rules find, so changed rules are a new version by themselves."""
+    parts = [(r.kind, r.pattern, r.hint, r.group, r.least, r.any_case) for r in rules]
+    return hashlib.sha256(repr(parts).encode()).hexdigest()
+
+
 def versions_of(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """path, blob and text of every version."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -107,9 +114,7 @@ def start_ledger(spark: SparkSession, ledger: str) -> None:
     spark.createDataFrame([], LEDGER).write.parquet(f"{ledger}/start")
 
 
-def update_ledger(
-    versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION
-) -> DataFrame:
+def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger lacks and add it; returns path and blob of every version.
 
     One version of each unseen blob is chosen on (path, blob) alone. The texts of the chosen ones are then picked out
@@ -117,9 +122,9 @@ def update_ledger(
     ``BROADCAST_ROWS`` rows of about 70 bytes; beyond that texts and list meet in a shuffle. The ledger has one writer
     at a time.
     """
-    spark = versions.sparkSession
+    spark, version = versions.sparkSession, rule_version(rules)
     places = written(versions.select("path", "blob"), "places")
-    seen = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).select("blob").distinct()
+    seen = read_ledger(spark, ledger).where(F.col("rule_version") == version).select("blob").distinct()
     chosen = (
         places.groupBy("blob")
         .agg(F.min("path").alias("path"))
@@ -141,15 +146,13 @@ def update_ledger(
         )
         texts = versions.join(sent(written(other, "skipped"), n_places - n_chosen), same, "left_anti")
     entries = scan(texts, rules).dropDuplicates(["blob"])  # a row that repeats path and text comes twice
-    entries.select("blob", F.lit(rule_version).alias("rule_version"), "findings").write.parquet(f"{ledger}/run-{uuid.uuid4().hex}")
+    entries.select("blob", F.lit(version).alias("rule_version"), "findings").write.parquet(f"{ledger}/run-{uuid.uuid4().hex}")
     return places
 
 
-def findings_by_path(
-    places: DataFrame, ledger: str, rule_version: str = RULE_VERSION
-) -> DataFrame:
+def findings_by_path(places: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """path, blob and findings (null if none) of every version."""
-    entries = read_ledger(places.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0))
+    entries = read_ledger(places.sparkSession, ledger).where((F.col("rule_version") == rule_version(rules)) & (F.size("findings") > 0))
     return places.join(entries.select("blob", "findings"), "blob", "left")
 
 

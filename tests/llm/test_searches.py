@@ -1,6 +1,7 @@
 """Secret ledger, decontamination, line dedup, page extraction and the pipeline's stages."""
 
 import hashlib
+import dataclasses
 import re
 
 import duckdb
@@ -68,7 +69,8 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert len(entries) == 3 == len({bytes(e["blob"]) for e in entries})
     hits = {r["path"] for r in ledger.findings_by_path(places, path).where("findings is not null").collect()}
     assert hits == {1, 2, 9}
-    ledger.update_ledger(ledger.versions_of(second), path, rule_version="2")
+    changed = (*ledger.RULES[:-1], dataclasses.replace(ledger.RULES[-1], least=41))
+    ledger.update_ledger(ledger.versions_of(second), path, changed)
     assert ledger.read_ledger(spark, path).count() == 6
     assert bytes(entries[0]["blob"]) in {hashlib.sha256(t.encode()).digest() for t in ("password=abcdefghijkl", "plain", "secret=mnopqrstuvwx")}
     ledger.update_ledger(ledger.versions_of(docs_frame(spark, EMPTY)), path)
@@ -135,7 +137,8 @@ def test_leaks_equal_brute_force(spark):
     for d in docs:
         for j, item in enumerate(items):
             budget = int(0.2 * len(item) + 1e-9)
-            if len(item) >= 8 and (distance := plain_distance(item, words(d[1]))) <= budget:
+            budget = budget if len(item) >= 8 else 0  # short items must be there word for word
+            if (distance := plain_distance(item, words(d[1]))) <= budget:
                 expected[d[0], j] = distance
     assert len(expected) > 15
     assert {k: r["distance"] for k, r in found.items()} == expected
@@ -151,6 +154,21 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(str((r["doc_id"], r["text"])) for r in clean.collect()) == sorted(str(d[:2]) for d in left)
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    texts = {
+        1: "Paris", 2: "the answer is forty two", 3: "北京是中国的首都", 4: "สวัสดีครับ", 5: "...", 6: "東京タワーは東京都港区芝公園にある総合電波塔である",
+    }
+    rows = [
+        (10, "Not in paris, no", "en", "s", 1), (11, "parisian", "en", "s", 1), (12, "And: the answer is, forty-two!", "en", "s", 1),
+        (13, "the answer is forty one", "en", "s", 1), (14, "我知道北京是中国的首都。", "zh", "s", 1), (15, "北京不是中国", "zh", "s", 1),
+        (16, "กสวัสดีครับก", "th", "s", 1), (17, "見よ東京タワーは東京都港区芝公園にある総合電話塔である", "ja", "s", 1), (18, "...", "en", "s", 1),
+    ]
+    bench = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in leaks.contaminated(docs_frame(spark, rows), bench).collect()}
+    assert found == {(10, 1): 0, (12, 2): 0, (14, 3): 0, (16, 4): 0, (17, 6): 1}
+    assert {r["doc_id"] for r in leaks.clean_documents(docs_frame(spark, rows), bench).collect()} == {11, 13, 15, 18}
+
+
 def test_leaks_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaks.contaminated(docs_frame(spark), none).collect() == []
@@ -189,7 +207,7 @@ def test_lines_equal_brute_force(spark, least_sites):
     ] + [d for d in DOCS if d[0] is None]
     cleaned = without_boilerplate(docs_frame(spark, rows), least_sites=least_sites, extra=("lines", "lost"))
     got = sorted((str(r["doc_id"]), r["text"]) for r in cleaned.collect())
-    assert got == sorted((str(i), t) for i, t in plain_cleaned(rows, least_sites, 3))
+    assert got == sorted((str(i), t) for i, t in plain_cleaned(rows, least_sites, 1))
     assert all(r["n_chars"] == len(r["text"]) for r in cleaned.collect())
     assert cleaned.columns == [*docs_frame(spark).columns, "lines", "lost"]
 
