@@ -15,7 +15,8 @@ context are summed when its trie is built, and a position costs one walk and one
 
 Tries are broadcast in bundles of at most ``BUNDLE_GRAMS`` strings; the texts are read once for each bundle, and each
 pass scores the positions whose context lies in it. The base needs counts of all words: texts are written as blocks of
-word codes with each block's own dictionary, dictionaries meet the counts in a join, and the counts go back to their block.
+word codes with each block's own dictionary, as sorted 96-bit hashes. Parts of the dictionaries meet by the leading bits
+of their hashes, are added up there, and the totals go back to their blocks: packed arrays move, not rows.
 
 Nulls: a null text is an empty one, whose end is still predicted; a null id is not held out, and its text is learned
 from. Repeated rows count as often as they are there and are all returned. Without training rows every symbol has 1/257
@@ -33,6 +34,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ BUNDLE_GRAMS = 2_400_000
 SCORED_BYTES = 1 << 20
 ENCODED_BYTES = 8 << 20
 DISTINCT_GRAMS = 2_000_000  # held by a task before it sends them on
+PART_WORDS = 1_000_000
+WORD_TYPES = (("high", np.uint64), ("low", np.uint32), ("taught", np.int64))
 
 
 def symbols_of(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -368,28 +372,37 @@ def no_shard(order: int = ORDER) -> Shard:
     return make_shard(np.zeros(0, np.int64), np.zeros(0, np.int64), Short(np.zeros(SYMBOLS, np.int64), np.zeros((SYMBOLS, SYMBOLS), np.int64)), order)
 
 
-BLOCK = "keys array<long>, hashes array<long>, held array<boolean>, words array<string>, taught array<long>, codes binary, bounds binary"
+BLOCK = (
+    "keys array<long>, hashes array<long>, held array<boolean>, high binary, low binary, taught binary, n_words long, "
+    "codes binary, bounds binary"
+)
+
+
+def word_keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of 96 bits for each word."""
+    found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words.to_pylist()), ">u8").reshape(-1, 2)
+    return found[:, 0].astype(np.uint64), (found[:, 1] >> np.uint64(32)).astype(np.uint32)
 
 
 def word_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of rows as word codes, each with its dictionary and how often training texts hold each word."""
+    """Blocks of rows as word codes; a block's words are hashes in ascending order, with their number in training texts."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             block = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             codes, bounds, dictionary = words_of(pc.ascii_lower(texts_of(block, "text")))
             held = block.column("held").to_numpy(zero_copy_only=False)
-            learned = codes[np.repeat(~held, np.diff(bounds))]
-            taught = np.bincount(learned, minlength=len(dictionary)).astype(np.int64)
-            row = [
-                [block.column("key").to_pylist()], [block.column("hash").to_pylist()], [held.tolist()],
-                pa.ListArray.from_arrays([0, len(dictionary)], dictionary), pa.ListArray.from_arrays([0, len(taught)], pa.array(taught)),
-                [codes.astype(np.int32).tobytes()], [bounds.astype(np.int32).tobytes()],
-            ]
-            types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), None, None, pa.binary(), pa.binary()]
-            names = ["keys", "hashes", "held", "words", "taught", "codes", "bounds"]
-            arrays = [x if t is None else pa.array(x, t) for x, t in zip(row, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+            high, low = word_keys(dictionary)
+            order = np.lexsort((low, high))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            codes = rank[codes]
+            taught = np.bincount(codes[np.repeat(~held, np.diff(bounds))], minlength=len(order))
+            binary = [x.tobytes() for x in (high[order], low[order], taught.astype(np.int64))]
+            lists = [pa.array([block.column(c).to_pylist()], pa.list_(t)) for c, t in (("key", pa.int64()), ("hash", pa.int64()), ("held", pa.bool_()))]
+            more = [len(order), codes.tobytes(), bounds.astype(np.int32).tobytes()]
+            names = ["keys", "hashes", "held", "high", "low", "taught", "n_words", "codes", "bounds"]
+            return pa.RecordBatch.from_arrays([*lists, *[pa.array([x]) for x in (*binary, *more)]], names=names)
 
         parts, size = [], 0
         for block in blocks(batches, "text"):
@@ -404,26 +417,66 @@ def word_blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(encode, BLOCK).withColumn("block", F.monotonically_increasing_id())
 
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """Training counts of every block's words: block, part and the counts of the block's words in that part of the hashes.
+
+    The hashes are dealt by their leading bits into parts of about ``PART_WORDS`` entries. ``distinct`` and ``tokens``
+    (on one row of each part) add up to the distinct words and the words of the training texts.
+    """
+    n_parts = max(1, -(-(texts.agg(F.sum("n_words")).first()[0] or 0) // PART_WORDS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                high, low, taught = (np.frombuffer(row[c], t) for c, t in WORD_TYPES)
+                part = ((high >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                cuts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+                blobs = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (high, low, taught)]
+                first = pa.array([int(part[a]) for a, _ in cuts], pa.int32())
+                block = pa.array([row["block"]] * len(cuts), pa.int64())
+                yield pa.RecordBatch.from_arrays([first, block, *blobs], names=["part", "block", *names])
+
+    def total(group: pa.Table) -> pa.Table:
+        high, low, taught = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in WORD_TYPES)
+        sizes = pc.binary_length(group.column("low")).to_numpy() // 4
+        order = np.lexsort((low, high))
+        new = np.ones(len(order), bool)
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        word = np.cumsum(new) - 1
+        sums = np.add.reduceat(taught[order], np.flatnonzero(new))
+        n = np.empty(len(order), np.int64)
+        n[order] = sums[word]
+        ends = np.cumsum(sizes)
+        alone = [0] * (group.num_rows - 1)
+        return pa.table(
+            {
+                "block": group.column("block"), "part": group.column("part"),
+                "n": pa.array([n[b - k : b].tobytes() for b, k in zip(ends, sizes, strict=True)], pa.binary()),
+                "distinct": pa.array([int((sums > 0).sum()), *alone], pa.int64()),
+                "tokens": pa.array([int(taught.sum()), *alone], pa.int64()),
+            }
+        )
+
+    names = [c for c, _ in WORD_TYPES]
+    dealt = texts.select("block", *names).mapInArrow(deal, "part int, block long, high binary, low binary, taught binary")
+    return dealt.groupBy("part").applyInArrow(total, "block long, part int, n binary, distinct long, tokens long")
+
+
 def base_scores(rows: DataFrame) -> DataFrame:
     """key, hash, held, n_tokens, n_known, train_tokens and base_score of every row."""
     texts = written(word_blocks(rows), "word-blocks")
-    words = texts.select("block", F.posexplode(F.arrays_zip("words", "taught")).alias("place", "w"))
-    words = words.select("block", "place", F.col("w.words").alias("word"), F.col("w.taught").alias("taught"))
-    counts = words.where("taught > 0").groupBy("word").agg(F.sum("taught").alias("n"))
-    counts = written(counts, "word-counts")
-    total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    counts = written(word_counts(texts), "word-counts")
+    total = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
     ends = rows.where(~F.col("held")).count()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    looked_up = words.join(counts, "word").select("block", "place", "n")
     fields = {"key": pa.int64(), "hash": pa.int64(), "held": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64()}
 
     def score(block: pa.Table, found: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return pa.table({name: pa.array([], t) for name, t in fields.items()})
         row = block.to_pylist()[0]
         codes, bounds = np.frombuffer(row["codes"], np.int32), np.frombuffer(row["bounds"], np.int32).astype(np.int64)
-        count = np.zeros(row["n_words"], np.int64)
-        count[found.column("place").to_numpy()] = found.column("n").to_numpy()
+        parts = sorted(zip(found.column("part").to_pylist(), found.column("n").to_pylist(), strict=True))
+        count = np.frombuffer(b"".join(x for _, x in parts), np.int64)  # parts follow the order of the hashes
         logs = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         sizes = np.diff(bounds)
         some = np.flatnonzero(sizes)
@@ -435,9 +488,9 @@ def base_scores(rows: DataFrame) -> DataFrame:
         return pa.table({name: pa.array(x, t) for (name, t), x in zip(fields.items(), values, strict=True)})
 
     scored = (
-        texts.select(F.col("block").alias("own_block"), "keys", "hashes", "held", F.size("words").alias("n_words"), "codes", "bounds")
+        texts.select(F.col("block").alias("own_block"), "keys", "hashes", "held", "codes", "bounds")
         .groupBy("own_block")
-        .cogroup(looked_up.groupBy("block"))
+        .cogroup(counts.select("block", "part", "n").groupBy("block"))
         .applyInArrow(score, "key long, hash long, held boolean, n_tokens long, n_known long, base_score double")
     )
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,7 +56,7 @@ def held(doc_id):
 
 def plain_rows(docs):
     train = [d[1] or "" for d in docs if not held(d[0])]
-    words = lambda text: [w for w in (text or "").translate(LOWER).replace("\x1c", "\x1c").split() if w]
+    words = lambda text: re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     counts = Counter(w for text in train for w in words(text))
     ends, n = len(train), sum(counts.values()) + len(train)
     v = len(counts) + (ends > 0)
@@ -76,11 +77,13 @@ def same(got, expected):
         assert g[5:] == pytest.approx(e[5:], rel=1e-5, abs=1e-5)
 
 
-@pytest.mark.parametrize("sizes", [None, (40, 200)])
+@pytest.mark.parametrize("sizes", [None, (40, 200, 30)])
 def test_odd_rows(spark, monkeypatch, sizes):
     if sizes:
         monkeypatch.setattr(ppm, "SHARD_GRAMS", sizes[0])
         monkeypatch.setattr(ppm, "BUNDLE_GRAMS", sizes[1])
+        monkeypatch.setattr(ppm, "PART_WORDS", sizes[2])
+        monkeypatch.setattr(ppm, "ENCODED_BYTES", 500)
     same(ppm.language_model(docs_frame(spark)).collect(), plain_rows(DOCS))
 
 
