@@ -2,9 +2,12 @@
 
 Training vectors are assigned to pivots. A query first searches its own pivot's rows,
 which bounds its k-th distance; the triangle inequality then tells which other pivots can
-still hold a closer row, and only those are searched. Pivot groups are split into bounded
-blocks on both sides, so a pivot that owns most rows is spread over many tasks, and a
-block pair returns k rows per query, never its pairs.
+still hold a closer row, and only those are searched. A pivot's training rows are cut into
+bounded blocks; a task holds one block and its queries stream past it, so a training row is
+sent once for every ``QUERY_GROUP_ROWS`` queries of its pivot and any number of queries fits.
+Inside a block a short prefix along its principal axes bounds every distance from below, and
+only rows that the bound leaves are compared in all dimensions. A block returns k rows per
+query at most, never its pairs.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ from driftgauge.operators.kernels import cell_key, matrix, row_groups, unit
 from driftgauge.operators.ordered import union_all
 from driftgauge.session import cut_lineage
 
-# A training block is about this many bytes; every query block meets every training block
-# of its pivot, so larger blocks mean fewer copies in the shuffle.
+# A training block is about this many bytes; a query is sent once for each block of its pivot.
 BLOCK_BYTES = 64 * 1024 * 1024
-QUERY_BLOCK_ROWS = 8192
+# Queries of one pivot that stream past one copy of its blocks: more of them are work for more tasks.
+QUERY_GROUP_ROWS = 1_000_000
 PIVOT_ROWS = 4096
 PIVOT_BYTES = 64 * 1024 * 1024  # of all pivots of all cells, which every task holds
 # Tile of one distance matrix inside a task.
 TILE_QUERIES, TILE_ROWS = 1024, 8192
 MERGE_FAN_IN = 64
+# Axes of the prefix that bounds distances, used for vectors at least four times as long.
+PREFIX = 12
 _SLACK = 1e-9
 
 
@@ -71,7 +76,7 @@ def knn_join(
     sizes = t.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("d"))
     shape = sizes.agg(F.max("n").alias("n"), F.max("d").alias("d"), F.count(F.lit(1)).alias("cells")).first()
     t_block = block or int(min(131_072, max(4096, BLOCK_BYTES // (8 * max(1, shape["d"] or 1)))))
-    q_block = block or QUERY_BLOCK_ROWS
+    q_block = block or QUERY_GROUP_ROWS
     # about sqrt(n) pivots in cells that are worth splitting, as far as all cells' pivots fit their bound
     n_cells, n = max(1, shape["cells"]), shape["n"] or 0
     wanted = math.isqrt(n) if n >= 2 * (block or PIVOT_ROWS) else 1
@@ -126,7 +131,7 @@ def knn_join(
     rest = (
         home.join(bounds, ["__cell", "__qid"])
         .withColumn("__need", still_needed("__v", "__cell", "__p", "__bound"))
-        .select("__cell", "__qid", "__v", F.explode("__need").alias("__p"))
+        .select("__cell", "__qid", "__v", F.explode("__need").alias("__p"), (F.col("__bound") ** 2 / 2).alias("__bound"))
     )
     second = _search(t, rest, blocks_of, k, q_block)
     both = union_all([first, second]).groupBy("__cell", "__qid").agg(_best(k).alias("__top"))
@@ -146,15 +151,21 @@ def _finish(q: DataFrame, keys: list[str], query_id: str, top: DataFrame, k: int
 
 
 def _search(t: DataFrame, q: DataFrame, blocks_of: DataFrame, k: int, q_block: int) -> DataFrame:
-    """Top-k per query over the training rows of its target pivot, block against block."""
+    """Top-k per query over the training rows of its target pivot, no farther than its ``__bound`` if it has one."""
     load = q.groupBy("__cell", "__p").agg(F.ceil(F.count(F.lit(1)) / q_block).cast("int").alias("__qblocks"))
     plan = blocks_of.join(load, ["__cell", "__p"])
+    pair = ["__cell", "__p", "__tb", "__qb"]
+    qid_type = q.schema["__qid"].dataType
+    bound = F.col("__bound") if "__bound" in q.columns else F.lit(float("inf"))
     t_side = t.join(plan, ["__cell", "__p"]).select(
         "__cell",
         "__p",
         F.pmod(F.xxhash64("__tid"), F.col("__tblocks")).cast("int").alias("__tb"),
         F.explode(F.sequence(F.lit(0), F.col("__qblocks") - 1)).alias("__qb"),
+        F.lit(0).alias("__side"),
         "__tid",
+        F.lit(None).cast(qid_type).alias("__qid"),
+        F.lit(None).cast("double").alias("__bound"),
         "__v",
     )
     q_side = q.join(plan, ["__cell", "__p"]).select(
@@ -162,11 +173,12 @@ def _search(t: DataFrame, q: DataFrame, blocks_of: DataFrame, k: int, q_block: i
         "__p",
         F.explode(F.sequence(F.lit(0), F.col("__tblocks") - 1)).alias("__tb"),
         F.pmod(F.xxhash64("__qid"), F.col("__qblocks")).cast("int").alias("__qb"),
+        F.lit(1).alias("__side"),
+        F.lit(None).cast("bigint").alias("__tid"),
         "__qid",
+        bound.alias("__bound"),
         "__v",
     )
-    pair = ["__cell", "__p", "__tb", "__qb"]
-    qid_type = q.schema["__qid"].dataType
     schema = T.StructType(
         [
             T.StructField("__cell", T.StringType()),
@@ -179,48 +191,112 @@ def _search(t: DataFrame, q: DataFrame, blocks_of: DataFrame, k: int, q_block: i
         ]
     )
 
-    def top_k(left: pa.Table, right: pa.Table) -> pa.Table:
-        lv, rv = left.column("__v").combine_chunks(), right.column("__v").combine_chunks()
-        ids = right.column("__tid").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        width = min(k, len(ids))
-        if len(lv) and width:
-            best, near = _nearest(unit(matrix(lv)), unit(matrix(rv))[order], width)
-            best, who = best.ravel(), ids[near].ravel()
-        else:
-            width, best, who = 0, np.empty(0), np.empty(0, dtype=np.int64)
-        offsets = pa.array(np.arange(len(lv) + 1, dtype=np.int32) * width)
-        pairs = pa.StructArray.from_arrays([pa.array(best), pa.array(who)], names=["distance", "id"])
-        return pa.table(
-            {
-                "__cell": left.column("__cell"),
-                "__qid": left.column("__qid"),
-                "__g": pa.array(np.full(len(lv), right.column("__tb")[0].as_py() // MERGE_FAN_IN if len(ids) else 0, dtype=np.int32)),
-                "__top": pa.ListArray.from_arrays(offsets, pairs),
-            }
-        )
-
-    found = q_side.groupBy(*pair).cogroup(t_side.groupBy(*pair)).applyInArrow(top_k, schema)
+    def top_k(batches):
+        key, ids, parts, block = None, [], [], None
+        for batch in batches:
+            for own, side, rows in _runs(batch, pair):
+                if own != key:
+                    key, ids, parts, block = own, [], [], None
+                vectors = matrix(rows.column("__v"))
+                if side == 0:
+                    ids.append(rows.column("__tid").to_numpy())
+                    parts.append(unit(vectors))
+                    continue
+                if not ids:
+                    continue
+                if block is None:
+                    block, parts = _Block.of(np.concatenate(ids), np.concatenate(parts)), []
+                yield _top_rows(rows, block, unit(vectors), min(k, len(block.ids)), key)
+
+    found = _together(t_side, q_side).mapInArrow(top_k, schema)
     # merge in two steps so that one query never gathers the tops of all blocks at once
     merged = found.groupBy("__cell", "__qid", "__g").agg(_best(k).alias("__top"))
     return merged.groupBy("__cell", "__qid").agg(_best(k).alias("__top"))
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``width`` smallest cosine distances per row of x and their rows in y, tile by tile."""
-    best, near = np.empty((len(x), width)), np.empty((len(x), width), dtype=np.int64)
+def _together(t_side: DataFrame, q_side: DataFrame) -> DataFrame:
+    """Both sides by block, the training rows of a block before its queries."""
+    pair = ["__cell", "__p", "__tb", "__qb"]
+    return t_side.unionByName(q_side).repartition(*pair).sortWithinPartitions(*pair, "__side")
+
+
+def _runs(batch: pa.RecordBatch, pair: list[str]):
+    """Consecutive rows of one (pair, side): the pair's values, the side, and the rows."""
+    if not batch.num_rows:
+        return
+    codes = [batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in (*pair, "__side")]
+    change = np.zeros(batch.num_rows, bool)
+    for c in codes:
+        change[1:] |= c[1:] != c[:-1]
+    starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+    for a, b in zip(starts[:-1], starts[1:]):
+        rows = batch.slice(a, b - a)
+        yield tuple(rows.column(c)[0].as_py() for c in pair), rows.column("__side")[0].as_py(), rows
+
+
+class _Block:
+    """Unit training rows in order of their ids, with prefixes along their principal axes."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, axes: np.ndarray | None):
+        self.ids, self.rows, self.axes = ids, rows, axes
+        if axes is not None:
+            self.prefix, self.rest = _prefix(rows, axes)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, rows: np.ndarray) -> _Block:
+        order = np.argsort(ids, kind="stable")
+        rows = rows[order]
+        axes = None
+        if rows.shape[1] >= 4 * PREFIX and len(rows) > PREFIX:
+            axes = np.linalg.qr(np.random.default_rng(0).normal(size=(rows.shape[1], PREFIX)))[0]
+            for _ in range(4):  # subspace iteration; any orthonormal axes give valid bounds
+                axes = np.linalg.qr(rows.T @ (rows @ axes))[0]
+        return cls(ids[order], rows, axes)
+
+
+def _prefix(x: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of unit rows along the axes, and the length of what is left."""
+    head = x @ axes
+    return head, np.sqrt(np.maximum((x * x).sum(axis=1) - (head * head).sum(axis=1), 0.0))
+
+
+def _top_rows(rows: pa.RecordBatch, block: _Block, x: np.ndarray, width: int, key: tuple) -> pa.RecordBatch:
+    best, near = _nearest(x, block, width, rows.column("__bound").to_numpy(zero_copy_only=False))
+    real = np.isfinite(best)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32))
+    pairs = pa.StructArray.from_arrays([pa.array(best[real]), pa.array(block.ids[near[real]])], names=["distance", "id"])
+    group = pa.array(np.full(rows.num_rows, key[2] // MERGE_FAN_IN, dtype=np.int32))
+    columns = [rows.column("__cell"), rows.column("__qid"), group, pa.ListArray.from_arrays(offsets, pairs)]
+    return pa.RecordBatch.from_arrays(columns, names=["__cell", "__qid", "__g", "__top"])
+
+
+def _nearest(x: np.ndarray, block: _Block, width: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``width`` smallest cosine distances per row of x and their rows in the block, tile by tile.
+
+    Places that nothing within the row's bound fills are infinite.
+    """
+    best, near = np.full((len(x), width), np.inf), np.zeros((len(x), width), dtype=np.int64)
+    heads = None if block.axes is None else _prefix(x, block.axes)
     for lo in range(0, len(x), TILE_QUERIES):
-        q = x[lo : lo + TILE_QUERIES]
-        d, who = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
-        for at in range(0, len(y), TILE_ROWS):
-            tile = np.clip(1.0 - q @ y[at : at + TILE_ROWS].T, 0.0, 2.0)
+        some = slice(lo, lo + TILE_QUERIES)
+        q, d, who = x[some], best[some], near[some]
+        for at in range(0, len(block.rows), TILE_ROWS):
+            y, take = block.rows[at : at + TILE_ROWS], None
+            limit = np.minimum(bound[some], d[:, -1])
+            if heads is not None and np.isfinite(limit).all():
+                head, rest = heads[0][some], heads[1][some]
+                dot = head @ block.prefix[at : at + TILE_ROWS].T + rest[:, None] * block.rest[None, at : at + TILE_ROWS]
+                take = np.flatnonzero((1.0 - dot <= limit[:, None] + _SLACK).any(axis=0))
+                if not len(take):
+                    continue
+                y = y[take] if 2 * len(take) < len(y) else y
+            tile = np.clip(1.0 - q @ y.T, 0.0, 2.0)
             mine = _smallest(tile, min(width, tile.shape[1]))
-            d = np.hstack([d, np.take_along_axis(tile, mine, axis=1)])
-            who = np.hstack([who, mine + at])
-            keep = _smallest(d, min(width, d.shape[1]))
-            d, who = np.take_along_axis(d, keep, axis=1), np.take_along_axis(who, keep, axis=1)
-        best[lo : lo + TILE_QUERIES], near[lo : lo + TILE_QUERIES] = d, who
+            rows = mine if take is None or len(y) == min(TILE_ROWS, len(block.rows) - at) else take[mine]
+            both, ids = np.hstack([d, np.take_along_axis(tile, mine, axis=1)]), np.hstack([who, rows + at])
+            keep = _smallest(both, width)
+            d, who = np.take_along_axis(both, keep, axis=1), np.take_along_axis(ids, keep, axis=1)
+        best[some], near[some] = d, who
     return best, near
 
 

@@ -447,15 +447,52 @@ def test_knn_tiles(monkeypatch):
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(30, 5)), np.repeat(rng.normal(size=(40, 5)), 2, axis=0)  # every row twice
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-    whole = knn._nearest(x, y, 7)
+    block, far = knn._Block.of(np.arange(80), y), np.full(30, np.inf)
+    whole = knn._nearest(x, block, 7, far)
     monkeypatch.setattr(knn, "TILE_QUERIES", 8)
     monkeypatch.setattr(knn, "TILE_ROWS", 3)
-    tiled = knn._nearest(x, y, 7)
+    tiled = knn._nearest(x, block, 7, far)
     assert np.allclose(whole[0], tiled[0])
     want = np.argsort(np.round(1 - x @ y.T, 12), axis=1, kind="stable")[:, :7]
     assert (np.sort(whole[1], axis=1) == np.sort(want, axis=1)).all() and (np.sort(tiled[1], axis=1) == np.sort(want, axis=1)).all()
 
 
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_knn_prefix_bounds_lose_nothing(monkeypatch, spread):
+    """Rows near a plane and rows all over the sphere; limits from outside too."""
+    rng = np.random.default_rng(8)
+    basis = rng.normal(size=(6, 64))
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    y = unit(rng.normal(size=(500, 6)) @ basis + spread * rng.normal(size=(500, 64)))
+    x = unit(rng.normal(size=(60, 6)) @ basis + spread * rng.normal(size=(60, 64)))
+    dist = 1 - x @ y.T
+    want = np.argsort(dist, axis=1, kind="stable")[:, :9]
+    monkeypatch.setattr(knn, "TILE_QUERIES", 7)
+    monkeypatch.setattr(knn, "TILE_ROWS", 40)
+    block = knn._Block.of(np.arange(500), y)
+    assert block.axes is not None
+    best, near = knn._nearest(x, block, 9, np.full(60, np.inf))
+    assert (near == want).all() and np.allclose(best, np.take_along_axis(dist, want, axis=1))
+    limit = np.take_along_axis(dist, want, axis=1)[:, 4]
+    best, near = knn._nearest(x, block, 9, limit)
+    assert (near[:, :5] == want[:, :5]).all() and (best[:, :5] <= limit[:, None] + 1e-9).all()
+
+
+def test_knn_training_rows_are_sent_once_whatever_the_queries(spark, monkeypatch):
+    df = spark.createDataFrame([("c", i, [float(i % 17), float(i % 5), 1.0]) for i in range(300)], "cell string, sample_id bigint, feats array<double>")
+    sent, search = [], knn._together
+
+    def counted(t_side, q_side):
+        sent.append(t_side.count())
+        return search(t_side, q_side)
+
+    monkeypatch.setattr(knn, "_together", counted)
+    for copies in (1, 20):
+        queries = df.select("cell", F.explode(F.array(*[(F.col("sample_id") * 100 + i) for i in range(copies)])).alias("sample_id"), "feats")
+        assert knn.knn_join(df, queries, ["cell"], 3).count() == 300 * copies
+    assert sent == [300, 300]
+
+
 def test_knn_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([("c", i, [1.0, float(i % 2)]) for i in range(20)], "cell string, sample_id bigint, feats array<double>")
     q = spark.createDataFrame([("c", 100, [2.0, 0.0])], df.schema)
