@@ -239,16 +239,16 @@ def frechet_distance(df: DataFrame, keys: list[str], side: str = "side", vec: st
 TOP_EIGEN = 5
 
 
-def geometry_readout(train: DataFrame, ood: DataFrame, keys: list[str], vec: str = "feats") -> DataFrame:
-    """Mean shift, its Mahalanobis length and the share of it in the top-5 eigenspace."""
+def geometry_readout(train: DataFrame, ood: DataFrame, keys: list[str], vec: str = "feats", by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean shift, its Mahalanobis length and the share of it in the top-5 eigenspace, for every ``by`` of the shifted rows."""
     fit = ledoit_wolf(train, keys, vec)
-    target = vector_means(ood, keys, vec, normalize=True).select(
-        *keys, F.col("n").alias("n_ood"), F.col("mean").alias("mean_ood")
+    names = [*by, *keys]
+    target = vector_means(ood, names, vec, normalize=True).select(
+        *names, F.col("n").alias("n_ood"), F.col("mean").alias("mean_ood")
     )
-    names = list(keys)
     out = T.StructType(
         [
-            *key_fields(train, keys),
+            *key_fields(ood, names),
             T.StructField("mean_shift", T.DoubleType()),
             T.StructField("maha_mean_shift", T.DoubleType()),
             T.StructField("pct_shift_in_top5_eigenspace", T.DoubleType()),
@@ -277,4 +277,4 @@ def geometry_readout(train: DataFrame, ood: DataFrame, keys: list[str], vec: str
             }
         )
 
-    return fit.join(target, keys).groupBy(*keys).applyInPandas(solve, out)
+    return fit.join(target, keys).groupBy(*names).applyInPandas(solve, out)

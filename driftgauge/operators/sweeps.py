@@ -44,19 +44,22 @@ def repeated_draws(train: DataFrame, keys: list[str], n_sub: int, n_draws: int,
     return train.join(_first(ids, [*keys, "draw"], order, n_sub).drop("pos"), [*keys, sample_id])
 
 
-def _evaluate(subsets: DataFrame, evaluation: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """Fit per (keys, key), score all evaluation rows with every fit, AUROC / FPR95 per fit."""
+def _evaluate(subsets: DataFrame, evaluation: DataFrame, keys: list[str], key: str, by: tuple[str, ...]) -> DataFrame:
+    """Fit per (keys, key), score all evaluation rows with every fit, AUROC / FPR95 per fit and ``by``."""
     fit_keys = [*keys, key]
     fit = cut_lineage(ledoit_wolf(subsets, fit_keys))
     versions = fit.select(*fit_keys)
-    rows = evaluation.select(*keys, "is_id", "feats").join(versions, keys)
+    rows = evaluation.select(*keys, *by, "is_id", "feats").join(versions, keys)
     scored = mahalanobis_score(rows, fit, fit_keys).drop("feats")
     stats = fit.select(*fit_keys, "shrinkage", "condition", F.col("n").alias("n_fit"))
-    return separability(scored, fit_keys).join(stats, fit_keys)
+    return separability(scored, [*fit_keys, *by]).join(stats, fit_keys)
 
 
-def fit_size_ablation(train: DataFrame, evaluation: DataFrame, keys: list[str], sizes: tuple[int, ...] = FIT_SIZES, **kw) -> DataFrame:
-    return _evaluate(nested_subsets(train, keys, sizes, **kw), evaluation, keys, "n_train")
+def fit_size_ablation(
+    train: DataFrame, evaluation: DataFrame, keys: list[str], sizes: tuple[int, ...] = FIT_SIZES, by: tuple[str, ...] = (), **kw
+) -> DataFrame:
+    """One fit per cell and size; ``by`` names columns of the evaluation rows (the shift) that share the fits."""
+    return _evaluate(nested_subsets(train, keys, sizes, **kw), evaluation, keys, "n_train", by)
 
 
 REFIT_COLUMNS = (
@@ -66,22 +69,25 @@ REFIT_COLUMNS = (
 
 
 def subsample_refits(
-    train: DataFrame, evaluation: DataFrame, keys: list[str], n_sub: int, n_draws: int = N_DRAWS, **kw
+    train: DataFrame, evaluation: DataFrame, keys: list[str], n_sub: int, n_draws: int = N_DRAWS, by: tuple[str, ...] = (), **kw
 ) -> DataFrame:
     """The full fit, and mean and sd of AUROC, conditioning and shrinkage over repeated subsample fits.
 
-    A cell of at most ``n_sub`` training rows is not subsampled: the full fit stands for all draws.
+    A cell of at most ``n_sub`` training rows is not subsampled: the full fit stands for all draws. ``by`` names columns
+    of the evaluation rows (the shift) that share the fits.
     """
-    full = cut_lineage(_evaluate(train.withColumn("__all", F.lit(0)), evaluation, keys, "__all")).select(
-        *keys,
+    cells = [*keys, *by]
+    full = cut_lineage(_evaluate(train.withColumn("__all", F.lit(0)), evaluation, keys, "__all", by)).select(
+        *cells,
         F.col("n_fit").alias("n_full"),
         F.col("auroc").alias("auroc_full"),
         F.col("condition").alias("cond_prec_full"),
         F.col("shrinkage").alias("shrinkage_full"),
     )
-    large = full.where(F.col("n_full") > n_sub).select(*keys)
-    per = _evaluate(repeated_draws(train.join(large, keys, "left_semi"), keys, n_sub, n_draws, **kw), evaluation.join(large, keys, "left_semi"), keys, "draw")
-    drawn = per.groupBy(*keys).agg(
+    large = full.where(F.col("n_full") > n_sub).select(*keys).distinct()
+    draws = repeated_draws(train.join(large, keys, "left_semi"), keys, n_sub, n_draws, **kw)
+    per = _evaluate(draws, evaluation.join(large, keys, "left_semi"), keys, "draw", by)
+    drawn = per.groupBy(*cells).agg(
         F.count(F.lit(1)).alias("n_draws"),
         F.avg("auroc").alias("auroc_sub_mean"),
         F.stddev_samp("auroc").alias("auroc_sub_std"),
@@ -98,8 +104,8 @@ def subsample_refits(
         full_value = F.lit(0.0) if name.endswith("_std") else F.col(instead[name.split("_sub_")[0]])
         return F.when(subsampled, F.col(name)).otherwise(full_value).alias(name)
 
-    return full.join(drawn, keys, "left").select(
-        *keys,
+    return full.join(drawn, cells, "left").select(
+        *cells,
         "n_full",
         "auroc_full",
         "cond_prec_full",

@@ -3,6 +3,7 @@
 from driftgauge.plans import (  # noqa: F401
     coverage_queries,
     io_queries,
+    iterated_queries,
     model_queries,
     rank_queries,
     resample_queries,

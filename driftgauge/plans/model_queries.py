@@ -137,38 +137,40 @@ def frechet_plane(spark, sf):
     return rounded(moments.frechet_distance(rows, ["domain", "backbone"]), "fid")
 
 
+def _readout(rows):
+    """Both shifts against the training rows of their backbone."""
+    shifted = rows.where("split in ('near', 'far')").withColumn("domain", F.col("split"))
+    return moments.geometry_readout(rows.where("split = 'train'"), shifted, KEYS, by=("domain",))
+
+
 @query(
     "geometry_plane",
-    f"""WITH {_PLANE_SQL}, tr AS (SELECT backbone, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "backbone")}, o AS (SELECT backbone, avg(x) AS ox, avg(y) AS oy, count(*) AS n_ood FROM pu WHERE split = 'far' GROUP BY backbone)
-SELECT k.backbone, {R("sqrt((ox - mx) * (ox - mx) + (oy - my) * (oy - my))")} AS mean_shift, {R(_plane_distance("ox - mx", "oy - my"))} AS maha_mean_shift,
+    f"""WITH {_PLANE_SQL}, tr AS (SELECT backbone, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "backbone")}, o AS (SELECT backbone, split AS domain, avg(x) AS ox, avg(y) AS oy, count(*) AS n_ood FROM pu WHERE split IN ('near', 'far') GROUP BY ALL)
+SELECT domain, k.backbone, {R("sqrt((ox - mx) * (ox - mx) + (oy - my) * (oy - my))")} AS mean_shift, {R(_plane_distance("ox - mx", "oy - my"))} AS maha_mean_shift,
   {R("100 * ((ox - mx) * (ox - mx) + (oy - my) * (oy - my)) / ((ox - mx) * (ox - mx) + (oy - my) * (oy - my) + 1e-12::DOUBLE)")} AS pct_shift_in_top5_eigenspace, n AS n_train, n_ood, CAST(2 AS INTEGER) AS feat_dim FROM k JOIN o ON o.backbone = k.backbone""",
 )
 def geometry_plane(spark, sf):
-    rows = planes(spark, sf)
-    out = moments.geometry_readout(rows.where("split = 'train'"), rows.where("split = 'far'"), KEYS)
+    out = _readout(planes(spark, sf))
     return rounded(out, "mean_shift", "maha_mean_shift", "pct_shift_in_top5_eigenspace")
 
 
 def _plane_eval_sql(key: str) -> str:
-    return f"""SELECT k.backbone, k.{key}, sample_id, split = 'id_val' AS is_id, -{_plane_distance("x - mx", "y - my")} AS score FROM pu JOIN k ON k.backbone = pu.backbone WHERE split IN ('id_val', 'far')"""
-
-
-def _plane_evaluation(rows):
-    return rows.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
+    return f"""SELECT domain, k.backbone, k.{key}, sample_id, split = 'id_val' AS is_id, -{_plane_distance("x - mx", "y - my")} AS score FROM pu JOIN k ON k.backbone = pu.backbone
+   JOIN (VALUES ('near'), ('far')) d(domain) ON split = 'id_val' OR split = d.domain"""
 
 
 @query(
     "fit_size_plane",
     f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY backbone ORDER BY {keyed_hash_sql(42, "sample_id")}, sample_id) AS pos, count(*) OVER (PARTITION BY backbone) AS size FROM pu WHERE split = 'train'),
 tr AS (SELECT backbone, n_train, x, y FROM o JOIN (VALUES (100), (500), (1000), (2500), (5000)) z(n_train) ON pos <= n_train AND n_train <= size), {_plane_fit_sql("tr", "backbone, n_train")},
-scored AS ({_plane_eval_sql("n_train")}), {v.sep_sql("scored", "backbone, n_train")}
-SELECT sep.backbone, CAST(sep.n_train AS INTEGER) AS n_train, {R("auroc")} AS auroc, {R("fpr95")} AS fpr95, {R("w")} AS shrinkage FROM sep JOIN k ON sep.n_train = k.n_train AND sep.backbone = k.backbone""",
+scored AS ({_plane_eval_sql("n_train")}), {v.sep_sql("scored", "domain, backbone, n_train")}
+SELECT sep.domain, sep.backbone, CAST(sep.n_train AS INTEGER) AS n_train, {R("auroc")} AS auroc, {R("fpr95")} AS fpr95, {R("w")} AS shrinkage FROM sep JOIN k ON sep.n_train = k.n_train AND sep.backbone = k.backbone""",
 )
 def fit_size_plane(spark, sf):
     """Refits on nested subsets of the published sizes, checked against closed forms; sizes over the table give no row."""
     rows = planes(spark, sf)
-    out = sweeps.fit_size_ablation(rows.where("split = 'train'"), _plane_evaluation(rows), KEYS)
-    return rounded(out.select("backbone", "n_train", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
+    out = sweeps.fit_size_ablation(rows.where("split = 'train'"), v.by_domain(rows), KEYS, by=("domain",))
+    return rounded(out.select("domain", "backbone", "n_train", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
 
 
 _REFIT = {
@@ -182,17 +184,17 @@ _REFIT_FULL = {n: "0.0::DOUBLE" if n.endswith("_std") else n.split("_sub_")[0] +
     "subsample_refits_plane",
     f"""WITH {_PLANE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY backbone, draw ORDER BY {keyed_hash_sql(42, "draw", "sample_id")}, sample_id) AS pos
    FROM pu CROSS JOIN (SELECT unnest(range(0, 20)) AS draw) WHERE split = 'train'),
-tr AS (SELECT backbone, draw, x, y FROM o WHERE pos <= 120 UNION ALL SELECT backbone, -1, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "backbone, draw")}, scored AS ({_plane_eval_sql("draw")}), {v.auroc_sql("scored", "backbone, draw")},
-j AS (SELECT au.backbone, au.draw, auroc, cond, w, n FROM au JOIN k ON au.draw = k.draw AND au.backbone = k.backbone), f AS (SELECT backbone, n AS n_full, auroc AS auroc_full, cond AS cond_prec_full, w AS shrinkage_full FROM j WHERE draw = -1),
-sub AS (SELECT backbone, count(*) AS n_draws, {", ".join(f"{e} AS {n}" for n, e in _REFIT.items())} FROM j WHERE draw >= 0 GROUP BY backbone)
-SELECT f.backbone, n_full, {R("auroc_full")} AS auroc_full, {R("cond_prec_full")} AS cond_prec_full, {R("shrinkage_full")} AS shrinkage_full, n_full > 120 AS subsampled,
+tr AS (SELECT backbone, draw, x, y FROM o WHERE pos <= 120 UNION ALL SELECT backbone, -1, x, y FROM pu WHERE split = 'train'), {_plane_fit_sql("tr", "backbone, draw")}, scored AS ({_plane_eval_sql("draw")}), {v.auroc_sql("scored", "domain, backbone, draw")},
+j AS (SELECT au.domain, au.backbone, au.draw, auroc, cond, w, n FROM au JOIN k ON au.draw = k.draw AND au.backbone = k.backbone), f AS (SELECT domain, backbone, n AS n_full, auroc AS auroc_full, cond AS cond_prec_full, w AS shrinkage_full FROM j WHERE draw = -1),
+sub AS (SELECT domain, backbone, count(*) AS n_draws, {", ".join(f"{e} AS {n}" for n, e in _REFIT.items())} FROM j WHERE draw >= 0 GROUP BY ALL)
+SELECT f.domain, f.backbone, n_full, {R("auroc_full")} AS auroc_full, {R("cond_prec_full")} AS cond_prec_full, {R("shrinkage_full")} AS shrinkage_full, n_full > 120 AS subsampled,
   CASE WHEN n_full > 120 THEN 120 ELSE n_full END AS n_sub, CASE WHEN n_full > 120 THEN n_draws ELSE 0 END AS n_draws,
-  {", ".join(f"{R(f'CASE WHEN n_full > 120 THEN {n} ELSE {i} END')} AS {n}" for n, i in _REFIT_FULL.items())} FROM f JOIN sub ON sub.backbone = f.backbone""",
+  {", ".join(f"{R(f'CASE WHEN n_full > 120 THEN {n} ELSE {i} END')} AS {n}" for n, i in _REFIT_FULL.items())} FROM f JOIN sub ON sub.backbone = f.backbone AND sub.domain = f.domain""",
 )
 def subsample_refits_plane(spark, sf):
     """Twenty refits on subsamples without replacement beside the full fit."""
     rows = planes(spark, sf)
-    out = sweeps.subsample_refits(rows.where("split = 'train'"), _plane_evaluation(rows), KEYS, n_sub=120)
+    out = sweeps.subsample_refits(rows.where("split = 'train'"), v.by_domain(rows), KEYS, n_sub=120, by=("domain",))
     return rounded(out, "auroc_full", "cond_prec_full", "shrinkage_full", *_REFIT)
 
 
@@ -206,22 +208,19 @@ def frechet_distance(spark, sf):
 @query("geometry_readout")
 def geometry_readout(spark, sf):
     """Mean shift, Mahalanobis shift and top-eigenspace share (needs an inverse and eigenvectors)."""
-    s = v.samples(spark, sf)
-    out = moments.geometry_readout(s.where("split = 'train'"), s.where("split = 'far'"), KEYS)
+    out = _readout(v.samples(spark, sf))
     return rounded(out, "mean_shift", "maha_mean_shift", "pct_shift_in_top5_eigenspace")
 
 
-_MEAN_SQL = f"""{v.SAMPLES_SQL}, {_UNIT_SQL}, m AS (SELECT backbone, i, avg(x) FILTER (split = 'train') AS a, avg(x) FILTER (split = 'far') AS b FROM ue GROUP BY ALL)"""
+_MEAN_SQL = f"""{v.SAMPLES_SQL}, {_UNIT_SQL}, m AS (SELECT backbone, i, avg(x) AS a FROM ue WHERE split = 'train' GROUP BY ALL), o AS (SELECT backbone, split AS domain, i, avg(x) AS b FROM ue WHERE split IN ('near', 'far') GROUP BY ALL)"""
 
 
 @query(
     "mean_shift",
-    f"""WITH {_MEAN_SQL} SELECT backbone, {R("sqrt(sum((b - a) * (b - a)))")} AS mean_shift FROM m GROUP BY backbone""",
+    f"""WITH {_MEAN_SQL} SELECT domain, o.backbone, {R("sqrt(sum((b - a) * (b - a)))")} AS mean_shift FROM m JOIN o ON o.backbone = m.backbone AND o.i = m.i GROUP BY domain, o.backbone""",
 )
 def mean_shift(spark, sf):
-    s = v.samples(spark, sf)
-    out = moments.geometry_readout(s.where("split = 'train'"), s.where("split = 'far'"), KEYS)
-    return rounded(out.select("backbone", "mean_shift"), "mean_shift")
+    return rounded(_readout(v.samples(spark, sf)).select("domain", "backbone", "mean_shift"), "mean_shift")
 
 
 # --- clipped-feature energy --------------------------------------------------------------
@@ -379,23 +378,18 @@ def fill_missing_scores(spark, sf):
 # --- refits and probes ---------------------------------------------------------------------
 
 
-def _evaluation(spark, sf):
-    s = v.samples(spark, sf)
-    return s.where("split in ('id_val', 'far')").withColumn("is_id", F.col("split") == "id_val")
-
-
 @query("fit_size_ablation")
 def fit_size_ablation(spark, sf):
     """Nested training subsets, one covariance fit per size."""
-    out = sweeps.fit_size_ablation(_train(spark, sf), _evaluation(spark, sf), KEYS)
-    return rounded(out.select("backbone", "n_train", "n_fit", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
+    out = sweeps.fit_size_ablation(_train(spark, sf), v.by_domain(v.samples(spark, sf)), KEYS, by=("domain",))
+    return rounded(out.select("domain", "backbone", "n_train", "n_fit", "auroc", "fpr95", "shrinkage"), "auroc", "fpr95", "shrinkage")
 
 
 @query("subsample_refits")
 def subsample_refits(spark, sf):
     """Repeated subsample fits: mean and sd of AUROC, conditioning and shrinkage."""
-    out = sweeps.subsample_refits(_train(spark, sf), _evaluation(spark, sf), KEYS, n_sub=150)
-    return rounded(out, *[c for c in out.columns if c not in ("backbone", "n_full", "subsampled", "n_sub", "n_draws")])
+    out = sweeps.subsample_refits(_train(spark, sf), v.by_domain(v.samples(spark, sf)), KEYS, n_sub=150, by=("domain",))
+    return rounded(out, *[c for c in out.columns if c not in ("domain", "backbone", "n_full", "subsampled", "n_sub", "n_draws")])
 
 
 @query("linear_probe")

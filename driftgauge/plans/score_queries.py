@@ -263,13 +263,6 @@ def nll_temperature_curve(spark, sf):
     return rounded(calibration.nll_curve(rows, ["backbone"], _TEMPS, "logits", "label"), "nll")
 
 
-@query("temperature_fit")
-def temperature_fit(spark, sf):
-    """T* per backbone on ID validation rows: iterative, so no SQL twin (tests check against a fine grid)."""
-    rows = v.with_logits(spark, sf).where("split = 'id_val'")
-    return calibration.fit_temperature(rows, ["backbone"])
-
-
 # --- dispersion ------------------------------------------------------------------------
 
 _TRIMMED_SQL = """
@@ -447,11 +440,3 @@ SELECT domain, model, {R("corr(rx, ry)")} AS rho, count(*) AS n FROM k GROUP BY
 def spearman_with_nulls(spark, sf):
     """Ranks are taken among complete pairs."""
     return rounded(correlation.spearman(_with_holes(spark, sf), ["domain", "model"], "x", "y"), "rho")
-
-
-@query("correlation_p_values")
-def correlation_p_values(spark, sf):
-    """Pearson with two-sided Student-t p-values (no t distribution in SQL; tests check known values)."""
-    e = v.event_scores(spark, sf)
-    rows = e.select("stratum", F.col("user_id").cast("double").alias("x"), F.col("score").alias("y"))
-    return correlation.with_p_value(correlation.pearson(rows, ["stratum"], "x", "y"), "r")
