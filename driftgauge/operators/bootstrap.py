@@ -298,7 +298,7 @@ def bootstrap_coverage(
     limit = target + RISK_EPS
     slim = df.select(
         *keys, finite_or_error(F.col(score).cast("double"), score).alias("s"), F.col(sample_id).cast("bigint").alias("sid"),
-        (~F.col(correct)).alias("wrong"),
+        (F.col(correct).cast("double") < 1.0).alias("wrong"),
     )
     rows, needed = with_ranges(slim, "s", "sid")
 
