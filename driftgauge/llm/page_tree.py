@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
+
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
@@ -46,6 +50,10 @@ class Block:
     slot: int = -1
 
 
+class LinkText(str):
+    """A run of text inside a link."""
+
+
 def _attributes(source: str) -> dict[str, str]:
     if "=" not in source and not source.strip(" /"):
         return {}
@@ -70,7 +78,9 @@ def _open(tag: str, attributes: dict[str, str], parent: Block) -> Block:
     if named and tag not in ("html", "body", "main") and not (tag == "article" and "comment" not in words and "comments" not in words):
         out = True
     excluded = parent.excluded or out
-    return Block(f"{tag}.{attributes.get('class', '')}", parent, excluded, (inside or region) and not excluded)
+    # words with digits (post-123) differ from page to page and would keep equal places apart
+    stable = [w for w in attributes.get("class", "").lower().split() if not any(c.isdigit() for c in w)]
+    return Block(f"{tag}.{' '.join(stable)}", parent, excluded, (inside or region) and not excluded)
 
 
 def parse(source: str) -> Block:
@@ -78,13 +88,14 @@ def parse(source: str) -> Block:
     root = Block("", None, False, False)
     now, names = root, [""]  # names: open block elements, from the root to ``now``
     quiet: list[str] = []  # open inline elements whose text is left out
+    link = 0  # number of open blocks when a link was opened, 0 outside of links
     at, size = 0, len(source)
     while at < size:
         less = source.find("<", at)
         if less < 0:
             less = size
         if less > at and not quiet:
-            now.parts.append(source[at:less])
+            now.parts.append(LinkText(source[at:less]) if link else source[at:less])
         if less == size:
             break
         following = source[less + 1 : less + 2]
@@ -119,6 +130,8 @@ def parse(source: str) -> Block:
         if name not in BLOCK:
             if name in ("br", "td", "th", "option") and not quiet:
                 now.parts.append(" ")
+            if name == "a":
+                link = 0 if closing else len(names)
             if name in ("button", "select", "label") and not closing:
                 quiet.append(name)
             elif closing and quiet and quiet[-1] == name:
@@ -135,6 +148,7 @@ def parse(source: str) -> Block:
                     now = now.parent
                     if closed == name:
                         break
+                link = link if link <= len(names) else 0
             continue
         if name in CLOSES_P and names[-1] == "p":
             names.pop()
@@ -168,56 +182,136 @@ def numbered(root: Block) -> Block:
     return root
 
 
-def align(reference: Block, page: Block) -> None:
-    """Simple tree matching: gives every matched block of ``page`` the slot of its partner in ``reference``.
+def layout(root: Block) -> int:
+    """A number for the page's frame: the labels of the blocks below the body, in order of their first appearance."""
+    body = root
+    while len(body.children) == 1 or any(c.label.startswith("body.") for c in body.children):
+        body = next((c for c in body.children if c.label.startswith("body.")), body.children[0])
+    return zlib.crc32("\n".join(dict.fromkeys(c.label for c in body.children)).encode("utf-8", "replace"))
 
-    Two blocks match if their labels are equal; the largest order-keeping set of matches below them is found by dynamic
-    programming over their children. Trees deeper than ``DEEPEST`` are matched down to that depth.
-    """
-    sizes: dict[tuple[int, int], tuple[int, list[tuple[Block, Block]]]] = {}
 
-    def match(a: Block, b: Block, depth: int) -> tuple[int, list[tuple[Block, Block]]]:
-        if a.label != b.label:
-            return 0, []
-        if not a.children or not b.children or depth == DEEPEST:
-            return 1, []
-        key = (id(a), id(b))
-        if key in sizes:
-            return sizes[key]
-        m, n = len(a.children), len(b.children)
-        weights = [[match(x, y, depth + 1)[0] for y in b.children] for x in a.children]
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(1, m + 1):
-            row, above, weight = best[i], best[i - 1], weights[i - 1]
-            for j in range(1, n + 1):
-                row[j] = max(above[j], row[j - 1], above[j - 1] + weight[j - 1])
-        pairs, i, j = [], m, n
+def _shapes(root: Block, known: dict[tuple, int], children: list[tuple[int, ...]]) -> dict[int, int]:
+    """A number for each block's labels down to ``DEEPEST`` levels: equal numbers, equal subtrees."""
+    order, todo = [], [(root, 0)]
+    while todo:
+        block, depth = todo.pop()
+        order.append((block, depth))
+        if depth < DEEPEST:
+            todo.extend((c, depth + 1) for c in block.children)
+    found: dict[int, int] = {}
+    for block, depth in reversed(order):
+        below = tuple(found[id(c)] for c in block.children) if depth < DEEPEST else ()
+        key = (block.label, below)
+        if key not in known:
+            known[key] = len(children)
+            children.append(below)
+        found[id(block)] = known[key]
+    return found
+
+
+def _last_row(weights: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The row of best sums after the children ``a``, from the row before them."""
+    for i in a:
+        new = np.zeros_like(row)
+        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[i, b]))
+        row = new
+    return row
+
+
+def _pairs(weights: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Places of an order-keeping matching of two child lists with the largest sum of weights.
+
+    Rows are kept at every root of their number and computed again between them, so memory grows with the children, not
+    with their product.
+    """
+    step = max(1, math.isqrt(len(a)))
+    kept = [np.zeros(len(b) + 1, np.int32)]
+    for i in range(0, len(a), step):
+        kept.append(_last_row(weights, a[i : i + step], b, kept[-1]))
+    found, j = [], len(b)
+    for block in range(len(kept) - 2, -1, -1):
+        first = block * step
+        rows = [kept[block]]
+        for i in a[first : first + step]:
+            rows.append(_last_row(weights, np.array([i]), b, rows[-1]))
+        i = len(rows) - 1
         while i and j:
-            if weights[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weights[i - 1][j - 1]:
-                pairs.append((a.children[i - 1], b.children[j - 1]))
+            w = weights[a[first + i - 1], b[j - 1]]
+            if w and rows[i][j] == rows[i - 1][j - 1] + w:
+                found.append((first + i - 1, j - 1))
                 i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
+            elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
             else:
-                j -= 1
-        sizes[key] = (best[m][n] + 1, pairs)
-        return sizes[key]
+                j = int(np.searchsorted(rows[i], rows[i][j]))  # the first place with this sum
+        if not j:
+            break
+    return found
+
+
+def align(reference: Block, page: Block) -> None:
+    """Simple tree matching: gives every matched block of ``page`` the slot of its partner in ``reference``.
+
+    Two blocks match if their labels are equal; the largest order-keeping set of matches below them is found by dynamic
+    programming over their children. Equal subtrees are compared once. Trees deeper than ``DEEPEST`` are matched down to
+    that depth.
+    """
+    known: dict[tuple, int] = {}
+    children: list[tuple[int, ...]] = []
+    shape_a, shape_b = _shapes(reference, known, children), _shapes(page, known, children)
+    labels = {number: key[0] for key, number in known.items()}
+    sizes: dict[tuple[int, int], int] = {}
+
+    def tables(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights by distinct shapes, and both child lists as places in them."""
+        ux, ix = np.unique(x, return_inverse=True)
+        uy, iy = np.unique(y, return_inverse=True)
+        weights = np.array([[size(int(p), int(q)) for q in uy] for p in ux], np.int32)
+        return weights, ix, iy
+
+    def size(p: int, q: int) -> int:
+        if labels[p] != labels[q]:
+            return 0
+        if not children[p] or not children[q]:
+            return 1
+        if (p, q) not in sizes:
+            weights, ix, iy = tables(children[p], children[q])
+            sizes[p, q] = 1 + int(_last_row(weights, ix, iy, np.zeros(len(iy) + 1, np.int32))[-1])
+        return sizes[p, q]
 
     todo = [(reference, page, 0)]
     while todo:
         a, b, depth = todo.pop()
-        size, pairs = match(a, b, depth)
-        if size:
-            b.slot = a.slot
-            todo.extend((x, y, depth + 1) for x, y in pairs)
+        if a.label != b.label:
+            continue
+        b.slot = a.slot
+        if a.children and b.children and depth < DEEPEST:
+            weights, ix, iy = tables(tuple(shape_a[id(c)] for c in a.children), tuple(shape_b[id(c)] for c in b.children))
+            todo.extend((a.children[i], b.children[j], depth + 1) for i, j in _pairs(weights, ix, iy))
 
 
 DEEPEST = 60
 
 
-def texts(root: Block) -> list[tuple[int, bool, bool, str]]:
-    """(slot, excluded, in the article, text) of every run of text between block boundaries, in page order."""
-    found: list[tuple[int, bool, bool, str]] = []
+def _slot(block: Block) -> int:
+    """The block's slot; for a block without one a negative number for its path below the nearest block that has one."""
+    if block.slot >= 0:
+        return block.slot
+    path = []
+    while block is not None and block.slot < 0:
+        path.append(block.label)
+        block = block.parent
+    return _number(f"{-1 if block is None else block.slot}|{'>'.join(path)}")
+
+
+def _number(mark: str) -> int:
+    return -1 - (zlib.crc32(mark.encode("utf-8", "replace")) >> 1)
+
+
+def texts(root: Block) -> list[tuple[int, int, bool, bool, str, int]]:
+    """Every run of text between block boundaries, in page order: its slot, its kin (a number that all blocks of one
+    label below one slot share), whether it is excluded or in the article, the text, and its characters in links."""
+    found: list[tuple[int, int, bool, bool, str, int]] = []
     todo: list[tuple[Block, int]] = [(root, 0)]
     while todo:
         block, at = todo.pop()
@@ -228,7 +322,9 @@ def texts(root: Block) -> list[tuple[int, bool, bool, str]]:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                found.append((block.slot, block.excluded, block.region, text))
+                linked = " ".join(html.unescape("".join(r for r in run if isinstance(r, LinkText))).split())
+                kin = _number(f"{_slot(block.parent) if block.parent else -1}:{block.label}")
+                found.append((_slot(block), kin, block.excluded, block.region, text, min(len(linked), len(text))))
         if at < len(block.parts):
             todo.append((block, at + 1))
             todo.append((block.parts[at], 0))
