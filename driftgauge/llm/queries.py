@@ -148,7 +148,51 @@ def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(load(spark, sf_dir, "pages"))
 
 
-@query("op13_merkle_manifest")
+def _merkle_sql(row_levels: int = 7, tree_levels: int = 7) -> str:
+    """All nodes of all levels (trees of up to 8 ** levels leaves), each leaf joined with its ancestors' runs."""
+
+    def part(c: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def levels(name: str, n: int) -> str:
+        return ", ".join(
+            f"""{name}{k} AS MATERIALIZED (SELECT tree, p, h, n, string_agg(h, '') OVER (PARTITION BY tree, p // 8 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run
+            FROM {f"(SELECT tree, p // 8 AS p, (n + 7) // 8 AS n, any_value(CASE WHEN n > 1 THEN sha256(run) ELSE h END) AS h FROM {name}{k - 1} GROUP BY ALL)" if k else f"{name}_leaves"})"""
+            for k in range(n + 1)
+        )
+
+    def folds(name: str, n: int, source: str, out: str) -> str:
+        steps, at = [], source
+        for k in range(n):
+            place, node = f"64 * (x.p // {8**k} % 8)", f"{name}{k}"
+            before, after = f"substr(y.run, 1, {place})", f"substr(y.run, {place} + 65)"
+            steps.append(f"""{out}{k} AS MATERIALIZED (SELECT x.* EXCLUDE (folded, siblings), CASE WHEN y.n > 1 THEN sha256({before} || folded || {after}) ELSE folded END AS folded,
+            siblings || CASE WHEN y.n > 1 THEN {before} || {after} ELSE '' END AS siblings FROM {at} x JOIN {node} y ON y.tree = x.tree AND y.p = x.p // {8**k})""")
+            at = f"{out}{k}"
+        return ", ".join(steps)
+
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH r_all AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS h, {leaf(lowered)} AS lower_h, {crc} % 3 = 0 AS changed FROM documents),
+    r_leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM r_all),
+    {levels("r", row_levels)},
+    t_leaves AS MATERIALIZED (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n, h FROM r{row_levels}),
+    {levels("t", tree_levels)},
+    start AS (SELECT doc_id, tree, p, h AS leaf, CASE WHEN changed THEN lower_h ELSE h END AS folded, '' AS siblings FROM r_leaves),
+    {folds("r", row_levels, "start", "f")},
+    mid AS (SELECT f.doc_id, f.leaf, t.h AS subroot, f.folded, f.siblings, t.tree, t.p FROM f{row_levels - 1} f JOIN t_leaves t ON t.name = f.tree),
+    {folds("t", tree_levels, "mid", "g")}
+    SELECT doc_id, leaf, subroot, h AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = h AS verified
+    FROM g{tree_levels - 1} CROSS JOIN (SELECT h FROM t{tree_levels})
+    """
+
+
+@query("op13_merkle_manifest", _merkle_sql())
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof digest and check of all documents against a manifest, a third of them tampered with."""
     from pyspark.sql import functions as F
