@@ -168,16 +168,18 @@ def domain_classifier(
     part = [*keys, "fold"]
     sums, square_sums = (collect_vectors(vector_means(d, part, "x").withColumn("n", F.array("n")), part, ["n", "mean"]) for d in (data, squares))
     counts = data.groupBy("__cell", "fold", "y").count().collect()  # cells x folds x 2
-    names = {r["__cell"]: None for r in counts}
+    by_class: dict[str, dict[int, np.ndarray]] = {}  # rows of both classes by cell and fold
+    for r in counts:
+        by_class.setdefault(r["__cell"], {}).setdefault(r["fold"], np.zeros(2))[r["y"]] = r["count"]
     part_name = {(r["__cell"], r["fold"]): r["part"] for r in data.select("__cell", "fold", cell_key(part).alias("part")).distinct().collect()}
     scale: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for cell in names:
+    for cell, of_fold in by_class.items():
         for f in range(folds):
             others = [part_name[cell, g] for g in range(folds) if g != f and (cell, g) in part_name]
             n = sum(sums[o][0][0] for o in others)
             mean = sum(sums[o][0][0] * sums[o][1] for o in others) / n
             spread = np.sqrt(np.maximum(sum(square_sums[o][0][0] * square_sums[o][1] for o in others) / n - mean * mean, 0.0))
-            own = np.array([sum(r["count"] for r in counts if (r["__cell"], r["y"]) == (cell, y) and r["fold"] != f) for y in (0, 1)])
+            own = sum(n for g, n in of_fold.items() if g != f)
             scale[cell, f] = mean, np.where(spread > 0, spread, 1.0), own.sum() / (2.0 * np.maximum(own, 1))
 
     def standardised(batch: pa.RecordBatch, wanted: Callable[[np.ndarray, int], np.ndarray]):

@@ -73,8 +73,9 @@ def collect_vectors(df: DataFrame, keys: list[str], cols: list[str]) -> dict[str
     limit = kernels.BROADCAST_BYTES
     if size * 8 > limit:
         raise ValueError(f"{size * 8} bytes of fitted vectors exceed the broadcast limit {limit}; fit fewer cells at once")
-    rows = df.select(cell_key(keys).alias("__cell"), *cols).collect()
-    return {r["__cell"]: tuple(np.asarray(r[c], dtype=np.float64) for c in cols) for r in rows}
+    table = df.select(cell_key(keys).alias("__cell"), *cols).toArrow()
+    cells, found = table.column("__cell").to_pylist(), [table.column(c).combine_chunks() for c in cols]
+    return {cell: tuple(c[i].values.to_numpy(zero_copy_only=False).astype(np.float64) for c in found) for i, cell in enumerate(cells)}
 
 
 def gram_rows(df: DataFrame, keys: list[str], vec: str, centers: dict[str, tuple], normalize: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgauge.functions.draws import keyed_hash
+from driftgauge.functions.draws import MODULUS, keyed_hash
 from driftgauge.operators.correlation import spearman
 from driftgauge.operators.moments import ledoit_wolf
 from driftgauge.operators.ordered import distribution
@@ -39,9 +39,20 @@ def nested_subsets(train: DataFrame, keys: list[str], sizes: tuple[int, ...], sa
 
 def repeated_draws(train: DataFrame, keys: list[str], n_sub: int, n_draws: int, sample_id: str = "sample_id", seed: int = 42) -> DataFrame:
     """``n_draws`` independent samples of n_sub rows without replacement (key ``draw``)."""
-    ids = train.select(*keys, sample_id).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    ids = train.select(*keys, sample_id)
+    # only hashes that can be among the n_sub smallest leave their row: four times as many as are wanted on average, so a
+    # draw without enough of them has a chance below e^-28 (and would stop the job)
+    share = F.least(F.lit(1.0), (F.lit(4.0 * n_sub) + 100) / F.col("__n"))
+    low = lambda d: keyed_hash(seed, d, F.col(sample_id)) <= share * F.lit(float(MODULUS))
+    few = ids.join(ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys).select(
+        *keys, sample_id, "__n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_draws - 1)), low)).alias("draw")
+    )
     order = [keyed_hash(seed, F.col("draw"), F.col(sample_id)), F.col(sample_id)]
-    return train.join(_first(ids, [*keys, "draw"], order, n_sub).drop("pos"), [*keys, sample_id])
+    placed = _first(few, [*keys, "draw"], order, n_sub)
+    found = F.count(F.lit(1)).over(Window.partitionBy(*keys, "draw"))
+    missing = F.raise_error(F.lit("a draw has too few rows")).cast("boolean")
+    chosen = placed.withColumn("__found", found).where(F.when(F.col("__found") < F.least(F.lit(n_sub), F.col("__n")), missing).otherwise(True))
+    return train.join(chosen.drop("pos", "__found", "__n"), [*keys, sample_id])
 
 
 def _evaluate(subsets: DataFrame, evaluation: DataFrame, keys: list[str], key: str, by: tuple[str, ...]) -> DataFrame:

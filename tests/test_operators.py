@@ -608,7 +608,7 @@ def test_names_and_stems(spark):
     assert [r[0] for r in df.select(labels.with_extension(F.col("n"))).collect()] == ["a.PNG", "b.png", "c.jpeg"]
     stems = {
         "resnet18": "resnet18", "efficientnet_v2_s_224": "efficientnet_v2_s", "efficientnet_v2_s": None, "effb3_224": None,
-        "resnet18_supcon": None, "vit_b_16": None, "convnext_tiny": "convnext_tiny", "foo_300": None,
+        "resnet18_supcon": None, "vit_b_16": None, "convnext_tiny": "convnext_tiny", "foo_300": None, "224": None, "net224": "net224",
     }
     got = spark.createDataFrame([(s,) for s in stems], "s string").select("s", labels.official_backbone(F.col("s")).alias("b"))
     assert {r.s: r.b for r in got.collect()} == stems
@@ -803,6 +803,18 @@ def test_sizes_beyond_the_table_have_no_rows(spark, cloud):
     assert {r.n_train: r["count"] for r in subsets.groupBy("n_train").count().collect()} == {10: 10, n: n}
 
 
+def test_draws_are_the_smallest_hashes_of_each_draw(spark):
+    df = spark.range(3000).selectExpr("if(id < 2900, 'large', 'small') AS cell", "id AS sample_id")
+    got = {}
+    for r in sweeps.repeated_draws(df, ["cell"], 40, 3).collect():
+        got.setdefault((r.cell, r.draw), set()).add(r.sample_id)
+    for (cell, draw), chosen in got.items():
+        ids = np.arange(2900) if cell == "large" else np.arange(2900, 3000)
+        hashes = draws.keyed_hash_np(42, np.int64(draw), ids)
+        assert chosen == set(ids[np.lexsort((ids, hashes))[:40]].tolist())
+    assert len(got) == 6
+
+
 def test_refits_show_the_full_fit_and_skip_small_cells(spark, cloud):
     _, df = cloud
     sizes = {r.cell: r["count"] for r in df.groupBy("cell").count().collect()}
