@@ -40,6 +40,8 @@ POINT_BITS = 32  # bits of a zone that may differ in up to RADIUS places
 ROWS_AT_ONCE = 1024
 LEAST_ZONE_BITS = 6  # bits of a zone that must be equal
 RECALL = 0.998
+PRESENCE_BITS = 1024
+NEAREST = 8  # candidates that a text is compared with before all others
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -318,17 +320,41 @@ def linked_by_bits(wide: np.ndarray, most: int, groups: Iterator[tuple[np.ndarra
     return label
 
 
+def presence(shingles: np.ndarray) -> np.ndarray:
+    """``PRESENCE_BITS`` bits, one a hash value of a shingle that the set holds."""
+    bits = np.zeros(PRESENCE_BITS, bool)
+    bits[(shingles >> np.uint64(64 - PRESENCE_BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def may_be_similar(bits: np.ndarray, size: np.ndarray, similarity: float):
+    """A test of pairs: False only if their sets cannot have the similarity.
+
+    A presence bit of one set alone stands for a shingle that the other does not hold, which bounds what is common.
+    """
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        only_a, only_b = (np.bitwise_count(bits[p] & ~bits[q]).sum(axis=1, dtype=np.int64) for p, q in ((a, b), (b, a)))
+        common = np.minimum(size[a] - only_a, size[b] - only_b)
+        return common >= similarity * (size[a] + size[b] - common) - 1e-9
+
+    return test
+
+
 def pairs_apart(
-    wide: np.ndarray, label: np.ndarray, most: int, groups: Iterator[tuple[np.ndarray, np.ndarray]]
+    wide: np.ndarray, label: np.ndarray, most: int, groups: Iterator[tuple[np.ndarray, np.ndarray]], possible=None
 ) -> tuple[np.ndarray, np.ndarray]:
     """(pairs, bits): members of a group with different labels whose wide fingerprints differ in at most ``most`` bits.
 
-    Where groups overlap so much that their pairs outnumber those of all rows, all rows are compared instead.
+    ``possible`` is a further test of pairs. Where groups overlap so much that their pairs outnumber those of all rows, all rows are compared instead.
     """
     found, seen, work = [np.zeros((0, 2), np.int64)], set(), 0
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
         near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= most
+        if possible is not None:
+            a, b = a[near], b[near]
+            near = possible(a, b)
         found.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], axis=1))
 
     def keep_across(who: np.ndarray) -> None:
@@ -447,10 +473,11 @@ def similar_documents(
     zones (34 up to some 500,000 documents) is such that a pair at ``similarity`` meets in at least one with probability
     ``RECALL``, a closer pair with a higher one.
 
-    The fingerprint only finds candidates: what meets and differs in at most ``differing_bits``. Only texts that have one
+    The fingerprint only finds candidates: what meets, differs in at most ``differing_bits`` and, by a bitmap of the
+    shingles that never errs to the other side, may have the similarity. Only texts that have one
     go on, with their sets of shingles, and a link is a pair whose sets have the similarity. First each text is compared
     with the smallest text it hangs together with, so a crowd of near copies is linked by as many comparisons as it has
-    members; then each text with its nearest candidate, and last all candidates, as far as they are not linked yet.
+    members; then each text with its few nearest candidates, and last all candidates, as far as they are not linked yet.
     Texts with the same set of shingles, among them those without a word, are one node from the start.
     """
     rows = written(wide_fingerprints(docs, words), "wide-fingerprints")
@@ -492,35 +519,45 @@ def similar_documents(
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
 
-    def apart(nearest: bool):
+    def apart(most_each: int | None):
         def collide(table: pa.Table) -> pa.Table:
             table = table.sort_by("node")
             node, wide, groups = met(table)
             label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
-            pairs, bits = pairs_apart(wide, label, most, groups)
-            if nearest:
+            marked = np.frombuffer(b"".join(table.column("presence").to_pylist()), np.uint64).reshape(len(node), -1)
+            possible = may_be_similar(marked, table.column("size").to_numpy(), similarity)
+            pairs, bits = pairs_apart(wide, label, most, groups, possible)
+            if most_each is not None:
                 pairs, bits = np.concatenate([pairs, pairs[:, ::-1]]), np.concatenate([bits, bits])
                 ranked = np.lexsort((pairs[:, 1], bits, pairs[:, 0]))
-                first = ranked[np.unique(pairs[ranked, 0], return_index=True)[1]]
-                pairs, bits = pairs[first], bits[first]
+                owner = pairs[ranked, 0]
+                rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                pairs, bits = pairs[ranked[rank < most_each]], bits[ranked[rank < most_each]]
             return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]], "bits": bits})
 
         return collide
 
     hung = written(zoned(marks).groupBy("zone").applyInArrow(collide, "a long, b long").distinct(), "candidates")
     ends = written(hung.select(F.col("a").alias("node")).union(hung.select("b")).distinct(), "candidate-nodes")
-    near = written(marks.join(ends, "node", "left_semi"), "candidate-marks")
     sets = written(shingle_sets(docs, rows, ends, words), "shingle-sets")
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, "<u8") for x in batch.column("shingles").to_pylist()]
+            columns = [batch.column("node"), pa.array([presence(x).tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "presence", "size"])
+
+    near = written(marks.join(sets.mapInArrow(present, "node long, presence binary, size long"), "node"), "candidate-marks")
     links = written(verified(hung.groupBy("a").agg(F.min("b").alias("b")), sets, similarity), "near-links")
-    for nearest in (True, False):
+    for most_each in (NEAREST, None):
         roots = components(links)
-        labelled = near.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("label"))
-        pairs = zoned(labelled).groupBy("zone").applyInArrow(apart(nearest), "a long, b long, bits long")
-        if nearest:
-            pairs = pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("k")).select("a", F.col("k.b").alias("b"))
+        labelled = near.join(roots, "node", "left").select("node", "wide", "presence", "size", F.coalesce("root", "node").alias("label"))
+        pairs = zoned(labelled).groupBy("zone").applyInArrow(apart(most_each), "a long, b long, bits long")
+        if most_each is not None:  # a text has at most NEAREST in each zone
+            rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
+            pairs = pairs.distinct().withColumn("rank", rank).where(F.col("rank") <= most_each)
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        more = written(verified(pairs, sets, similarity), "near-links")
-        links = links.union(more)
+        links = links.union(written(verified(pairs, sets, similarity), "near-links"))
         if pairs.isEmpty():
             break
     roots = components(links)

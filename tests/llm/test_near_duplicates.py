@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from driftgauge.llm import simhash
 from driftgauge.llm.graph import components
 from driftgauge.llm.simhash import (
     ball_links,
@@ -245,3 +246,23 @@ def test_pairs_of_crowded_groups_are_whole():
     expected = {(i, j): bits(i, j) for j in range(40) for i in range(j) if label[i] != label[j] and bits(i, j) <= 8}
     pairs, differ = pairs_apart(wide, label, 8, iter(groups))
     assert {tuple(p): b for p, b in zip(pairs.tolist(), differ.tolist(), strict=True)} == expected
+
+
+def test_presence_bits_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(12)
+    sets = []
+    for size in (0, 1, 5, 40, 300, 4000):
+        base = rng.integers(0, 1 << 63, size).astype("<u8") * np.uint64(2)
+        for share in (1.0, 0.95, 0.88, 0.8, 0.7, 0.4):
+            kept = base[: int(size * share)]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, size - len(kept)).astype("<u8")])))
+    bits = np.stack([simhash.presence(s) for s in sets]).view(np.uint64)
+    test = simhash.may_be_similar(bits, np.array([len(s) for s in sets]), 0.8)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    ruled_out = 0
+    for i, j, ok in zip(a, b, test(a, b), strict=True):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        similar = common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)
+        assert ok or not similar
+        ruled_out += not ok
+    assert ruled_out > len(a) // 2
