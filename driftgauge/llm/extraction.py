@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgauge.llm.common import blocks, texts_of, written
-from driftgauge.llm.page_tree import Block, align, layout, numbered, parse, texts
+from driftgauge.llm.page_tree import Reference, layout, numbered, parse, texts
 
 LEAST_PAGES = 5
 CONSTANT_SHARE = 0.8
@@ -46,8 +46,8 @@ _BLOCKS = pa.list_(pa.struct([("slot", pa.int32()), ("kin", pa.int32()), ("exclu
 
 
 @lru_cache(maxsize=256)
-def _reference(source: str) -> Block:
-    return numbered(parse(source))
+def _reference(source: str) -> Reference:
+    return Reference(numbered(parse(source)))
 
 
 def page_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, model in zip(texts_of(batch, "html").to_pylist(), texts_of(batch, "reference").to_pylist(), strict=True):
             page = parse(source)
             if model:  # a page that is empty itself has no reference
-                align(_reference(model), page)
+                _reference(model).align(page)
             rows.append([dict(zip(("slot", "kin", "excluded", "region", "text", "linked"), t, strict=True)) for t in texts(page)])
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("page_id", "url", "host", "content")), pa.array(rows, _BLOCKS)],
@@ -83,17 +83,14 @@ def aligned_blocks(pages: DataFrame) -> DataFrame:
     )
     # Parsed here and again below: a second look costs less than moving the pages.
     framed = rows.mapInArrow(page_frames, "page_id long, url string, host long, content long, html string, frame long, empty boolean")
-    rows = framed.withColumn("host", F.xxhash64("host", "frame"))
+    in_frame = F.xxhash64("host", "frame")
     # The reference is the page with the smallest hash: any page will do, if only all tasks choose the same.
-    chosen = written(rows.where("not empty").groupBy("host").agg(F.min("content").alias("content")), "chosen-pages")
+    chosen = framed.where("not empty").groupBy("host", "frame").agg(F.min("content").alias("content"))
+    chosen = written(chosen.select("host", "content", in_frame.alias("model_host")), "chosen-pages")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    models = (
-        rows.join(chosen, ["host", "content"], "left_semi")
-        .groupBy("host")
-        .agg(F.min("html").alias("reference"))
-        .withColumnRenamed("host", "model_host")
-    )
+    models = rows.join(chosen, ["host", "content"]).groupBy("model_host").agg(F.min("html").alias("reference"))
+    rows = framed.withColumn("host", in_frame)
     models = written(models, "page-models")
     if (models.agg(F.sum(F.octet_length("reference"))).first()[0] or 0) <= BROADCAST_BYTES:
         models = F.broadcast(models)

@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 
@@ -209,6 +210,22 @@ def _shapes(root: Block, known: dict[tuple, int], children: list[tuple[int, ...]
     return found
 
 
+def _same_ends(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, int]:
+    """How many shapes are equal from the front, and how many of the rest from the back.
+
+    Some largest matching pairs them: nothing matches a subtree better than its equal, and pairing the outermost of two
+    lists keeps no other pair from being made but those it can stand for.
+    """
+    most = min(len(x), len(y))
+    first = 0
+    while first < most and x[first] == y[first]:
+        first += 1
+    last = 0
+    while last < most - first and x[-1 - last] == y[-1 - last]:
+        last += 1
+    return first, last
+
+
 def _last_row(weights: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray) -> np.ndarray:
     """The row of best sums after the children ``a``, from the row before them."""
     for i in a:
@@ -249,47 +266,87 @@ def _pairs(weights: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int,
     return found
 
 
-def align(reference: Block, page: Block) -> None:
-    """Simple tree matching: gives every matched block of ``page`` the slot of its partner in ``reference``.
+class Reference:
+    """A numbered page that others are aligned with; what is learnt of shapes and their matches serves all of them."""
 
-    Two blocks match if their labels are equal; the largest order-keeping set of matches below them is found by dynamic
-    programming over their children. Equal subtrees are compared once. Trees deeper than ``DEEPEST`` are matched down to
-    that depth.
-    """
-    known: dict[tuple, int] = {}
-    children: list[tuple[int, ...]] = []
-    shape_a, shape_b = _shapes(reference, known, children), _shapes(page, known, children)
-    labels = {number: key[0] for key, number in known.items()}
-    sizes: dict[tuple[int, int], int] = {}
+    def __init__(self, root: Block):
+        self.root = root
+        self._forget()
 
-    def tables(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _forget(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+        self.labels: list[str] = []
+        self.nodes: list[int] = []  # of each shape: what it has in common with itself
+        self.shapes = self._shapes(self.root)
+
+    def _shapes(self, root: Block) -> dict[int, int]:
+        found = _shapes(root, self.known, self.children)
+        self.labels.extend(key[0] for key in islice(self.known, len(self.labels), None))
+        for below in self.children[len(self.nodes) :]:
+            self.nodes.append(1 + sum(self.nodes[c] for c in below))
+        return found
+
+    def _tables(self, x: tuple[int, ...], y: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weights by distinct shapes, and both child lists as places in them."""
         ux, ix = np.unique(x, return_inverse=True)
         uy, iy = np.unique(y, return_inverse=True)
-        weights = np.array([[size(int(p), int(q)) for q in uy] for p in ux], np.int32)
+        weights = np.array([[self._size(int(p), int(q)) for q in uy] for p in ux], np.int32)
         return weights, ix, iy
 
-    def size(p: int, q: int) -> int:
-        if labels[p] != labels[q]:
+    def _size(self, p: int, q: int) -> int:
+        """Matched blocks of two subtrees."""
+        if p == q:
+            return self.nodes[p]
+        if self.labels[p] != self.labels[q]:
             return 0
-        if not children[p] or not children[q]:
+        x, y = self.children[p], self.children[q]
+        if not x or not y:
             return 1
-        if (p, q) not in sizes:
-            weights, ix, iy = tables(children[p], children[q])
-            sizes[p, q] = 1 + int(_last_row(weights, ix, iy, np.zeros(len(iy) + 1, np.int32))[-1])
-        return sizes[p, q]
+        if (p, q) not in self.sizes:
+            first, last = _same_ends(x, y)
+            found = 1 + sum(self.nodes[c] for c in (*x[:first], *x[len(x) - last :]))
+            x, y = x[first : len(x) - last], y[first : len(y) - last]
+            if x and y:
+                weights, ix, iy = self._tables(x, y)
+                found += int(_last_row(weights, ix, iy, np.zeros(len(iy) + 1, np.int32))[-1])
+            self.sizes[p, q] = found
+        return self.sizes[p, q]
+
+    def align(self, page: Block) -> None:
+        """Simple tree matching: gives every matched block of ``page`` the slot of its partner in the reference.
+
+        Two blocks match if their labels are equal; the largest order-keeping set of matches below them is found by
+        dynamic programming over their children. Equal subtrees are compared once. Trees deeper than ``DEEPEST`` are
+        matched down to that depth.
+        """
+        if len(self.known) > MOST_SHAPES:
+            self._forget()
+        own = self._shapes(page)
+        todo = [(self.root, page, 0)]
+        while todo:
+            a, b, depth = todo.pop()
+            if a.label != b.label:
+                continue
+            b.slot = a.slot
+            if a.children and b.children and depth < DEEPEST:
+                x, y = tuple(self.shapes[id(c)] for c in a.children), tuple(own[id(c)] for c in b.children)
+                first, last = _same_ends(x, y)
+                m, n = len(x) - last, len(y) - last
+                pairs = [(i, i) for i in range(first)] + [(m + i, n + i) for i in range(last)]
+                if first < m and first < n:
+                    weights, ix, iy = self._tables(x[first:m], y[first:n])
+                    pairs += [(first + i, first + j) for i, j in _pairs(weights, ix, iy)]
+                todo.extend((a.children[i], b.children[j], depth + 1) for i, j in pairs)
 
-    todo = [(reference, page, 0)]
-    while todo:
-        a, b, depth = todo.pop()
-        if a.label != b.label:
-            continue
-        b.slot = a.slot
-        if a.children and b.children and depth < DEEPEST:
-            weights, ix, iy = tables(tuple(shape_a[id(c)] for c in a.children), tuple(shape_b[id(c)] for c in b.children))
-            todo.extend((a.children[i], b.children[j], depth + 1) for i, j in _pairs(weights, ix, iy))
+
+def align(reference: Block, page: Block) -> None:
+    """``Reference.align`` for a single page."""
+    Reference(reference).align(page)
 
 
+MOST_SHAPES = 100_000  # remembered by a reference
 DEEPEST = 60
 
 
