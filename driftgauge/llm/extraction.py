@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgauge.llm.common import blocks, texts_of, written
-from driftgauge.llm.page_tree import Reference, layout, numbered, parse, texts
+from driftgauge.llm.page_tree import Reference, is_empty, layout, numbered, parse, texts
 
 LEAST_PAGES = 5
 CONSTANT_SHARE = 0.8
@@ -52,7 +52,7 @@ def _reference(source: str) -> Reference:
 
 def page_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches, "html"):
-        found = [(layout(page), not texts(page)) for page in map(parse, texts_of(batch, "html").to_pylist())]
+        found = [(layout(page), is_empty(page)) for page in map(parse, texts_of(batch, "html").to_pylist())]
         columns = [pa.array([f for f, _ in found], pa.int64()), pa.array([e for _, e in found], pa.bool_())]
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "frame", "empty"])
 

@@ -191,6 +191,18 @@ def layout(root: Block) -> int:
     return zlib.crc32("\n".join(dict.fromkeys(c.label for c in body.children)).encode("utf-8", "replace"))
 
 
+def is_empty(root: Block) -> bool:
+    """Whether the page has no text but white space."""
+    todo = [root]
+    while todo:
+        for part in todo.pop().parts:
+            if isinstance(part, Block):
+                todo.append(part)
+            elif part.strip():
+                return False
+    return True
+
+
 def _shapes(root: Block, known: dict[tuple, int], children: list[tuple[int, ...]]) -> dict[int, int]:
     """A number for each block's labels down to ``DEEPEST`` levels: equal numbers, equal subtrees."""
     order, todo = [], [(root, 0)]
