@@ -303,7 +303,7 @@ UNION ALL SELECT l.domain, held_out, l.n_raters, {R("l.kendall_w")}, {R("l.kenda
 def w_from_vectors(spark, sf):
     """Vectors to seven scores to AUROC to Kendall's W over 32 raters, and W without each rater."""
     model, rows = plane_model(spark, sf)
-    long = model.transform(rows.where("split <> 'train'")).withColumn("score", F.round("score", 9))
+    long = cut_lineage(model.transform(rows.where("split <> 'train'")).withColumn("score", F.round("score", 9)))
     cell = cut_lineage(separability.auroc(v.by_domain(long), ["domain", "backbone", "method"]))
     full = ranks.kendall_w(cell, ["domain"], ["backbone"], "method", "auroc")
     full = full.select("domain", F.lit("(none)").alias("held_out"), "n_raters", "kendall_w", F.lit(0.0).alias("delta_vs_full"))

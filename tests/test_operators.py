@@ -493,6 +493,30 @@ def test_knn_training_rows_are_sent_once_whatever_the_queries(spark, monkeypatch
     assert sent == [300, 300]
 
 
+def test_knn_queries_are_sent_once_a_block_whatever_the_pivots(spark, monkeypatch):
+    """Vectors without any order, so that no pivot is ruled out: once a query went to every pivot, with k rows back."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 24))
+    rows = [("c", i, [float(v) for v in x[i]]) for i in range(900)]
+    df = spark.createDataFrame(rows, "cell string, sample_id bigint, feats array<double>")
+    train, queries = df.where("sample_id < 600"), df.where("sample_id >= 600")
+    sent, search = [], knn._together
+
+    def counted(t_side, q_side):
+        sent.append((t_side.count(), q_side.count()))
+        return search(t_side, q_side)
+
+    monkeypatch.setattr(knn, "_together", counted)
+    monkeypatch.setattr(knn, "PIVOT_ROWS", 100)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.argsort(1 - u[600:] @ u[:600].T, axis=1, kind="stable")[:, :5]
+    for block, most in ((None, [(600, 300)]), (200, [(600, 300), (600, 4 * 300)])):
+        sent.clear()
+        near = {r.sample_id: [n.id for n in r.neighbours] for r in knn.knn_join(train, queries, ["cell"], 5, block=block).collect()}
+        assert [near[600 + i] for i in range(300)] == want.tolist()
+        assert len(sent) == len(most) and all(s[0] == m[0] and s[1] <= m[1] for s, m in zip(sent, most))
+
+
 def test_knn_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([("c", i, [1.0, float(i % 2)]) for i in range(20)], "cell string, sample_id bigint, feats array<double>")
     q = spark.createDataFrame([("c", 100, [2.0, 0.0])], df.schema)
