@@ -1,7 +1,7 @@
 """Operator 10: quality rules whose cutoffs carry a guarantee on false rejections.
 
-Every rule compares one statistic of a text with a cutoff. A quarter of the labelled rows (by a hash of the text, at most
-``PATH_ROWS``) chooses one path through the cutoffs of all rules, from none at all to strict ones: each step tightens the
+Every rule compares one statistic of a text with a cutoff. A quarter of the labelled rows (by a hash of the text, all of
+them, counted by the steps they need) chooses one path through the cutoffs of all rules, from none at all to strict ones: each step tightens the
 rule that rejects most bad documents for the good ones it loses. The other labelled rows are the holdout: in each stratum
 (a language) the path is walked, and a step is certified if an exact binomial test rules out, at the corrected level,
 that all rules together reject more than ``risk`` of its good documents. The walk stops at the first step that fails, so
@@ -11,7 +11,8 @@ documents to the rules. With the defaults and four strata that takes 217 good te
 stratum with fewer certifies nothing and keeps everything the fixed base rules keep.
 
 The test needs independent rows: a labelled id counts once, and so does a text that several labelled ids hold (as bad if
-any label says so). Strata are judged by Spark, whatever their number; the path's rows alone come to the driver.
+any label says so). Strata are judged by Spark, whatever their number; only the path's counts come to the driver: how many
+good and bad texts there are for each distinct combination of steps.
 
 Nulls: a null text has no words; a null stratum is a stratum of its own; null labels and null ids of labels count for
 nothing; a repeated label counts once, at its smallest value. Repeated rows are kept. Only the named columns are read.
@@ -35,7 +36,6 @@ from driftgauge.llm.common import blocks, per_text, texts_of, words_of, written
 SYMBOLS = r"[#*$%&|<>]"
 SPACES = " \t\n\v\f\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_caps_words", "n_lines", "n_dup_lines", "n_repeat_words"]
-PATH_ROWS = 20_000
 PATH_LOSS = 0.1  # good documents of the path's rows that its last step may lose
 
 
@@ -168,13 +168,15 @@ def needed(rule: Rule) -> Column:
     return F.lit(len(rule.cutoffs) + 1) - beyond
 
 
-def choose_path(needs: np.ndarray, good: np.ndarray, sizes: list[int]) -> np.ndarray:
+def choose_path(needs: np.ndarray, good: np.ndarray, sizes: list[int], n: np.ndarray | None = None) -> np.ndarray:
     """(steps, rules) cutoffs in use at each step, each row no milder than the one before.
 
-    ``needs`` has, for every text and rule, the cutoffs that must be in use for the rule to reject it.
+    ``needs`` has, for every text and rule, the cutoffs that must be in use for the rule to reject it; a row stands for
+    ``n`` such texts (one, unless given).
     """
+    n = np.ones(len(good), np.int64) if n is None else n
     now, steps = np.zeros(len(sizes), np.int64), []
-    left, n_good = np.ones(len(good), bool), max(1, int(good.sum()))
+    left, n_good = np.ones(len(good), bool), max(1, int(n[good].sum()))
     while True:
         best = None
         for r, size in enumerate(sizes):
@@ -183,7 +185,8 @@ def choose_path(needs: np.ndarray, good: np.ndarray, sizes: list[int]) -> np.nda
             if not len(bad):
                 continue
             to = int(bad.min())  # the next cutoff that catches anything
-            gain, loss = int((bad <= to).sum()), int((needs[left & good, r] <= to).sum())
+            hit = left & (needs[:, r] <= to)
+            gain, loss = int(n[hit & ~good].sum()), int(n[hit & good].sum())
             rank = (gain / (loss + 0.5), gain, -r)
             if best is None or rank > best[0]:
                 best = rank, r, to
@@ -192,7 +195,7 @@ def choose_path(needs: np.ndarray, good: np.ndarray, sizes: list[int]) -> np.nda
         _, r, to = best
         now[r] = to
         left &= needs[:, r] > to
-        if (good & ~left).sum() > PATH_LOSS * n_good:
+        if n[good & ~left].sum() > PATH_LOSS * n_good:
             break
         steps.append(now.copy())
     return np.array(steps, np.int64).reshape(-1, len(sizes))
@@ -228,10 +231,11 @@ def learn_cutoffs(
     """
     texts = written(labelled_texts(counts, labels, rules), "labelled-texts")
     draw = F.xxhash64("text_hash", F.lit("path"))
-    chosen = texts.where(F.pmod(draw, F.lit(4)) == 0).select("quality", "needs", draw.alias("draw"), "stratum")
-    rows = chosen.orderBy("draw", "stratum").limit(PATH_ROWS).toArrow()
-    needs = np.array(rows.column("needs").to_pylist(), np.int64).reshape(-1, len(rules))
-    path = choose_path(needs, rows.column("quality").to_numpy() == 1, [len(rule.cutoffs) for rule in rules])
+    good = (F.col("quality") == 1).alias("good")
+    rows = texts.where(F.pmod(draw, F.lit(4)) == 0).groupBy(good, "needs").agg(F.count("*").alias("n")).toArrow()
+    needs = rows.column("needs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(rules))
+    is_good = rows.column("good").combine_chunks().to_numpy(zero_copy_only=False)
+    path = choose_path(needs, is_good, [len(rule.cutoffs) for rule in rules], rows.column("n").to_numpy())
     holdout = texts.where((F.pmod(draw, F.lit(4)) != 0) & (F.col("quality") == 1))
     steps = holdout.select("stratum", first_step(path, rules).alias("step")).groupBy("stratum", "step").agg(F.count("*").alias("n"))
     per_stratum = steps.groupBy("stratum").agg(F.collect_list(F.struct("step", "n")).alias("steps"))  # at most the path's steps

@@ -9,6 +9,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftgauge.llm import quality_rules as rules
 from driftgauge.llm.common import load
@@ -107,6 +108,22 @@ def test_one_walk_rejects_few_good_texts_whatever_the_rules(spark):
     assert broken / runs <= 0.08 and certified_steps > 0
 
 
+def test_path_is_chosen_on_all_its_texts(spark, monkeypatch):
+    """Counts by distinct steps give the path of the single texts, and no text is left out."""
+    rng = np.random.default_rng(12)
+    needs, good = rng.integers(1, 8, (400, 2)), rng.random(400) < 0.8
+    cells, n = np.unique(np.column_stack([good, needs]), axis=0, return_counts=True)
+    grouped = rules.choose_path(cells[:, 1:], cells[:, 0] == 1, [6, 6], n)
+    assert (grouped == rules.choose_path(needs, good, [6, 6])).all()
+    monkeypatch.setattr(rules, "PATH_ROWS", 5, raising=False)
+    texts, choose = [], rules.choose_path
+    monkeypatch.setattr(rules, "choose_path", lambda *a: texts.append(int(np.sum(a[3])) if len(a) > 3 else len(a[0])) or choose(*a))
+    docs = spark.createDataFrame([(i, "en", " ".join(f"w{(i * 7 + j) % 997}" for j in range(60))) for i in range(400)], "doc_id long, lang string, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    rules.judge(docs, labels).count()
+    assert texts[0] > 50
+
+
 def test_verdicts(spark):
     good = [" ".join(f"word{i}x{j}" for j in range(80)) for i in range(2000)]
     junk = [" ".join(f"w{i}{j}###" for j in range(80)) for i in range(700)]
