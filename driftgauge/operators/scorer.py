@@ -94,9 +94,13 @@ def react_threshold(train: DataFrame, keys: list[str], feats: str = "feats", p:
             "entries",
         )
         bracket = cut_lineage(bracket)
-        tagged = entries.join(bracket, keys)
-        below = tagged.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.max("entries").alias("entries"))
-        inside = distribution(tagged.where("v >= lo and v <= hi"), keys, "v", {"n": F.lit(1)})
+        # one bracket a cell, as large as other fitted parameters: no entry is exchanged or sorted to meet it
+        limits = F.broadcast(bracket)
+        tagged = train.select(*keys, F.col(feats).alias("__x")).join(limits, keys)
+        under = F.size(F.filter("__x", lambda x: x < F.col("lo")))
+        below = tagged.groupBy(*keys).agg(F.sum(under.cast("bigint")).alias("below"), F.max("entries").alias("entries"))
+        within = F.filter("__x", lambda x: (x >= F.col("lo")) & (x <= F.col("hi")))
+        inside = distribution(tagged.select(*keys, F.explode(within).alias("v")), keys, "v", {"n": F.lit(1)})
         placed = inside.join(below, keys)
         start = F.col("below") + F.col("n_before")
         h = F.lit(float(p)) * (F.col("entries") - 1)
