@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from driftgauge.functions.draws import MODULUS, keyed_hash
 from driftgauge.operators.correlation import spearman
+from driftgauge.operators.kernels import key_fields, matrix, normalized
 from driftgauge.operators.moments import ledoit_wolf
 from driftgauge.operators.ordered import distribution
-from driftgauge.operators.scorer import mahalanobis_score
-from driftgauge.operators.separability import separability
+from driftgauge.operators.scorer import mahalanobis_score, parameter_chunks
+from driftgauge.operators.separability import ID_TAIL, separability
 from driftgauge.session import cut_lineage
 
 # Fixed values of the published protocols.
 FIT_SIZES = (100, 500, 1000, 2500, 5000)
 N_DRAWS = 20
+# Vector entries of one cell's evaluation rows that a task holds while it scores them with all fits (8 bytes each).
+CELL_ENTRIES = 16_000_000
 
 
 def _first(train: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -59,13 +67,71 @@ def _evaluate(subsets: DataFrame, evaluation: DataFrame, keys: list[str], key: s
     """Fit per (keys, key), score all evaluation rows with every fit, AUROC / FPR95 per fit and ``by``."""
     fit_keys = [*keys, key]
     fit = cut_lineage(ledoit_wolf(subsets, fit_keys))
-    versions = fit.select(*fit_keys)
-    rows = evaluation.select(*keys, *by, "is_id", "feats").join(versions, keys)
-    scored = mahalanobis_score(rows, fit, fit_keys).drop("feats")
     stats = fit.select(*fit_keys, "shrinkage", "condition", F.col("n").alias("n_fit"))
+    rows = evaluation.select(*keys, *by, "is_id", "feats")
+    shape = rows.groupBy(*keys, *by).agg((F.count(F.lit(1)) * F.max(F.size("feats"))).alias("n")).agg(F.max("n")).first()[0] or 0
+    if shape <= CELL_ENTRIES and parameter_chunks(fit, fit_keys, ["mean", "factor"]) == [None]:
+        return _separability_of_fits(rows, fit, keys, key, by).join(stats, fit_keys)
+    scored = mahalanobis_score(rows.join(fit.select(*fit_keys), keys), fit, fit_keys).drop("feats")
     return separability(scored, [*fit_keys, *by]).join(stats, fit_keys)
 
 
+def _separability_of_fits(rows: DataFrame, fit: DataFrame, keys: list[str], key: str, by: tuple[str, ...]) -> DataFrame:
+    """What ``separability`` says of every fit's scores: a cell's vectors are sent once, its scores never leave the task."""
+    versions = fit.select(*keys, F.col(key).alias("__version"), "mean", "factor").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("__version", "mean", "factor"))).alias("__fits")
+    )
+    cell = [*keys, *by]
+    schema = T.StructType(
+        [
+            *key_fields(rows, keys), T.StructField(key, fit.schema[key].dataType), *key_fields(rows, list(by)),
+            *[T.StructField(c, T.DoubleType()) for c in ("auroc", "fpr95", "threshold")],
+            *[T.StructField(c, T.LongType()) for c in ("n_id", "n_ood")],
+        ]
+    )
+    renamed = {k: f"{k}__fit" for k in keys}
+
+    def score(part: pa.Table, own: pa.Table) -> pa.Table:
+        fits = own.column("__fits")[0].values if part.num_rows and own.num_rows else []
+        if not len(fits):
+            return pa.Table.from_arrays([pa.array([], f.type) for f in empty], schema=empty)
+        x, one = normalized(matrix(part.column("feats").combine_chunks())), pc.fill_null(part.column("is_id"), False).combine_chunks().to_numpy(zero_copy_only=False)
+        found = []
+        for i in range(len(fits)):
+            mean, factor = (np.asarray(fits[i][c].values, dtype=np.float64) for c in ("mean", "factor"))
+            root = factor.reshape(len(mean), -1)
+            scores = [-np.linalg.norm((x[lo : lo + 8192] - mean) @ root, axis=1) for lo in range(0, len(x), 8192)]
+            found.append(_separation(np.concatenate(scores), one))
+        heads = {k: part.column(k).combine_chunks().take(pa.array(np.zeros(len(fits), np.int64))) for k in cell}
+        heads[key] = fits.field("__version")
+        values = [pa.array([f[i] for f in found], t) for i, t in enumerate([pa.float64()] * 3 + [pa.int64()] * 2)]
+        return pa.Table.from_arrays([*[heads[k] for k in (*keys, key, *by)], *values], schema=empty)
+
+    empty = to_arrow_schema(schema)
+    each = versions.join(rows.select(*cell).distinct(), keys).withColumnsRenamed(renamed)
+    each = each.withColumnsRenamed({b: f"{b}__fit" for b in by})
+    return rows.groupBy(*cell).cogroup(each.groupBy(*[f"{k}__fit" for k in cell])).applyInArrow(score, schema)
+
+
+def _separation(s: np.ndarray, one: np.ndarray) -> tuple:
+    """AUROC, FPR95, threshold and counts of one fit's scores; None where a side is missing."""
+    if not np.isfinite(s).all():
+        raise ValueError("non-finite score")
+    inside, outside = np.sort(s[one]), np.sort(s[~one])
+    n_id, n_ood = len(inside), len(outside)
+    auroc = threshold = fpr = None
+    if n_id:
+        h = ID_TAIL * (n_id - 1)
+        low, high = inside[int(np.floor(h))], inside[int(np.ceil(h))]
+        threshold = float(low + (h - np.floor(h)) * (high - low))
+    if n_ood:
+        fpr = float((outside > threshold).sum() / n_ood) if n_id else 0.0
+    if n_id and n_ood:
+        under, upto = np.searchsorted(outside, inside, side="left"), np.searchsorted(outside, inside, side="right")
+        auroc = float((under.sum() + 0.5 * (upto - under).sum()) / (float(n_id) * n_ood))
+    return auroc, fpr, threshold, n_id, n_ood
+
+
 def fit_size_ablation(
     train: DataFrame, evaluation: DataFrame, keys: list[str], sizes: tuple[int, ...] = FIT_SIZES, by: tuple[str, ...] = (), **kw
 ) -> DataFrame:
