@@ -14,30 +14,40 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftgauge.functions.draws import POISSON_STEPS, keyed_hash_np
+from driftgauge.functions.draws import POISSON_STEPS, keyed_hash_np, wide_hash_np
 from driftgauge.functions.scores import finite_or_error
 from driftgauge.operators.coverage import RISK_EPS
 from driftgauge.operators.dispersion import CVID_EPS, TRIM_SHARE
 from driftgauge.operators.kernels import key_fields
 from driftgauge.operators import ordered
-from driftgauge.operators.ordered import with_ranges
+from driftgauge.operators.ordered import prefix_sums, with_ranges
 from driftgauge.operators.separability import ID_TAIL
 from driftgauge.session import cut_lineage
 
-# Weights held at once by one task.
-REPLICATE_BLOCK = 4_000_000
+# Weights held at once by one task; a dozen arrays of that size are alive at a time.
+REPLICATE_BLOCK = 500_000
+# Draws made at once, of which a task holds a few arrays more.
+DRAW_BLOCK = 65_536
+# Work for the cores when there are fewer cells than that: replicates are dealt in so many tasks a core, rows copied for each.
+TASKS_PER_CORE = 3
 # Replicates whose ranks travel with a row at once (8 bytes each).
 RANK_BLOCK = 125
 
 
 def _weights(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
     """(rows, reps) Poisson(1) counts, the same draws as the column expression."""
-    return np.searchsorted(POISSON_STEPS, keyed_hash_np(seed, reps[None, :], ids[:, None]), side="right")
+    out = np.empty((len(ids), len(reps)), np.int64)
+    step = max(1, DRAW_BLOCK // max(1, len(reps)))
+    for lo in range(0, len(ids), step):
+        drawn = keyed_hash_np(seed, reps[None, :], ids[lo : lo + step, None])
+        out[lo : lo + step] = np.searchsorted(POISSON_STEPS, drawn, side="right")
+    return out
 
 
 def _sorted_rows(rows: pa.Table):
@@ -96,14 +106,15 @@ def bootstrap_separability(
         return _ranged(ranged, keys, n_reps, seed)
 
     def kernel(c: dict, w: np.ndarray) -> list[np.ndarray]:
-        order = np.argsort(c["s"], kind="stable")
-        return list(_whole_cell(c["s"][order], c["one"][order], w[order]))
+        return list(_whole_cell(c["s"], c["one"], w))
 
-    return _replicates(slim, keys, ["auroc", "fpr95"], kernel, n_reps, seed)
+    return _replicates(slim, keys, ["auroc", "fpr95"], kernel, n_reps, seed, order="s")
 
 
-def _replicates(slim: DataFrame, keys: list[str], outputs: list[str], kernel, n_reps: int, seed: int) -> DataFrame:
-    """(keys, rep, outputs): a kernel over each cell's columns and a block of weight columns."""
+def _replicates(
+    slim: DataFrame, keys: list[str], outputs: list[str], kernel, n_reps: int, seed: int, order: str | None = None
+) -> DataFrame:
+    """(keys, rep, outputs): a kernel over each cell's columns (sorted by ``order``) and a block of weight columns."""
     schema = T.StructType(
         [*key_fields(slim, keys), T.StructField("rep", T.IntegerType()), *[T.StructField(o, T.DoubleType()) for o in outputs]]
     )
@@ -114,7 +125,10 @@ def _replicates(slim: DataFrame, keys: list[str], outputs: list[str], kernel, n_
         data = {}
         for c in columns:
             col = cell.column(c)
-            data[c] = np.asarray(col.to_pylist(), dtype=bool) if pa.types.is_boolean(col.type) else col.to_numpy()
+            data[c] = _numbers(col)
+        if order is not None:
+            by = np.argsort(data[order], kind="stable")
+            data = {c: v[by] for c, v in data.items()}
         ids = data["sid"].astype(np.int64)
         parts = [kernel(data, _weights(ids, reps, seed)) for reps in _blocks(len(ids), all_reps)]
         found = [pa.array(np.concatenate([p[i] for p in parts]), from_pandas=True) for i in range(len(outputs))]
@@ -124,6 +138,66 @@ def _replicates(slim: DataFrame, keys: list[str], outputs: list[str], kernel, n_
     return slim.groupBy(*keys).applyInArrow(run, schema)
 
 
+def bootstrap_separability_exact_n(
+    df: DataFrame, keys: list[str], pool: list[str], sample_id: str, n_reps: int = 1000, seed: int = 42,
+    score: str = "score", is_id: str = "is_id",
+) -> DataFrame | None:
+    """(keys, rep, auroc, fpr95) of resamples with exactly n draws from each pool of n samples.
+
+    The draws are those of ``multinomial_replicates``, made next to a cell's rows: no row is copied and no draw is
+    exchanged. ``keys`` and ``is_id`` must fix the pool. None if a pool or a cell is more than one task can hold.
+    """
+    samples = df.select(*pool, sample_id).distinct()
+    placed = prefix_sums(samples, pool, sample_id, {"n": F.lit(1).cast("bigint")}).select(
+        *pool, sample_id, F.col("n_before").alias("__pos"), F.col("n_total").alias("__size")
+    )
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if max(largest, placed.agg(F.max("__size")).first()[0] or 0) > ordered.ROWS_PER_RANGE:
+        return None
+    slim = df.join(placed, [*pool, sample_id]).select(
+        *keys, finite_or_error(F.col(score).cast("double"), score).alias("s"), F.col(is_id).alias("one"),
+        F.col("__pos").alias("pos"), F.col("__size").alias("size"),
+    )
+    schema = T.StructType([*key_fields(slim, keys), T.StructField("rep", T.IntegerType()), *[T.StructField(o, T.DoubleType()) for o in ("auroc", "fpr95")]])
+
+    def run(cell: pa.Table) -> pa.Table:
+        c = {name: _numbers(cell.column(name)) for name in ("s", "one", "pos", "size")}
+        by = np.argsort(c["s"], kind="stable")
+        c = {name: v[by] for name, v in c.items()}
+        sides = [np.flatnonzero(c["one"]), np.flatnonzero(~c["one"])]
+        found = []
+        for reps in _blocks(max(len(by), *[int(c["size"][at].max(initial=0)) for at in sides]), np.arange(1, n_reps + 1, dtype=np.int64)):
+            w = np.zeros((len(by), len(reps)), np.int64)
+            for at in sides:
+                if len(at):
+                    w[at] = _pool_counts(int(c["size"][at[0]]), reps, seed)[c["pos"][at]]
+            auc, fpr = _whole_cell(c["s"], c["one"], w)
+            without_id = (w[c["one"]].sum(axis=0) == 0) & (w[~c["one"]].sum(axis=0) > 0)
+            found.append((auc, np.where(without_id, 0.0, fpr)))  # nothing is above a threshold that is not there
+        heads = [cell.column(k).combine_chunks().take(pa.array(np.zeros(n_reps, dtype=np.int64))) for k in keys]
+        values = [pa.array(np.concatenate([f[i] for f in found]), from_pandas=True) for i in range(2)]
+        return pa.Table.from_arrays([*heads, pa.array(np.arange(1, n_reps + 1, dtype=np.int32)), *values], names=schema.names)
+
+    return slim.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _pool_counts(size: int, reps: np.ndarray, seed: int) -> np.ndarray:
+    """(size, reps) how often each place of a pool is drawn by its ``size`` draws."""
+    counts = np.zeros((size, len(reps)), np.int64)
+    for i, rep in enumerate(reps):
+        for lo in range(0, size, REPLICATE_BLOCK):
+            places = np.arange(lo, min(size, lo + REPLICATE_BLOCK), dtype=np.int64)
+            counts[:, i] += np.bincount(wide_hash_np(seed, rep, places) % size, minlength=size)
+    return counts
+
+
+def _numbers(col: pa.ChunkedArray) -> np.ndarray:
+    """A column as numbers; a missing flag is false."""
+    if pa.types.is_boolean(col.type):
+        return pc.fill_null(col, False).combine_chunks().to_numpy(zero_copy_only=False)
+    return col.to_numpy()
+
+
 def _weighted_ranks(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Average rank of every row under each weight column, minus the mean rank."""
     order = np.argsort(v, kind="stable")
@@ -136,20 +210,55 @@ def _weighted_ranks(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def bootstrap_spearman(df: DataFrame, keys: list[str], sample_id: str, x: str, y: str, n_reps: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys, rep, rho); NULL where a replicate has no spread."""
+    """(keys, rep, rho); NULL where a replicate has no spread.
+
+    A cell that one task can hold is sent whole to several tasks, each with its share of the replicates; only larger
+    cells are cut into ranges, whose ranks must travel with the rows.
+    """
     slim = df.select(
         *keys, F.col(sample_id).alias("sid"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
+    cells = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("cells")).first()
+    if (cells["n"] or 0) > ordered.ROWS_PER_RANGE:
+        return _ranged_spearman(with_ranges(slim, "x", "sid")[0], keys, n_reps, seed)
+    tasks = max(1, min(n_reps, -(-TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism // max(1, cells["cells"]))))
+    schema = T.StructType([*key_fields(slim, keys), T.StructField("rep", T.IntegerType()), T.StructField("rho", T.DoubleType())])
 
-    def kernel(c: dict, w: np.ndarray) -> list[np.ndarray]:
-        a, b = _weighted_ranks(c["x"], w), _weighted_ranks(c["y"], w)
-        spread = np.sqrt((w * a * a).sum(axis=0) * (w * b * b).sum(axis=0))
-        return [np.where(spread > 0, (w * a * b).sum(axis=0) / np.where(spread > 0, spread, 1.0), np.nan)]
+    def run(cell: pa.Table) -> pa.Table:
+        reps = np.arange(1, n_reps + 1, dtype=np.int64)[cell.column("__share")[0].as_py() :: tasks]
+        rho = _rank_correlations(*[cell.column(c).to_numpy() for c in ("sid", "x", "y")], reps, seed)
+        heads = [cell.column(k).combine_chunks().take(pa.array(np.zeros(len(reps), dtype=np.int64))) for k in keys]
+        return pa.Table.from_arrays([*heads, pa.array(reps.astype(np.int32)), pa.array(rho, from_pandas=True)], names=schema.names)
 
-    by_x, needed = with_ranges(slim, "x", "sid")
-    if not needed:
-        return _replicates(slim, keys, ["rho"], kernel, n_reps, seed)
-    return _ranged_spearman(by_x, keys, n_reps, seed)
+    shares = slim.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return shares.groupBy(*keys, "__share").applyInArrow(run, schema)
+
+
+def _rank_correlations(ids: np.ndarray, x: np.ndarray, y: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """Rank correlation of the rows under the weights of each replicate, NaN without spread.
+
+    The rows are sorted once; a replicate's ranks are those of the distinct values, from their summed weights.
+    """
+    by = np.argsort(x, kind="stable")
+    ids, x, y = ids[by].astype(np.int64), x[by], y[by]
+    group_x, group_y = (np.unique(v, return_inverse=True)[1].astype(np.int32) for v in (x, y))
+    out = np.full(len(reps), np.nan)
+    for lo in range(0, len(reps), width := max(1, REPLICATE_BLOCK // max(1, len(ids)))):
+        weights = _weights(ids, reps[lo : lo + width], seed)
+        for i in range(weights.shape[1]):
+            w = weights[:, i].astype(float)
+            (a, xx), (b, yy) = _value_ranks(group_x, w), _value_ranks(group_y, w)
+            spread = np.sqrt(xx * yy)
+            if spread > 0:
+                out[lo + i] = (w * a[group_x] * b[group_y]).sum() / spread
+    return out
+
+
+def _value_ranks(group: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """Average rank minus the mean rank of every distinct value, and the weighted sum of their squares."""
+    own = np.bincount(group, weights=w)
+    rank = np.cumsum(own) - own + (own + 1) / 2.0 - (own.sum() + 1) / 2.0
+    return rank, float((own * rank * rank).sum())
 
 
 def _rank_bases(rows: DataFrame, keys: list[str], part: list[str], value: str, n_reps: int, seed: int) -> DataFrame:

@@ -79,8 +79,12 @@ w AS (SELECT s.domain, s.backbone, s.method, s.is_id, s.score, d.rep, d.weight F
 def bootstrap_separability_exact_n(spark, sf):
     """Resamples of exactly n ID and n OOD rows, drawn independently."""
     rows = _vector_scores(spark, sf)
-    w = resample.multinomial_replicates(rows, ["domain", "backbone", "is_id"], "sample_id", REPS, SEED)
-    out = resample.separability_ci(w, ["domain", "backbone", "method"])
+    keys, pool = ["domain", "backbone", "method"], ["domain", "backbone", "is_id"]
+    reps = bootstrap.bootstrap_separability_exact_n(rows, keys, pool, "sample_id", REPS, SEED)
+    if reps is not None:
+        out = resample.percentile_ci(reps, keys, ["auroc", "fpr95"])
+    else:  # larger cells: draws and scores as rows
+        out = resample.separability_ci(resample.multinomial_replicates(rows, pool, "sample_id", REPS, SEED), keys)
     return rounded(out, "auroc_ci_low", "auroc_ci_high", "fpr95_ci_low", "fpr95_ci_high")
 
 

@@ -281,6 +281,43 @@ def test_bootstrap_paths_agree(spark, request):
     assert one_sort == ranged
 
 
+def test_exact_n_draws_are_made_beside_the_rows(spark, monkeypatch):
+    """The same replicates as from copied rows, for samples that only some methods score."""
+    rng = np.random.default_rng(31)
+    data = [("d", m, bool(i % 3), i, float(np.round(rng.normal(), 1))) for i in range(90) for m in ("msp", "energy") if m == "msp" or i % 7]
+    df = spark.createDataFrame([*data, data[0]], "domain string, method string, is_id boolean, sample_id bigint, score double")
+    keys, pool = ["domain", "method"], ["domain", "is_id"]
+    copied = resample.multinomial_replicates(df, pool, "sample_id", 9, 42)
+    copied = separability.separability(copied, [*keys, "rep"], weight=F.col("weight")).collect()
+    monkeypatch.setattr(resample, "with_replicates", None)
+    beside = bootstrap.bootstrap_separability_exact_n(df, keys, pool, "sample_id", 9, 42)
+    table = lambda rows: {(r.method, r.rep): (round(r.auroc, 10), round(r.fpr95, 10)) for r in rows}
+    assert table(beside.collect()) == table(copied) and len(copied) == 18
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 50)
+    assert bootstrap.bootstrap_separability_exact_n(df, keys, pool, "sample_id", 9, 42) is None
+
+
+def test_rank_bootstrap_sends_no_ranks_while_its_cells_fit(spark, monkeypatch):
+    rng = np.random.default_rng(33)
+    data = [(f"c{i % 4}", i, float(rng.integers(0, 9)), float(rng.normal())) for i in range(160)]
+    df = spark.createDataFrame(data, "cell string, sample_id bigint, x double, y double")
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 50)  # all rows together are more
+    monkeypatch.setattr(bootstrap, "_ranged_spearman", None)
+    got = {(r.cell, r.rep): r.rho for r in bootstrap.bootstrap_spearman(df, ["cell"], "sample_id", "x", "y", 7, 42).collect()}
+    weighted = resample.poisson_replicates(df, "sample_id", 7, 42)
+    want = {(r.cell, r.rep): r.rho for r in resample.spearman_reps(weighted, ["cell"], "x", "y").collect()}
+    assert got == pytest.approx(want) and len(got) == 28
+
+
+def test_weights_of_large_cells_are_drawn_in_pieces(monkeypatch):
+    sizes, draw = [], bootstrap.keyed_hash_np
+    monkeypatch.setattr(bootstrap, "keyed_hash_np", lambda seed, reps, ids: sizes.append(reps.size * ids.size) or draw(seed, reps, ids))
+    monkeypatch.setattr(bootstrap, "DRAW_BLOCK", 1000)
+    assert bootstrap.REPLICATE_BLOCK <= 500_000
+    w = np.concatenate([bootstrap._weights(np.arange(3500), reps, 42) for reps in bootstrap._blocks(3500, np.arange(1, 4))], axis=1)
+    assert w.shape == (3500, 3) and max(sizes) <= 1000
+
+
 def test_rank_and_dispersion_bootstraps_agree_on_both_paths(spark, request):
     rng = np.random.default_rng(23)
     data = [("c", "OOD" if i % 3 else "ID", i, float(rng.integers(0, 9)), float(rng.normal())) for i in range(300)]
@@ -609,6 +646,39 @@ def test_frechet_against_numpy(spark, cloud):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_refits_score_a_cell_beside_its_fits(spark, cloud, monkeypatch):
+    """Scores of all fits stay in the task of their cell, and say what they say as rows."""
+    _, df = cloud
+    train = df.where("sample_id < 300")
+    ev = df.where("sample_id >= 300").select("*", (F.col("sample_id") % 3 != 1).alias("is_id"), F.when(F.col("sample_id") < 450, "p").otherwise("q").alias("domain"))
+    run = lambda: {(r.cell, r.domain): r for r in sweeps.subsample_refits(train, ev, ["cell"], 60, n_draws=4, by=("domain",)).collect()}
+    monkeypatch.setattr(sweeps, "CELL_ENTRIES", 0)
+    want = run()
+    monkeypatch.undo()
+    monkeypatch.setattr(sweeps, "mahalanobis_score", None)
+    got = run()
+    assert len(got) == 4 and got.keys() == want.keys()
+    for k, r in got.items():
+        assert [v for v in r if not isinstance(v, str)] == pytest.approx([v for v in want[k] if not isinstance(v, str)])
+
+
+def test_react_threshold_exchanges_no_entries(spark, cloud, monkeypatch):
+    _, df = cloud
+    seen, place = [], scorer.distribution
+
+    def planned(rows, *rest):
+        seen.append(rows._jdf.queryExecution().executedPlan().toString())
+        return place(rows, *rest)
+
+    monkeypatch.setattr(scorer, "distribution", planned)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scorer.react_threshold(df, ["cell"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen and all("SortMergeJoin" not in plan for plan in seen)
+
+
 def test_react_threshold_is_exact(spark, cloud):
     x, df = cloud
     got = {r.cell: r.tau for r in scorer.react_threshold(df, ["cell"]).collect()}
