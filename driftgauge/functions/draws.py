@@ -91,6 +91,76 @@ def wide_hash_np(seed: int, *keys) -> np.ndarray:
     return first * MODULUS + second
 
 
+class PoissonDraws:
+    """Poisson(1) counts of the same ids for many replicates, the draws of ``keyed_hash(seed, rep, id)``.
+
+    What depends on the ids alone is computed once (8 bytes an id). Values stay congruent, not reduced: a fold leaves at
+    most 33 bits of a product and factors stay below 32, so nothing leaves 64 bits.
+    """
+
+    BLOCK = 16_384
+
+    def __init__(self, seed: int, ids: np.ndarray):
+        self.seed, self.size = int(seed), len(ids)
+        self.own = [np.empty(self.size, np.uint32) for _ in LANES]
+        for lo in range(0, self.size, self.BLOCK):
+            x = ids[lo : lo + self.BLOCK].astype(np.int64)
+            quotient = np.mod(np.where(x < 0, -(-x // MODULUS), x // MODULUS), MODULUS)
+            for own, (_, _, high) in zip(self.own, LANES, strict=True):
+                own[lo : lo + self.BLOCK] = _reduced(np.mod(x, MODULUS) + quotient * high + 11)
+
+    def __call__(self, reps: np.ndarray) -> np.ndarray:
+        """(reps, ids), one byte each: a count is eleven at most."""
+        out = np.empty((len(reps), self.size), np.uint8)
+        multiplier, offset, _ = LANES[0]
+        starts = [_reduced(_mix_np(lane, np.int64(self.seed), reps) * LANES[lane][0])[:, None] - MODULUS for lane in (0, 1)]
+        width = max(1, self.BLOCK // max(1, self.size))
+        buffers = [np.empty(self.BLOCK, np.int64) for _ in range(3)]
+        for at, lo in ((at, lo) for at in range(0, len(reps), width) for lo in range(0, self.size, self.BLOCK)):
+            here = out[at : at + width, lo : lo + self.BLOCK]
+            t, s, u = (b[: here.size].reshape(here.shape) for b in buffers)
+            for v, own, start, (_, added, _) in zip((t, s), self.own, starts, LANES, strict=True):
+                np.copyto(v, own[lo : lo + self.BLOCK])
+                np.add(v, start[at : at + width], out=v)
+                _squared(v, u, added)
+            t *= multiplier
+            t += s
+            t += 11
+            _folded(t, u)
+            _squared(t, u, offset)
+            t *= multiplier
+            t += FINISH + 11
+            _folded(t, u)
+            _squared(t, u, offset)
+            _folded(t, u)
+            t += 1  # between 1 and MODULUS + 3; those past MODULUS stand for 0 to 2 and turn negative in 32 bits
+            drawn = t.astype(np.int32)
+            here[:] = drawn >= POISSON_STEPS[0] + 1
+            for step in POISSON_STEPS[1:]:
+                np.add(here, (drawn >= step + 1).view(np.uint8), out=here)
+        return out
+
+    def each(self, reps: np.ndarray):
+        """The counts of one replicate after another, a block of them drawn at once."""
+        width = max(1, self.BLOCK // max(1, self.size))
+        for lo in range(0, len(reps), width):
+            yield from self(reps[lo : lo + width])
+
+
+def _folded(v: np.ndarray, spare: np.ndarray) -> None:
+    """``v`` by something smaller with the same remainder, in place."""
+    np.right_shift(v, 31, out=spare)
+    np.bitwise_and(v, MODULUS, out=v)
+    np.add(v, spare, out=v)
+
+
+def _squared(v: np.ndarray, spare: np.ndarray, offset: int) -> None:
+    """The last step of a lane in place, folded."""
+    np.add(v, offset, out=spare)
+    np.multiply(v, spare, out=v)
+    _folded(v, spare)
+
+
 def _mix_sql(lane: int, h: str, x: str) -> str:
     multiplier, offset, high = LANES[lane]
     t = f"(({h} * {multiplier} + ({x}) % {MODULUS} + (({x}) // {MODULUS} % {MODULUS}) * {high} + 11) % {MODULUS})"

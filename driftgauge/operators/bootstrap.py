@@ -6,8 +6,8 @@ cut into ranges (a heavy value gets a range of its own, cut further by id): ever
 reports a few sums per replicate, parts are chained by prefix sums, and only the parts that
 decide a replicate are opened again: those with its percentile (AUROC, FPR95), its last
 prefix that meets the target (coverage) or its trim positions (dispersion). Rank correlation
-needs both ranks of a row at one place: ranks go from the ranges of one variable to those of
-the other as packed arrays, a block of replicates at a time.
+needs both ranks of a row at one place: packed rows go to the task of their cell, or to those
+of all pairs of their cell's blocks, which make the weights and both ranks from them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftgauge.functions.draws import POISSON_STEPS, keyed_hash_np, wide_hash_np
+from driftgauge.functions.draws import POISSON_STEPS, PoissonDraws, keyed_hash_np, wide_hash_np
 from driftgauge.functions.scores import finite_or_error
 from driftgauge.operators.coverage import RISK_EPS
 from driftgauge.operators.dispersion import CVID_EPS, TRIM_SHARE
@@ -36,8 +36,10 @@ REPLICATE_BLOCK = 500_000
 DRAW_BLOCK = 65_536
 # Work for the cores when there are fewer cells than that: replicates are dealt in so many tasks a core, rows copied for each.
 TASKS_PER_CORE = 3
-# Replicates whose ranks travel with a row at once (8 bytes each).
+# Replicates of a rank correlation that a task takes at least where cells are dealt to several: rows are copied no oftener.
 RANK_BLOCK = 125
+# Rows that are packed at once, and the id that stands for a missing one.
+PACKED_ROWS, NO_ID = 262_144, -(2**63)
 
 
 def _weights(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
@@ -198,150 +200,300 @@ def _numbers(col: pa.ChunkedArray) -> np.ndarray:
     return col.to_numpy()
 
 
-def _weighted_ranks(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Average rank of every row under each weight column, minus the mean rank."""
-    order = np.argsort(v, kind="stable")
-    first = _tie_starts(v[order])
-    group = np.add.reduceat(w[order], first)
-    rank = np.cumsum(group, axis=0) - group + (group + 1) / 2.0 - (w.sum(axis=0) + 1) / 2.0
-    out = np.empty(w.shape)
-    out[order] = np.repeat(rank, np.diff(np.r_[first, len(v)]), axis=0)
-    return out
-
-
 def bootstrap_spearman(df: DataFrame, keys: list[str], sample_id: str, x: str, y: str, n_reps: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, rep, rho); NULL where a replicate has no spread.
 
-    A cell that one task can hold is sent whole to several tasks, each with its share of the replicates; only larger
-    cells are cut into ranges, whose ranks must travel with the rows.
+    Rows travel packed, some ten bytes each, once for each share of the replicates; ranks never travel. A cell of up to
+    two blocks of rows is held by one task, of larger ones each pair of blocks.
     """
-    slim = df.select(
-        *keys, F.col(sample_id).alias("sid"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+    number = lambda c: F.col(c).cast("double") + F.lit(0.0)  # -0.0 ties with 0.0, yet ranges would part them
+    slim = df.select(*keys, F.col(sample_id).cast("bigint").alias("sid"), number(x).alias("x"), number(y).alias("y"))
+    cells = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    held = 2 * ordered.ROWS_PER_RANGE
+    few = cells.agg(F.max("__n").alias("n"), F.count(F.lit(1)).alias("cells")).first()
+    if (few["n"] or 0) <= held:
+        return _whole_spearman(slim, keys, few["cells"], n_reps, seed)
+    large = cut_lineage(cells.where(F.col("__n") > held))  # one in so many rows at most
+    flagged = _looked_up(slim, large, keys)
+    return _whole_spearman(flagged.where("__n IS NULL").drop("__n"), keys, few["cells"], n_reps, seed).unionByName(
+        _ranged_spearman(flagged.where("__n IS NOT NULL").drop("__n"), keys, n_reps, seed)
     )
-    cells = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("cells")).first()
-    if (cells["n"] or 0) > ordered.ROWS_PER_RANGE:
-        return _ranged_spearman(with_ranges(slim, "x", "sid")[0], keys, n_reps, seed)
-    tasks = max(1, min(n_reps, -(-TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism // max(1, cells["cells"]))))
+
+
+def _whole_spearman(slim: DataFrame, keys: list[str], cells: int, n_reps: int, seed: int) -> DataFrame:
     schema = T.StructType([*key_fields(slim, keys), T.StructField("rep", T.IntegerType()), T.StructField("rho", T.DoubleType())])
+    packed, shares = _shared(_packed(slim.withColumn("__block", F.lit(0)), [*keys, "__block"], ["sid", "x", "y"]), cells, n_reps)
+    limit = ordered.ROWS_PER_RANGE
 
     def run(cell: pa.Table) -> pa.Table:
-        reps = np.arange(1, n_reps + 1, dtype=np.int64)[cell.column("__share")[0].as_py() :: tasks]
-        rho = _rank_correlations(*[cell.column(c).to_numpy() for c in ("sid", "x", "y")], reps, seed)
-        heads = [cell.column(k).combine_chunks().take(pa.array(np.zeros(len(reps), dtype=np.int64))) for k in keys]
-        return pa.Table.from_arrays([*heads, pa.array(reps.astype(np.int32)), pa.array(rho, from_pandas=True)], names=schema.names)
+        reps = np.arange(1, n_reps + 1, dtype=np.int64)[cell.column("__share")[0].as_py() :: shares]
+        return _table(cell, keys, schema, reps, _rank_correlations(lambda name: _unpacked([cell], name), reps, seed, limit))
+
+    return _dealt(packed, [*keys, "__share"], cells * shares).applyInArrow(run, schema)
+
+
+def _packed(rows: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """The rows of a group as a few chunks of packed arrays, made beside the rows."""
+    schema = T.StructType([*key_fields(rows, group), *[T.StructField(v, T.BinaryType()) for v in values]])
+
+    def chunks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lists = pa.Table.from_batches(held).group_by(group).aggregate([(v, "list") for v in values]).combine_chunks()
+        columns = [_only(lists.column(g)) for g in group]
+        for v in values:
+            each = (pc.fill_null(c.values, NO_ID if v == "sid" else np.nan).to_numpy() for c in lists.column(f"{v}_list"))
+            columns.append(pa.array([pa.compress(a.tobytes(), "zstd", asbytes=True) + len(a).to_bytes(8, "little") for a in each], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def pack(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield chunks(held)
+                held, n = [], 0
+        if n:
+            yield chunks(held)
+
+    return rows.select(*group, *values).mapInArrow(pack, schema)
+
+
+def _only(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+def _unpacked(tables: list[pa.Table], name: str) -> np.ndarray:
+    """A column of packed rows, one table after the other."""
+    kind = np.dtype(np.int64 if name == "sid" else np.float64)
+    chunks = [c.as_buffer() for t in tables for c in t.column(name)]
+    sizes = [int.from_bytes(c[len(c) - 8 :], "little") for c in chunks]
+    out, at = np.empty(sum(sizes), kind), 0
+    for c, n in zip(chunks, sizes, strict=True):
+        out[at : at + n] = np.frombuffer(pa.decompress(c[: len(c) - 8], n * kind.itemsize, "zstd"), kind)
+        at += n
+    return out
+
+
+def _refuse_gaps(sorted_values: np.ndarray) -> None:
+    """A missing value stops the job where a cell is larger than one range."""
+    if len(sorted_values) and np.isnan(sorted_values[-1]):
+        raise ValueError("NULL or NaN in a rank correlation")
+
+
+def _shared(packed: DataFrame, groups: int, n_reps: int) -> tuple[DataFrame, int]:
+    """Each chunk once for each share of the replicates, and the number of shares."""
+    tasks = TASKS_PER_CORE * packed.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, min(-(-n_reps // RANK_BLOCK), -(-tasks // max(1, groups))))
+    return packed.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), shares
+
+
+def _dealt(packed: DataFrame, group: list[str], groups: int):
+    """Grouped over so many partitions that few groups meet in one."""
+    spark = packed.sparkSession
+    most = 16 * TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(16 * groups, most))
+    return packed.repartition(parts, *group).groupBy(*group)
+
+
+def _table(rows: pa.Table, keys: list[str], schema: T.StructType, reps: np.ndarray, *values: np.ndarray) -> pa.Table:
+    """One row a replicate, under the group's keys."""
+    heads = [rows.column(k).combine_chunks().take(pa.array(np.zeros(len(reps), dtype=np.int64))) for k in keys]
+    return pa.Table.from_arrays([*heads, pa.array(reps.astype(np.int32)), *[pa.array(v, from_pandas=True) for v in values]], names=schema.names)
+
+
+def _tie_groups(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: the number of each one's tie group, and where each group ends. NaNs are one group."""
+    first = np.empty(len(v), bool)
+    first[:1] = True
+    np.not_equal(v[1:], v[:-1], out=first[1:])
+    first[np.searchsorted(v, np.nan) + 1 :] = False
+    return np.cumsum(first, dtype=np.int32) - np.int32(1), np.r_[np.flatnonzero(first)[1:] - 1, len(v) - 1].astype(np.int32)
+
 
-    shares = slim.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    return shares.groupBy(*keys, "__share").applyInArrow(run, schema)
+def _codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the values, the tie group of each in its place, and where each group ends in that order."""
+    order = _order(v)
+    groups, last = _tie_groups(v[order])
+    out = np.empty(len(v), np.int32)
+    out[order] = groups
+    return order, out, last
 
 
-def _rank_correlations(ids: np.ndarray, x: np.ndarray, y: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+def _order(v: np.ndarray) -> np.ndarray:
+    return np.argsort(v, kind="stable").astype(np.int32)
+
+
+def _value_ranks(w: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Average rank minus the mean rank of every tie group of weights in order, the sum of their squares and all weight."""
+    upto = np.cumsum(w, dtype=np.int64)[last]
+    own = np.diff(upto, prepend=0)
+    rank = upto - own / 2.0 - upto[-1] / 2.0
+    return rank, float((own * rank * rank).sum()), float(upto[-1])
+
+
+def _products(w: np.ndarray, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> float:
+    """Sum of w a b over rows whose a and b are those of their groups."""
+    total = 0.0
+    for lo in range(0, len(w), DRAW_BLOCK):
+        here = slice(lo, lo + DRAW_BLOCK)
+        ranks = a.take(group_a[here])
+        ranks *= w[here]
+        ranks *= b.take(group_b[here])
+        total += float(ranks.sum())
+    return total
+
+
+def _rank_correlations(column, reps: np.ndarray, seed: int, limit: int) -> np.ndarray:
     """Rank correlation of the rows under the weights of each replicate, NaN without spread.
 
-    The rows are sorted once; a replicate's ranks are those of the distinct values, from their summed weights.
+    The rows are sorted once; a replicate's ranks are those of the distinct values, from their summed weights. ``column``
+    gives x, y and sid, one after the other and none kept. A missing value stands above all others in up to ``limit`` rows.
     """
-    by = np.argsort(x, kind="stable")
-    ids, x, y = ids[by].astype(np.int64), x[by], y[by]
-    group_x, group_y = (np.unique(v, return_inverse=True)[1].astype(np.int32) for v in (x, y))
     out = np.full(len(reps), np.nan)
-    for lo in range(0, len(reps), width := max(1, REPLICATE_BLOCK // max(1, len(ids)))):
-        weights = _weights(ids, reps[lo : lo + width], seed)
-        for i in range(weights.shape[1]):
-            w = weights[:, i].astype(float)
-            (a, xx), (b, yy) = _value_ranks(group_x, w), _value_ranks(group_y, w)
-            spread = np.sqrt(xx * yy)
-            if spread > 0:
-                out[lo + i] = (w * a[group_x] * b[group_y]).sum() / spread
+    v = column("x")
+    if not len(v):
+        return out
+    by = _order(v)
+    v = v[by]
+    if len(v) > limit:
+        _refuse_gaps(v)
+    group_x, last_x = _tie_groups(v)
+    v = column("y")[by]
+    by_y, group_y, last_y = _codes(v)
+    if len(v) > limit:
+        _refuse_gaps(v[by_y[-1:]])
+    del v
+    draw = PoissonDraws(seed, column("sid")[by])
+    del by
+    for i, w in enumerate(draw.each(reps)):
+        (a, xx, _), (b, yy, _) = _value_ranks(w, last_x), _value_ranks(w[by_y], last_y)
+        spread = np.sqrt(xx * yy)
+        if spread > 0:
+            out[i] = _products(w, a, group_x, b, group_y) / spread
     return out
 
 
-def _value_ranks(group: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
-    """Average rank minus the mean rank of every distinct value, and the weighted sum of their squares."""
-    own = np.bincount(group, weights=w)
-    rank = np.cumsum(own) - own + (own + 1) / 2.0 - (own.sum() + 1) / 2.0
-    return rank, float((own * rank * rank).sum())
+def _with_blocks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with the block of their cell that they belong to, its level, and how many blocks the cell has.
+
+    Blocks are runs of neighbouring ranges. A heavy value has blocks of its own, cut by id: they are of one level, and
+    their rows tie with each other. Otherwise a higher level holds higher values.
+    """
+    limit, single = ordered.ROWS_PER_RANGE, F.min(value) == F.max(value)
+    n = rows.count()
+    ranged = ordered.cut_into_ranges(rows, value, None, n)
+    heavy = [r[0] for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), single.alias("one")).where((F.col("n") > limit) & F.col("one")).collect()]
+    if heavy:  # so many rows each, so a short list
+        cuts = ordered._cut_points(ranged.where(F.col("__range").isin(heavy)), "sid", 2 * -(-n // limit))
+        ranged = ordered._bucketize(ranged.drop("__tie_range"), "sid", "__tie_range", cuts, isolate=False)
+        ranged = ranged.withColumn("__tie_range", F.when(F.col("__range").isin(heavy), F.col("__tie_range")).otherwise(F.lit(0)))
+    cell, one_range = Window.partitionBy(*keys), Window.partitionBy(*keys, "__range")
+    parts = ranged.groupBy(*keys, *_PART).agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select(
+        *keys, *_PART, ((F.sum("n").over(one_range) > limit) & F.col("__range").isin(heavy)).alias("heavy"),
+        F.coalesce(F.sum("n").over(cell.orderBy("__range").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"),
+        (F.sum("n").over(one_range.orderBy("__tie_range")) - F.col("n")).alias("inside"),
+    )
+    step, piece = F.floor(F.col("below") / limit), F.when(F.col("heavy"), F.floor(F.col("inside") / limit)).otherwise(0)
+    placed = parts.select(
+        *keys, *_PART, F.dense_rank().over(cell.orderBy(step, "heavy")).alias("__level"),
+        (F.dense_rank().over(cell.orderBy(step, "heavy", piece)) - 1).alias("__block"),
+    )
+    placed = cut_lineage(placed.withColumn("__blocks", F.max("__block").over(cell) + 1))
+    return _looked_up(ranged, placed, [*keys, *_PART]).drop(*_PART)
+
+
+def _looked_up(rows: DataFrame, small: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with the other columns of a small table, NULL without a partner; NULL keys are equal."""
+    same = F.lit(True)
+    for n in names:
+        same = same & rows[n].eqNullSafe(F.col(f"{n}__q"))
+    return rows.join(F.broadcast(_renamed(small, names)), same, "left").drop(*_other(names))
 
 
-def _rank_bases(rows: DataFrame, keys: list[str], part: list[str], value: str, n_reps: int, seed: int) -> DataFrame:
-    """(keys, part, rep): weight of lower ranges and of the own one, whether that is one value, and the cell's weight."""
+_BLOCK = ["__block", "__level", "__blocks"]
 
-    def kernel(c: dict, w: np.ndarray) -> list[np.ndarray]:
-        ends = [np.full(w.shape[1], end) for end in (c[value].min(), c[value].max())]
-        return [w.sum(axis=0).astype(float), *ends]
-
-    slim = rows.select(*keys, *part, "sid", value)
-    parts = _replicates(slim, [*keys, *part], ["w", "low", "high"], kernel, n_reps, seed)
-    ranges = parts.groupBy(*keys, part[0], "rep").agg(F.sum("w").alias("own"), (F.min("low") == F.max("high")).alias("single"))
-    cell = Window.partitionBy(*keys, "rep")
-    below = cell.orderBy(part[0]).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(
-        *keys, part[0], "rep", "own", "single",
-        F.coalesce(F.sum("own").over(below), F.lit(0.0)).alias("below"), F.sum("own").over(cell).alias("whole"),
-    )
-    return cut_lineage(parts.select(*keys, *part, "rep").join(ranges, [*keys, part[0], "rep"]))
-
-
-def _ranks_in_part(v: np.ndarray, w: np.ndarray, bases: dict) -> np.ndarray:
-    """Average ranks minus the mean rank, for the rows of one part and the replicates of ``bases``."""
-    middle = (bases["whole"] + 1) / 2.0
-    single = bases["below"] + (bases["own"] + 1) / 2.0 - middle
-    if bool(bases["single"][0]):
-        return np.repeat(single[None, :], len(v), axis=0)
-    return _weighted_ranks(v, w) + (w.sum(axis=0) + 1) / 2.0 + bases["below"] - middle
-
-
-def _bases_of(table: pa.Table) -> dict:
-    order = np.argsort(table.column("rep").to_numpy())
-    return {c: np.asarray(table.column(c).to_pylist())[order] for c in ("rep", "own", "single", "below", "whole")}
-
-
-def _ranged_spearman(by_x: DataFrame, keys: list[str], n_reps: int, seed: int) -> DataFrame:
-    px, py = ["__xr", "__xt"], ["__yr", "__yt"]
-    by_x = by_x.withColumnsRenamed(dict(zip(_PART, px, strict=True)))
-    both = cut_lineage(with_ranges(by_x, "y", "sid")[0].withColumnsRenamed(dict(zip(_PART, py, strict=True))))
-    bases_x, bases_y = (_rank_bases(both, keys, p, v, n_reps, seed) for p, v in ((px, "x"), (py, "y")))
-    sent = T.StructType([*key_fields(both, [*keys, *py]), T.StructField("sid", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("ranks", T.BinaryType())])
-    sums = T.StructType([*key_fields(both, keys), T.StructField("rep", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("xy", "xx", "yy")]])
-
-    def ranks(rows: pa.Table, table: pa.Table) -> pa.Table:
-        bases, ids = _bases_of(table), rows.column("sid").to_numpy().astype(np.int64)
-        found, step = [], max(1, REPLICATE_BLOCK // max(1, len(bases["rep"])))
-        v = rows.column("x").to_numpy()
-        if len(ids) <= step or bool(bases["single"][0]):
-            whole = _ranks_in_part(v, _weights(ids, bases["rep"], seed), bases)
-            found = [r.tobytes() for r in whole]
-        else:  # all rows of a part are needed for a rank, so replicates are cut instead
-            columns = []
-            for lo in range(0, len(bases["rep"]), max(1, REPLICATE_BLOCK // len(ids))):
-                some = slice(lo, lo + max(1, REPLICATE_BLOCK // len(ids)))
-                own = {k: b[some] for k, b in bases.items()}
-                columns.append(_ranks_in_part(v, _weights(ids, own["rep"], seed), own))
-            found = [r.tobytes() for r in np.concatenate(columns, axis=1)]
-        cols = [rows.column(k) for k in (*keys, *py, "sid", "y")]
-        return pa.Table.from_arrays([*cols, pa.array(found, pa.binary())], names=sent.names)
-
-    def products(rows: pa.Table, table: pa.Table) -> pa.Table:
-        bases, ids = _bases_of(table), rows.column("sid").to_numpy().astype(np.int64)
-        rx = np.stack([np.frombuffer(r) for r in rows.column("ranks").to_pylist()])
-        found, y = [], rows.column("y").to_numpy()
-        for lo in range(0, len(bases["rep"]), max(1, REPLICATE_BLOCK // len(ids))):
-            some = slice(lo, lo + max(1, REPLICATE_BLOCK // len(ids)))
-            own = {k: b[some] for k, b in bases.items()}
-            w = _weights(ids, own["rep"], seed)
-            a, b = rx[:, some], _ranks_in_part(y, w, own)
-            found.append([(w * p * q).sum(axis=0) for p, q in ((a, b), (a, a), (b, b))])
-        parts = [np.concatenate(f) for f in zip(*found, strict=True)]
-        heads = [rows.column(k).combine_chunks().take(pa.array(np.zeros(len(bases["rep"]), np.int64))) for k in keys]
-        return pa.Table.from_arrays([*heads, pa.array(bases["rep"].astype(np.int32)), *[pa.array(p) for p in parts]], names=sums.names)
-
-    blocks = []
-    for lo in range(1, n_reps + 1, RANK_BLOCK):
-        some = F.col("rep").between(lo, lo + RANK_BLOCK - 1)
-        gx, gy = [*keys, *px], [*keys, *py]
-        side = both.groupBy(*gx).cogroup(_renamed(bases_x.where(some), gx).groupBy(*_other(gx))).applyInArrow(ranks, sent)
-        blocks.append(side.groupBy(*gy).cogroup(_renamed(bases_y.where(some), gy).groupBy(*_other(gy))).applyInArrow(products, sums))
-    whole = ordered.union_all(blocks).groupBy(*keys, "rep").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
-    spread = F.sqrt(F.col("xx") * F.col("yy"))
-    return whole.select(*keys, "rep", F.when(spread > 0, F.col("xy") / spread).alias("rho"))
+
+def _ranged_spearman(slim: DataFrame, keys: list[str], n_reps: int, seed: int) -> DataFrame:
+    """Cells of any size, from sums over pairs of blocks of rows.
+
+    A centred rank is the sum of centred counts against each block. On x these are known but for a number a block and
+    replicate, which depends on the weights of lower and higher blocks alone; on y two blocks are counted against each
+    other where both are held. Squares of y's ranks come from blocks of their own.
+    """
+    part = [*keys, "__block", "__level", "rep"]
+    names = ["u", "v", "w", "q"]
+    by_x = _packed(_with_blocks(slim, keys, "x"), [*keys, *_BLOCK], ["sid", "x", "y"])
+    by_y = _packed(_with_blocks(slim, keys, "y"), [*keys, *_BLOCK], ["sid", "y"])
+    sums = T.StructType([*key_fields(by_x, part[:-1]), T.StructField("rep", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    other = F.explode(F.expr("filter(sequence(0, __blocks - 1), b -> b <> __block)"))
+    pairs = by_x.withColumn("__other", other).withColumns({"__p": F.least("__block", "__other"), "__r": F.greatest("__block", "__other")})
+    groups = -(-slim.count() // ordered.ROWS_PER_RANGE)
+    pairs, shares = _shared(pairs, groups, n_reps)
+    singles, single_shares = _shared(by_y, groups, n_reps)
+
+    def crossed(rows: pa.Table) -> pa.Table:
+        reps = np.arange(1, n_reps + 1, dtype=np.int64)[rows.column("__share")[0].as_py() :: shares]
+        p, r, n = (rows.column(c)[0].as_py() for c in ("__p", "__r", "__blocks"))
+        sides = [rows.filter(pc.equal(rows.column("__block"), pa.scalar(b, rows.column("__block").type))) for b in (p, r)]
+        own = (r == p + 1, r == p + 1 == n - 1)  # each block is counted against itself in one of its pairs
+        found = _cross_sums(len(_unpacked(sides[:1], "sid")), lambda name: _unpacked(sides, name), own, reps, seed)
+        return pa.concat_tables([_table(side, part[:-1], sums, reps, *f) for side, f in zip(sides, found, strict=True)])
+
+    def squared(rows: pa.Table) -> pa.Table:
+        reps = np.arange(1, n_reps + 1, dtype=np.int64)[rows.column("__share")[0].as_py() :: single_shares]
+        v = _unpacked([rows], "y")
+        by = _order(v)
+        (_, last), draw = _tie_groups(v[by]), PoissonDraws(seed, _unpacked([rows], "sid")[by])
+        squares, weights = np.array([_value_ranks(w, last)[1:] for w in draw.each(reps)]).T
+        return _table(rows, part[:-1], sums, reps, np.zeros(len(reps)), np.zeros(len(reps)), weights, squares)
+
+    def chained(frame: DataFrame) -> DataFrame:
+        """Sums over a cell's blocks, with each block's place among the others: half the weight below less that above."""
+        blocks = frame.groupBy(*part).agg(*[F.sum(n).alias(n) for n in names])
+        cell = Window.partitionBy(*keys, "rep")
+        below = F.coalesce(F.sum("w").over(cell.orderBy("__level").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        upto = F.sum("w").over(cell.orderBy("__level").rangeBetween(Window.unboundedPreceding, 0))
+        placed = blocks.withColumn("place", (below + upto - F.sum("w").over(cell)) / 2.0)
+        a = F.col("place")
+        return placed.groupBy(*keys, "rep").agg(F.sum(F.col("u") + a * F.col("v")).alias("xy"), F.sum(F.col("q") + a * a * F.col("w")).alias("squares"))
+
+    cross = chained(_dealt(pairs, [*keys, "__p", "__r", "__share"], groups * shares).applyInArrow(crossed, sums))
+    yy = chained(_dealt(singles, [*keys, "__block", "__share"], groups * single_shares).applyInArrow(squared, sums))
+    cell = [*keys, "rep"]
+    squares = _renamed(yy.select(*cell, F.col("squares").alias("yy")), cell)
+    same = F.lit(True)
+    for n in cell:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}__q"))
+    spread = F.sqrt(F.col("squares") * F.col("yy"))
+    return cross.join(squares, same).select(*cell, F.when(spread > 0, F.col("xy") / spread).alias("rho"))
+
+
+def _cross_sums(n: int, column, own: tuple[bool, bool], reps: np.ndarray, seed: int) -> list[np.ndarray]:
+    """For each of two blocks, the first ``n`` rows and the others, and each replicate: u = sum of w a b and v = sum of w b,
+    where a is a row's centred rank on x in its block and b its centred count on y against the other block (for u, if
+    ``own``, its own too); if ``own``, w and the sum of w a a, else zeros."""
+    x = column("x")
+    by = np.r_[_order(x[:n]), n + _order(x[n:])]
+    x, y = x[by], column("y")[by]
+    draw = PoissonDraws(seed, column("sid")[by])
+    halves = [slice(0, n), slice(n, len(by))]
+    groups = [_tie_groups(x[h]) for h in halves]
+    by_y, group_y, last_y = _codes(y)
+    for v in (x[:n], x[n:], y[by_y[-1:]]):
+        _refuse_gaps(v)
+    del x, y, v, by, by_y
+    found = np.zeros((2, 4, len(reps)))
+    for i, w in enumerate(draw.each(reps)):
+        ranks = [_value_ranks(w[h], last) for h, (_, last) in zip(halves, groups, strict=True)]
+        counts = [np.bincount(group_y[h], w[h], len(last_y)) for h in halves]
+        centred = [np.cumsum(c) - c / 2.0 - c.sum() / 2.0 for c in counts]
+        for s, h in enumerate(halves):
+            against = centred[1 - s] + centred[s] if own[s] else centred[1 - s]
+            a, squares, weight = ranks[s]
+            u = _products(w[h], a, groups[s][0], against, group_y[h])
+            found[s, :, i] = u, (counts[s] * centred[1 - s]).sum(), weight * own[s], squares * own[s]
+    return list(found)
 
 
 def _other(names: list[str]) -> list[str]:

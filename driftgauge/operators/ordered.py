@@ -62,14 +62,19 @@ def with_ranges(
         n = n if source is None else df.count()
     if n <= limit:
         return df.withColumns({_RANGE: F.lit(0), _TIE: F.lit(0)}), False
-    n_ranges = max(2, math.ceil(n / limit) * 2)
+    return cut_into_ranges(df, value, tie, n), True
+
+
+def cut_into_ranges(df: DataFrame, value: str, tie: str | None, n: int) -> DataFrame:
+    """The range columns of ``with_ranges`` for a frame of ``n`` rows, which is read for its cut points and not kept."""
+    n_ranges = max(2, math.ceil(n / ROWS_PER_RANGE) * 2)
     cuts = _cut_points(df, value, n_ranges)
     df = _bucketize(df, value, _RANGE, cuts, isolate=True)
     if tie is None:
-        return df.withColumn(_TIE, F.lit(0)), True
+        return df.withColumn(_TIE, F.lit(0))
     df = _bucketize(df, tie, _TIE, _cut_points(df, tie, n_ranges), isolate=False)
     heavy = F.col(value).cast("double").isin(cuts)
-    return df.withColumn(_TIE, F.when(heavy, F.col(_TIE)).otherwise(F.lit(0))), True
+    return df.withColumn(_TIE, F.when(heavy, F.col(_TIE)).otherwise(F.lit(0)))
 
 
 def prefix_sums_checked(

@@ -196,7 +196,8 @@ c AS (SELECT stratum, rep, corr(a, b) AS rho FROM k GROUP BY ALL)
 SELECT stratum, {_ci("rho")} FROM c GROUP BY stratum""",
 )
 def bootstrap_spearman(spark, sf):
-    reps = bootstrap.bootstrap_spearman(v.event_scores(spark, sf), ["stratum"], "sample_id", "user_id", "score", REPS, SEED)
+    # kept, as the interval reads them twice
+    reps = cut_lineage(bootstrap.bootstrap_spearman(v.event_scores(spark, sf), ["stratum"], "sample_id", "user_id", "score", REPS, SEED))
     return rounded(resample.percentile_ci(reps, ["stratum"], ["rho"]), "rho_ci_low", "rho_ci_high")
 
 

@@ -318,6 +318,63 @@ def test_weights_of_large_cells_are_drawn_in_pieces(monkeypatch):
     assert w.shape == (3500, 3) and max(sizes) <= 1000
 
 
+def test_poisson_draws_are_those_of_the_hash():
+    wide = [-1, 0, draws.MODULUS, draws.MODULUS + 1, 2**62, -(2**62), 2**63 - 1, -(2**63)]
+    ids = np.r_[np.array(wide), np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 40_000)]
+    reps = np.arange(1, 6)
+    for some in (ids, ids[:9], ids[:0]):
+        drawn = draws.PoissonDraws(42, some)
+        assert (drawn(reps) == bootstrap._weights(some, reps, 42).T).all()
+        assert [*map(list, drawn.each(reps))] == drawn(reps).tolist()
+
+
+def rank_rows(spark, n):
+    rng = np.random.default_rng(41)
+    x, y = np.where(rng.random(n) < 0.3, 7.0, np.round(rng.normal(size=n), 2)), np.round(rng.normal(size=n) * 3)
+    return spark.createDataFrame([("hot" if i % 8 else "cold", int(i), float(x[i]), float(y[i])) for i in range(n)], "cell string, sample_id bigint, x double, y double")
+
+
+def rho_table(df, reps):
+    return {(r.cell, r.rep): r.rho for r in bootstrap.bootstrap_spearman(df, ["cell"], "sample_id", "x", "y", reps, 42).collect()}
+
+
+def test_large_rank_bootstraps_write_rows_not_ranks(spark, tiny_tasks, monkeypatch):
+    """What is exchanged and kept grows with rows and blocks, not with rows times replicates; nor are rows checkpointed."""
+    df = rank_rows(spark, 640)
+    sent, kept, pack = [], [], bootstrap._packed
+    monkeypatch.setattr(bootstrap, "_packed", lambda *a: sent.append(pack(*a)) or sent[-1])
+    monkeypatch.setattr(bootstrap, "cut_lineage", lambda small: kept.append(small) or small)
+    monkeypatch.setattr(ordered, "cut_lineage", None)
+    assert bootstrap.bootstrap_spearman(df, ["cell"], "sample_id", "x", "y", 200, 42).count() == 400
+    assert sent and kept and all("sid" not in f.columns and f.count() < 300 for f in kept)
+    for f in sent:
+        assert sum(len(v) for r in f.collect() for v in r if isinstance(v, bytes | bytearray)) < 640 * 60
+
+
+def test_rank_bootstrap_of_pairs_of_blocks_and_of_whole_cells(spark, request):
+    """Cells of many blocks beside one that a task holds; -0.0 ties with 0.0, and ids and rows may come twice."""
+    df = rank_rows(spark, 640)
+    zeros = spark.createDataFrame([("hot", 10_000 + i % 90, -0.0 if i % 2 else 0.0, -0.0 if i % 3 else 0.0) for i in range(180)], df.schema)
+    df = df.unionByName(zeros).unionByName(df.limit(30))
+    plain = rho_table(df, 6)
+    request.getfixturevalue("tiny_tasks")
+    request.getfixturevalue("monkeypatch").setattr(bootstrap, "RANK_BLOCK", 4)
+    assert rho_table(df, 6) == pytest.approx(plain, abs=1e-12) and len(plain) == 12
+
+
+def test_rank_bootstrap_without_spread_or_rows(spark, request):
+    one = "cell string, sample_id bigint, x double, y double"
+    rows = [("flat", i, 2.0, float(i)) for i in range(260)] + [("few", 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, one)
+    plain = rho_table(df, 5)
+    request.getfixturevalue("tiny_tasks")
+    assert rho_table(df, 5) == plain and {*plain.values()} == {None} and len(plain) == 10
+    assert rho_table(spark.createDataFrame([], one), 5) == {}
+    for n in (60, 260):
+        with pytest.raises(Exception, match="NULL or NaN"):
+            rho_table(spark.createDataFrame([("c", i, float(i), None if i == 3 else 1.0) for i in range(n)], one), 5)
+
+
 def test_rank_and_dispersion_bootstraps_agree_on_both_paths(spark, request):
     rng = np.random.default_rng(23)
     data = [("c", "OOD" if i % 3 else "ID", i, float(rng.integers(0, 9)), float(rng.normal())) for i in range(300)]
